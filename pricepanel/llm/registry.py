@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses
+from . import bpe, licenses, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
+    "op3_warc_chunks": warc.op3_warc_chunks,
     "op8_byte_bpe": bpe.op8_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_warc_chunks": warc.ORACLE,
+}
