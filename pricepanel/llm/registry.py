@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, warc
+from . import bpe, licenses, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
     "op3_warc_chunks": warc.op3_warc_chunks,
     "op8_byte_bpe": bpe.op8_byte_bpe,
+    "op9_simhash_trie": simhash.op9_simhash_trie,
 }
 
 ORACLES: dict[str, str] = {
