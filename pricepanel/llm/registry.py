@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, simhash, warc
+from . import bpe, licenses, mixing, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
+    "op2_entropy_mix": mixing.op2_entropy_mix,
     "op3_warc_chunks": warc.op3_warc_chunks,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_simhash_trie": simhash.op9_simhash_trie,
