@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, mixing, simhash, warc
+from . import bpe, licenses, mixing, quality_rules, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_entropy_mix": mixing.op2_entropy_mix,
     "op3_warc_chunks": warc.op3_warc_chunks,
+    "op4_quality_rules": quality_rules.op4_quality_rules,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_simhash_trie": simhash.op9_simhash_trie,
 }
 
 ORACLES: dict[str, str] = {
     "op3_warc_chunks": warc.ORACLE,
+    "op4_quality_rules": quality_rules.ORACLE,
 }
