@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, html_text, licenses, mixing, quality_rules, simhash, warc
+from . import bpe, fingerprints, html_text, licenses, mixing, ppm, quality_rules, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc_chunks": warc.op3_warc_chunks,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_rare_features": fingerprints.op5_rare_features,
+    "op6_ppm_score": ppm.op6_ppm_score,
     "op7_html_text": html_text.op7_html_text,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_simhash_trie": simhash.op9_simhash_trie,
