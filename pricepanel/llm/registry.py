@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, html_text, licenses, mixing, ppm, quality_rules, simhash, warc
+from . import bpe, cotraining, fingerprints, html_text, licenses, mixing, ppm, quality_rules, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_html_text": html_text.op7_html_text,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_simhash_trie": simhash.op9_simhash_trie,
+    "op10_cotraining": cotraining.op10_cotraining,
 }
 
 ORACLES: dict[str, str] = {
