@@ -157,6 +157,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return done.select(F.col("id").alias(id_col), *[F.col(f"q.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], "kept")
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
+    measured = materialize(signals(docs, text_col, stratum_col), "rules-measured")
+    cuts = materialize(thresholds(measured, labels, id_col), "rules-cuts")
+    return judged(measured, cuts).where("kept").select(*docs.columns)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
