@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import base, cleaning
+from . import base, cleaning, feature_plans
 
 QUERIES, ORACLES = base.QUERIES, base.ORACLES
-MODULES = (cleaning,)
+MODULES = (cleaning, feature_plans)
