@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import base, cleaning, feature_plans
+from . import backtests, base, cleaning, feature_plans
 
 QUERIES, ORACLES = base.QUERIES, base.ORACLES
-MODULES = (cleaning, feature_plans)
+MODULES = (backtests, cleaning, feature_plans)
