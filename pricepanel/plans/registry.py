@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import backtests, base, cleaning, feature_plans
+from . import backtests, base, cleaning, feature_plans, scoring
 
 QUERIES, ORACLES = base.QUERIES, base.ORACLES
-MODULES = (backtests, cleaning, feature_plans)
+MODULES = (backtests, cleaning, feature_plans, scoring)
