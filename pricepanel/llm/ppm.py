@@ -243,7 +243,16 @@ def _head(counts: DataFrame) -> tuple[int, dict[bytes, int], int, int]:
         least = r["least"]
     total, kinds = sum(r["n"] for r in sizes), sum(r["kinds"] for r in sizes)
     least = least or (max((r["n"] for r in sizes), default=0) + 1)
-    return least, {bytes(r["word"]): r["n"] for r in words.where(F.col("n") >= least).collect()}, total, kinds
+    held = words.where(F.col("n") >= least).select("word", "n").toArrow()
+    return least, dict(zip(held["word"].to_pylist(), held["n"].to_pylist(), strict=True)), total, kinds
+
+
+def _arrays(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted codes and their counts."""
+    found = grams.select("gram", "n").toArrow()
+    codes, n = found["gram"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(codes)
+    return codes[order], n[order]
 
 
 def score_documents(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,10 +265,7 @@ def score_documents(docs: DataFrame, training: DataFrame, id_col: str = "doc_id"
     counts = materialize(gather_counts(training.select(training[text_col].alias("text"))), "ppm-counts")
     least, head, total, kinds = _head(counts)
     norm = math.log10(total + 0.5 * (kinds + 1))
-    pairs = counts.where("gram IS NOT NULL").groupBy(F.expr("gram & 65535").alias("gram")).agg(F.sum("n").alias("n")).toPandas()  # at most 65,536 rows
-    pairs_codes, pairs_n = pairs["gram"].to_numpy(dtype=np.int64).view(np.uint64), pairs["n"].to_numpy(dtype=np.int64)
-    order = np.argsort(pairs_codes)
-    pairs_codes, pairs_n = pairs_codes[order], pairs_n[order]
+    pairs = _arrays(counts.where("gram IS NOT NULL").groupBy(F.expr("gram & 65535").alias("gram")).agg(F.sum("n").alias("n")))  # at most 65,536 rows
     rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     sc = docs.sparkSession.sparkContext
@@ -275,10 +281,7 @@ def score_documents(docs: DataFrame, training: DataFrame, id_col: str = "doc_id"
             leaves = leaves.where(F.expr("shiftright(gram, 8) & 65535").isin(sorted(suffixes)))
         else:
             chosen = None
-        leaves = leaves.select("gram", "n").toPandas()
-        codes, n = leaves["gram"].to_numpy(dtype=np.int64).view(np.uint64), leaves["n"].to_numpy(dtype=np.int64)
-        order = np.argsort(codes)
-        sent = sc.broadcast((codes[order], n[order], pairs_codes, pairs_n))
+        sent = sc.broadcast((*_arrays(leaves), *pairs))
         parts.append(rows.mapInArrow(_scorer(sent, head_sent, norm, chosen, number == 0), f"row long, id {kind}, n_tokens long, n_known long, base double, score double, word binary, times long"))
     done = parts[0]
     for p in parts[1:]:
