@@ -73,16 +73,19 @@ class _Lines(HTMLParser):
         self.heading = 0
         self.links = 0
         self.parts: list[str] = []
+        self.aside: list[str] = []  # text of the line inside boilerplate, which may be inline
         self.tags = 0
         self.link_chars = 0
         self.lines: list[tuple[str, int, bool, tuple[int, ...], int]] = []
 
     def flush(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        if text or self.tags:
-            boiler = self.boiler > 0 or (self.headers > 0 and not self.heading)
-            self.lines.append((text, self.tags, boiler, tuple(n for t, n, _ in self.stack if t in _BLOCK), self.link_chars))
-        self.parts, self.tags, self.link_chars = [], 0, 0
+        containers = tuple(n for t, n, _ in self.stack if t in _BLOCK)
+        aside, text = " ".join("".join(self.aside).split()), " ".join("".join(self.parts).split())
+        if aside:
+            self.lines.append((aside, 0 if text else self.tags, True, containers, 0))
+        if text:
+            self.lines.append((text, self.tags, False, containers, self.link_chars))
+        self.parts, self.aside, self.tags, self.link_chars = [], [], 0, 0
 
     def _boilerplate(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in ("html", "body"):
@@ -161,9 +164,12 @@ class _Lines(HTMLParser):
             self._close({tag}, _BLOCK)
 
     def handle_data(self, data: str) -> None:
-        self.parts.append(data)
-        if self.links:
-            self.link_chars += len(data)
+        if self.boiler > 0 or (self.headers > 0 and not self.heading):
+            self.aside.append(data)
+        else:
+            self.parts.append(data)
+            if self.links:
+                self.link_chars += len(data)
 
 
 def _smooth(values: list[float]) -> list[float]:
@@ -209,7 +215,9 @@ def blocks(html: str | None) -> list[str]:
         return [text for text, _, boiler, containers, _ in lines if not boiler and best in containers]
     wide = [n for n in held if held[n] >= SHARE * total and parser.tags_of[n] not in ("p", "li", *_HEADINGS)]
     inside = [max(wide) in x[3] if wide else True for x in lines]
-    # no element is named as the main one: the lines from the first content line to the last
+    if wide and parser.tags_of[max(wide)] not in ("body", "html"):
+        return [x[0] for i, x in enumerate(lines) if inside[i] and not x[2]]
+    # nothing narrower than the page holds the text: the lines from the first content line to the last
     at = [i for i, yes in enumerate(content) if yes and inside[i]]
     first, last = (at[0], at[-1]) if at else (0, len(lines) - 1)
     if first and not lines[first - 1][2] and inside[first - 1] and not lines[first - 1][4]:

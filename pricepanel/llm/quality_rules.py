@@ -22,8 +22,8 @@ from .common import materialize, table
 
 #: Share of a stratum's good documents that may be rejected, and the risk of exceeding it anywhere.
 ALPHA, DELTA = 0.02, 0.05
-#: Levels, lenient to strict: share of good documents, in thousandths, beyond a cutoff.
-LEVELS = (0, 1, 2, 4, 8)
+#: Levels, lenient to strict: share of good documents, in thousandths, beyond a cutoff; below 0: so far above them all.
+LEVELS = (-100, -50, -20, 0, 1, 2, 4, 8)
 #: A false rejection weighs so much against a caught bad document.
 COST = 5
 SIGNALS = ("s_symbols", "s_repeat", "s_lines", "s_upper", "s_bang", "s_long", "s_short")
@@ -119,7 +119,7 @@ def thresholds(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", l
     histogram = long.groupBy("stratum", "signal", "value").agg(F.count("*").alias("n"))
     by = Window.partitionBy("stratum", "signal")
     histogram = histogram.withColumn("beyond", F.coalesce(F.sum("n").over(by.orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("n").over(by))
-    cutoffs = histogram.select("*", levels).where("1000 * beyond <= level * all").groupBy("stratum", "level").pivot("signal", list(SIGNALS)).agg(F.min("value"))
+    cutoffs = histogram.select("*", levels).where("1000 * beyond <= greatest(level, 0) * all").groupBy("stratum", "level").pivot("signal", list(SIGNALS)).agg(F.min(F.expr("value - least(level, 0)")))
     cutoffs = materialize(cutoffs.select(F.col("stratum").alias("at"), "level", *[F.col(s).alias(f"cut_{s}") for s in SIGNALS]), "rules-cutoffs")
     failed = known.join(cutoffs, F.col("stratum") == F.col("at")).withColumn("failed", F.expr(" OR ".join(f"{s} > cut_{s}" for s in SIGNALS)))
     counts = failed.groupBy("stratum", "level").agg(
@@ -191,7 +191,7 @@ known AS (SELECT s.*, l.quality >= 1 AS good, substr(md5(CAST(doc_id AS VARCHAR)
           FROM s JOIN (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) l USING (doc_id) WHERE NOT base_failed),
 h AS (SELECT stratum, signal, value, count(*) AS n FROM (UNPIVOT (SELECT stratum, {', '.join(SIGNALS)} FROM known WHERE fit AND good) ON {', '.join(SIGNALS)} INTO NAME signal VALUE value) GROUP BY ALL),
 b AS (SELECT *, sum(n) OVER (PARTITION BY stratum, signal) AS n_all, coalesce(sum(n) OVER (PARTITION BY stratum, signal ORDER BY value DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS beyond FROM h),
-k AS (SELECT stratum, level, {', '.join(f"min(value) FILTER (signal = '{s}') AS cut_{s}" for s in SIGNALS)} FROM b, (SELECT unnest([{', '.join(map(str, LEVELS))}]) AS level) WHERE 1000 * beyond <= level * n_all GROUP BY ALL),
+k AS (SELECT stratum, level, {', '.join(f"min(value - least(level, 0)) FILTER (signal = '{s}') AS cut_{s}" for s in SIGNALS)} FROM b, (SELECT unnest([{', '.join(map(str, LEVELS))}]) AS level) WHERE 1000 * beyond <= greatest(level, 0) * n_all GROUP BY ALL),
 f AS (SELECT stratum, level, count(*) FILTER (NOT fit AND good) AS n, count(*) FILTER (NOT fit AND good AND failed) AS k,
         count(*) FILTER (fit AND good) AS good, count(*) FILTER (fit AND good AND failed) AS good_failed,
         count(*) FILTER (fit AND NOT good) AS bad, count(*) FILTER (fit AND NOT good AND failed) AS bad_failed
