@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import backtests, base, cleaning, feature_plans, scoring, serving
+from . import backtests, base, cleaning, feature_plans, scoring, serving, signals
 
 QUERIES, ORACLES = base.QUERIES, base.ORACLES
-MODULES = (backtests, cleaning, feature_plans, scoring, serving)
+MODULES = (backtests, cleaning, feature_plans, scoring, serving, signals)
