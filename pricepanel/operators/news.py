@@ -48,7 +48,8 @@ def topical(text: Column, topics: list[str], effects: list[str]) -> Column:
 def clean_body(text: Column) -> Column:
     """NW5: the part between the publication line and the footer, without markdown."""
     body = F.regexp_replace(F.regexp_replace(text, r"(?s)^.*?Published [A-Z][a-z]+ \d{1,2}, \d{4}", ""), r"(?s)(Read More|Copyright ©).*$", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"!?\[([^\]]*)\]\([^)]*\)", "$1"), r"[#*_>`]+", ""), r"[ \t]+", " "))
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"!?\[([^\]]*)\]\([^)]*\)", "$1"), r"[#*_>`]+", ""), r"[ \t]+", " ")
+    return F.regexp_replace(plain, r"^\s+|\s+$", "")
 
 
 def allowed_url(url: Column, hosts: list[str], skipped: list[str]) -> Column:
