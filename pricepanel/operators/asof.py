@@ -68,3 +68,53 @@ def range_check(rows: DataFrame) -> DataFrame:
     p = F.filter("prices", lambda x: x > 0)
     state = F.when((F.size(p) == 0) & (F.col("low") == 0) & (F.col("high") == 0), "missing").when((F.array_min(p) == F.col("low")) & (F.array_max(p) == F.col("high")), "ok").otherwise("range")
     return rows.withColumn("state", state)
+
+
+def text_metrics(documents: DataFrame, specs: list[tuple[str, str, str]]) -> DataFrame:
+    """AS9: per document (id, text) and (metric, pattern, multiplier) the number in group 1 of the only match.
+
+    ``accepted`` needs exactly one match and a number of at least zero; else ``no_match``, ``many_matches``
+    or ``not_a_number``, without a value. ``start`` counts from 1. A null text has no match.
+    """
+    text, found = F.coalesce("text", F.lit("")), []
+    for metric, pattern, multiplier in specs:
+        p = F.lit(pattern)
+        found.append(F.struct(
+            F.lit(metric).alias("metric"), F.regexp_count(text, p).cast("long").alias("n"), F.regexp_extract(text, pattern, 1).alias("original"), F.regexp_extract(text, pattern, 0).alias("evidence"),
+            F.regexp_instr(text, p).cast("long").alias("start"), F.lit(multiplier).cast("decimal(12,6)").alias("multiplier"),
+        ))
+    rows = documents.select("id", F.explode(F.array(*found)).alias("m")).select("id", "m.*")
+    value = F.expr("try_multiply(try_cast(replace(original, ',', '') AS DECIMAL(20,6)), multiplier)").cast("double")
+    state = F.when(F.col("n") == 0, "no_match").when(F.col("n") > 1, "many_matches").when(value >= 0, "accepted").otherwise("not_a_number")
+    kept = lambda c: F.when(F.col("state") == "accepted", F.col(c))
+    return rows.withColumn("value", value).withColumn("state", state).select("id", "metric", "n", "state", *[kept(c).alias(c) for c in ("original", "value", "evidence", "start")])
+
+
+def listed(rows: DataFrame, hosts: list[str], cells: int = 3) -> DataFrame:
+    """AS10: rows (n_cells, url, ...) with their canonical address and the reason they are set aside, null if none."""
+    host = F.lower(F.try_parse_url("url", F.lit("HOST")))
+    own = F.exists(F.array(*map(F.lit, hosts)), lambda h: (host == h) | F.endswith(host, F.concat(F.lit("."), h)))
+    reason = F.when(F.coalesce(F.col("n_cells") != cells, F.lit(True)), "cells").when(host.isNull(), "link").when(~own, "host")
+    return rows.withColumns({"reason": reason, "document": canonical_url(F.col("url"))})
+
+
+def document_index(rows: DataFrame, commodity: str) -> DataFrame:
+    """AS10: per document of the rows that ``listed`` admits: occurrences, year labels, and whether all subjects name the commodity.
+
+    Occurrences stay rows of ``listed`` (joined by ``document``) instead of an array, so a document listed
+    very often is never gathered into one value. A null subject names nothing.
+    """
+    named = F.coalesce(F.col("subject").rlike("(?i)" + commodity), F.lit(False))
+    return rows.where("reason IS NULL").groupBy("document").agg(F.count("*").alias("occurrences"), F.count_distinct("year").alias("years"), F.bool_and(named).alias("candidate"))
+
+
+def corroborate(releases: DataFrame, candidates: DataFrame) -> DataFrame:
+    """AS12: releases (link, metric, value, month) against linked candidates (link, value, context).
+
+    ``corroborated`` needs exactly one candidate of equal value whose context has the metric's name, and the
+    month's name in it; else ``none``, ``ambiguous`` or ``other_month``. Null values match nothing.
+    """
+    hits = releases.select("link", "value", "metric").distinct().join(candidates, ["link", "value"]).where("contains(context, metric)").groupBy("link", "value", "metric").agg(F.count("*").alias("n"), F.max("context").alias("context"))
+    out = releases.join(hits, ["link", "value", "metric"], "left")
+    month = F.coalesce(F.expr(r"regexp_like(context, concat('(?<!\\w)', month, '(?!\\w)'))"), F.lit(False))
+    return out.withColumn("state", F.when(F.col("n").isNull(), "none").when(F.col("n") > 1, "ambiguous").when(month, "corroborated").otherwise("other_month")).drop("n", "context")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 
@@ -88,3 +92,101 @@ def factors(articles: DataFrame, day: str, k: int = 5) -> DataFrame:
     rows = articles.where(F.col("published_date").between(F.date_sub(end, 14), end)).select(F.explode("products").alias("product"), "id", "published_date", "sentiment")
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("product").orderBy(F.desc("published_date"), "id"))).where(F.col("rank") <= k)
     return rows.withColumn("label", F.when(F.col("sentiment") > 0.3, "positive").when(F.col("sentiment") < -0.3, "negative").otherwise("neutral"))
+
+
+LPG = r"(?<!\w)(lpg|liquefied petroleum gas)(?!\w)"
+
+
+def spaced(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def any_word(text: Column, terms: list[str]) -> Column:
+    return text.rlike(r"(?<!\w)(" + "|".join(rf"\Q{t}\E" for t in terms) + r")(?!\w)")
+
+
+def first_keywords(keywords: Column, banned: str, k: int = 3) -> Column:
+    """The first ``k`` keywords, spaces squeezed, upper-cased, distinct, without those that match ``banned``."""
+    clean = F.transform(keywords, lambda x: F.upper(spaced(x)))
+    return F.slice(F.array_distinct(F.filter(clean, lambda x: (x != "") & ~x.rlike("(?i)" + banned))), 1, k)
+
+
+def evidenced(articles: DataFrame, impact_terms: list[str], product_terms: dict[str, list[str]], event_terms: dict[str, list[str]]) -> DataFrame:
+    """NW6: articles (title, content, evidence, event_type, products, keywords) whose quote proves a supported product's case.
+
+    The quote has 12 characters or more, occurs in the article (spaces and case apart), has an impact term and a term
+    of a named product; an event type outside ``event_terms`` fails, and one with terms there must show one. Products
+    that the quote names replace ``products``, in the article's order. Nulls fail.
+    """
+    quote = F.regexp_replace(spaced(F.col("evidence")), "^[\"']+|[\"']+$", "")
+    q = F.lower(spaced(quote))
+    whole = F.lower(spaced(F.concat_ws(" ", "title", "content")))
+    kind = F.lower(F.trim("event_type"))
+    fits = F.lit(False)
+    for name, terms in event_terms.items():
+        fits = fits | ((kind == name) & (any_word(F.col("q"), terms) if terms else F.lit(True)))
+
+    def proven(p: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name, terms in product_terms.items():
+            out = F.when((F.lower(F.trim(p)) == name.lower()) & any_word(F.col("q"), terms), F.lit(name)).otherwise(out)
+        return out
+
+    rows = articles.withColumns({"q": q, "quote": quote}).where((F.length("quote") >= 12) & F.contains(whole, F.col("q")) & any_word(F.col("q"), impact_terms) & fits)
+    rows = rows.withColumns({"products": F.array_distinct(F.array_compact(F.transform("products", proven))), "keywords": first_keywords(F.col("keywords"), LPG), "event_type": kind, "evidence": F.col("quote")})
+    return rows.where(F.size("products") > 0).drop("q", "quote")
+
+
+@F.pandas_udf(StringType())
+def nfkc(text: pd.Series) -> pd.Series:
+    return text.str.normalize("NFKC")
+
+
+def identity(articles: DataFrame) -> DataFrame:
+    """NW9: the address key and the story key of articles (id, url, title, source, date); null where the address or title is empty."""
+    url = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.trim("url")), r"^https?://(www\.)?", ""), "[?#].*$", ""), "/+$", "")
+    norm = lambda c: F.lower(spaced(nfkc(F.coalesce(F.col(c), F.lit("")))))
+    title = norm("title")
+    return articles.withColumns({"url_key": F.when(url != "", url), "story_key": F.when(title != "", F.concat_ws("|", title, norm("source"), norm("date")))})
+
+
+def unique_stories(articles: DataFrame) -> DataFrame:
+    """NW9: in order of id, articles that share neither key with an earlier kept one; ids are unique.
+
+    Greedy by rounds: of the undecided, those that come first under both keys are kept and all others under
+    these keys go, until none is undecided. Rows equal in both keys are reduced to the first before; each round is
+    two minimum aggregates and joins, written to the checkpoint folder. Rows without either key are all kept.
+    """
+    spark = articles.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    keyed = identity(articles).select("id", "url_key", "story_key")
+    kept = keyed.where("url_key IS NULL AND story_key IS NULL").select("id")
+    left = keyed.where("url_key IS NOT NULL OR story_key IS NOT NULL").groupBy("url_key", "story_key").agg(F.min("id").alias("id")).checkpoint()
+    while not left.isEmpty():
+        tagged = left
+        for key in ("url_key", "story_key"):
+            tagged = tagged.join(left.where(f"{key} IS NOT NULL").groupBy(key).agg(F.min("id").alias(f"first_{key}")), key, "left")
+        wins = (F.coalesce("first_url_key", "id") == F.col("id")) & (F.coalesce("first_story_key", "id") == F.col("id"))
+        tagged = tagged.withColumn("wins", wins).checkpoint()
+        won = tagged.where("wins")
+        kept = kept.unionByName(won.select("id"))
+        left = tagged.where("NOT wins").select("id", "url_key", "story_key")
+        for key in ("url_key", "story_key"):
+            left = left.join(won.select(key).where(f"{key} IS NOT NULL").distinct(), key, "left_anti")
+        left = left.checkpoint()
+    return articles.join(kept, "id", "left_semi")
+
+
+def tags(articles: DataFrame, today: str, k: int = 3, least: float = 0.6) -> DataFrame:
+    """NW12: up to ``k`` tags per product from articles (id, products, published_date, validity_days, probability, keywords), newest first.
+
+    An article counts with probability of at least ``least`` (null: sure) until its validity ends (null: never) and gives
+    its first 3 keywords; ``YELLOW ALERT`` goes where a product also has ``RED ALERT``.
+    """
+    valid = (F.coalesce("probability", F.lit(1.0)) >= least) & F.coalesce(F.date_add("published_date", F.col("validity_days")) >= F.lit(today).cast("date"), F.lit(True))
+    decoded = F.transform("keywords", lambda x: F.coalesce(F.try_url_decode(x), x))
+    rows = articles.where(valid).select(F.explode(F.array_distinct("products")).alias("product"), "id", "published_date", F.posexplode(first_keywords(decoded, LPG)).alias("pos", "tag"))
+    first = rows.groupBy("product", "tag").agg(F.min(F.struct(F.datediff(F.lit(today).cast("date"), "published_date").alias("age"), "id", "pos")).alias("at"))
+    red = first.where("tag = 'RED ALERT'").select("product", F.lit("YELLOW ALERT").alias("tag"))
+    return first.join(red, ["product", "tag"], "left_anti").withColumn("rank", F.row_number().over(Window.partitionBy("product").orderBy("at"))).where(F.col("rank") <= k).select("product", "tag", "rank")
