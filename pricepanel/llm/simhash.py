@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import materialize, table
 from .components import connected_components
@@ -85,20 +86,21 @@ def trie_links(values: np.ndarray, homes: np.ndarray, guests: np.ndarray, depth:
     """The smallest element that each element of ``values`` is linked with, directly or by others.
 
     ``values``: unsigned, sorted within each range; ``homes``: ranges [lo, hi) of values with one
-    prefix of ``depth`` bits; ``guests``: for each of them the range of values whose prefix differs
-    in one bit. ``width``: bits of the leading part.
+    prefix of ``depth`` bits; ``guests``: a home range and a range of values with one other prefix,
+    which differs in one bit, in each row (a range of several prefixes is not sorted by its lower
+    bits and cannot be split). ``width``: bits of the leading part.
     """
     n = len(values)
     bit = lambda d: ((values >> np.uint64(63 - d)) & np.uint64(1)).astype(np.int64)
     edge = np.zeros(n, dtype=bool)  # a range begins here
-    edge[homes[homes[:, 0] < n, 0]] = edge[guests[guests[:, 0] < n, 0]] = True
+    edge[homes[homes[:, 0] < n, 0]] = edge[guests[guests[:, 2] < n, 2]] = True
     near = np.flatnonzero((np.bitwise_count(values[1:] ^ values[:-1]) <= budget) & ~edge[1:])
     found = [(near, near + 1)]
     # neighbours in order are linked first: a node pair inside one component need not be opened
     group = _components(n, near, near + 1)
     changes = np.concatenate([[0], np.cumsum(group[1:] != group[:-1])])
     ones: dict[int, np.ndarray] = {}
-    start = np.concatenate([np.column_stack([homes, homes, np.zeros(len(homes), dtype=np.int64)]), np.column_stack([homes, guests, np.ones(len(homes), dtype=np.int64)])])
+    start = np.concatenate([np.column_stack([homes, homes, np.zeros(len(homes), dtype=np.int64)]), np.column_stack([guests, np.ones(len(guests), dtype=np.int64)])])
     stack = [(depth, start)]
     while stack:
         d, pairs = stack.pop()
@@ -154,11 +156,14 @@ def _join_prefixes(depth: int):
             key, away, v = prefix[mine], guest[mine], value[mine].view(np.uint64)
             order = np.lexsort((v, away, key))
             key, away, v = key[order], away[order], v[order]
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            ends = np.r_[starts[1:], len(key)]
-            count = np.concatenate([[0], np.cumsum(away)])
-            mids = ends - (count[ends] - count[starts])
-            label = trie_links(v, np.column_stack([starts, mids]), np.column_stack([mids, ends]), depth, width)
+            # a range for each prefix at home (bit -1) and for each bit in which its guests differ
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (away[1:] != away[:-1])])
+            ranges = np.column_stack([starts, np.r_[starts[1:], len(key)]])
+            at_home = away[starts] < 0
+            host = np.maximum.accumulate(np.where(at_home, np.arange(len(starts)), -1))
+            visits = np.flatnonzero(~at_home & (host >= 0))
+            visits = visits[key[starts[visits]] == key[starts[host[visits]]]]  # the prefix has values of its own
+            label = trie_links(v, ranges[at_home], np.column_stack([ranges[host[visits]], ranges[visits]]), depth, width)
             linked = np.flatnonzero(label != np.arange(len(label)))
             back = np.uint64(lead)  # turn the leading part back to its place
             turn = lambda x: (x >> back) | (x << (np.uint64(64) - back)) if back else x
@@ -197,11 +202,23 @@ def trie_self_join(fps: DataFrame, count: int) -> DataFrame:
     rows = rows.select("trie", "value", "own", F.explode(F.sequence(F.lit(-1), F.lit(depth - 1))).alias("bit"))
     rows = rows.where("bit < 0 OR (shiftright(own, bit) & 1) = 1")
     prefix = F.expr("CASE WHEN bit < 0 THEN own ELSE own ^ shiftleft(CAST(1 AS BIGINT), bit) END")
-    rows = rows.select("trie", prefix.alias("prefix"), (F.col("bit") >= 0).cast("int").alias("guest"), "value")
+    rows = rows.select("trie", prefix.alias("prefix"), F.col("bit").alias("guest"), "value")
     dealt = rows.repartition("trie", "prefix").sortWithinPartitions("trie", "prefix")
     return dealt.mapInArrow(_join_prefixes(depth), "u long, v long")
 
 
+def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, fp, root, component_id`` of every row; ``root`` tells components apart."""
+    marked = materialize(fingerprints(docs, id_col, text_col), "simhash")
+    fps = materialize(marked.groupBy("fp").agg(F.min("id").alias("least")), "simhash-fps")
+    roots = connected_components(trie_self_join(fps.select("fp"), fps.count()))
+    placed = fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = materialize(placed, "simhash-roots")
+    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_fp = placed.join(smallest, "root").select("fp", "root", "component_id")
+    return marked.join(by_fp, "fp").select("id", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row.
 
@@ -209,21 +226,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated results of one component; a null id takes part and is never a component's id unless it
     has no other; other columns are ignored; an empty table gives no rows.
     """
-    marked = materialize(fingerprints(docs, id_col, text_col), "simhash")
-    fps = materialize(marked.groupBy("fp").agg(F.min("id").alias("least")), "simhash-fps")
-    roots = connected_components(trie_self_join(fps.select("fp"), fps.count()))
-    placed = fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    placed = materialize(placed, "simhash-roots")
-    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = placed.join(smallest, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    placed = _placed(docs, id_col, text_col)
+    return placed.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _with_fingerprint(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with their fingerprint as ``__fp``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint(t.as_py()) for t in batch.column(text_col)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=[*batch.schema.names, "__fp"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each near-duplicate component, that of its smallest id, with the columns of ``docs``."""
-    placed = near_duplicates(docs, id_col, text_col)
-    stay = placed.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__stay")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("__stay")), "left_semi").dropDuplicates([id_col])
+    """One row of each near-duplicate component, one of its smallest id, with the columns of ``docs``.
+
+    An id whose rows have different texts is kept once for each component that it is the smallest of.
+    """
+    placed = materialize(_placed(docs, id_col, text_col), "simhash-placed")
+    stay = placed.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("component_id").alias("__id"), F.min("fp").alias("__stay"))
+    stay = materialize(stay.select("__id", "__stay"), "simhash-stay")
+    # the id tells the row, save where rows of one id have several fingerprints
+    several = placed.groupBy("id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select(F.col("id").alias("__several"))
+    several = materialize(several, "simhash-several")
+    is_several = F.col("__id").eqNullSafe(F.col("__several"))
+    own = F.col(id_col).eqNullSafe(F.col("__id"))
+    single = docs.join(stay.join(several, is_several, "left_anti"), own, "left_semi").dropDuplicates([id_col])
+    shared = _with_fingerprint(docs.join(stay.join(several, is_several, "left_semi"), own, "left_semi"), text_col)
+    shared = shared.join(stay, own & (F.col("__fp") == F.col("__stay")), "left_semi").dropDuplicates([id_col, "__fp"]).drop("__fp")
+    return single.unionByName(shared)
 
 
 def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

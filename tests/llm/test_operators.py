@@ -316,6 +316,32 @@ def test_trie_join_finds_every_link(spark, monkeypatch):
     assert root.tolist() == expected
 
 
+def test_trie_join_links_pairs_across_prefixes(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    bits = lambda lead, width, n: sum(1 << (63 - lead - int(b)) for b in rng.choice(width, n, replace=False))
+    kinds = [(1, 1, 1), (2, 1, 1), (1, 2, 1), (1, 1, 2), (1, 0, 0), (0, 2, 2)]
+    pairs = []
+    for k, v in enumerate(rng.integers(0, 2**64, 1200, dtype=np.uint64)):
+        pairs.append((int(v), int(v) ^ sum(bits(*part, n) for part, n in zip(simhash.PARTS, kinds[k % len(kinds)], strict=True))))
+    values = sorted({v for pair in pairs for v in pair})
+    monkeypatch.setattr(simhash, "BUCKET", 16)  # a depth of 8 bits
+    df = spark.createDataFrame([(v - 2**64 if v >= 2**63 else v,) for v in values], "fp long")
+    edges = [(r.u % 2**64, r.v % 2**64) for r in simhash.trie_self_join(df, len(values)).collect()]
+    place = {v: i for i, v in enumerate(values)}
+    root = simhash._components(len(values), np.array([place[u] for u, _ in edges]), np.array([place[v] for _, v in edges]))
+    lost = [(u, v) for u, v in pairs if root[place[u]] != root[place[v]]]
+    assert not lost
+    assert all((u ^ v).bit_count() <= simhash.MAX_BITS for u, v in edges) and len(set(root.tolist())) == 1200
+
+
+def test_keep_one_keeps_every_component(spark):
+    rnd = random.Random(8)
+    a, b, c = (prose(rnd, 60) for _ in range(3))
+    rows = [(1, a), (1, b), (2, b), (0, c), (1, c), (1, a), (None, a)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, a), (1, b), (0, c)])
+
+
 def test_cotraining_accuracy(spark, docs, empty):
     rnd = random.Random(4)
     rows = [(i, (prose(rnd, 80).capitalize() + ".") if i % 4 else prose(rnd, 40).upper() + "!! ###", "en", f"s{i % 5}", 0, "x") for i in range(800)]
