@@ -4,8 +4,9 @@ The standard library's parser streams events; block tags end a line. Each line h
 text to its tags, where text inside menus, adverts, forms and the like counts for nothing. The
 ratios are smoothed with a Gaussian over neighbouring lines; a threshold on the smoothed ratios
 splits the lines into content and the rest. The content lines vote for the element that holds the
-main text: an article or main element, else the deepest container of nearly all their text. What
-that element holds outside boilerplate is the text, in page order.
+main text: an article or main element, else the deepest container of nearly all their text. The
+text is what that element holds outside boilerplate, with the content lines beside it and the blocks
+that adjoin at both ends up to a line of links, in page order. A named element ends the text.
 """
 
 from __future__ import annotations
@@ -212,17 +213,30 @@ def blocks(html: str | None) -> list[str]:
         # of nested or repeated ones: the most text, the innermost (an article inside main) of those
         most = max(held[n] for n in named)
         best = max(n for n in named if held[n] >= SHARE * most)
-        return [text for text, _, boiler, containers, _ in lines if not boiler and best in containers]
-    wide = [n for n in held if held[n] >= SHARE * total and parser.tags_of[n] not in ("p", "li", *_HEADINGS)]
-    inside = [max(wide) in x[3] if wide else True for x in lines]
-    if wide and parser.tags_of[max(wide)] not in ("body", "html"):
-        return [x[0] for i, x in enumerate(lines) if inside[i] and not x[2]]
-    # nothing narrower than the page holds the text: the lines from the first content line to the last
-    at = [i for i, yes in enumerate(content) if yes and inside[i]]
-    first, last = (at[0], at[-1]) if at else (0, len(lines) - 1)
-    if first and not lines[first - 1][2] and inside[first - 1] and not lines[first - 1][4]:
-        first -= 1  # a short title just above
-    return [x[0] for i, x in enumerate(lines) if first <= i <= last and inside[i] and not x[2]]
+        # what a main or article around it holds besides (a title, a lead) belongs to it
+        outer = min(n for n in named if any(n in x[3] and best in x[3] for x in lines))
+    else:
+        wide = [n for n in held if held[n] >= SHARE * total and parser.tags_of[n] not in ("p", "li", *_HEADINGS)]
+        best = max(wide) if wide and parser.tags_of[max(wide)] not in ("body", "html") else None
+        outer = None  # short blocks beside a long table or list may stand at any level
+    inside = [outer is None or outer in x[3] for x in lines]
+    at = [i for i, x in enumerate(lines) if inside[i] and not x[2] and (content[i] or best in x[3])]
+    first, last = at[0], at[-1]
+    # short blocks at both ends, up to the next line of links
+    links = [not x[2] and x[4] > len(x[0]) / 2 for x in lines]
+    while first and inside[first - 1] and not links[first - 1]:
+        first -= 1
+    while last + 1 < len(lines) and inside[last + 1] and not links[last + 1]:
+        last += 1
+    if named:
+        # a first-level heading above the element is its title
+        above = first
+        while above and not links[above - 1]:
+            above -= 1
+            if any(parser.tags_of[n] == "h1" for n in lines[above][3]) and not lines[above][2]:
+                first = above
+                break
+    return [x[0] for i, x in enumerate(lines) if first <= i <= last and not x[2]]
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

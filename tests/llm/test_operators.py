@@ -245,6 +245,33 @@ def test_html_main_text(frame):
     assert html_text.blocks(PAGE.format(open=frame[0], close=frame[1])) == BLOCKS
 
 
+LONG = "A paragraph with a lot of text, which goes on and on for much longer than all of the others do. " * 12
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div id=content><h1>Title</h1><p>lead</p><div><p>{LONG}</p><p>{LONG}</p></div><p>closing words</p></div>",
+        f"<div><h1>Title</h1><p>lead</p><table><tr><td>{LONG}</td></tr><tr><td>{LONG}</td></tr></table><p>closing words</p></div>",
+        f"<div><h1>Title</h1><p>lead</p><pre>{LONG}</pre><blockquote>{LONG}</blockquote><p>closing words</p></div>",
+        f"<main><h1>Title</h1><p>lead</p><article><p>{LONG}</p><p>{LONG}</p></article><p>closing words</p></main>",
+        f"<h1>Title</h1><p>lead</p><p>{LONG}</p><p>{LONG}</p><p>closing words</p>",
+    ],
+)
+def test_html_short_blocks_around_the_main_text(page):
+    menu = "<ul><li><a href=x>one entry</a></li><li><a href=y>another entry</a></li></ul>"
+    framed = f"<html><body><nav>menu</nav>{menu}{page}{menu}<footer>foot</footer></body></html>"
+    assert html_text.blocks(framed) == ["Title", "lead", LONG.strip(), LONG.strip(), "closing words"]
+
+
+def test_html_many_short_blocks_at_both_ends():
+    ends = [f"Short {k}." for k in range(8)]
+    page = "".join(f"<p>{e}</p>" for e in ends) + f"<div><p>{LONG}</p><p>{LONG}</p></div>" + "".join(f"<p>{e}</p>" for e in ends)
+    assert html_text.blocks(f"<html><body><nav>menu</nav>{page}<footer>foot</footer></body></html>") == [*ends, LONG.strip(), LONG.strip(), *ends]
+    page = "".join(f"<p>{e}</p>" for e in ends) + f"<table><tr><td>{LONG}</td></tr></table>" + "".join(f"<p>{e}</p>" for e in ends)
+    assert html_text.blocks(f"<html><body><div>{page}</div></body></html>") == [*ends, LONG.strip(), *ends]
+
+
 def test_html_odd_pages(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<p>Only &lt;text"), (4, "u", "plain"), (4, "u", "plain"), (5, "u", "<nav>menu</nav>"), (6, "u", "<p>" + "x " * 40000)], "page_id long, url string, html string")
     out = sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract_text(pages).collect())
