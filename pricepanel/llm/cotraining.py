@@ -2,8 +2,8 @@
 
 The text view sees what characters and words of the text do (pair frequencies of character classes,
 repetition, word shapes); the metadata view sees the rest of the row (language, source, length and
-layout sizes). Each view has a logistic model. Over some rounds each model labels the unlabelled
-pool and hands its most confident rows, as pseudo-labels, to the other view's training set. Labelled
+layout sizes). Each view has a logistic model. Over some rounds each model labels all unlabelled
+rows and hands its most confident ones, as pseudo-labels, to the other view's training set. Labelled
 rows held out from that calibrate each view's scores; a document's score is the sum of both views'
 calibrated log odds (the prior counted once), weighed by how well each view does on the held-out rows.
 """
@@ -11,18 +11,20 @@ calibrated log odds (the prior counted once), weighed by how well each view does
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import drop_materialized, materialize, table
 
-#: Most labelled rows, and most unlabelled rows, that the models are fitted on (smallest hashes of the id).
-MAX_LABELLED, MAX_POOL = 20_000, 10_000
+#: Most labelled rows that the models are fitted on (smallest hashes of the id).
+MAX_LABELLED = 20_000
 #: Rounds of exchange, and rows of each class that a view hands over in a round.
 ROUNDS, HANDED = 4, 250
 #: Confidence that a pseudo-label needs.
@@ -44,6 +46,12 @@ TEXT_FEATURES = CLASSES * CLASSES + 8
 META_FEATURES = META_BUCKETS + 5
 
 
+def _compressed(raw: bytes) -> int:
+    """Size of the whole of ``raw`` when compressed, piece by piece."""
+    packer = zlib.compressobj(1)
+    return sum(len(packer.compress(raw[at : at + 65536])) for at in range(0, len(raw), 65536)) + len(packer.flush())
+
+
 def text_features(text: str | None) -> np.ndarray:
     data = np.frombuffer((text or "").encode("utf-8"), dtype=np.uint8)
     out = np.zeros(TEXT_FEATURES)
@@ -58,7 +66,7 @@ def text_features(text: str | None) -> np.ndarray:
     lines = raw.split(b"\n")
     out[CLASSES * CLASSES :] = (
         len(set(words)) / n, len(set(zip(words, words[1:], strict=False))) / n, len(raw) / n / 10, sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
-        len(set(lines)) / len(lines), np.log1p(n) / 10, len(zlib.compress(raw[:65536], 1)) / min(len(raw), 65536), max(map(len, words), default=0) ** 0.5 / 10,
+        len(set(lines)) / len(lines), np.log1p(n) / 10, _compressed(raw) / len(raw), max(map(len, words), default=0) ** 0.5 / 10,
     )
     return out
 
@@ -138,33 +146,24 @@ class CoTrained:
         return _sigmoid(t), _sigmoid(m), _sigmoid(both)
 
 
-def cotrain(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, held: np.ndarray, pool_t: np.ndarray, pool_m: np.ndarray) -> CoTrained:
-    """Fit both views. ``y``: labels of the labelled rows; ``held``: rows kept for calibration and cutoff."""
+def cotrain(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, held: np.ndarray, choose: Callable[[View, View], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> CoTrained:
+    """Fit both views. ``y``: labels of the labelled rows; ``held``: rows kept for calibration and cutoff.
+
+    ``choose(text, meta)``: for each of the two views ``xt, xm, label`` of the unlabelled rows that it
+    is surest of and that were not chosen before.
+    """
     fit = ~held
     if len(np.unique(y[fit])) < 2 or len(np.unique(y[held])) < 2:
         held = np.zeros(len(y), dtype=bool) if len(np.unique(y[fit])) < 2 else held
         fit = np.ones(len(y), dtype=bool)
     sets = {"t": [xt[fit], y[fit]], "m": [xm[fit], y[fit]]}
-    free = np.ones(len(pool_t), dtype=bool)
     text, meta = fit_view(*sets["t"]), fit_view(*sets["m"])
     for _ in range(ROUNDS):
-        if not free.any():
+        by_text, by_meta = choose(text, meta)
+        if not len(by_text[2]) and not len(by_meta[2]):
             break
-        handed = []
-        for view, x in ((text, pool_t), (meta, pool_m)):
-            p = _sigmoid(view.raw(x))
-            p[~free] = 0.5
-            sure = []
-            for label, confidence in ((1, p), (0, 1 - p)):
-                best = np.argsort(-confidence, kind="stable")[:HANDED]
-                best = best[confidence[best] >= CONFIDENT]
-                sure.append((best, label))
-            handed.append(sure)
-        for to, pool, sure in (("m", pool_m, handed[0]), ("t", pool_t, handed[1])):
-            for rows, label in sure:
-                sets[to][0] = np.concatenate([sets[to][0], pool[rows]])
-                sets[to][1] = np.concatenate([sets[to][1], np.full(len(rows), label)])
-                free[rows] = False
+        sets["m"] = [np.concatenate([sets["m"][0], by_text[1]]), np.concatenate([sets["m"][1], by_text[2]])]
+        sets["t"] = [np.concatenate([sets["t"][0], by_meta[0]]), np.concatenate([sets["t"][1], by_meta[2]])]
         text, meta = fit_view(*sets["t"]), fit_view(*sets["m"])
     where = held if held.any() else fit
     prior = float(np.log((y[where].sum() + 1) / ((1 - y[where]).sum() + 1)))
@@ -210,28 +209,73 @@ def _featured(docs: DataFrame, extra: list[str]) -> DataFrame:
     return docs.select(*extra, "text", "lang", "source").mapInArrow(run, f"{kinds}, xt array<float>, xm array<float>")
 
 
+def _matrix(found: pa.Table | pa.RecordBatch, name: str, width: int) -> np.ndarray:
+    column = found[name].combine_chunks() if isinstance(found, pa.Table) else found.column(name)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _surest(text: View, meta: View, taken: list):
+    """Of each partition, the ``HANDED`` rows of each view and label that the view is surest of."""
+    least = float(np.log(CONFIDENT / (1 - CONFIDENT)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[tuple[int, int], pa.Table] = {}
+        for batch in batches:
+            batch = batch.filter(pc.invert(pc.is_in(batch.column("id"), value_set=pa.array(taken, batch.schema.field("id").type))))
+            if not batch.num_rows:
+                continue
+            for v, (view, x) in enumerate(((text, _matrix(batch, "xt", TEXT_FEATURES)), (meta, _matrix(batch, "xm", META_FEATURES)))):
+                z = view.raw(x).astype(np.float64)
+                for label in (0, 1):
+                    sure = z if label else -z
+                    at = np.flatnonzero(sure >= least)
+                    if not len(at):
+                        continue
+                    rows = pa.Table.from_batches([batch.take(pa.array(at))]).append_column("sure", pa.array(sure[at]))
+                    rows = pa.concat_tables([kept[v, label], rows]) if (v, label) in kept else rows
+                    best = pc.sort_indices(rows, [("sure", "descending"), ("h", "ascending"), ("id", "ascending")])
+                    kept[v, label] = rows.take(best[:HANDED]).combine_chunks()
+        for (v, label), rows in kept.items():
+            rows = rows.append_column("view", pa.array(np.full(rows.num_rows, v, np.int32))).append_column("label", pa.array(np.full(rows.num_rows, label, np.int32)))
+            yield from rows.to_batches()
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality") -> CoTrained | None:
-    """Fit on at most ``MAX_LABELLED`` labelled and ``MAX_POOL`` other rows; None if one class has no label."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
+    """Fit on at most ``MAX_LABELLED`` labelled rows and the surest of all others; None if one class has no label."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source")).where("id IS NOT NULL")
     one = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.min(label_col).alias("y"))
-    # ids and labels decide which rows take part; only those rows' texts move
-    marked = rows.select("id").join(one, F.col("id") == F.col("label_id"), "left").select("id", F.col("y").cast("int").alias("y"), F.xxhash64(F.col("id"), F.lit(11)).alias("h")).dropDuplicates(["id"])
-    marked = materialize(marked, "cotrain-ids")
-    chosen = marked.where("y IS NOT NULL").orderBy("h", "id").limit(MAX_LABELLED).unionByName(marked.where("y IS NULL AND id IS NOT NULL").orderBy("h", "id").limit(MAX_POOL))
-    chosen = materialize(chosen.withColumnRenamed("id", "chosen_id"), "cotrain-chosen")  # at most MAX_LABELLED + MAX_POOL ids
-    sample = rows.join(F.broadcast(chosen), F.col("id") == F.col("chosen_id")).select("id", "y", "h", "text", "lang", "source")
-    found = _featured(sample, ["id", "y", "h"]).toArrow().sort_by([("h", "ascending"), ("id", "ascending")]).combine_chunks()
-    ids, y = found["id"].to_numpy(zero_copy_only=False), found["y"].to_numpy(zero_copy_only=False).astype(float)
-    once = np.r_[True, ids[1:] != ids[:-1]] if len(ids) else np.zeros(0, dtype=bool)
-    matrix = lambda c, width: found[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-    xt, xm = matrix("xt", TEXT_FEATURES), matrix("xm", META_FEATURES)
-    del found
-    labelled, pool = once & ~np.isnan(y), once & np.isnan(y)
-    y = (y[labelled] >= 1).astype(float)
+    # features move and not texts; rows of one id count once
+    featured = _featured(rows, ["id"]).groupBy("id").agg(F.min(F.struct("xt", "xm")).alias("x")).select("id", "x.xt", "x.xm")
+    featured = featured.join(one, F.col("id") == F.col("label_id"), "left")
+    featured = materialize(featured.select("id", F.xxhash64(F.col("id"), F.lit(11)).alias("h"), F.col("y").cast("int").alias("y"), "xt", "xm"), "cotrain-features")
+    chosen = materialize(featured.where("y IS NOT NULL").select("id", "h").orderBy("h", "id").limit(MAX_LABELLED).select(F.col("id").alias("chosen_id")), "cotrain-chosen")
+    found = featured.where("y IS NOT NULL").join(F.broadcast(chosen), F.col("id") == F.col("chosen_id")).drop("chosen_id").toArrow().sort_by([("h", "ascending"), ("id", "ascending")])
+    y = (found["y"].to_numpy() >= 1).astype(float)
     if len(np.unique(y)) < 2:
         return None
-    held = np.arange(len(y)) % 4 == 0
-    return cotrain(xt[labelled], xm[labelled], y, held, xt[pool], xm[pool])
+    xt, xm = _matrix(found, "xt", TEXT_FEATURES), _matrix(found, "xm", META_FEATURES)
+    del found
+    pool = featured.where("y IS NULL").select("id", "h", "xt", "xm")
+    kind = featured.schema["id"].dataType.simpleString()
+    taken: list = []
+
+    def choose(text: View, meta: View) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        sure = materialize(pool.mapInArrow(_surest(text, meta, list(taken)), f"id {kind}, h long, xt array<float>, xm array<float>, sure double, view int, label int"), "cotrain-surest")
+        best = [sure.where(f"view = {v} AND label = {label}").orderBy(F.desc("sure"), "h", "id").limit(HANDED) for v in (0, 1) for label in (1, 0)]
+        found = reduce(DataFrame.unionByName, best).toArrow()
+        drop_materialized(sure)
+        taken.extend(found["id"].to_pylist())
+        out = []
+        for v in (0, 1):
+            mine = found.filter(pc.equal(found["view"], v))
+            out.append((_matrix(mine, "xt", TEXT_FEATURES), _matrix(mine, "xm", META_FEATURES), mine["label"].to_numpy().astype(float)))
+        return out
+
+    model = cotrain(xt, xm, y, np.arange(len(y)) % 4 == 0, choose)
+    drop_materialized(featured)
+    return model
 
 
 def score(docs: DataFrame, model: CoTrained | None, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:

@@ -382,6 +382,38 @@ def test_cotraining_accuracy(spark, docs, empty):
     assert cotraining.classify(empty, labels).count() == 0
 
 
+def test_cotraining_sees_the_whole_text():
+    rnd = random.Random(2)
+    clean = "".join(rnd.choice("abcdefghij klmnop") for _ in range(70000))
+    at = cotraining.CLASSES**2 + 6
+    assert cotraining.text_features(clean + "junk " * 100_000)[at] < 0.3 * cotraining.text_features(clean)[at]
+
+
+def test_cotraining_pool_is_every_unlabelled_row(spark, monkeypatch):
+    seen = []
+    fit = cotraining.cotrain
+
+    def spy(xt, xm, y, held, choose):
+        return fit(xt, xm, y, held, lambda text, meta: seen.append(choose(text, meta)) or seen[-1])
+
+    monkeypatch.setattr(cotraining, "cotrain", spy)
+    monkeypatch.setattr(cotraining, "HANDED", 5)
+    rnd = random.Random(4)
+    texts = [(prose(rnd, 12).capitalize() + ".") if i % 4 else prose(rnd, 8).upper() + "!! ###" for i in range(12000)]
+    df = spark.createDataFrame([(i, t, "en", f"s{i % 5}") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(400)], "doc_id long, quality int")
+    text = []
+    monkeypatch.setattr(cotraining, "_surest", lambda t, m, taken, make=cotraining._surest: text.append((t, list(taken))) or make(t, m, taken))
+    cotraining.train(df, labels)
+    view, taken = text[0]
+    assert not taken and len(seen) == len(text)
+    z = view.raw(np.array([cotraining.text_features(t) for t in texts[400:]], dtype=np.float32))
+    for label, best in ((1, np.sort(z)[::-1][:5]), (0, np.sort(z)[:5])):
+        xt, _, y = seen[0][0]
+        assert np.allclose(np.sort(view.raw(xt[y == label])), np.sort(best), atol=1e-4)
+    assert len(text) < 2 or len(set(text[1][1])) >= 10
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
