@@ -41,17 +41,29 @@ def with_revisits(records: DataFrame) -> DataFrame:
     return described.join(repeated.withColumnRenamed("digest", "payload_digest"), "payload_digest", "left")
 
 
+def _distinct(records: DataFrame) -> DataFrame:
+    """Exact repeats of rows once; only the payloads of rows that repeat are shuffled."""
+    digested = records.withColumn("digest", F.sha2("payload", 256))
+    again = digested.groupBy("id", "uri", "digest").agg(F.count("*").alias("n")).where("n > 1")
+    again = materialize(again.select(F.col("id").alias("id_"), F.col("uri").alias("uri_"), F.col("digest").alias("digest_")), "warc-repeats")
+    same = F.col("id").eqNullSafe(F.col("id_")) & F.col("uri").eqNullSafe(F.col("uri_")) & (F.col("digest") == F.col("digest_"))
+    once = digested.join(again, same, "left_semi").dropDuplicates(["id", "uri", "digest"])
+    return digested.join(again, same, "left_anti").unionByName(once).drop("digest")
+
+
 def record_id(id_column: str) -> F.Column:
     return F.concat(F.lit("<urn:page:"), F.col(id_column).cast("string"), F.lit(">"))
 
 
 def write_chunks(described: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """The chunk rows of the records; a revisit has a header and no payload."""
-    revisit = F.coalesce(F.col("first_id") != F.col("id"), F.lit(False))
+    revisit = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("id"))
     crlf = "\r\n"
+    # a record without an id is named by its address and digest
+    own_id = F.coalesce(record_id("id"), F.concat(F.lit("<urn:page-without-id:"), F.sha2(F.to_json(F.struct("uri", "payload_digest")), 256), F.lit(">")))
     common = [
         F.lit("WARC/1.1" + crlf + "WARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
-        F.lit(crlf + "WARC-Record-ID: "), record_id("id"),
+        F.lit(crlf + "WARC-Record-ID: "), own_id,
         F.lit(crlf + "WARC-Target-URI: "), F.regexp_replace(F.coalesce("uri", F.lit("")), r"[\r\n]", " "),
         F.lit(crlf + "WARC-Payload-Digest: sha256:"), F.col("payload_digest"),
         F.when(revisit, F.concat(F.lit(crlf + "WARC-Refers-To: "), record_id("first_id"), F.lit(f"{crlf}WARC-Profile: {_REVISIT_PROFILE}"))).otherwise(""),
@@ -61,7 +73,7 @@ def write_chunks(described: DataFrame, chunk: int = CHUNK) -> DataFrame:
     ]
     n_chunks = F.when(revisit, F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("payload_bytes") / chunk))).cast("int")
     rows = described.select(
-        record_id("id").alias("record_id"), F.concat(*common).alias("head"), n_chunks.alias("n_chunks"),
+        own_id.alias("record_id"), F.concat(*common).alias("head"), n_chunks.alias("n_chunks"),
         F.when(revisit, F.lit(b"")).otherwise(F.col("payload")).alias("whole"),
     ).select("record_id", "head", "n_chunks", "whole", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk_no"))
     return rows.select(
@@ -153,13 +165,13 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url",
     Returns ``page_id, payload_bytes, payload_digest, record_type, refers_to``; length and digest of a
     response are those of the bytes that were read back, a revisit takes those of the response it
     names. A null html is an empty payload and a null url an empty header field. Ids are assumed
-    unique and not null (as in WARC); an exact repeat of a row counts as the same page and is written
-    once. An empty table gives no rows; other columns are ignored.
+    unique (as in WARC) where they are not null; an exact repeat of a row counts as the same page and
+    is written once. An empty table gives no rows; other columns are ignored.
     """
     records = pages.select(F.col(id_col).alias("id"), F.col(uri_col).alias("uri"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
-    chunks = materialize(write_chunks(with_revisits(records), chunk), "warc")
+    chunks = materialize(write_chunks(with_revisits(_distinct(records)), chunk), "warc")
     read = read_chunks(chunks)
-    page = F.regexp_extract("record_id", "^<urn:page:(.*)>$", 1).cast(pages.schema[id_col].dataType)
+    page = F.when(F.col("record_id").startswith("<urn:page:"), F.regexp_extract("record_id", "^<urn:page:(.*)>$", 1)).cast(pages.schema[id_col].dataType)
     read = read.withColumn("id", page)
     ok = F.when(F.col("complete") & (F.col("read_digest") == F.col("declared_digest")), F.col("read_digest")).otherwise(F.raise_error(F.concat(F.lit("damaged record "), F.col("record_id"))))
     responses = read.where("record_type = 'response'").select("id", F.col("record_id"), F.col("read_bytes").alias("payload_bytes"), ok.alias("payload_digest"))

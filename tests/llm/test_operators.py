@@ -116,6 +116,17 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_repeated_rows_and_null_id(spark):
+    big, middle = "b" * 200_000, "m" * 500
+    rows = [(1, "u", big), (1, "u", big), (2, "u", middle), (2, "u", middle), (3, "v", middle), (3, "v", middle), (4, "w", "short"), (4, "w", "short"), (None, "x", "n" * 70_000)]
+    out = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert collections.Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in out) == collections.Counter(
+        [(1, 200_000, "response", None), (2, 500, "response", None), (3, 500, "revisit", 2), (4, 5, "response", None), (None, 70_000, "response", None)]
+    )
+    out = warc.round_trip(spark.createDataFrame([(1, "u", middle), (None, "x", middle)], "page_id long, url string, html string")).collect()
+    assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in out) == [("1", "response", None), ("None", "revisit", 1)]
+
+
 def test_warc_file_bytes(spark):
     pages = spark.createDataFrame([(i, "u", "x" * (i * 900)) for i in range(4)], "id long, uri string, html string").withColumn("payload", F.encode("html", "UTF-8"))
     chunks = warc.write_chunks(warc.with_revisits(pages.drop("html")), 1000).orderBy("record_id", "chunk_no").collect()
