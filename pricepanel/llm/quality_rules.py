@@ -6,12 +6,14 @@ a ladder of strictness levels. On the other half each level is tested by the exa
 level is certified for a stratum if so few good documents fail it that a false rejection rate of
 ``ALPHA`` or more is refuted at confidence ``1 - DELTA``. Levels are tested from lenient to strict and
 the first failure ends the ladder (fixed sequence), strata share ``DELTA`` evenly (Bonferroni); so
-with probability ``1 - DELTA`` no stratum loses more than ``ALPHA`` of its good documents. Among the
-certified levels the one that separates the first half's labels best is taken.
+with probability ``1 - DELTA`` no stratum loses more than ``ALPHA`` of its good documents. Strata with
+too few labels to refute ``ALPHA`` even without a failure are tested as one pool, for which the same
+holds. Among the certified levels the one that separates the first half's labels best is taken.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,8 +90,6 @@ def signals(docs: DataFrame, text_col: str = "text", stratum_col: str = "lang")
 
 def binomial_tail(n: Column, k: Column, alpha: float) -> Column:
     """P(Bin(n, alpha) <= k), exact, summed in logarithms; 1 where k is above the mean."""
-    import math
-
     log_odds = math.log(alpha) - math.log1p(-alpha)
     start = F.struct((n * math.log1p(-alpha)).alias("term"), (n * math.log1p(-alpha)).alias("sum"))
 
@@ -107,37 +107,44 @@ def thresholds(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", l
 
     ``measured`` has ``id_col`` and ``q``; all labelled documents take part. A document fails if a
     signal is above its cutoff. Labels of one id that disagree count as bad; null labels are ignored.
+    A stratum without labels has no cutoffs.
     """
     one = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("good"))
     q = measured.select(F.col(id_col).alias("__id"), "q.*").where("NOT base_failed")
     known = q.join(one, "__id").withColumn("fit", F.substring(F.md5(F.col("__id").cast("string")), 1, 1) < "8").withColumn("good", F.col("good") >= 1)
     known = materialize(known.select("stratum", "fit", "good", *SIGNALS), "rules-labelled")
+    held = known.groupBy("stratum").agg(F.count_if(~F.col("fit") & F.col("good")).alias("n"))
+    strata = max(1, held.count())
+    enough = F.col("n") * math.log1p(-ALPHA) + math.log(strata) <= math.log(DELTA)
+    groups = materialize(held.select(F.col("stratum").alias("s"), F.when(enough, F.concat(F.lit("="), "stratum")).otherwise("*").alias("grp")), "rules-groups")
+    tested = max(1, groups.select("grp").distinct().count())
+    known = known.join(groups, F.col("stratum") == F.col("s")).drop("s")
     good_fit = known.where("fit AND good")
     levels = F.explode(F.array(*map(F.lit, LEVELS))).alias("level")
     # the smallest cutoff beyond which at most level/1000 of the good documents lie
-    long = good_fit.select("stratum", F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).alias("value")) for s in SIGNALS])).alias("x")).select("stratum", "x.*")
-    histogram = long.groupBy("stratum", "signal", "value").agg(F.count("*").alias("n"))
-    by = Window.partitionBy("stratum", "signal")
+    long = good_fit.select("grp", F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).alias("value")) for s in SIGNALS])).alias("x")).select("grp", "x.*")
+    histogram = long.groupBy("grp", "signal", "value").agg(F.count("*").alias("n"))
+    by = Window.partitionBy("grp", "signal")
     histogram = histogram.withColumn("beyond", F.coalesce(F.sum("n").over(by.orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("n").over(by))
-    cutoffs = histogram.select("*", levels).where("1000 * beyond <= greatest(level, 0) * all").groupBy("stratum", "level").pivot("signal", list(SIGNALS)).agg(F.min(F.expr("value - least(level, 0)")))
-    cutoffs = materialize(cutoffs.select(F.col("stratum").alias("at"), "level", *[F.col(s).alias(f"cut_{s}") for s in SIGNALS]), "rules-cutoffs")
-    failed = known.join(cutoffs, F.col("stratum") == F.col("at")).withColumn("failed", F.expr(" OR ".join(f"{s} > cut_{s}" for s in SIGNALS)))
-    counts = failed.groupBy("stratum", "level").agg(
+    cutoffs = histogram.select("*", levels).where("1000 * beyond <= greatest(level, 0) * all").groupBy("grp", "level").pivot("signal", list(SIGNALS)).agg(F.min(F.expr("value - least(level, 0)")))
+    cutoffs = materialize(cutoffs.select(F.col("grp").alias("at"), "level", *[F.col(s).alias(f"cut_{s}") for s in SIGNALS]), "rules-cutoffs")
+    failed = known.join(cutoffs, F.col("grp") == F.col("at")).withColumn("failed", F.expr(" OR ".join(f"{s} > cut_{s}" for s in SIGNALS)))
+    counts = failed.groupBy("grp", "level").agg(
         F.count_if(~F.col("fit") & F.col("good")).alias("n"), F.count_if(~F.col("fit") & F.col("good") & F.col("failed")).alias("k"),
         F.count_if(F.col("fit") & F.col("good")).alias("good"), F.count_if(F.col("fit") & F.col("good") & F.col("failed")).alias("good_failed"),
         F.count_if(F.col("fit") & ~F.col("good")).alias("bad"), F.count_if(F.col("fit") & ~F.col("good") & F.col("failed")).alias("bad_failed"),
     )
-    counts = counts.withColumn("strata", F.size(F.collect_set("stratum").over(Window.partitionBy())))  # a row per stratum and level
-    passed = counts.withColumn("p", binomial_tail(F.col("n"), F.col("k"), ALPHA)).withColumn("passes", F.col("p") * F.col("strata") <= DELTA)
-    ladder = Window.partitionBy("stratum").orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
+    passed = counts.withColumn("passes", binomial_tail(F.col("n"), F.col("k"), ALPHA) * tested <= DELTA)
+    ladder = Window.partitionBy("grp").orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
     certified = passed.withColumn("certified", F.bool_and("passes").over(ladder)).where("certified")
     gain = (F.col("bad_failed") * F.col("good") - COST * F.col("good_failed") * F.col("bad")).alias("gain")
-    best = certified.groupBy("stratum").agg(F.max_by("level", F.struct(gain, -F.col("level"))).alias("best"))
-    return best.join(cutoffs, (F.col("stratum") == F.col("at")) & (F.col("best") == F.col("level"))).select("stratum", *[f"cut_{s}" for s in SIGNALS])
+    best = certified.groupBy("grp").agg(F.max_by("level", F.struct(gain, -F.col("level"))).alias("best"))
+    chosen = best.join(cutoffs, (F.col("grp") == F.col("at")) & (F.col("best") == F.col("level"))).drop("grp")
+    return groups.join(chosen, F.col("grp") == F.col("at")).select(F.col("s").alias("stratum"), *[f"cut_{s}" for s in SIGNALS])
 
 
 def judged(measured: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Add ``kept`` to rows with ``q``; a stratum without a certified level has the base rule alone."""
+    """Add ``kept`` to rows of ``q`` and columns without clashes; a stratum without a certified level has the base rule alone."""
     out = measured.join(cuts.withColumnRenamed("stratum", "at"), F.col("q.stratum") == F.col("at"), "left")
     fails = F.expr(" OR ".join(f"coalesce(q.{s} > cut_{s}, false)" for s in SIGNALS))
     return out.withColumn("kept", ~F.col("q.base_failed") & ~fails).drop("at", *[f"cut_{s}" for s in SIGNALS])
@@ -146,9 +153,9 @@ def judged(measured: DataFrame, cuts: DataFrame) -> DataFrame:
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept`` of every row.
 
-    A null or empty text has no words and fails the base rule; a null stratum is one of its own;
-    repeated rows give repeated results; without labels the base rule alone decides; an empty table
-    gives no rows; other columns are ignored.
+    A null or empty text has no words and fails the base rule; a null stratum is that of the empty
+    name; a signal that ties with its cutoff passes; repeated rows give repeated results; without labels
+    the base rule alone decides; an empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(stratum_col).alias("lang"))
     measured = materialize(signals(rows).select("id", "q"), "rules-signals")
@@ -158,10 +165,14 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
-    measured = materialize(signals(docs, text_col, stratum_col), "rules-measured")
-    cuts = materialize(thresholds(measured, labels, id_col), "rules-cuts")
-    return judged(measured, cuts).where("kept").select(*docs.columns)
+    """The rows of ``docs`` that ``quality_rules`` keeps, with the columns of ``docs``, whatever their names.
+
+    Rows stay as they are, repeated ones as often as they come; all else as for ``quality_rules``.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    measured = materialize(signals(rows, f"row.`{text_col}`", f"row.`{stratum_col}`"), "rules-measured")
+    cuts = materialize(thresholds(measured.select(F.col(f"row.`{id_col}`").alias(id_col), "q"), labels, id_col), "rules-cuts")
+    return judged(measured, cuts).where("kept").select("row.*")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,21 +198,24 @@ s AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
         least(1000, (1000 * n_dup_lines) // greatest(n_lines, 1)) AS s_lines, least(1000, (1000 * n_upper) // greatest(word_chars, 1)) AS s_upper,
         least(1000, (1000 * n_bang) // greatest(word_chars, 1)) AS s_bang, least(1000, (10 * word_chars) // greatest(n_words, 1)) AS s_long,
         1000 - least(1000, (10 * word_chars) // greatest(n_words, 1)) AS s_short FROM q),
-known AS (SELECT s.*, l.quality >= 1 AS good, substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) < '8' AS fit
+labelled AS (SELECT s.*, l.quality >= 1 AS good, substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) < '8' AS fit
           FROM s JOIN (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) l USING (doc_id) WHERE NOT base_failed),
-h AS (SELECT stratum, signal, value, count(*) AS n FROM (UNPIVOT (SELECT stratum, {', '.join(SIGNALS)} FROM known WHERE fit AND good) ON {', '.join(SIGNALS)} INTO NAME signal VALUE value) GROUP BY ALL),
-b AS (SELECT *, sum(n) OVER (PARTITION BY stratum, signal) AS n_all, coalesce(sum(n) OVER (PARTITION BY stratum, signal ORDER BY value DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS beyond FROM h),
-k AS (SELECT stratum, level, {', '.join(f"min(value - least(level, 0)) FILTER (signal = '{s}') AS cut_{s}" for s in SIGNALS)} FROM b, (SELECT unnest([{', '.join(map(str, LEVELS))}]) AS level) WHERE 1000 * beyond <= greatest(level, 0) * n_all GROUP BY ALL),
-f AS (SELECT stratum, level, count(*) FILTER (NOT fit AND good) AS n, count(*) FILTER (NOT fit AND good AND failed) AS k,
+held AS (SELECT stratum, count(*) FILTER (NOT fit AND good) AS n FROM labelled GROUP BY stratum),
+g AS (SELECT stratum, CASE WHEN n * ln(1 - {ALPHA}) + ln((SELECT count(*) FROM held)) <= ln({DELTA}) THEN '=' || stratum ELSE '*' END AS grp FROM held),
+known AS (SELECT labelled.*, grp FROM labelled JOIN g USING (stratum)),
+h AS (SELECT grp, signal, value, count(*) AS n FROM (UNPIVOT (SELECT grp, {', '.join(SIGNALS)} FROM known WHERE fit AND good) ON {', '.join(SIGNALS)} INTO NAME signal VALUE value) GROUP BY ALL),
+b AS (SELECT *, sum(n) OVER (PARTITION BY grp, signal) AS n_all, coalesce(sum(n) OVER (PARTITION BY grp, signal ORDER BY value DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS beyond FROM h),
+k AS (SELECT grp, level, {', '.join(f"min(value - least(level, 0)) FILTER (signal = '{s}') AS cut_{s}" for s in SIGNALS)} FROM b, (SELECT unnest([{', '.join(map(str, LEVELS))}]) AS level) WHERE 1000 * beyond <= greatest(level, 0) * n_all GROUP BY ALL),
+f AS (SELECT grp, level, count(*) FILTER (NOT fit AND good) AS n, count(*) FILTER (NOT fit AND good AND failed) AS k,
         count(*) FILTER (fit AND good) AS good, count(*) FILTER (fit AND good AND failed) AS good_failed,
         count(*) FILTER (fit AND NOT good) AS bad, count(*) FILTER (fit AND NOT good AND failed) AS bad_failed
-      FROM (SELECT known.*, k.level, ({_FAILED}) AS failed FROM known JOIN k USING (stratum)) GROUP BY ALL),
+      FROM (SELECT known.*, k.level, ({_FAILED}) AS failed FROM known JOIN k USING (grp)) GROUP BY ALL),
 p AS (SELECT *, CASE WHEN k > n * {ALPHA} THEN 1.0 ELSE list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})) for i in range(0, k + 1)]) END
-        * (SELECT count(DISTINCT stratum) FROM f) <= {DELTA} AS passes FROM f),
-z AS (SELECT *, bool_and(passes) OVER (PARTITION BY stratum ORDER BY level) AS certified FROM p),
-best AS (SELECT stratum, arg_max(level, (bad_failed * good - {COST} * good_failed * bad) * 100 - level) AS level FROM z WHERE certified GROUP BY stratum),
-cuts AS (SELECT k.* FROM k JOIN best USING (stratum, level))
+        * (SELECT count(DISTINCT grp) FROM known) <= {DELTA} AS passes FROM f),
+z AS (SELECT *, bool_and(passes) OVER (PARTITION BY grp ORDER BY level) AS certified FROM p),
+best AS (SELECT grp, arg_max(level, (bad_failed * good - {COST} * good_failed * bad) * 100 - level) AS level FROM z WHERE certified GROUP BY grp),
+cuts AS (SELECT k.* FROM k JOIN best USING (grp, level))
 SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT coalesce({_FAILED}, false) AS kept
-FROM s LEFT JOIN cuts USING (stratum)
+FROM s LEFT JOIN g USING (stratum) LEFT JOIN cuts USING (grp)
 """
