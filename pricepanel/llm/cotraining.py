@@ -1,11 +1,12 @@
 """Quality classifier by co-training of a text view and a metadata view.
 
 The text view sees what characters and words of the text do (pair frequencies of character classes,
-repetition, word shapes); the metadata view sees the rest of the row (language, source, length and
-layout sizes). Each view has a logistic model. Over some rounds each model labels all unlabelled
-rows and hands its most confident ones, as pseudo-labels, to the other view's training set. Labelled
-rows held out from that calibrate each view's scores; a document's score is the sum of both views'
-calibrated log odds (the prior counted once), weighed by how well each view does on the held-out rows.
+repetition, word shapes) but not how long it is; the metadata view sees the rest of the row (language,
+source and size). No feature is in both. Each view has a logistic model. Over some rounds each model
+labels all unlabelled rows and hands its most confident ones, as pseudo-labels, to the other view's
+training set. A quarter of the labelled rows is held out from that: one half of it calibrates each
+view's scores and weighs the views by how well they do there, the other half sets the cutoff. A
+document's score is the weighed sum of both views' calibrated log odds (the prior counted once).
 """
 
 from __future__ import annotations
@@ -42,8 +43,8 @@ _CLASS[48:58], _CLASS[65:91], _CLASS[97:123], _CLASS[128:] = 3, 4, 5, 6
 for _i, _marks in enumerate((b".?", b"!", b",;:'\"-()", b"#$%&*@^~", b"|<>[]{}/\\_=+`")):
     _CLASS[list(_marks)] = 7 + _i
 CLASSES = 12
-TEXT_FEATURES = CLASSES * CLASSES + 8
-META_FEATURES = META_BUCKETS + 5
+TEXT_FEATURES = CLASSES * CLASSES + 7
+META_FEATURES = META_BUCKETS + 3
 
 
 def _compressed(raw: bytes) -> int:
@@ -66,7 +67,7 @@ def text_features(text: str | None) -> np.ndarray:
     lines = raw.split(b"\n")
     out[CLASSES * CLASSES :] = (
         len(set(words)) / n, len(set(zip(words, words[1:], strict=False))) / n, len(raw) / n / 10, sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
-        len(set(lines)) / len(lines), np.log1p(n) / 10, _compressed(raw) / len(raw), max(map(len, words), default=0) ** 0.5 / 10,
+        len(set(lines)) / len(lines), _compressed(raw) / len(raw), max(map(len, words), default=0) ** 0.5 / 10,
     )
     return out
 
@@ -75,8 +76,8 @@ def meta_features(lang: str | None, source: str | None, text: str | None) -> np.
     out = np.zeros(META_FEATURES)
     for name, value in (("lang", lang), ("source", source)):
         out[zlib.crc32(f"{name}={value}".encode()) % META_BUCKETS] += 1
-    size, lines = len(text or ""), (text or "").count("\n") + 1
-    out[META_BUCKETS:] = np.log1p(size) / 10, (np.log1p(size) / 10) ** 2, np.log1p(lines) / 5, np.log1p(size / lines) / 10, float(size == 0)
+    size = len(text or "")
+    out[META_BUCKETS:] = np.log1p(size) / 10, (np.log1p(size) / 10) ** 2, float(size == 0)
     return out
 
 
@@ -147,7 +148,7 @@ class CoTrained:
 
 
 def cotrain(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, held: np.ndarray, choose: Callable[[View, View], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> CoTrained:
-    """Fit both views. ``y``: labels of the labelled rows; ``held``: rows kept for calibration and cutoff.
+    """Fit both views. ``y``: labels of the labelled rows; ``held``: rows kept for calibration (every other one) and cutoff.
 
     ``choose(text, meta)``: for each of the two views ``xt, xm, label`` of the unlabelled rows that it
     is surest of and that were not chosen before.
@@ -166,6 +167,10 @@ def cotrain(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, held: np.ndarray, cho
         sets["t"] = [np.concatenate([sets["t"][0], by_meta[0]]), np.concatenate([sets["t"][1], by_meta[2]])]
         text, meta = fit_view(*sets["t"]), fit_view(*sets["m"])
     where = held if held.any() else fit
+    judge = where
+    turn = np.cumsum(held) % 2 == 0
+    if held.any() and min(len(np.unique(y[held & turn])), len(np.unique(y[held & ~turn]))) == 2:
+        where, judge = held & turn, held & ~turn
     prior = float(np.log((y[where].sum() + 1) / ((1 - y[where]).sum() + 1)))
     gains = []
     flat = np.logaddexp(0, np.where(y[where] > 0, -1, 1) * prior).mean()
@@ -177,8 +182,8 @@ def cotrain(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, held: np.ndarray, cho
         gains.append(max(0.0, flat - loss))
     most = max(*gains, 1e-12)
     model = CoTrained(text, meta, gains[0] / most, gains[1] / most, prior, 0.5)
-    good = np.sort(model.score(xt[where], xm[where])[2][y[where] > 0])
-    bad = np.sort(model.score(xt[where], xm[where])[2][y[where] == 0])
+    good = np.sort(model.score(xt[judge], xm[judge])[2][y[judge] > 0])
+    bad = np.sort(model.score(xt[judge], xm[judge])[2][y[judge] == 0])
     # at most FALSE_REJECTION of the held-out good fall below the cutoff; halfway to the bad ones (in log odds) if those are lower still
     limit = good[int(FALSE_REJECTION * len(good))] if len(good) else 0.0
     if len(bad) and bad[-1] < limit:
@@ -278,24 +283,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model
 
 
-def score(docs: DataFrame, model: CoTrained | None, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """``docs`` with ``text_score, meta_score, score, accepted``; without a model the scores are null and all are accepted."""
-    if model is None:
-        none = F.lit(None).cast("double")
-        return docs.withColumns({"text_score": none, "meta_score": none, "score": none, "accepted": F.lit(True)})
-    columns = docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _pieces(batches):
-            texts = batch.column(columns.index(text_col)).to_pylist()
-            langs, sources = (batch.column(columns.index(c)).to_pylist() for c in (lang_col, source_col))
-            xt = np.array([text_features(t) for t in texts]).reshape(-1, TEXT_FEATURES)
-            xm = np.array([meta_features(a, b, t) for a, b, t in zip(langs, sources, texts, strict=True)]).reshape(-1, META_FEATURES)
-            t, m, both = model.score(xt, xm)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(t), pa.array(m), pa.array(both), pa.array(both >= model.cutoff)], names=[*columns, "text_score", "meta_score", "score", "accepted"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, text_score double, meta_score double, score double, accepted boolean")
+def _scores(batch: pa.RecordBatch, model: CoTrained, text_col: str, lang_col: str, source_col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    texts, langs, sources = (batch.column(c).to_pylist() for c in (text_col, lang_col, source_col))
+    xt = np.array([text_features(t) for t in texts]).reshape(-1, TEXT_FEATURES)
+    xm = np.array([meta_features(a, b, t) for a, b, t in zip(langs, sources, texts, strict=True)]).reshape(-1, META_FEATURES)
+    return model.score(xt, xm)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -303,18 +295,38 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     A null or empty text has no text features and is scored; null language and source are values of
     their own; labels of one id that disagree count as bad, null labels as none; repeated rows give
-    repeated results; without labels of both classes the scores are null and all rows are accepted;
-    an empty table gives no rows; other columns are ignored.
+    repeated results; ties at the cutoff are accepted; without labels of both classes the scores are
+    null and all rows are accepted; an empty table gives no rows; other columns are ignored.
     """
     model = train(docs, labels, id_col, text_col, lang_col, source_col)
-    rows = docs.select(id_col, text_col, lang_col, source_col)
-    return score(rows, model, text_col, lang_col, source_col).select(id_col, "text_score", "meta_score", "score", "accepted")
+    if model is None:
+        none = F.lit(None).cast("double")
+        return docs.select(F.col(id_col), none.alias("text_score"), none.alias("meta_score"), none.alias("score"), F.lit(True).alias("accepted"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            t, m, both = _scores(batch, model, "text", "lang", "source")
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(t), pa.array(m), pa.array(both), pa.array(both >= model.cutoff)], names=["id", "text_score", "meta_score", "score", "accepted"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, text_score double, meta_score double, score double, accepted boolean").withColumnRenamed("id", id_col)
 
 
 def keep_accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with the columns of ``docs``."""
+    """The rows of ``docs`` that ``classify`` accepts, with the columns of ``docs``, whatever their names.
+
+    Rows stay as they are, repeated ones as often as they come; all else as for ``classify``.
+    """
     model = train(docs, labels, id_col, text_col, lang_col, source_col)
-    return score(docs, model, text_col, lang_col, source_col).where("accepted").select(*docs.columns)
+    if model is None:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            yield batch.filter(pa.array(_scores(batch, model, text_col, lang_col, source_col)[2] >= model.cutoff))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
