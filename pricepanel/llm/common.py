@@ -16,7 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (as in tests) a new local folder takes its place for the session.
+    Where the setting is absent a new local folder takes its place for the session, in local mode only:
+    the executors of a cluster would each write to a disk of their own.
     """
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         current = sc._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")

@@ -9,12 +9,16 @@ from .common import drop_materialized, materialize
 
 
 def _stars(edges: DataFrame, both_ways: bool) -> DataFrame:
-    """Join every node's neighbours with the smallest of them (the node itself included)."""
+    """Join every node's neighbours with the smallest of them (the node itself included).
+
+    The minima are written first: the join's partitions are then its own, and those of a node with
+    very many neighbours can be split.
+    """
     near = edges.select("u", "v")
     if both_ways:
         near = near.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return near.join(least, "u")
+    return near.join(materialize(least, "edges-least"), "u")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

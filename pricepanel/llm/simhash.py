@@ -214,7 +214,8 @@ def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     roots = connected_components(trie_self_join(fps.select("fp"), fps.count()))
     placed = fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     placed = materialize(placed, "simhash-roots")
-    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that the join's partitions are the join's own and a large component's can be split
+    smallest = materialize(placed.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-smallest")
     by_fp = placed.join(smallest, "root").select("fp", "root", "component_id")
     return marked.join(by_fp, "fp").select("id", "fp", "root", "component_id")
 
@@ -230,34 +231,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return placed.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _with_fingerprint(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with their fingerprint as ``__fp``."""
+def _with_fingerprint(rows: DataFrame, text_col: str) -> DataFrame:
+    """``rows`` of ``row, own`` with the fingerprint of the row's text as ``fp``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py()) for t in batch.column(text_col)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=[*batch.schema.names, "__fp"])
+            fps = np.array([fingerprint(t.as_py()) for t in batch.column("row").field(text_col)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=[*batch.schema.names, "fp"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("fp", LongType())]))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each near-duplicate component, one of its smallest id, with the columns of ``docs``.
+    """One row of each near-duplicate component, one of its smallest id, with the columns of ``docs``, whatever their names.
 
-    An id whose rows have different texts is kept once for each component that it is the smallest of.
+    An id whose rows have different texts is kept once for each component that it is the smallest of;
+    of equal rows one stays; of rows of one id and fingerprint that differ elsewhere, any one. A null or
+    empty text has fingerprint zero; an empty table gives no rows.
     """
     placed = materialize(_placed(docs, id_col, text_col), "simhash-placed")
-    stay = placed.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("component_id").alias("__id"), F.min("fp").alias("__stay"))
-    stay = materialize(stay.select("__id", "__stay"), "simhash-stay")
+    stay = placed.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("component_id").alias("stay"), F.min("fp").alias("stay_fp"))
+    stay = materialize(stay.select("stay", "stay_fp"), "simhash-stay")
     # the id tells the row, save where rows of one id have several fingerprints
-    several = placed.groupBy("id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select(F.col("id").alias("__several"))
+    several = placed.groupBy("id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select(F.col("id").alias("several"))
     several = materialize(several, "simhash-several")
-    is_several = F.col("__id").eqNullSafe(F.col("__several"))
-    own = F.col(id_col).eqNullSafe(F.col("__id"))
-    single = docs.join(stay.join(several, is_several, "left_anti"), own, "left_semi").dropDuplicates([id_col])
-    shared = _with_fingerprint(docs.join(stay.join(several, is_several, "left_semi"), own, "left_semi"), text_col)
-    shared = shared.join(stay, own & (F.col("__fp") == F.col("__stay")), "left_semi").dropDuplicates([id_col, "__fp"]).drop("__fp")
-    return single.unionByName(shared)
+    is_several = F.col("stay").eqNullSafe(F.col("several"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("own"))
+    mine = F.col("own").eqNullSafe(F.col("stay"))
+    single = rows.join(stay.join(several, is_several, "left_anti"), mine, "left_semi").dropDuplicates(["own"])
+    shared = _with_fingerprint(rows.join(stay.join(several, is_several, "left_semi"), mine, "left_semi"), text_col)
+    shared = shared.join(stay, mine & (F.col("fp") == F.col("stay_fp")), "left_semi").dropDuplicates(["own", "fp"]).drop("fp")
+    return single.unionByName(shared).select("row.*")
 
 
 def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
