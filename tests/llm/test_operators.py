@@ -95,11 +95,75 @@ def test_mix_meets_targets(spark, docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
-def test_length_tilt_moves_rates(spark):
-    rows = spark.createDataFrame([(i, "w " * (i % 50 + 1), "s") for i in range(200)] + [(1000 + i, "w " * 50, "t") for i in range(200)], "doc_id long, text string, source string")
-    out = mixing.mix(rows, length_tilt=1.2).where("source = 's'").toPandas()
-    assert out.sort_values("size").rate.is_monotonic_increasing and out.rate.max() > out.rate.min()
-    assert abs(out.taken.sum() - out.target.iloc[0]) < 60
+def plain_balance(rows, cap, ridge, wall):
+    """Newton on all duals at once, document by document: rates and the duals of languages and log size."""
+    sources, langs = sorted({r[1] for r in rows}), sorted({r[2] for r in rows})
+    size = np.array([r[3] for r in rows], float)
+    total = size.sum()
+    z = np.log(size)
+    mean = (size * z).sum() / total
+    z = (z - mean) / math.sqrt((size * z * z).sum() / total - mean * mean)
+    x = np.zeros((len(rows), len(sources) + len(langs) + 1))
+    for i, (_, s, lang, _) in enumerate(rows):
+        x[i, sources.index(s)] = x[i, len(sources) + langs.index(lang)] = 1
+    x[:, -1] = z
+    words = {s: size[[r[1] == s for r in rows]].sum() for s in sources}
+    weight = np.array([(1, 2, 3)[k % 3] for k in range(len(sources))], float)
+    target = total * weight / weight.sum()
+    assert all(t < cap * words[s] for t, s in zip(target, sources, strict=True))
+    margin = [size[[r[2] == lang for r in rows]].sum() for lang in langs]
+    want = np.array([*target, *margin, 0.0])
+    soft = np.r_[np.zeros(len(sources)), np.full(len(langs) + 1, total)]
+
+    def value(d):
+        eta = x @ d
+        return (size * np.where(eta <= math.log(cap), np.exp(np.minimum(eta, 9)), cap * eta - cap * math.log(cap) + cap)).sum() - d @ want + (soft * (ridge * d**2 / 2 + wall * d**4 / 4)).sum()
+
+    d = np.zeros(x.shape[1])
+    for _ in range(200):
+        free = np.exp(np.minimum(x @ d, 9))
+        rate, inside = np.minimum(free, cap), free * (free < cap)
+        gradient = x.T @ (size * rate) - want + soft * (ridge * d + wall * d**3)
+        move = -np.linalg.solve((x * (size * inside)[:, None]).T @ x + np.diag(soft * (ridge + 3 * wall * d**2) + 1e-9), gradient)
+        step = 1.0
+        while step > 1e-9 and value(d + step * move) > value(d):
+            step /= 2
+        d = d + step * move
+        if np.abs(gradient).max() < 1e-9 * total:
+            break
+    return np.minimum(np.exp(x @ d), cap), d[len(sources) :]
+
+
+def test_mix_rates_match_plain_newton(spark):
+    rnd = random.Random(3)
+    rows = [(i, s, rnd.choices(["en", "fr", "de"], [6, 1 + k, 2])[0], rnd.randrange(1, 40 + 100 * k)) for k, s in enumerate("abcd") for i in range(1000 * k, 1000 * k + 150)]
+    df = spark.createDataFrame([(i, "w " * n, lang, s) for i, s, lang, n in rows], "doc_id long, text string, lang string, source string")
+    out = {r.doc_id: r for r in mixing.mix(df).collect()}
+    rate, shared = plain_balance(rows, 3, mixing.RIDGE, mixing.WALL)
+    assert all(abs(out[r[0]].rate - p) < 1e-7 for r, p in zip(rows, rate, strict=True))
+    assert np.abs(shared).max() > 0.01
+    for s in "abcd":
+        own = [out[r[0]] for r in rows if r[1] == s]
+        assert len({r.rate for r in own}) > 20 and len({r.source_dual for r in own}) == 1 and abs(own[0].source_dual) > 1e-3
+        assert abs(sum(r.rate * r.size for r in own) - own[0].target) < 1e-6 * own[0].target
+        assert all(abs(r.rate - min(3, math.exp(r.source_dual + r.tilt))) < 1e-7 for r in own)
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 2 * max(r.size for r in own)
+
+
+def test_mix_targets_of_many_sources(spark):
+    rnd = random.Random(12)
+    sizes = {f"h{rnd.random()}": rnd.randrange(1, 400) for _ in range(300)} | {None: 50}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r.source: r.target for r in mixing.source_targets(df).collect()}
+    order = sorted(s for s in sizes if s is not None) + [None]
+    weight, capped = {s: (1, 2, 3)[k % 3] for k, s in enumerate(order)}, set()
+    while True:
+        level = (sum(sizes.values()) - sum(3 * sizes[s] for s in capped)) / sum(w for s, w in weight.items() if s not in capped)
+        over = {s for s in order if s not in capped and level * weight[s] > 3 * sizes[s]}
+        if not over:
+            break
+        capped |= over
+    assert capped and all(math.isclose(got[s], 3 * sizes[s] if s in capped else level * weight[s], rel_tol=1e-12) for s in order)
 
 
 def test_warc_round_trip(spark):
@@ -129,12 +193,25 @@ def test_warc_repeated_rows_and_null_id(spark):
 
 def test_warc_file_bytes(spark):
     pages = spark.createDataFrame([(i, "u", "x" * (i * 900)) for i in range(4)], "id long, uri string, html string").withColumn("payload", F.encode("html", "UTF-8"))
-    chunks = warc.write_chunks(warc.with_revisits(pages.drop("html")), 1000).orderBy("record_id", "chunk_no").collect()
+    chunks = warc.write_chunks(pages.drop("html"), 1000).orderBy("record_id", "chunk_no").collect()
     data = b"".join(warc.archive_bytes((r.header, bytes(r.payload)) for r in chunks))
     back = list(warc.parse_archive(io.BytesIO(data), 1000))
     assert [(n, k, h, p) for n, k, h, p in back] == [(r.record_id, r.chunk_no, r.header, bytes(r.payload)) for r in chunks]
 
 
+def test_warc_digests_are_carried(spark):
+    pages = spark.createDataFrame([(1, "u", "x" * 2500), (2, "u", "short"), (3, "v", "y" * 2500), (4, "v", "y" * 2500)], "id long, uri string, html string").select("id", "uri", F.encode("html", "UTF-8").alias("payload"))
+    chunks = warc.write_chunks(pages, 1000)
+    rows = {(r.record_id, r.chunk_no): r for r in chunks.collect()}
+    assert [rows["<urn:page:1>", k].prefix_sha256 for k in range(3)] == [hashlib.sha256(b"x" * n).hexdigest() for n in (1000, 2000, 2500)]
+    assert rows["<urn:page:4>", 0].payload == b"" and len(rows) == 8
+    worse = chunks.withColumn("payload", F.when((F.col("record_id") == "<urn:page:3>") & (F.col("chunk_no") == 1), F.lit(b"?" * 1000)).otherwise(F.col("payload")))
+    with pytest.raises(Exception, match="chunk 1 of <urn:page:3> is damaged"):
+        warc.read_chunks(worse).collect()
+    with pytest.raises(Exception, match="chunk 1 of <urn:page:3> is missing"):
+        warc.read_chunks(chunks.where("NOT (record_id = '<urn:page:3>' AND chunk_no = 1)")).collect()
+
+
 def plain_rules(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
@@ -396,7 +473,7 @@ def test_cotraining_accuracy(spark, docs, empty):
 def test_cotraining_sees_the_whole_text():
     rnd = random.Random(2)
     clean = "".join(rnd.choice("abcdefghij klmnop") for _ in range(70000))
-    at = cotraining.CLASSES**2 + 6
+    at = cotraining.CLASSES**2 + 5
     assert cotraining.text_features(clean + "junk " * 100_000)[at] < 0.3 * cotraining.text_features(clean)[at]
 
 
@@ -425,6 +502,79 @@ def test_cotraining_pool_is_every_unlabelled_row(spark, monkeypatch):
     assert len(text) < 2 or len(set(text[1][1])) >= 10
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    rnd = random.Random(7)
+    names = ["q", "at", "cut_s_symbols", "score", "accepted", "text_score", "id", "copies", "row", "size", "rate", "fp", "root", "kept", "stratum", "__id", "key", "class", "word", "a"]
+    rows = [(i, (prose(rnd, 70) + ".") if i % 5 else " ".join(w + "###" for w in prose(rnd, 70).split()), "en", f"s{i % 3}", 0, *[f"{n}-{i}" for n in names]) for i in range(120)]
+    rows += [(200, None, None, None, None, *["x"] * len(names)), (201, "", "fr", "s1", 0, *["y"] * len(names)), rows[1]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    df = spark.createDataFrame(rows, schema)
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0, "x", "y") for i in range(100)], "doc_id long, quality int, toxic int, q string, good string")
+    for stage in (lambda d: cotraining.keep_accepted(d, labels), lambda d: quality_rules.keep_good(d, labels), simhash.keep_one, mixing.apply_mix):
+        out = stage(df)
+        assert out.columns == df.columns
+        found = [tuple(r) for r in out.collect()]
+        assert found and set(found) <= set(rows)
+        assert stage(df.limit(0)).count() == 0
+
+
+def test_quality_rules_match_plain_python(spark):
+    """Five strata: two that are certified, one whose held-out half refuses all levels, two too small that are tested as a pool."""
+    rnd = random.Random(21)
+    rows, labels = [], []
+    for lang, n in (("aa", 900), ("bb", 700), ("cc", 600), ("dd", 280), ("ee", 290)):
+        for i in range(n):
+            at = len(rows)
+            held = hashlib.md5(str(at).encode()).hexdigest()[0] >= "8"
+            good = i % 10 > 0
+            marks = rnd.choice(["", "!", "#"]) if good else "###"
+            if lang == "cc" and held and good and i % 7 == 0:
+                marks = "#######"
+            words = [w + (marks if rnd.random() < 0.3 else "") for w in prose(rnd, 60).split()]
+            rows.append((at, " ".join(words) + ".", lang, "s", 0, "x"))
+            labels.append((at, int(good), 0))
+    rows += [(len(rows) + k, "### " * 30 + prose(rnd, 60), lang, "s", 0, "x") for k, lang in enumerate(["aa", "zz", None])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = {r.doc_id: r for r in quality_rules.quality_rules(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+
+    def measured(t):
+        n_words, word_chars, n_symbols, n_dup, n_repeat = plain_rules(t)
+        lines = len([x for x in t.split("\n") if x.strip()])
+        share = lambda a, b: min(1000, 1000 * a // max(b, 1))
+        long = min(1000, 10 * word_chars // max(n_words, 1))
+        upper = sum(c.isupper() for c in t)
+        return (share(n_symbols, word_chars), share(n_repeat, n_words), share(n_dup, lines), share(upper, word_chars), share(t.count("!"), word_chars), long, 1000 - long), n_words < 50 or 100 * n_repeat > 50 * n_words
+
+    quality, seen = {i: q for i, q, _ in labels}, collections.defaultdict(list)
+    for i, t, lang, *_ in rows:
+        signal, base_failed = measured(t)
+        if i in quality and not base_failed:
+            seen[lang].append((signal, hashlib.md5(str(i).encode()).hexdigest()[0] < "8", quality[i] > 0))
+    alpha, delta = quality_rules.ALPHA, quality_rules.DELTA
+    enough = lambda n: (1 - alpha) ** n * len(seen) <= delta
+    group = {lang: lang if enough(sum(g and not f for _, f, g in x)) else "*" for lang, x in seen.items()}
+    cuts = {}
+    for name in set(group.values()):
+        known = [r for lang, x in seen.items() if group[lang] == name for r in x]
+        fit, held = [s for s, f, g in known if f and g], [s for s, f, g in known if not f and g]
+        bad = [s for s, f, g in known if f and not g]
+        choices = []
+        for level in quality_rules.LEVELS:
+            cut = [min(v for v in {s[k] for s in fit} if 1000 * sum(s[k] > v for s in fit) <= max(level, 0) * len(fit)) - min(level, 0) for k in range(7)]
+            fails = lambda x, cut=cut: sum(any(a > b for a, b in zip(s, cut, strict=True)) for s in x)
+            k = fails(held)
+            if k > alpha * len(held) or sum(math.comb(len(held), i) * alpha**i * (1 - alpha) ** (len(held) - i) for i in range(k + 1)) * len(set(group.values())) > delta:
+                break
+            choices.append((fails(bad) * len(fit) - quality_rules.COST * fails(fit) * len(bad), -level, cut))
+        cuts[name] = max(choices)[2] if choices else None
+    assert cuts["aa"] and cuts["bb"] and group["dd"] == group["ee"] == "*" and cuts["*"] and cuts["cc"] is None, cuts
+    for i, t, lang, *_ in rows:
+        signal, base_failed = measured(t)
+        cut = cuts.get(group.get(lang))
+        assert out[i].kept == (not base_failed and not (cut and any(a > b for a, b in zip(signal, cut, strict=True)))), (i, lang)
+    assert any(not r.kept and not r.base_failed for r in out.values())
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
