@@ -6,16 +6,22 @@ ratios are smoothed with a Gaussian over neighbouring lines; a threshold on the
 splits the lines into content and the rest. The content lines vote for the element that holds the
 main text: an article or main element, else the deepest container of nearly all their text. The
 text is what that element holds outside boilerplate, with the content lines beside it and the blocks
-that adjoin at both ends up to a line of links, in page order. A named element ends the text.
+that adjoin at both ends up to a line of links, in page order. A named element ends the text. A class
+word that may also name part of an article (``_WEAK_WORDS``) makes boilerplate of an element unless it
+stands in an article and has the ratio of content. All steps are linear in the page: elements are
+numbered in the order in which they open, so those inside one are a range of numbers.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,7 +40,7 @@ _BLOCK = set(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary "
     "table tbody td tfoot th thead title tr ul".split()
 )
-_INLINE_BREAK = {"br", "wbr", "img", "input"}
+_INLINE_BREAK = {"br", "img", "input"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _MAIN = {"article", "main"}
 _BOILER_TAGS = set("nav header footer aside form script style noscript template iframe svg button select textarea dialog menu head title object canvas audio video math search".split())
@@ -46,6 +52,9 @@ _BOILER_WORDS = set(
     "recommended related replies reply respond search share sharing sidebar sidebars signin signup skip social sponsor sponsored subscribe "
     "subscription taboola teaser teasers toolbar topbar trending warning widget widgets alert alerts".split()
 )
+#: Of these, words that may also name part of an article; and the least text, and most of it in links, that it then has.
+_WEAK_WORDS = {"warning", "alert", "alerts", "popular", "share", "form", "header", "widget"}
+WEAK_CHARS, WEAK_LINKS = 120, 0.25
 _NOT_BOILER_AFTER = {"has", "with", "no", "without", "is"}
 # An open element that the start of another one ends.
 _CLOSES = {
@@ -61,73 +70,122 @@ def _words(value: str) -> list[str]:
     return [w.lower() for w in re.findall(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])", value)]
 
 
+@dataclass
+class _Line:
+    text: str
+    tags: int
+    boiler: bool
+    container: int  # innermost open block element
+    link_chars: int
+    weak: int  # innermost element that a weak word marks
+    title: bool  # inside a first-level heading
+
+
 class _Lines(HTMLParser):
-    """Parser events -> lines ``(text, tags, boilerplate, heading, open containers, link characters)``."""
+    """Parser events -> lines, and what the elements are: tag, last number inside, element around."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # tag, element number, begins boilerplate
+        self.stack: list[tuple[str, int, int]] = []  # tag, element number, 1: boilerplate, 2: header in an article, 3: weak
+        self.at: dict[str, list[int]] = defaultdict(list)  # places in the stack by tag, of blocks and of scopes
         self.number = 0
         self.tags_of: dict[int, str] = {}
+        self.parent: dict[int, int] = {}  # of block elements: the block element around
+        self.last: dict[int, int] = {}  # largest number inside a closed element
+        self.weak_in_main: dict[int, bool] = {}
         self.boiler = 0
         self.headers = 0  # open headers inside an article: only headings count there
         self.heading = 0
         self.links = 0
+        self.mains = 0
         self.parts: list[str] = []
         self.aside: list[str] = []  # text of the line inside boilerplate, which may be inline
         self.tags = 0
         self.link_chars = 0
-        self.lines: list[tuple[str, int, bool, tuple[int, ...], int]] = []
+        self.lines: list[_Line] = []
+
+    def _number_at(self, key: str) -> int:
+        return self.stack[self.at[key][-1]][1] if self.at[key] else 0
 
     def flush(self) -> None:
-        containers = tuple(n for t, n, _ in self.stack if t in _BLOCK)
         aside, text = " ".join("".join(self.aside).split()), " ".join("".join(self.parts).split())
-        if aside:
-            self.lines.append((aside, 0 if text else self.tags, True, containers, 0))
-        if text:
-            self.lines.append((text, self.tags, False, containers, self.link_chars))
+        if aside or text:
+            where, weak, title = self._number_at("#block"), self._number_at("#weak"), bool(self.at["h1"])
+            if aside:
+                self.lines.append(_Line(aside, 0 if text else self.tags, True, where, 0, weak, title))
+            if text:
+                self.lines.append(_Line(text, self.tags, False, where, self.link_chars, weak, title))
         self.parts, self.aside, self.tags, self.link_chars = [], [], 0, 0
 
-    def _boilerplate(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _boilerplate(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
+        """1 for boilerplate, 3 if only a weak word says so, else 0."""
         if tag in ("html", "body"):
-            return False
+            return 0
         values = {k: v or "" for k, v in attrs}
         if tag in _BOILER_TAGS or "hidden" in values or values.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", values.get("style", "")):
-            return True
+            return 1
         if set(values.get("role", "").lower().split()) & _BOILER_ROLES:
-            return True
+            return 1
         if tag in _HEADINGS:
-            return False
+            return 0
+        found = 0
         for value in (*values.get("class", "").split(), values.get("id", "")):
             words = _words(value)
             for i, w in enumerate(words):
                 if w in _BOILER_WORDS and not (i and words[i - 1] in _NOT_BOILER_AFTER):
-                    return True
-        return False
+                    if w not in _WEAK_WORDS:
+                        return 1
+                    found = 3
+        return found
+
+    def _push(self, tag: str, begins: int) -> None:
+        self.number += 1
+        place, n = len(self.stack), self.number
+        if tag in _BLOCK:
+            self.parent[n] = self._number_at("#block")
+            self.at["#block"].append(place)
+        if tag in _SCOPE:
+            self.at["#scope"].append(place)
+        if begins == 3:
+            self.at["#weak"].append(place)
+            self.weak_in_main[n] = self.mains > 0
+        self.at[tag].append(place)
+        self.stack.append((tag, n, begins))
+        self.boiler += begins == 1
+        self.headers += begins == 2
+        self.heading += tag in _HEADINGS
+        self.links += tag == "a"
+        self.mains += tag in _MAIN
 
     def _pop(self) -> None:
-        tag, _, begins = self.stack.pop()
-        if begins == 1:
-            self.boiler -= 1
-        elif begins == 2:
-            self.headers -= 1
+        tag, n, begins = self.stack.pop()
+        self.at[tag].pop()
+        if tag in _BLOCK:
+            self.at["#block"].pop()
+        if tag in _SCOPE:
+            self.at["#scope"].pop()
+        if begins == 3:
+            self.at["#weak"].pop()
+        self.last[n] = self.number
+        self.boiler -= begins == 1
+        self.headers -= begins == 2
         self.heading -= tag in _HEADINGS
         self.links -= tag == "a"
+        self.mains -= tag in _MAIN
 
     def _close(self, names: set[str], barrier: set[str]) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] in names:
-                while len(self.stack) > i:
-                    self._pop()
-                return
-            if self.stack[i][0] in barrier:
-                return
+        """Close the innermost open element of ``names`` and all inside it, unless one of ``barrier`` lies between."""
+        top = lambda keys: max((self.at[k][-1] for k in keys if self.at[k]), default=-1)
+        place = top(names)
+        if place >= 0 and top(barrier) <= place:
+            while len(self.stack) > place:
+                self._pop()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _BLOCK:
             self.flush()
             if tag in _P_ENDERS:
-                self._close({"p"}, _SCOPE)
+                self._close({"p"}, {"#scope"})
             if tag in _CLOSES:
                 self._close(_CLOSES[tag], {"table", "ul", "ol", "dl", "select", "menu"} - {tag})
             if tag == "body":
@@ -137,18 +195,13 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in _VOID:
             return
-        begins = 0
-        if self._boilerplate(tag, attrs):
-            in_main = any(t in _MAIN for t, _, _ in self.stack) and not self.boiler
+        begins = self._boilerplate(tag, attrs)
+        if begins and self.mains and not self.boiler:
             titled = tag == "header" or (tag in ("div", "section", "hgroup") and not self._boilerplate(tag, [(k, re.sub("(?i)header", "", v or "")) for k, v in attrs]))
-            begins = 2 if in_main and titled else 1
-        self.number += 1
-        self.stack.append((tag, self.number, begins))
+            named = tag == "header" or any("header" in _words(v or "") for k, v in attrs if k in ("class", "id"))
+            begins = 2 if titled and named else begins
+        self._push(tag, begins)
         self.tags_of[self.number] = tag if dict(attrs).get("role") != "main" else "main"
-        self.boiler += begins == 1
-        self.headers += begins == 2
-        self.heading += tag in _HEADINGS
-        self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # a slash at the end has no meaning in HTML
@@ -162,7 +215,7 @@ class _Lines(HTMLParser):
         if tag in _BLOCK or tag in _BOILER_TAGS:
             self._close({tag}, {"body", "html"} - {tag})
         else:
-            self._close({tag}, _BLOCK)
+            self._close({tag}, {"#block"})
 
     def handle_data(self, data: str) -> None:
         if self.boiler > 0 or (self.headers > 0 and not self.heading):
@@ -172,16 +225,34 @@ class _Lines(HTMLParser):
             if self.links:
                 self.link_chars += len(data)
 
+    def finish(self) -> list[_Line]:
+        self.close()
+        self.flush()
+        while self.stack:
+            self._pop()
+        self._weigh_weak()
+        return self.lines
+
+    def _weigh_weak(self) -> None:
+        """Lines inside an element that a weak word marks are boilerplate unless it is content by its ratio."""
+        sums: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0])
+        for x in self.lines:
+            if x.weak and not x.boiler:
+                for k, v in enumerate((len(x.text), x.tags, x.link_chars)):
+                    sums[x.weak][k] += v
+        others = [len(x.text) / max(1, x.tags) for x in self.lines if not x.boiler and not x.weak]
+        usual = sum(others) / len(others) if others else 0.0
+        for x in self.lines:
+            if x.weak and not x.boiler:
+                chars, tags, links = sums[x.weak]
+                x.boiler = not (self.weak_in_main[x.weak] and chars >= WEAK_CHARS and links <= WEAK_LINKS * chars and chars / max(1, tags) >= usual / 2)
+
 
-def _smooth(values: list[float]) -> list[float]:
+def _smooth(values: np.ndarray) -> np.ndarray:
     reach = math.ceil(3 * SIGMA)
-    kernel = [math.exp(-0.5 * (k / SIGMA) ** 2) for k in range(-reach, reach + 1)]
-    out = []
-    for i in range(len(values)):
-        lo, hi = max(0, i - reach), min(len(values), i + reach + 1)
-        weights = kernel[lo - i + reach : hi - i + reach]
-        out.append(sum(w * v for w, v in zip(weights, values[lo:hi], strict=True)) / sum(weights))
-    return out
+    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SIGMA) ** 2)
+    middle = slice(reach, reach + len(values))
+    return np.convolve(values, kernel)[middle] / np.convolve(np.ones(len(values)), kernel)[middle]
 
 
 def blocks(html: str | None) -> list[str]:
@@ -190,40 +261,42 @@ def blocks(html: str | None) -> list[str]:
     html = html or ""
     for at in range(0, len(html), 1 << 16):  # the parser keeps what an incomplete event needs
         parser.feed(html[at : at + (1 << 16)])
-    parser.close()
-    parser.flush()
-    lines = [x for x in parser.lines if x[0]]
-    if not any(not boiler for _, _, boiler, _, _ in lines):
+    lines = parser.finish()
+    if all(x.boiler for x in lines):
         return []
-    ratio = [0.0 if boiler else len(text) / max(1, tags) * (1 - min(1.0, links / len(text))) for text, tags, boiler, _, links in lines]
-    mean = sum(ratio) / len(ratio)
-    spread = math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio))
+    ratio = np.array([0.0 if x.boiler else len(x.text) / max(1, x.tags) * (1 - min(1.0, x.link_chars / len(x.text))) for x in lines])
     smooth = _smooth(ratio)
-    content = [s >= min(THRESHOLD * spread, max(smooth)) and not x[2] for s, x in zip(smooth, lines, strict=True)]
+    limit = min(THRESHOLD * float(ratio.std()), float(smooth.max()))
+    content = [s >= limit and not x.boiler for s, x in zip(smooth.tolist(), lines, strict=True)]
     if not any(content):
-        content = [not x[2] for x in lines]
-    held: dict[int, int] = {}
-    for (text, _, _, containers, _), yes in zip(lines, content, strict=True):
+        content = [not x.boiler for x in lines]
+    held: dict[int, int] = defaultdict(int)
+    for x, yes in zip(lines, content, strict=True):
         if yes:
-            for n in containers:
-                held[n] = held.get(n, 0) + len(text)
-    total = sum(len(x[0]) for x, yes in zip(lines, content, strict=True) if yes)
-    named = [n for n in held if parser.tags_of[n] in _MAIN]
+            held[x.container] += len(x.text)
+    total = sum(held.values())
+    for n in sorted(parser.parent, reverse=True):  # from inside out
+        if held.get(n):
+            held[parser.parent[n]] += held[n]
+    held.pop(0, None)
+    holds = lambda n, x: n <= x.container <= parser.last[n]
+    named = [n for n in held if parser.tags_of[n] in _MAIN and held[n]]
+    best = outer = None
     if named:
         # of nested or repeated ones: the most text, the innermost (an article inside main) of those
         most = max(held[n] for n in named)
         best = max(n for n in named if held[n] >= SHARE * most)
         # what a main or article around it holds besides (a title, a lead) belongs to it
-        outer = min(n for n in named if any(n in x[3] and best in x[3] for x in lines))
+        outer = min(n for n in named if n <= best <= parser.last[n])
     else:
-        wide = [n for n in held if held[n] >= SHARE * total and parser.tags_of[n] not in ("p", "li", *_HEADINGS)]
-        best = max(wide) if wide and parser.tags_of[max(wide)] not in ("body", "html") else None
-        outer = None  # short blocks beside a long table or list may stand at any level
-    inside = [outer is None or outer in x[3] for x in lines]
-    at = [i for i, x in enumerate(lines) if inside[i] and not x[2] and (content[i] or best in x[3])]
+        # short blocks beside a long table or list may stand at any level
+        wide = max((n for n in held if held[n] >= SHARE * total and parser.tags_of[n] not in ("p", "li", *_HEADINGS)), default=None)
+        best = wide if wide is not None and parser.tags_of[wide] not in ("body", "html") else None
+    inside = [outer is None or holds(outer, x) for x in lines]
+    at = [i for i, x in enumerate(lines) if inside[i] and not x.boiler and (content[i] or (best is not None and holds(best, x)))]
     first, last = at[0], at[-1]
     # short blocks at both ends, up to the next line of links
-    links = [not x[2] and x[4] > len(x[0]) / 2 for x in lines]
+    links = [not x.boiler and x.link_chars > len(x.text) / 2 for x in lines]
     while first and inside[first - 1] and not links[first - 1]:
         first -= 1
     while last + 1 < len(lines) and inside[last + 1] and not links[last + 1]:
@@ -233,10 +306,10 @@ def blocks(html: str | None) -> list[str]:
         above = first
         while above and not links[above - 1]:
             above -= 1
-            if any(parser.tags_of[n] == "h1" for n in lines[above][3]) and not lines[above][2]:
+            if lines[above].title and not lines[above].boiler:
                 first = above
                 break
-    return [x[0] for i, x in enumerate(lines) if first <= i <= last and not x[2]]
+    return [x.text for x in lines[first : last + 1] if not x.boiler]
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -7,6 +7,7 @@ import io
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -360,6 +361,64 @@ def test_html_many_short_blocks_at_both_ends():
     assert html_text.blocks(f"<html><body><div>{page}</div></body></html>") == [*ends, LONG.strip(), *ends]
 
 
+def random_page(rnd):
+    """A page and the blocks of its article, by one of several layouts."""
+    text = lambda n: prose(rnd, n).capitalize() + "."
+    own, parts = [], []
+
+    def block(tag, words, inner="{}"):
+        own.append(text(words))
+        parts.append(f"<{tag}>" + inner.format(own[-1]) + f"</{tag}>")
+
+    block("h1", 5)
+    for _ in range(rnd.randrange(2, 12)):
+        kind = rnd.randrange(6)
+        if kind == 0:
+            items = [text(rnd.randrange(2, 9)) for _ in range(rnd.randrange(2, 6))]
+            own.extend(items)
+            parts.append("<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>")
+        elif kind == 1:
+            block("h2", 4)
+        elif kind == 2:
+            block("blockquote", 30)
+        elif kind == 3:
+            parts.append(f"<div class=ad>{text(8)}</div>")
+        block("p", rnd.randrange(15, 120), rnd.choice(["{}", "<b>{}</b>", "<em>{}</em>"]))
+    frame = rnd.choice(["<article>{}</article>", "<main>{}</main>", "<div id=content>{}</div>", "<div><div class=post-body>{}</div></div>", "{}"])
+    links = lambda n: "<ul>" + "".join(f"<li><a href=/{k}>{prose(rnd, 2)}</a></li>" for k in range(n)) + "</ul>"
+    body = f"<header><div class=logo>Site</div></header><nav>{links(8)}</nav>{frame.format(chr(10).join(parts))}"
+    body += f"<aside class=sidebar><h3>Popular</h3>{links(5)}</aside><section id=comments><div class=comment><p>{text(60)}</p></div><div class=comment><p>{text(40)}</p></div></section>"
+    body += f"<div class='newsletter'><form>{text(6)}<input><button>Go</button></form></div><div class='cookie-notice'>{text(30)}</div><footer><p>{text(12)}</p>{links(4)}</footer>"
+    return f"<html><head><title>{text(4)}</title><style>p{{}}</style></head><body>{body}<script>var x = '<p>no</p>';</script></body></html>", own
+
+
+def test_html_precision_and_recall():
+    rnd = random.Random(17)
+    right = found = there = 0
+    for _ in range(200):
+        page, own = random_page(rnd)
+        got = collections.Counter(" ".join(html_text.blocks(page)).split())
+        want = collections.Counter(" ".join(own).split())
+        right, found, there = right + (got & want).total(), found + got.total(), there + want.total()
+    assert right / found >= 0.99 and right / there >= 0.99, (right / found, right / there)
+
+
+def test_html_long_and_deep_pages_in_linear_time():
+    began = time.process_time()
+    assert html_text.blocks("<p>x</p>" * 100_000) == ["x"] * 100_000
+    assert html_text.blocks("<div>" * 50_000 + "<p>text here</p>" + "</section>" * 50_000) == ["text here"]
+    assert html_text.blocks("<i><p>" + "<b>" * 50_000 + "</i>" * 50_000 + "x") == ["x"]
+    assert time.process_time() - began < 60
+
+
+def test_html_words_and_weak_names():
+    long = "Prose that goes on and on about something of weight. " * 5
+    page = "<article><p>super<wbr>cali</p>{}<p>" + long + "</p></article>"
+    assert html_text.blocks(page.format(f"<div class=warning><p>{long}</p></div>")) == ["supercali", long.strip(), long.strip()]
+    assert html_text.blocks(page.format("<div class='share form'><a href=x>post</a></div>")) == ["supercali", long.strip()]
+    assert html_text.blocks(page.format(f"<div class=comment><p>{long}</p></div>")) == ["supercali", long.strip()]
+
+
 def test_html_odd_pages(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<p>Only &lt;text"), (4, "u", "plain"), (4, "u", "plain"), (5, "u", "<nav>menu</nav>"), (6, "u", "<p>" + "x " * 40000)], "page_id long, url string, html string")
     out = sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract_text(pages).collect())
