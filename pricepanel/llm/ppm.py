@@ -6,11 +6,15 @@ an escape (method C: as likely as the context has different symbols) leads to th
 context, where all symbols of the longer one are excluded, down to a uniform choice among the bytes
 that are left. The code length of a document is the sum over its bytes and its end.
 
-Counts of all training documents are gathered with partial sums per task. Contexts are dealt to
-shards by their last two bytes, so that a position's contexts of two bytes and more are in one shard;
-scoring holds one shard at a time, of at most ``SHARD`` leaves, and adds up the shards' parts.
-Of the word counts only the frequent head is held by tasks; the other words of a document are
-looked up by a join.
+One pass over the texts cuts them into blocks and writes, besides the blocks, the different grams (a
+byte with its ``ORDER`` predecessors) of each block with their counts in training, packed and dealt to
+buckets by the context's last three bytes. In a bucket the counts of all blocks are merged, which gives
+the bucket's part of the trie, and every gram that some block asks for is scored once per block; the
+answers go back to the blocks, which add them up. So a task holds the trie of one bucket or the grams
+of one block, the model never passes through the driver, and work and shuffle grow with the texts
+alone. Contexts of up to two bytes are common to all buckets: their counts, at most 2 ** 24, are sent
+to all tasks. Of the word counts only the frequent head is held by tasks; the other words of a document
+are looked up by a join.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,77 +33,161 @@ from .common import materialize, table
 
 #: Bytes of the longest context.
 ORDER = 5
-#: Most leaves of the trie (contexts of ORDER bytes with a symbol) that a task holds.
-SHARD = 4_000_000
+#: Bytes of a context that decide on its bucket; shorter contexts are held by every task.
+SUFFIX = 3
 #: Most words whose counts a task holds.
 HEAD = 100_000
 #: Marks before the first byte and after the last; neither occurs in UTF-8.
 START, END = 0xFE, 0xFF
-#: Bytes of text worked on together.
-BLOCK = 1 << 20
+#: Bytes of text of a block; a longer text is a block of its own and its grams are worked on in pieces of this size.
+BLOCK = 1 << 23
+#: Grams merged or looked up at once.
+PIECE = 1 << 20
 
 
-def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The code of each byte with its ORDER predecessors, for all texts and their ends; and lengths."""
-    glued = np.frombuffer(b"".join(bytes([START]) * ORDER + t + bytes([END]) for t in texts), dtype=np.uint8).astype(np.uint64)
-    codes = np.zeros(len(glued) - ORDER, dtype=np.uint64)
-    for k in range(ORDER + 1):
-        codes = codes << np.uint64(8) | glued[k : len(glued) - ORDER + k]
+def _grams(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The code of each byte with its ORDER predecessors, for all texts and their ends, and the texts' lengths.
+
+    One long text comes in several pieces, several texts in one.
+    """
+    glued = np.frombuffer(b"".join(bytes([START]) * ORDER + t + bytes([END]) for t in texts), dtype=np.uint8)
     lengths = np.array([len(t) + 1 for t in texts])
-    # the ORDER codes that run from one text into the next text's marks are no events
-    keep = np.ones(len(codes), dtype=bool)
-    ends = np.cumsum(lengths + ORDER)[:-1] - ORDER
-    for k in range(ORDER):
-        keep[ends + k] = False
-    return codes[keep], lengths
+    step = BLOCK if len(texts) == 1 else len(glued)
+    for at in range(0, max(1, len(glued) - ORDER), step):
+        part = glued[at : at + step + ORDER]
+        codes = np.zeros(len(part) - ORDER, dtype=np.uint64)
+        for k in range(ORDER + 1):
+            codes <<= np.uint64(8)
+            codes |= part[k : len(part) - ORDER + k]
+        if len(texts) > 1:
+            # the ORDER codes that run from one text into the next text's marks are no events
+            keep = np.ones(len(codes), dtype=bool)
+            ends = np.cumsum(lengths + ORDER)[:-1] - ORDER
+            for k in range(ORDER):
+                keep[ends + k] = False
+            codes = codes[keep]
+        yield codes, lengths if len(texts) > 1 else np.array([len(codes)])
+
+
+def _summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different codes in order and the sums of their ``n``."""
+    if not len(codes):
+        return codes, n
+    order = np.argsort(codes)
+    codes, n = codes[order], n[order]
+    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+    return codes[first], np.add.reduceat(n, first)
+
+
+def _block_counts(texts: list[bytes], train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different grams of the texts and how often each occurs in those that train."""
+    found = []
+    for codes, lengths in _grams(texts):
+        codes <<= np.uint64(1)
+        codes |= np.repeat(train, lengths).astype(np.uint64)
+        codes.sort()
+        own = codes >> np.uint64(1)
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        found.append((own[first], np.add.reduceat((codes & np.uint64(1)).astype(np.int64), first)))
+    return found[0] if len(found) == 1 else _summed(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+
+def _pack(values: np.ndarray, width: int) -> bytes:
+    """Whole numbers below ``256 ** width``, byte by byte in planes, compressed."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
 
+def _unpack(data: bytes, size: int, width: int) -> np.ndarray:
+    out = np.zeros((size, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(pa.decompress(data, size * width, "zstd"), dtype=np.uint8).reshape(width, size).T
+    return out.reshape(-1).view("<u8")
 
-def _blocks(texts: list[bytes]) -> Iterator[list[bytes]]:
-    at = 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) <= BLOCK):
-            size += len(texts[end])
-            end += 1
-        yield texts[at:end]
-        at = end
 
+def _pack_codes(codes: np.ndarray) -> bytes:
+    """Codes in order, as differences."""
+    return _pack(np.diff(codes, prepend=np.uint64(0)), ORDER + 1)
 
-def gather_counts(texts: DataFrame) -> DataFrame:
-    """``gram, word, n``: counts of byte grams (word null) and of words (gram null) in the column ``text``.
 
-    The end of a text counts as the word of no bytes.
+def _unpack_codes(data: bytes, size: int) -> np.ndarray:
+    return np.cumsum(_unpack(data, size, ORDER + 1), dtype=np.uint64)
+
+
+def _bucket(codes: np.ndarray, buckets: int) -> np.ndarray:
+    suffix = (codes >> np.uint64(8)) & np.uint64((1 << 8 * SUFFIX) - 1)
+    return ((((suffix * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def _cut(rows: DataFrame, buckets: int) -> DataFrame:
+    """One pass over rows of ``id, text, train, wanted``, written to the shared folder.
+
+    Rows of four kinds: a block's texts (``block, texts, lengths, rows, ids``; only wanted rows), a
+    block's grams in a bucket (``block, bucket, size, codes, counts``), training counts of short grams
+    (``gram, n``) and of words (``word, n``; the end of a text counts as the word of no bytes).
     """
+    kind = rows.schema["id"].dataType
+    ids = pa.list_(rows.select("id").limit(0).toArrow().schema.field("id").type)
+    fields = [("kind", pa.string()), ("block", pa.int64()), ("bucket", pa.int32()), ("size", pa.int32()), ("codes", pa.binary()), ("counts", pa.binary()), ("texts", pa.binary()), ("bytes", pa.int64()), ("lengths", pa.list_(pa.int64())), ("rows", pa.list_(pa.int64())), ("ids", ids), ("gram", pa.int64()), ("word", pa.binary()), ("n", pa.int64())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(codes=None, n=None, words=None) -> pa.RecordBatch:
-            if words is not None:
-                return pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int64()), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["gram", "word", "n"])
-            return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.nulls(len(codes), pa.binary()), pa.array(n)], names=["gram", "word", "n"])
+    def made(count: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[name], t) if name in columns else pa.nulls(count, t) for name, t in fields], names=[name for name, _ in fields])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 33
+        count = 0
         words: Counter = Counter()
-        codes, n = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        short, short_n = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        held: list[tuple] = []
+        size = 0
+
+        def block() -> Iterator[pa.RecordBatch]:
+            nonlocal short, short_n
+            texts, name = [h[1] for h in held], first + held[0][2]
+            codes, n = _block_counts(texts, np.array([h[3] for h in held]))
+            three = codes & np.uint64(0xFFFFFF)
+            short, short_n = _summed(np.concatenate([short, three[n > 0]]), np.concatenate([short_n, n[n > 0]]))
+            dealt = _bucket(codes, buckets)
+            order = np.argsort(dealt.astype(np.uint16) if buckets <= 65536 else dealt, kind="stable")
+            codes, n, dealt = codes[order], n[order], dealt[order]
+            starts = np.flatnonzero(np.r_[True, dealt[1:] != dealt[:-1]])
+            ends = np.r_[starts[1:], len(dealt)]
+            yield made(
+                len(starts), kind=["grams"] * len(starts), block=[name] * len(starts), bucket=dealt[starts], size=ends - starts,
+                codes=[_pack_codes(codes[a:b]) for a, b in zip(starts, ends, strict=True)], counts=[_pack(n[a:b], 4) for a, b in zip(starts, ends, strict=True)],
+            )
+            mine = [h for h in held if h[4]]
+            if mine:
+                glued = b"".join(h[1] for h in mine)
+                yield made(
+                    1, kind=["texts"], block=[name], texts=[pa.compress(glued, "zstd", asbytes=True)], bytes=[len(glued)], lengths=[[len(h[1]) for h in mine]],
+                    rows=[[first + h[2] for h in mine]], ids=[[h[0] for h in mine]],
+                )
+            held.clear()
+
         for batch in batches:
-            texts = [(t.as_py() or "").encode("utf-8").lower() for t in batch.column("text")]
-            for block in _blocks(texts):
-                for t in block:
+            for i, text, train, wanted in zip(*(batch.column(c) for c in ("id", "text", "train", "wanted")), strict=True):
+                t = (text.as_py() or "").encode("utf-8").lower()
+                if held and size + len(t) > BLOCK:
+                    yield from block()
+                    size = 0
+                train = bool(train.as_py())
+                held.append((i.as_py(), t, count, train, wanted.as_py()))
+                count, size = count + 1, size + len(t)
+                if train:
                     words.update(t.split())
-                words[b""] += len(block)
-                found, times = np.unique(_grams(block)[0], return_counts=True)
-                both, where = np.unique(np.concatenate([codes, found]), return_inverse=True)
-                codes, n = both, np.bincount(where, weights=np.concatenate([n, times])).astype(np.int64)
-                if len(words) > 200_000:
-                    yield rows(words=words)
-                    words = Counter()
-                if len(codes) > 1_000_000:
-                    yield rows(codes, n)
-                    codes, n = codes[:0], n[:0]
+                    words[b""] += 1
+                    if len(words) > 200_000:
+                        yield made(len(words), kind=["words"] * len(words), word=list(words), n=list(words.values()))
+                        words = Counter()
+        if held:
+            yield from block()
         if words:
-            yield rows(words=words)
-        if len(codes):
-            yield rows(codes, n)
+            yield made(len(words), kind=["words"] * len(words), word=list(words), n=list(words.values()))
+        if len(short):
+            yield made(len(short), kind=["short"] * len(short), gram=short.view(np.int64), n=short_n)
 
-    return texts.mapInArrow(run, "gram long, word binary, n long").groupBy("gram", "word").agg(F.sum("n").alias("n"))
+    schema = f"kind string, block long, bucket int, size int, codes binary, counts binary, texts binary, bytes long, lengths array<long>, rows array<long>, ids array<{kind.simpleString()}>, gram long, word binary, n long"
+    return materialize(rows.mapInArrow(run, schema), "ppm-cut")
 
 
 class Level:
@@ -130,14 +219,13 @@ def _mask(k: int) -> np.uint64:
 
 
 class Trie:
-    """Scores codes of ORDER + 1 bytes; ``pairs``: counts of all codes of 2 bytes, for the shortest contexts."""
+    """Scores codes of ORDER + 1 bytes whose contexts end in one bucket's suffixes; ``short``: the codes of SUFFIX bytes of all buckets."""
 
-    def __init__(self, codes: np.ndarray, n: np.ndarray, pairs: np.ndarray, pairs_n: np.ndarray):
+    def __init__(self, codes: np.ndarray, n: np.ndarray, short: np.ndarray, short_n: np.ndarray):
         self.levels: list[Level] = []
         for k in range(ORDER + 1):
-            part, times = (codes, n) if k >= 2 else (pairs, pairs_n)
-            short, where = np.unique(part & _mask(k), return_inverse=True)
-            self.levels.append(Level(short, np.bincount(where, weights=times, minlength=len(short)).astype(np.int64)))
+            part, times = (codes, n) if k >= SUFFIX else (short, short_n)
+            self.levels.append(Level(*_summed(part & _mask(k), times)))
         # what is left of a context's shorter one when the context's own symbols are excluded
         self.left_total, self.left_kinds = [np.zeros(0)], [np.zeros(0)]
         for k in range(1, ORDER + 1):
@@ -147,45 +235,13 @@ class Trie:
             self.left_total.append(shorter.total[at] - np.add.reduceat(seen, own.first) if len(seen) else np.zeros(0))
             self.left_kinds.append(shorter.kinds[at] - own.kinds)
         top = self.levels[ORDER]
-        self.top_log = (np.log10(top.n) - np.repeat(np.log10(top.total + top.kinds), top.kinds)).astype(np.float64)
-        bits = max(4, math.ceil(math.log2(max(1, len(top.codes)) * 2)))
-        self.shift, self.slots = np.uint64(64 - bits), np.full(1 << bits, -1, dtype=np.int32)
-        left = np.arange(len(top.codes), dtype=np.int32)
-        at = self._home(top.codes)
-        while len(left):
-            free = self.slots[at[left]] < 0
-            places, winner = np.unique(at[left][free], return_index=True)
-            self.slots[places] = left[free][winner]
-            left = left[self.slots[at[left]] != left]
-            at[left] = (at[left] + 1) & (len(self.slots) - 1)
-
-    def _home(self, codes: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        self.top_log = np.log10(top.n) - np.repeat(np.log10(top.total + top.kinds), top.kinds)
 
     def log10(self, codes: np.ndarray) -> np.ndarray:
-        top = self.levels[ORDER]
+        at, known = _find(self.levels[ORDER].codes, codes)
         out = np.zeros(len(codes))
-        if len(top.codes):
-            at = self._home(codes)
-            slot = self.slots[at]
-            hit = (slot >= 0) & (top.codes[slot] == codes)
-            out[hit] = self.top_log[slot[hit]]
-            open_ = np.flatnonzero(~hit & (slot >= 0))
-            missing = [np.flatnonzero(slot < 0)]
-            while len(open_):
-                at[open_] = (at[open_] + 1) & (len(self.slots) - 1)
-                slot = self.slots[at[open_]]
-                hit = (slot >= 0) & (top.codes[slot] == codes[open_])
-                out[open_[hit]] = self.top_log[slot[hit]]
-                missing.append(open_[slot < 0])
-                open_ = open_[~hit & (slot >= 0)]
-            rest = np.concatenate(missing)
-        else:
-            rest = np.arange(len(codes))
-        if len(rest):
-            short, where = np.unique(codes[rest], return_inverse=True)
-            out[rest] = self._escaped(short)[where]
+        out[known] = self.top_log[at[known]]
+        out[~known] = self._escaped(codes[~known])
         return out
 
     def _escaped(self, codes: np.ndarray) -> np.ndarray:
@@ -216,24 +272,8 @@ class Trie:
         return out
 
 
-def shards(counts: DataFrame) -> list[set[int]]:
-    """The two-byte suffixes of contexts, packed into shards of at most ``SHARD`` leaves."""
-    sizes = counts.where("gram IS NOT NULL").groupBy(F.expr("shiftright(gram, 8) & 65535").alias("suffix")).agg(F.count("*").alias("n")).collect()  # at most 65,536 rows
-    packed: list[tuple[int, set[int]]] = []
-    for suffix, n in sorted(sizes, key=lambda r: (-r[1], r[0])):
-        if n > SHARD:
-            raise ValueError(f"{n} leaves end in one suffix; take a lower ORDER or a larger SHARD")
-        k = next((i for i, (size, _) in enumerate(packed) if size + n <= SHARD), None)
-        if k is None:
-            packed.append((n, {suffix}))
-        else:
-            packed[k] = (packed[k][0] + n, packed[k][1] | {suffix})
-    return [s for _, s in packed] or [set()]
-
-
-def _head(counts: DataFrame) -> tuple[int, dict[bytes, int], int, int]:
+def _head(words: DataFrame) -> tuple[int, dict[bytes, int], int, int]:
     """Least count of the held words, their counts, number of all words and of different ones."""
-    words = counts.where("word IS NOT NULL")
     sizes = words.groupBy(F.floor(F.log2("n") * 8).alias("size")).agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.min("n").alias("least")).orderBy(F.desc("size")).collect()  # a few hundred rows
     held, least = 0, None
     for r in sizes:
@@ -247,105 +287,176 @@ def _head(counts: DataFrame) -> tuple[int, dict[bytes, int], int, int]:
     return least, dict(zip(held["word"].to_pylist(), held["n"].to_pylist(), strict=True)), total, kinds
 
 
-def _arrays(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted codes and their counts."""
-    found = grams.select("gram", "n").toArrow()
-    codes, n = found["gram"].to_numpy().view(np.uint64), found["n"].to_numpy()
-    order = np.argsort(codes)
-    return codes[order], n[order]
+class _Table:
+    """Hashed look-up of the scores of a block's grams."""
+
+    def __init__(self, codes: np.ndarray, logs: np.ndarray):
+        self.codes, self.logs = codes, logs
+        bits = max(4, math.ceil(math.log2(max(1, len(codes)) * 2)))
+        self.shift, self.slots = np.uint64(64 - bits), np.full(1 << bits, -1, dtype=np.int32)
+        left = np.arange(len(codes), dtype=np.int32)
+        at = self._home(codes)
+        while len(left):
+            free = self.slots[at[left]] < 0
+            places, winner = np.unique(at[left][free], return_index=True)
+            self.slots[places] = left[free][winner]
+            left = left[self.slots[at[left]] != left]
+            at[left] = (at[left] + 1) & (len(self.slots) - 1)
 
+    def _home(self, codes: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
-def score_documents(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every row of ``docs``.
+    def get(self, codes: np.ndarray) -> np.ndarray:
+        at = self._home(codes)
+        slot = self.slots[at]
+        open_ = np.flatnonzero(self.codes[slot] != codes)
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(self.slots) - 1)
+            slot[open_] = self.slots[at[open_]]
+            open_ = open_[self.codes[slot[open_]] != codes[open_]]
+        return self.logs[slot]
 
-    Both models learn from the texts of ``training``. A null or empty text is its end alone. Repeated
-    rows give repeated results, other columns are ignored, an empty table gives no rows; without
-    training documents every word is unknown and every byte equally likely.
-    """
-    counts = materialize(gather_counts(training.select(training[text_col].alias("text"))), "ppm-counts")
-    least, head, total, kinds = _head(counts)
+
+def _answer(short_sent):
+    """Rows sorted by bucket, counts before questions -> the scores of each question's grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        short, short_n = short_sent.value
+        none = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        bucket, merged, waiting, size, trie = None, none, [], 0, None
+
+        def merge() -> None:
+            nonlocal merged, size
+            merged = _summed(*(np.concatenate(x) for x in zip(merged, *waiting, strict=True)))
+            waiting.clear()
+            size = 0
+
+        for batch in batches:
+            out = []
+            for b, asks, block, n, codes, counts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "asks", "block", "size", "codes", "counts")), strict=True):
+                if b != bucket:
+                    bucket, merged, trie, size = b, none, None, 0
+                    waiting.clear()
+                own = _unpack_codes(codes, n)
+                if not asks:
+                    times = _unpack(counts, n, 4).astype(np.int64)
+                    waiting.append((own[times > 0], times[times > 0]))
+                    size += len(waiting[-1][0])
+                    if size > PIECE:
+                        merge()
+                    continue
+                if trie is None:
+                    merge()
+                    trie = Trie(*merged, short, short_n)
+                out.append((block, n, codes, pa.compress(trie.log10(own).tobytes(), "zstd", asbytes=True)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "size", "codes", "logs"])
+
+    return run
+
+
+def score_rows(rows: DataFrame) -> DataFrame:
+    """``id, n_tokens, n_known, train_tokens, base_score, score`` of the rows of ``id, text, train, wanted`` that are wanted."""
+    spark = rows.sparkSession
+    sc = spark.sparkContext
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cut = _cut(rows, buckets)
+    words = materialize(cut.where("kind = 'words'").groupBy("word").agg(F.sum("n").alias("n")), "ppm-words")
+    least, head, total, kinds = _head(words)
     norm = math.log10(total + 0.5 * (kinds + 1))
-    pairs = _arrays(counts.where("gram IS NOT NULL").groupBy(F.expr("gram & 65535").alias("gram")).agg(F.sum("n").alias("n")))  # at most 65,536 rows
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    sc = docs.sparkSession.sparkContext
     head_sent = sc.broadcast(head)
-    packed = shards(counts)
-    parts = []
-    for number, suffixes in enumerate(packed):
-        leaves = counts.where("gram IS NOT NULL")
-        if len(packed) > 1:
-            chosen = np.full(65536, number == 0)  # the first also has the suffixes that training lacks
-            for k, other in enumerate(packed):
-                chosen[list(other)] = k == number
-            leaves = leaves.where(F.expr("shiftright(gram, 8) & 65535").isin(sorted(suffixes)))
-        else:
-            chosen = None
-        sent = sc.broadcast((*_arrays(leaves), *pairs))
-        parts.append(rows.mapInArrow(_scorer(sent, head_sent, norm, chosen, number == 0), f"row long, id {kind}, n_tokens long, n_known long, base double, score double, word binary, times long"))
-    done = parts[0]
-    for p in parts[1:]:
-        done = done.unionByName(p)
-    done = materialize(done, "ppm-scored")
-    tail = counts.where("word IS NOT NULL").where(F.col("n") < least).select("word", F.col("n").alias("c"))
+    short = cut.where("kind = 'short'").groupBy("gram").agg(F.sum("n").alias("n")).orderBy("gram").toArrow()  # at most 2 ** 24 rows
+    short_sent = sc.broadcast((short["gram"].to_numpy().view(np.uint64), short["n"].to_numpy()))
+
+    grams = cut.where("kind = 'grams'").select("bucket", "block", "size", "codes", "counts")
+    asked = grams.select("bucket", F.lit(False).alias("asks"), "block", "size", "codes", "counts").union(grams.select("bucket", F.lit(True), "block", "size", "codes", F.lit(None).cast("binary")))
+    dealt = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "asks")
+    answers = dealt.mapInArrow(_answer(short_sent), "block long, size int, codes binary, logs binary")
+    kind = cut.schema["ids"].dataType.simpleString()
+    none = lambda t: F.lit(None).cast(t)
+    texts = cut.where("kind = 'texts'").select("block", F.lit(True).alias("is_text"), none("int").alias("size"), none("binary").alias("codes"), none("binary").alias("logs"), "texts", "bytes", "lengths", "rows", "ids")
+    both = answers.select("block", F.lit(False).alias("is_text"), "size", "codes", "logs", none("binary").alias("texts"), none("long").alias("bytes"), none("array<long>").alias("lengths"), none("array<long>").alias("rows"), none(kind).alias("ids")).unionByName(texts)
+    met = both.repartition("block").sortWithinPartitions("block", "is_text")
+    done = materialize(met.mapInArrow(_scorer(head_sent, norm), f"row long, id {rows.schema['id'].dataType.simpleString()}, n_tokens long, n_known long, base double, score double, word binary, times long"), "ppm-scored")
+
+    tail = words.where(F.col("n") < least).select("word", F.col("n").alias("c"))
     looked_up = done.where("word IS NOT NULL").select("row", "word", "times").join(tail, "word", "left")
     looked_up = looked_up.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times"))).alias("more_known"), F.sum(F.col("times") * (F.log10(F.coalesce("c", F.lit(0)) + 0.5) - norm)).alias("more_base"))
-    own = done.where("word IS NULL").select("row", "id", "n_tokens", "n_known", "base", "score")
-    if len(packed) > 1:
-        own = own.groupBy("row").agg(F.max("id").alias("id"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
-    out = own.join(looked_up, "row", "left")
+    out = done.where("word IS NULL").select("row", "id", "n_tokens", "n_known", "base", "score").join(looked_up, "row", "left")
     return out.select(
-        F.col("id").alias(id_col), "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        "id", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score",
     )
 
 
-def _scorer(sent, head_sent, norm: float, chosen: np.ndarray | None, with_words: bool):
+def _scorer(head_sent, norm: float):
+    """Rows sorted by block, answers before the block's texts -> a row per text, and its words beyond the head."""
+    names = ["row", "id", "n_tokens", "n_known", "base", "score", "word", "times"]
+
+    def scores(texts: list[bytes], known: _Table) -> np.ndarray:
+        parts = []
+        for codes, lengths in _grams(texts):
+            logs = np.concatenate([known.get(codes[at : at + PIECE]) for at in range(0, len(codes), PIECE)])
+            parts.append(np.add.reduceat(logs, np.cumsum(lengths) - lengths))
+        return parts[0] if len(texts) > 1 else np.sum(parts, axis=0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(*sent.value)
-        head = {w: (c, math.log10(c + 0.5) - norm) for w, c in head_sent.value.items()} if with_words else {}
-        names = ["row", "id", "n_tokens", "n_known", "base", "score", "word", "times"]
+        head = {w: (c, math.log10(c + 0.5) - norm) for w, c in head_sent.value.items()}
+        block, answers = None, []
         for batch in batches:
-            texts = [(t.as_py() or "").encode("utf-8").lower() for t in batch.column("text")]
-            scores = []
-            for block in _blocks(texts):
-                codes, lengths = _grams(block)
-                if chosen is None:
-                    logs = trie.log10(codes)
-                else:
-                    mine = chosen[((codes >> np.uint64(8)) & np.uint64(65535)).astype(np.int64)]
-                    logs = np.zeros(len(codes))
-                    logs[mine] = trie.log10(codes[mine])
-                scores.append(np.add.reduceat(logs, np.cumsum(lengths) - lengths))
-            n_tokens, n_known, base, tail = [], [], [], ([], [], [])
-            for row, t in zip(batch.column("row").to_pylist(), texts, strict=True):
-                known, total, size = 0, 0.0, 0
-                if with_words:
+            for at in range(batch.num_rows):
+                cell = lambda name, batch=batch, at=at: batch.column(name)[at].as_py()
+                if cell("block") != block:
+                    block, answers = cell("block"), []
+                if not cell("is_text"):
+                    answers.append((cell("codes"), cell("logs"), cell("size")))
+                    continue
+                known = _Table(np.concatenate([_unpack_codes(c, n) for c, _, n in answers]), np.concatenate([np.frombuffer(pa.decompress(x, n * 8, "zstd")) for _, x, n in answers]))
+                answers = []
+                glued, texts, start = pa.decompress(cell("texts"), cell("bytes"), "zstd", asbytes=True), [], 0
+                for n in cell("lengths"):
+                    texts.append(glued[start : start + n])
+                    start += n
+                rows, ids = cell("rows"), batch.column("ids")[at].values
+                n_tokens, n_known, base, tail = [], [], [], ([], [], [])
+                for row, t in zip(rows, texts, strict=True):
                     words = t.split()
                     words.append(b"")
-                    size = len(words)
+                    seen, worth = 0, 0.0
                     for w, n in Counter(words).items():
                         if (held := head.get(w)) is not None:
-                            known += n
-                            total += n * held[1]
+                            seen += n
+                            worth += n * held[1]
                         else:
                             tail[0].append(row)
                             tail[1].append(w)
                             tail[2].append(n)
-                n_tokens.append(size)
-                n_known.append(known)
-                base.append(total)
-            score = np.concatenate(scores) if scores else np.zeros(0)
-            n, m = len(texts), len(tail[0])
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names=names)
-            if m:
-                yield pa.RecordBatch.from_arrays([pa.array(tail[0], pa.int64()), pa.nulls(m, batch.column("id").type), *[pa.nulls(m, pa.int64())] * 2, *[pa.nulls(m, pa.float64())] * 2, pa.array(tail[1], pa.binary()), pa.array(tail[2], pa.int64())], names=names)
+                    n_tokens.append(len(words))
+                    n_known.append(seen)
+                    base.append(worth)
+                n, m = len(texts), len(tail[0])
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), ids, pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores(texts, known)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names=names)
+                if m:
+                    yield pa.RecordBatch.from_arrays([pa.array(tail[0], pa.int64()), pa.nulls(m, ids.type), *[pa.nulls(m, pa.int64())] * 2, *[pa.nulls(m, pa.float64())] * 2, pa.array(tail[1], pa.binary()), pa.array(tail[2], pa.int64())], names=names)
 
     return run
 
 
+def score_documents(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every row of ``docs``.
+
+    Both models learn from the texts of ``training``. A null or empty text is its end alone. Repeated
+    rows give repeated results, a null id is kept, other columns are ignored, an empty table gives no
+    rows; without training documents every word is unknown and every byte equally likely.
+    """
+    asked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(False).alias("train"), F.lit(True).alias("wanted"))
+    learnt = training.select(F.lit(None).cast(asked.schema["id"].dataType).alias("id"), F.col(text_col).alias("text"), F.lit(True).alias("train"), F.lit(False).alias("wanted"))
+    return score_rows(asked.union(learnt)).withColumnRenamed("id", id_col)
+
+
 def op6_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
-    scored = score_documents(docs, docs.where(~held_out))
-    return scored.withColumn("held_out", held_out)
+    scored = score_rows(docs.select(F.col("doc_id").alias("id"), "text", (~held_out).alias("train"), F.lit(True).alias("wanted")))
+    return scored.withColumnRenamed("id", "doc_id").withColumn("held_out", held_out)

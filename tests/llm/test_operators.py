@@ -315,7 +315,8 @@ def test_ppm_matches_brute_force(spark, docs, empty, monkeypatch):
         assert math.isclose(plain[i].base_score, sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens), rel_tol=1e-9)
     for i in [0, 3, 6, 62, 63]:
         assert math.isclose(plain[i].score, brute_ppm(known, texts[i], ppm.ORDER), rel_tol=1e-9)
-    monkeypatch.setattr(ppm, "SHARD", 500)
+    monkeypatch.setattr(ppm, "BLOCK", 3000)  # several blocks, and texts of several pieces
+    monkeypatch.setattr(ppm, "PIECE", 500)
     monkeypatch.setattr(ppm, "HEAD", 5)
     split = {r.doc_id: r for r in ppm.score_documents(docs, training).collect()}
     assert all(math.isclose(split[i].score, plain[i].score, rel_tol=1e-9) and math.isclose(split[i].base_score, plain[i].base_score, rel_tol=1e-9) and split[i].n_known == plain[i].n_known for i in texts)
