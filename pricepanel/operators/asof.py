@@ -23,6 +23,25 @@ def as_of(origins: DataFrame, releases: DataFrame, key: list[str], max_age: int,
     return out.select(*key, "origin", reason.alias("reason"), F.when(reason == "available", F.col("best.value")).alias("value"), F.when(reason == "available", F.col("best.reference_end")).alias("reference_end"))
 
 
+def monthly_as_of(origins: DataFrame, levels: DataFrame, key: list[str], max_age: int, lag: int = 0) -> DataFrame:
+    """AS3: as-of lookup of monthly index levels: a release (``period`` any day of its month, ``available_at``, ``value``) refers to that month's last day.
+
+    With sectors among ``key`` the same serves monthly changes by sector (``monthly_changes``).
+    """
+    return as_of(origins, levels.withColumn("reference_end", F.last_day("period")), key, max_age, lag)
+
+
+def monthly_changes(levels: DataFrame, key: list[str]) -> DataFrame:
+    """AS3: per key and month the relative change on the month before, known when both levels are; none without a level just before.
+
+    Of several releases of a month the first to be available counts.
+    """
+    first = levels.groupBy(*key, F.last_day("period").alias("period")).agg(F.min(F.struct(F.to_date("available_at").alias("available_at"), "value")).alias("x"))
+    before = Window.partitionBy(*key).orderBy("period")
+    out = first.withColumns({"p": F.lag("period").over(before), "b": F.lag("x").over(before)}).where(F.col("p") == F.last_day(F.add_months("period", -1)))
+    return out.select(*key, "period", F.greatest("x.available_at", "b.available_at").alias("available_at"), (F.try_divide(F.col("x.value"), F.col("b.value")) - 1).alias("value")).where("value IS NOT NULL")
+
+
 def validate(releases: DataFrame, key: list[str]) -> DataFrame:
     """AS4: the broken rules of each release; empty if it may be used."""
     n = F.count("*").over(Window.partitionBy(*key, "reference_end", "available_at"))
@@ -98,14 +117,23 @@ def listed(rows: DataFrame, hosts: list[str], cells: int = 3) -> DataFrame:
     return rows.withColumns({"reason": reason, "document": canonical_url(F.col("url"))})
 
 
-def document_index(rows: DataFrame, commodity: str) -> DataFrame:
-    """AS10: per document of the rows that ``listed`` admits: occurrences, year labels, and whether all subjects name the commodity.
+#: Occurrences in one array of the document index; a document listed more often has several rows.
+OCCURRENCES = 10_000
+
+
+def document_index(rows: DataFrame, commodity: str, place: str = "place") -> DataFrame:
+    """AS10: per document of the rows that ``listed`` admits: its occurrences (place, year, subject), year labels, and whether all subjects name the commodity.
 
-    Occurrences stay rows of ``listed`` (joined by ``document``) instead of an array, so a document listed
-    very often is never gathered into one value. A null subject names nothing.
+    Occurrences are an array in order of ``place`` (a unique column). So that no array grows without
+    bound, a document of more than ``OCCURRENCES`` has a row per that many, numbered by ``part``; counts
+    and the candidate flag are of the whole document on each. A null subject names nothing.
     """
     named = F.coalesce(F.col("subject").rlike("(?i)" + commodity), F.lit(False))
-    return rows.where("reason IS NULL").groupBy("document").agg(F.count("*").alias("occurrences"), F.count_distinct("year").alias("years"), F.bool_and(named).alias("candidate"))
+    good = rows.where("reason IS NULL").withColumn("named", named)
+    whole = good.groupBy("document").agg(F.count("*").alias("occurrences"), F.count_distinct("year").alias("years"), F.bool_and("named").alias("candidate"))
+    numbered = good.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("document").orderBy(place)) - 1) / OCCURRENCES).cast("int"))
+    arrays = numbered.groupBy("document", "part").agg(F.array_sort(F.collect_list(F.struct(place, "year", "subject"))).alias("listed"))
+    return arrays.join(whole, "document").select("document", "part", "occurrences", "years", "candidate", "listed")
 
 
 def corroborate(releases: DataFrame, candidates: DataFrame) -> DataFrame:

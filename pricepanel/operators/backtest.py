@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,13 +46,32 @@ def persistence_paths(panel: DataFrame, horizon: int = HORIZON) -> DataFrame:
     return last.where("price IS NOT NULL").select("series", "origin", "price", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("horizon")).withColumn("date", F.date_add("origin", F.col("horizon")))
 
 
-def fit_relative(rows: DataFrame, columns: list[str], target: str = "target", ridge: float = 0.001):
-    """BT5: a pooled linear model of the one-day relative return, with Spark ML."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
+@dataclass
+class Linear:
+    coefficients: list[float]
+    intercept: float
+
+
+def fit_relative(rows: DataFrame, columns: list[str], target: str = "target", ridge: float = 0.001) -> Linear:
+    """BT5: a pooled linear model of the one-day relative return: ridge on standardised columns and target.
 
-    ready = VectorAssembler(inputCols=columns, outputCol="x", handleInvalid="skip").transform(rows.where(F.col(target).isNotNull()))
-    return LinearRegression(featuresCol="x", labelCol=target, regParam=ridge, solver="normal").fit(ready)
+    One aggregation gives all covariances; the small system is solved from that one row. A column
+    without spread gets no weight; rows with a null are left out.
+    """
+    known = rows.dropna(subset=[*columns, target])
+    pairs = [(a, b) for i, a in enumerate(columns) for b in [*columns[i + 1 :], target]]
+    sums = known.agg(
+        *[F.avg(c).alias(f"m_{c}") for c in [*columns, target]], *[F.stddev_pop(c).alias(f"s_{c}") for c in [*columns, target]], *[F.covar_pop(a, b).alias(f"r_{a}_{b}") for a, b in pairs]
+    ).first()
+    kept = [c for c in columns if sums[f"s_{c}"]]
+    if not kept or not sums[f"s_{target}"]:
+        return Linear([0.0] * len(columns), float(sums[f"m_{target}"] or 0.0))
+    known_pairs = {frozenset(p): sums[f"r_{p[0]}_{p[1]}"] / (sums[f"s_{p[0]}"] * sums[f"s_{p[1]}"]) for p in pairs if p[0] in kept and (p[1] in kept or p[1] == target)}
+    r = lambda a, b: 1 + ridge if a == b else known_pairs[frozenset((a, b))]
+    beta = np.linalg.solve(np.array([[r(a, b) for b in kept] for a in kept]), np.array([r(a, target) for a in kept]))
+    own = dict(zip(kept, (float(x) * sums[f"s_{target}"] / sums[f"s_{c}"] for x, c in zip(beta, kept, strict=True)), strict=True))
+    weights = [own.get(c, 0.0) for c in columns]
+    return Linear(weights, float(sums[f"m_{target}"] - sum(w * sums[f"m_{c}"] for w, c in zip(weights, columns, strict=True))))
 
 
 def recursive_paths(history: DataFrame, weights: dict[str, float], intercept: float = 0.0, horizon: int = HORIZON) -> DataFrame:
@@ -58,40 +80,47 @@ def recursive_paths(history: DataFrame, weights: dict[str, float], intercept: fl
     ``history``: ``origin, product_category, series, last_prices`` (array, oldest first). Each day's
     relative change is linear in the series' last change, its gap to the mean of its last 7 prices and
     the category's median change of the day before (a missing one counts as 0); all series of a
-    category move together because of the last. The task of a category holds 7 prices per series.
+    category move together because of the last. The task of a category and origin holds a matrix of 8
+    prices per series; a day is a few operations on it.
     """
-    w = dict(weights)
+    own, gap, peer = (weights.get(k, 0.0) for k in ("own", "gap", "peer"))
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        rows = rows.sort_values("series")
-        last = [list(map(float, p)) for p in rows["last_prices"]]
-        out = []
-        peer = np.median([(p[-1] / p[-2] - 1) if len(p) > 1 else 0.0 for p in last]) if last else 0.0
-        for h in range(1, horizon + 1):
-            moves = []
-            for p in last:
-                own = p[-1] / p[-2] - 1 if len(p) > 1 else 0.0
-                gap = p[-1] / (sum(p[-7:]) / len(p[-7:])) - 1
-                moves.append(intercept + w.get("own", 0.0) * own + w.get("gap", 0.0) * gap + w.get("peer", 0.0) * peer)
-            for p, m in zip(last, moves, strict=True):
-                p.append(max(0.01, p[-1] * (1 + m)))
-                del p[:-8]
-            peer = float(np.median([p[-1] / p[-2] - 1 for p in last]))
-            out.append(pd.DataFrame({"series": rows["series"].to_numpy(), "horizon": h, "price": [p[-1] for p in last]}))
-        done = pd.concat(out)
-        done["origin"], done["product_category"] = rows["origin"].iloc[0], rows["product_category"].iloc[0]
-        return done[["origin", "product_category", "series", "horizon", "price"]]
+        last = np.full((len(rows), 8), np.nan)
+        for i, prices in enumerate(rows["last_prices"]):
+            tail = np.asarray(prices, dtype=float)[-8:]
+            last[i, 8 - len(tail) :] = tail
+        out = np.empty((len(rows), horizon))
+        for h in range(horizon):
+            change = np.where(np.isnan(last[:, 6]), 0.0, last[:, 7] / last[:, 6] - 1)
+            move = intercept + own * change + gap * (last[:, 7] / np.nanmean(last[:, 1:], axis=1) - 1) + peer * np.median(change)
+            out[:, h] = np.maximum(0.01, last[:, 7] * (1 + move))
+            last = np.column_stack([last[:, 1:], out[:, h]])
+        return pd.DataFrame({
+            "origin": rows["origin"].iloc[0], "product_category": rows["product_category"].iloc[0], "series": np.repeat(rows["series"].to_numpy(), horizon),
+            "horizon": np.tile(np.arange(1, horizon + 1), len(rows)), "price": out.ravel(),
+        })
 
     kind = "origin date, product_category string, series string, horizon int, price double"
     return history.select("origin", "product_category", "series", "last_prices").groupBy("origin", "product_category").applyInPandas(one, kind)
 
 
-def parity(a: DataFrame, b: DataFrame, key: list[str], value: str, tolerance: float = 1e-6) -> DataFrame:
-    """BT7: rows that only one side has or whose values differ by more than the tolerance."""
-    both = a.select(*key, F.col(value).alias("a")).join(b.select(*key, F.col(value).alias("b")), key, "full")
-    return both.where(F.col("a").isNull() != F.col("b").isNull()).unionByName(both.where(F.abs(F.col("a") - F.col("b")) > tolerance))
+def parity(a: DataFrame, b: DataFrame, key: list[str], values: list[str], tolerance: float = 1e-6) -> DataFrame:
+    """BT7: rows of both sides, rows that only one has, values that differ by more than the tolerance, the largest difference.
+
+    A null equals a null alone.
+    """
+    both = a.select(*key, F.struct(*values).alias("a")).join(b.select(*key, F.struct(*values).alias("b")), key, "full")
+    off = [F.abs(F.col(f"a.{v}") - F.col(f"b.{v}")) for v in values]
+    torn = [F.col(f"a.{v}").isNull() != F.col(f"b.{v}").isNull() for v in values]
+    there = F.col("a").isNotNull() & F.col("b").isNotNull()
+    apart = F.lit(False)
+    for far, one in zip(off, torn, strict=True):
+        apart = apart | one | F.coalesce(far > tolerance, F.lit(False))
+    return both.agg(
+        F.count("a").alias("batch"), F.count("b").alias("incremental"), F.count_if(~there).alias("unmatched"), F.count_if(there & apart).alias("differing"),
+        F.coalesce(F.max(F.greatest(*off) if len(off) > 1 else off[0]), F.lit(0.0)).alias("largest"),
+    )
 
 
 def stacking_design(rows: DataFrame, forecasters: list[str], categories: list[str]) -> DataFrame:

@@ -99,27 +99,36 @@ def specialists(rows: DataFrame, forecast: str, alternatives: list[str], least_r
     return both.where("halves = 2").drop("halves")
 
 
-def apply_blend(rows: DataFrame, a: str, b: str, weight: DataFrame, by_horizon: DataFrame, by_category: DataFrame, anomaly: DataFrame | None = None, special: DataFrame | None = None) -> DataFrame:
-    """CA9: ``ensemble`` from weight, horizon trust, category trust, anomaly reversion and specialists, in that order.
+#: The layers of the blend, in the order in which they apply.
+LAYERS = ("weight", "horizon", "category", "anomaly", "special")
+
+
+def with_layers(rows: DataFrame, weight: DataFrame, by_horizon: DataFrame, by_category: DataFrame, anomaly: DataFrame, special: DataFrame) -> DataFrame:
+    """CA9: the rows with the parameters of every layer (columns from ``__w`` on), null where a layer has none.
 
     Parameter tables have a row per key and are small; the optimizer broadcasts them by their size.
     """
     out = rows.join(F.broadcast(weight.select(F.col("weight").alias("__w"))))  # one row
     out = out.join(by_horizon.select("horizon", F.col("trust").alias("__h")), "horizon", "left").join(by_category.select("product_category", "horizon", F.col("trust").alias("__c")), ["product_category", "horizon"], "left")
-    mixed = (1 - F.col("__w")) * F.col(a) + F.col("__w") * F.col(b)
-    value = F.col("persistence") + F.coalesce("__h", F.lit(1.0)) * F.coalesce("__c", F.lit(1.0)) * (mixed - F.col("persistence"))
-    out = out.withColumn("ensemble", value).drop("__w", "__h", "__c")
-    if anomaly is not None:
-        one = anomaly.select(F.col("threshold").alias("__t"), F.col("strength").alias("__s"), F.col("decay").alias("__d"))
-        out = out.join(F.broadcast(one), F.lit(True), "left")  # at most one row
-        hit = F.abs(F.ln(F.col("anchor") / F.col("moving_average7"))) > F.col("__t")
-        moved = F.col("ensemble") + F.col("__s") * (1 - F.exp(-F.col("horizon") / F.col("__d"))) * (F.col("moving_average7") - F.col("ensemble"))
-        out = out.withColumn("ensemble", F.when(hit, moved).otherwise(F.col("ensemble"))).drop("__t", "__s", "__d")
-    if special is not None:
-        out = out.withColumn("bin", horizon_bin(F.col("horizon"))).join(special.select("product_name", "bin", F.col("alternative").alias("__a"), F.col("weight").alias("__x")), ["product_name", "bin"], "left")
-        picked = F.coalesce(*[F.when(F.col("__a") == c, F.col(c)) for c in ("seasonal7", "moving_average7", "persistence")])
-        out = out.withColumn("ensemble", F.when(picked.isNotNull(), F.col("ensemble") + F.col("__x") * (picked - F.col("ensemble"))).otherwise(F.col("ensemble"))).drop("__a", "__x", "bin")
-    return out
+    one = anomaly.agg(F.first("threshold").alias("__t"), F.first("strength").alias("__s"), F.first("decay").alias("__d"))
+    out = out.join(F.broadcast(one)).withColumn("bin", horizon_bin(F.col("horizon")))  # one row
+    return out.join(special.select("product_name", "bin", F.col("alternative").alias("__a"), F.col("weight").alias("__x")), ["product_name", "bin"], "left")
+
+
+def blended(a: str, b: str, on: dict[str, Column] | None = None) -> Column:
+    """CA9: the blend of rows of ``with_layers``: weight, horizon trust, category trust, anomaly reversion, specialists, in that order.
+
+    ``on``: for a layer a condition under which it applies; without one it does.
+    """
+    use = lambda layer: (on or {}).get(layer, F.lit(True))
+    w = F.when(use("weight"), F.col("__w")).otherwise(0.0)
+    mixed = (1 - w) * F.col(a) + w * F.col(b)
+    trusted = [F.when(use(layer), F.coalesce(c, F.lit(1.0))).otherwise(1.0) for layer, c in (("horizon", "__h"), ("category", "__c"))]
+    value = F.col("persistence") + trusted[0] * trusted[1] * (mixed - F.col("persistence"))
+    hit = use("anomaly") & F.coalesce(F.abs(F.ln(F.col("anchor") / F.col("moving_average7"))) > F.col("__t"), F.lit(False))
+    value = F.when(hit, value + F.col("__s") * (1 - F.exp(-F.col("horizon") / F.col("__d"))) * (F.col("moving_average7") - value)).otherwise(value)
+    picked = F.coalesce(*[F.when(F.col("__a") == c, F.col(c)) for c in ("seasonal7", "moving_average7", "persistence")])
+    return F.when(use("special") & picked.isNotNull(), value + F.col("__x") * (picked - value)).otherwise(value)
 
 
 def residual_bias(rows: DataFrame, forecast: str, group: list[str], k: float = 50.0) -> DataFrame:

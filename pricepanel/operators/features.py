@@ -164,18 +164,39 @@ def sequences(panel: DataFrame, columns: list[str], start: str, end: str, length
     return out.select("series", "report_date", "anchor", F.col("__x").alias("inputs"), target.alias("targets")).where(F.exists("targets", lambda t: t.isNotNull()))
 
 
-def multi_horizon(panel: DataFrame, horizon: int = 30, stride: int = 30, start: str = "1998-01-01") -> DataFrame:
-    """FE19: a training row per (series, origin, horizon) with scaled lags, window statistics, returns, slopes and dates."""
-    day = F.datediff("report_date", F.lit("1970-01-01").cast("date")).cast("double")
-    upto = lambda w: by_series().rowsBetween(-w + 1, 0)
-    p = F.col("price_index")
-    cols = {f"x_lag_{k}": F.lag(p, k).over(by_series()) / p for k in (1, 7, 14)}
+def multi_horizon(panel: DataFrame, horizon: int = 30, stride: int = 30, start: str = "1998-01-01", longest: int = 30) -> DataFrame:
+    """FE19: a training row per (series, origin, horizon) whose target day was observed.
+
+    Features of the origin, all relative to its price: lags and returns of 1, 7 and 14 days; mean,
+    standard deviation, median, least, largest and slope of the last 7, 14 and 30 days; the yearly cycle
+    of origin and target day; functions of the horizon. Every panel row is dealt to the origins whose
+    ``longest`` days it belongs to (one, where ``stride`` is at least that), and one aggregation by series
+    and origin gives all of them, without frames over rows that are no origin. The panel has a row a day.
+    """
+    first = F.lit(start).cast("date")
+    ahead = F.datediff("report_date", first)
+    # the first origin on or after the row, and later ones within reach
+    next_ = F.greatest(F.lit(0), F.ceil(ahead / stride)).cast("int")
+    reach = F.floor((ahead + longest - 1) / stride).cast("int")
+    dealt = panel.where(reach >= next_).select("series", "report_date", F.col("price_index").alias("p"), F.explode(F.sequence(next_, reach)).alias("k"))
+    dealt = dealt.withColumn("origin", F.date_add(first, F.col("k") * stride)).withColumn("age", F.datediff("origin", "report_date"))
+    at = lambda k: F.max(F.when(F.col("age") == k, F.col("p")))
+    sums = [at(0).alias("anchor"), *[at(k).alias(f"p_{k}") for k in (1, 7, 14)]]
     for w in (7, 14, 30):
-        cols |= {f"x_mean_{w}": F.avg(p).over(upto(w)) / p, f"x_median_{w}": F.percentile(p, F.lit(0.5)).over(upto(w)) / p, f"x_std_{w}": F.stddev_pop(p).over(upto(w)) / p}
-    cols |= {f"x_slope_{w}": F.expr("regr_slope(price_index, __day)").over(upto(w)) / p for w in (7, 14)}
-    origins = panel.withColumn("__day", F.when(p.isNotNull(), day)).withColumns(cols).drop("__day")
-    origins = origins.where(p.isNotNull() & (F.col("report_date") >= F.lit(start).cast("date")) & (F.datediff("report_date", F.lit(start).cast("date")) % stride == 0))
-    rows = origins.select("series", F.col("report_date").alias("origin"), p.alias("anchor"), *cols, F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("horizon"))
+        inside = F.when(F.col("age") < w, F.col("p"))
+        sums += [
+            F.avg(inside).alias(f"mean_{w}"), F.stddev_pop(inside).alias(f"std_{w}"), F.percentile(inside, F.lit(0.5)).alias(f"median_{w}"), F.min(inside).alias(f"min_{w}"),
+            F.max(inside).alias(f"max_{w}"), F.regr_slope(inside, -F.col("age").cast("double")).alias(f"slope_{w}"),
+        ]
+    origins = dealt.groupBy("series", "origin").agg(*sums).where("anchor IS NOT NULL")
+    scaled = [F.col(c) / F.col("anchor") for w in (7, 14, 30) for c in (f"mean_{w}", f"std_{w}", f"median_{w}", f"min_{w}", f"max_{w}", f"slope_{w}")]
+    names = [f"x_{c}_{w}" for w in (7, 14, 30) for c in ("mean", "std", "median", "min", "max", "slope")]
+    lags = [(F.col(f"p_{k}") / F.col("anchor")).alias(f"x_lag_{k}") for k in (1, 7, 14)] + [(F.try_divide(F.col("anchor"), F.col(f"p_{k}")) - 1).alias(f"x_return_{k}") for k in (1, 7, 14)]
+    rows = origins.select("series", "origin", "anchor", *lags, *[c.alias(n) for c, n in zip(scaled, names, strict=True)], F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("horizon"))
     rows = rows.withColumn("target_date", F.date_add("origin", F.col("horizon")))
     truth = panel.where("observed_price IS NOT NULL").select("series", F.col("report_date").alias("target_date"), "observed_price")
-    return rows.join(truth, ["series", "target_date"]).withColumns({"y": F.col("observed_price") / F.col("anchor") - 1, "h_sqrt": F.sqrt("horizon"), "h_log": F.log1p("horizon")}).drop("observed_price")
+    turn = lambda day: 2 * math.pi * F.dayofyear(day) / 365
+    return rows.join(truth, ["series", "target_date"]).withColumns({
+        "y": F.col("observed_price") / F.col("anchor") - 1, "h_sqrt": F.sqrt("horizon"), "h_log": F.log1p("horizon"), "origin_sin": F.sin(turn("origin")), "origin_cos": F.cos(turn("origin")),
+        "target_sin": F.sin(turn("target_date")), "target_cos": F.cos(turn("target_date")),
+    }).drop("observed_price")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
+from .store import shared_folder
+
 
 def products_of(value: Column) -> Column:
     """NW1: an array from a JSON string or a comma list, lower-cased and distinct."""
@@ -28,16 +28,28 @@ def impact(sentiment: Column) -> Column:
 
 
 def windows(articles: DataFrame, days: DataFrame, sizes: tuple[int, ...] = (3, 7, 14)) -> DataFrame:
-    """NW3: per product and day of ``days`` (product, day): counts, sentiment and shocks of the last 3, 7 and 14 days.
+    """NW3: per product and day of ``days`` (product, day): news of the last 3, 7 and 14 days, zero where there is none.
 
-    Articles are summed by product and day first, each such row is spread over the days it counts
-    for, and the rest is an equality join; a hot product costs its days, not its articles.
+    Counts, rising and falling news, shocks, mentions of inflation, mean sentiment, mean confidence (its
+    size) and the mean signed score (the sign of the impact times the confidence). Articles are summed by
+    product and day first, each such row is spread over the days it counts for, and the rest is an
+    equality join; a hot product costs its days, not its articles.
     """
-    daily = articles.select(F.explode("products").alias("product"), "published_date", "sentiment", "is_shock").groupBy("product", "published_date").agg(F.count("*").alias("n"), F.sum("sentiment").alias("s"), F.count_if(F.col("sentiment") < 0).alias("neg"), F.count_if("is_shock").alias("shocks"))
-    spread = daily.select("product", F.explode(F.sequence(F.lit(0), F.lit(max(sizes)))).alias("age"), "published_date", "n", "s", "neg", "shocks").withColumn("day", F.date_add("published_date", F.col("age")))
-    sums = [f(F.sum(F.when(F.col("age") <= w, F.col(c))), f"{c}_{w}") for w in sizes for c in ("n", "s", "neg", "shocks") for f in (lambda x, name: x.alias(name),)]
+    word = F.coalesce(F.col("text").rlike(whole_word(["inflation", "cpi"])), F.lit(False)) if "text" in articles.columns else F.lit(False)
+    kind = impact(F.col("sentiment"))
+    signed = F.when(kind == "increase", F.abs("sentiment")).when(kind == "decrease", -F.abs("sentiment")).otherwise(0.0)
+    rows = articles.select(F.explode("products").alias("product"), "published_date", "sentiment", "is_shock", word.alias("inflation"), signed.alias("signed"), kind.alias("kind"))
+    daily = rows.groupBy("product", "published_date").agg(
+        F.count("*").alias("n"), F.sum("sentiment").alias("s"), F.sum(F.abs("sentiment")).alias("c"), F.sum("signed").alias("d"),
+        F.count_if(F.col("kind") == "increase").alias("rising"), F.count_if(F.col("kind") == "decrease").alias("falling"), F.count_if("is_shock").alias("shocks"), F.count_if("inflation").alias("inflation"),
+    )
+    parts = ["n", "s", "c", "d", "rising", "falling", "shocks", "inflation"]
+    spread = daily.select("product", F.explode(F.sequence(F.lit(0), F.lit(max(sizes)))).alias("age"), "published_date", *parts).withColumn("day", F.date_add("published_date", F.col("age")))
+    sums = [F.sum(F.when(F.col("age") <= w, F.col(c))).alias(f"{c}_{w}") for w in sizes for c in parts]
     out = days.join(spread.groupBy("product", "day").agg(*sums), ["product", "day"], "left").fillna(0)
-    return out.withColumns({f"mean_sentiment_{w}": F.coalesce(F.try_divide(F.col(f"s_{w}"), F.col(f"n_{w}")), F.lit(0.0)) for w in sizes})
+    mean = lambda c, w: F.coalesce(F.try_divide(F.col(f"{c}_{w}"), F.col(f"n_{w}")), F.lit(0.0))
+    means = {f"{name}_{w}": mean(c, w) for w in sizes for c, name in (("s", "mean_sentiment"), ("c", "mean_confidence"), ("d", "signed_score"))}
+    return out.withColumns(means).drop(*[f"{c}_{w}" for w in sizes for c in ("s", "c", "d")])
 
 
 def whole_word(terms: list[str]) -> str:
@@ -50,10 +62,17 @@ def topical(text: Column, topics: list[str], effects: list[str]) -> Column:
 
 
 def clean_body(text: Column) -> Column:
-    """NW5: the part between the publication line and the footer, without markdown."""
-    body = F.regexp_replace(F.regexp_replace(text, r"(?s)^.*?Published [A-Z][a-z]+ \d{1,2}, \d{4}", ""), r"(?s)(Read More|Copyright ©).*$", "")
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"!?\[([^\]]*)\]\([^)]*\)", "$1"), r"[#*_>`]+", ""), r"[ \t]+", " ")
-    return F.regexp_replace(plain, r"^\s+|\s+$", "")
+    """NW5: the lines after the publication line up to ``Read More`` or the footer, without markdown; null below 200 characters.
+
+    Without a publication line the whole text counts.
+    """
+    body = F.regexp_replace(text, r"(?s)\A.*?(?m:^)[ \t]*Published\s+\w+\s+\d{1,2},?\s+\d{4}[^\n]*(\n|\z)", "")
+    body = F.regexp_replace(body, r"(?ms)^[ \t]*(Read More|Copyright ©|Privacy Preference Center).*\z", "")
+    plain = F.regexp_replace(body, r"!\[[^\]]*\]\([^)]*\)", "")
+    plain = F.regexp_replace(plain, r"\[([^\]]*)\]\([^)]*\)", "$1")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"#{1,6}\s*|[*_~`]{1,3}", ""), r"\n{3,}", "\n\n")
+    plain = F.regexp_replace(plain, r"\A\s+|\s+\z", "")
+    return F.when(F.length(plain) >= 200, plain)
 
 
 def allowed_url(url: Column, hosts: list[str], skipped: list[str]) -> Column:
@@ -70,12 +89,24 @@ def new_articles(batch: DataFrame, stored: DataFrame) -> DataFrame:
     return one.join(stored.select("content_hash"), "content_hash", "left_anti").join(stored.select("url"), "url", "left_anti")
 
 
-def publication(meta: Column, url: Column) -> tuple[Column, Column]:
-    """NW10: (timestamp, date): a timestamp needs a zone, a date alone stays a date; the address is the last resort."""
-    zoned = meta.rlike(r"^\d{4}-\d{2}-\d{2}T.*(Z|[+-]\d{2}:?\d{2})$")
-    at = F.when(zoned, F.try_to_timestamp(meta))
-    day = F.coalesce(F.try_to_date(F.substring(meta, 1, 10), "yyyy-MM-dd"), F.try_to_date(F.regexp_extract(url, r"/(\d{4}/\d{2}/\d{2})/", 1), "yyyy/MM/dd"))
-    return at, day
+def publication(meta: Column, html: Column, url: Column) -> tuple[Column, Column, Column]:
+    """NW10: (timestamp, date, source) by the first that can be read: crawler metadata, the page's meta tag, its JSON-LD, the address.
+
+    A timestamp needs a time and a zone; a date alone, or a time without zone, stays a date (of the text's own zone).
+    """
+    tag = r"(?i)<meta[^>]+property=[\"']article:published_time[\"'][^>]+content=[\"']([^\"']+)"
+    turned = r"(?i)<meta[^>]+content=[\"']([^\"']+)[\"'][^>]+property=[\"']article:published_time"
+    ld = r'(?i)\"datePublished\"\s*:\s*\"([^\"]+)\"'
+    y, m, d = (F.regexp_extract(url, r"/(\d{4})/(\d{1,2})/(\d{1,2})/", k) for k in (1, 2, 3))
+    found = [
+        (meta, "crawler_metadata"), (F.regexp_extract(html, tag, 1), "article_published_meta"), (F.regexp_extract(html, turned, 1), "article_published_meta"),
+        (F.regexp_extract(html, ld, 1), "json_ld_date_published"), (F.when(y != "", F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))), "url_date"),
+    ]
+    read = lambda v: F.try_to_date(F.regexp_extract(F.trim(v), r"^(\d{4}-\d{2}-\d{2})([T ].*)?$", 1), "yyyy-MM-dd")
+    good = F.filter(F.array(*[F.struct(F.trim(v).alias("v"), read(v).alias("day"), F.lit(s).alias("source")) for v, s in found]), lambda x: x["day"].isNotNull())
+    first = F.get(good, 0)
+    zoned = first["v"].rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})$")
+    return F.when(zoned, F.try_to_timestamp(first["v"])), first["day"], F.coalesce(first["source"], F.lit("unknown"))
 
 
 def listing(articles: DataFrame, text: str | None, since: str, page: int, size: int) -> DataFrame:
@@ -159,7 +190,7 @@ def unique_stories(articles: DataFrame) -> DataFrame:
     """
     spark = articles.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark, "stories"))
     keyed = identity(articles).select("id", "url_key", "story_key")
     kept = keyed.where("url_key IS NULL AND story_key IS NULL").select("id")
     left = keyed.where("url_key IS NOT NULL OR story_key IS NOT NULL").groupBy("url_key", "story_key").agg(F.min("id").alias("id")).checkpoint()

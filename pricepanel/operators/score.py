@@ -96,12 +96,22 @@ def saved_or_rolling(saved: DataFrame, rolling: DataFrame) -> DataFrame:
 
 
 def horizon_audit(rows: DataFrame, forecast: str) -> DataFrame:
-    """SC10: weekly periods rebuilt from observed days only: errors by step, with partial periods counted."""
+    """SC10: days, and weeks and months rebuilt from observed days only: errors by grain and step, by product, and by both.
+
+    A period with fewer observed days than it has is partial; one whose forecast or truth is not above
+    zero is invalid and counts as such alone. One pass of grouping sets over the periods.
+    """
     known = rows.where("actual IS NOT NULL")
-    week = F.to_date(F.date_trunc("week", "date"))
-    periods = known.groupBy("series", "origin", week.alias("period_start")).agg(F.avg(forecast).alias("forecast"), F.avg("actual").alias("actual"), F.count_distinct("date").alias("days"))
-    periods = periods.withColumn("step", period_step(F.col("origin"), F.col("period_start"), "weekly"))
-    return periods.groupBy("step").agg(F.count("*").alias("n"), F.count_if(F.col("days") < 7).alias("partial"), F.avg(F.abs(F.col("forecast") - F.col("actual"))).alias("mae"), F.sqrt(F.avg(F.pow(F.col("forecast") - F.col("actual"), 2))).alias("rmse"))
+    parts = [known.select("product_name", F.lit("daily").alias("grain"), F.col("horizon").alias("step"), F.col(forecast).alias("f"), F.col("actual").alias("a"), F.lit(False).alias("partial"))]
+    for name, start, days in (("weekly", F.to_date(F.date_trunc("week", "date")), F.lit(7)), ("monthly", F.trunc("date", "month"), F.dayofmonth(F.last_day("start")))):
+        periods = known.groupBy("product_name", "series", "origin", start.alias("start")).agg(F.avg(forecast).alias("f"), F.avg("actual").alias("a"), F.count_distinct("date").alias("days"))
+        parts.append(periods.select("product_name", F.lit(name).alias("grain"), period_step(F.col("origin"), F.col("start"), name).alias("step"), "f", "a", (F.col("days") < days).alias("partial")))
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("invalid", ~F.coalesce((F.col("f") > 0) & (F.col("a") > 0), F.lit(False)))
+    off = F.when(~F.col("invalid"), F.col("f") - F.col("a"))
+    sets = [[F.col("grain"), F.col("step")], [F.col("grain"), F.col("product_name")], [F.col("grain"), F.col("step"), F.col("product_name")]]
+    return every.groupingSets(sets, "grain", "step", "product_name").agg(
+        F.count("*").alias("n"), F.count_if("partial").alias("partial"), F.count_if("invalid").alias("invalid"), F.avg(F.abs(off)).alias("mae"), F.sqrt(F.avg(off * off)).alias("rmse")
+    )
 
 
 def worst(rows: DataFrame, forecast: str, key: str, k: int = 5) -> DataFrame:
@@ -243,10 +253,11 @@ def replay_parity(replayed: DataFrame, saved: DataFrame, key: list[str]) -> Data
     return both.agg(F.count("*").alias("matched"), F.avg(d).alias("mean_diff"), F.max(d).alias("max_diff"), F.count_if(d > 0.005).alias("over_half_cent"))
 
 
-def reconciles(parts: DataFrame, pooled: DataFrame) -> DataFrame:
-    """SC26: parts' samples and hits must sum to the pooled ones."""
-    sums = parts.agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
-    return sums.join(F.broadcast(pooled.select(F.col("n").alias("pooled_n"), F.col("hits").alias("pooled_hits")))).withColumn("reconciles", (F.col("n") == F.col("pooled_n")) & (F.col("hits") == F.col("pooled_hits")))
+def reconciles(parts: DataFrame, pooled: DataFrame, keys: list[str]) -> DataFrame:
+    """SC26: per key, parts' samples and hits must sum to the pooled ones."""
+    sums = parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    both = sums.join(pooled.select(*keys, F.col("n").alias("pooled_n"), F.col("hits").alias("pooled_hits")), keys)
+    return both.withColumn("reconciles", (F.col("n") == F.col("pooled_n")) & (F.col("hits") == F.col("pooled_hits")))
 
 
 # Confidence
@@ -281,19 +292,43 @@ def forward_check(samples: DataFrame, least: int = 8) -> DataFrame:
     return out.withColumn("formula", F.when(F.col("careful_loss") < F.col("plain_loss"), "conservative").otherwise("plain"))
 
 
-def confidence(samples: DataFrame, least: int = 8, least_origins: int = 8) -> DataFrame:
+def checked_origins(samples: DataFrame, least: int = 8) -> DataFrame:
+    """CF4: per product and grain the origins at which ``least`` outcomes were known before, so that a score could be checked."""
+    day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
+    known = samples.select("product_name", "grain", day("available").alias("t"), F.lit(1).alias("x"), F.lit(None).cast("date").alias("origin"))
+    asked = samples.select("product_name", "grain", day("origin").alias("t"), F.lit(0).alias("x"), "origin").distinct()
+    upto = Window.partitionBy("product_name", "grain").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
+    run = known.unionByName(asked).withColumn("seen", F.sum("x").over(upto)).where(F.col("origin").isNotNull() & (F.col("seen") >= least))
+    return run.groupBy("product_name", "grain").agg(F.count_distinct("origin").alias("checked"))
+
+
+def confidence(samples: DataFrame, least: int = 8, least_origins: int = 8, least_checked: int = 3) -> DataFrame:
     """CF4: score 100 - mean APE per product and grain, a level, or the reasons for none."""
     out = samples.groupBy("product_name", "grain").agg(F.count("*").alias("n"), F.count_distinct("origin").alias("origins"), F.avg("ape").alias("mape"))
-    reasons = F.concat_ws(",", F.when(F.col("n") < least, "few_samples"), F.when(F.col("origins") < least_origins, "few_origins"))
+    out = out.join(checked_origins(samples, least), ["product_name", "grain"], "left").fillna(0, ["checked"])
+    reasons = F.concat_ws(",", F.when(F.col("n") < least, "few_samples"), F.when(F.col("origins") < least_origins, "few_origins"), F.when(F.col("checked") < least_checked, "few_checked"))
     score = F.greatest(F.lit(0.0), 100 - F.col("mape"))
     out = out.withColumns({"reasons": reasons, "score": F.when(reasons == "", score)})
     return out.withColumn("level", F.when(F.col("score").isNull(), "unavailable").when(F.col("score") >= 90, "high").when(F.col("score") >= 80, "moderate").otherwise("low"))
 
 
 def label_coverage(rows: DataFrame, least: float = 0.8) -> DataFrame:
-    """CF5: share of path days with an observed label, per product and horizon; below ``least`` the score is withheld."""
-    out = rows.groupBy("product_name", "horizon").agg(F.count("*").alias("calendar"), F.count("actual").alias("observed"))
-    return out.withColumns({"coverage": F.col("observed") / F.col("calendar"), "withheld": F.col("observed") / F.col("calendar") < least})
+    """CF5: per product, grain and step of the paths: calendar days, days covered by the path, observed labels, partial periods.
+
+    A period (a day, week or month) is partial where the path covers fewer days than it has; below
+    ``least`` observed of covered days the score is withheld.
+    """
+    parts = []
+    for name, start, days in (("daily", F.col("date"), F.lit(1)), ("weekly", F.to_date(F.date_trunc("week", "date")), F.lit(7)), ("monthly", F.trunc("date", "month"), F.dayofmonth(F.last_day("start")))):
+        periods = rows.groupBy("product_name", "series", "origin", start.alias("start")).agg(F.count("*").alias("covered"), F.count("actual").alias("observed"), F.min("horizon").alias("lead"))
+        step = F.col("lead") if name == "daily" else period_step(F.col("origin"), F.col("start"), name)
+        parts.append(periods.select("product_name", F.lit(name).alias("grain"), step.alias("step"), "covered", "observed", days.alias("calendar")))
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    out = every.groupBy("product_name", "grain", "step").agg(
+        F.sum("calendar").alias("calendar"), F.sum("covered").alias("covered"), F.sum("observed").alias("observed"), F.count_if(F.col("covered") < F.col("calendar")).alias("partial")
+    )
+    share = F.col("observed") / F.col("covered")
+    return out.withColumns({"coverage": share, "withheld": share < least})
 
 
 def interval_coverage(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .store import shared_folder
+
 
 def newest(n: int, keys: list[str], order: str = "report_date") -> tuple[Window, int]:
     return Window.partitionBy(*keys).orderBy(F.desc(order)), n
@@ -62,12 +66,33 @@ def overlay(history: DataFrame, forecast: DataFrame) -> DataFrame:
 
 
 def halves(rows: DataFrame, key: str) -> DataFrame:
-    """SV7: mean of the earlier and the later half of each group's rows, and the change."""
-    out = rows.withColumn("half", F.ntile(2).over(Window.partitionBy(key).orderBy("report_date", "id")))
-    out = out.groupBy(key).agg(F.avg(F.when(F.col("half") == 1, F.col("price_index"))).alias("previous"), F.avg(F.when(F.col("half") == 2, F.col("price_index"))).alias("current"))
+    """SV7: mean of the earlier and the later half of each group's rows (by day, then id; the earlier has one more if odd), and the change.
+
+    Rows are counted by group and day; running sums over the days find the day in which the middle
+    falls, and of that day alone the rows are put in order. So a group is never sorted as a whole.
+    """
+    rows = rows.select(F.col(key).alias("group"), "report_date", "id", "price_index")
+    daily = rows.groupBy("group", "report_date").agg(F.count("*").alias("c"), F.sum("price_index").alias("s"))
+    upto = Window.partitionBy("group").orderBy("report_date").rowsBetween(Window.unboundedPreceding, -1)  # a row per day
+    daily = daily.withColumns({"before": F.coalesce(F.sum("c").over(upto), F.lit(0)), "all": F.sum("c").over(Window.partitionBy("group"))})
+    daily = daily.withColumn("first", F.ceil(F.col("all") / 2).cast("long"))
+    daily = daily.withColumn("take", F.greatest(F.lit(0), F.least(F.col("c"), F.col("first") - F.col("before"))))
+    torn = daily.where("take > 0 AND take < c").select(F.col("group").alias("g"), F.col("report_date").alias("d"), "take")
+    inside = rows.join(torn, F.col("group").eqNullSafe(F.col("g")) & (F.col("report_date") == F.col("d")))
+    inside = inside.withColumn("n", F.row_number().over(Window.partitionBy("group", "report_date").orderBy("id"))).where("n <= take")
+    part = inside.groupBy(F.col("group").alias("g")).agg(F.sum("price_index").alias("part"))
+    out = daily.groupBy("group").agg(F.sum("s").alias("sum"), F.max("all").alias("n"), F.max("first").alias("first"), F.sum(F.when(F.col("take") == F.col("c"), F.col("s")).otherwise(0.0)).alias("early"))
+    out = out.join(part, F.col("group").eqNullSafe(F.col("g")), "left").withColumn("early", F.col("early") + F.coalesce("part", F.lit(0.0)))
+    out = out.select(F.col("group").alias(key), (F.col("early") / F.col("first")).alias("previous"), F.try_divide(F.col("sum") - F.col("early"), F.col("n") - F.col("first")).alias("current"))
     return out.withColumn("change", 100 * (F.col("current") - F.col("previous")) / F.col("previous"))
 
 
+def last_points(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """SV7: the newest ``n`` days of each group with the mean price of the day, numbered from the newest."""
+    daily = rows.groupBy(key, "report_date").agg(F.avg("price_index").alias("price"))
+    return last_rows(daily, n, key)
+
+
 def cheaper(rows: DataFrame, k: int = 5) -> DataFrame:
     """SV8: per series the ``k`` cheapest others of its category and unit with another product name and a lower price.
 
@@ -123,15 +148,51 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return 2 * 6371.0 * F.asin(F.sqrt(d))
 
 
-def nearest(points: DataFrame, places: DataFrame, k: int = 3, most: int = 10_000) -> DataFrame:
-    """SV14: the ``k`` nearest of a bounded list of places (at most ``most``, checked) for each point."""
-    listed = places.select(F.struct("place_id", "lat", "lon").alias("p"))
-    packed = listed.agg(F.collect_list("p").alias("places"), F.count("*").alias("n"))
-    packed = packed.select(F.when(F.col("n") <= most, F.col("places")).otherwise(F.raise_error(F.lit("too many places")).cast(packed.schema["places"].dataType)).alias("places"))
-    with_all = points.join(F.broadcast(packed))  # one row
-    far = F.transform("places", lambda p: F.struct(haversine(F.col("lat"), F.col("lon"), p["lat"], p["lon"]).alias("km"), p["place_id"].alias("place_id")))
-    out = with_all.select("point_id", F.posexplode(F.slice(F.array_sort(far), 1, k)).alias("rank", "x"))
-    return out.select("point_id", (F.col("rank") + 1).alias("rank"), "x.place_id", F.col("x.km").alias("km"))
+def nearest(points: DataFrame, places: DataFrame, k: int = 3) -> DataFrame:
+    """SV14: the ``k`` nearest places of each point by great-circle distance (ties: smaller id), for tables of any size.
+
+    Points and places are dealt to cubic cells of their position on the unit sphere. A point looks at
+    its own and the 26 cells around: if its ``k`` nearest there are within a cell's width, no place
+    outside can be nearer and it is done; the others go on with cells twice as wide. Of places at one
+    position only the ``k`` smallest ids take part. ``point_id`` is unique; the first width is chosen so
+    that a cell of evenly spread places holds about ``k``.
+    """
+    spark = points.sparkSession
+
+    def position(df: DataFrame) -> DataFrame:
+        lat, lon = F.radians("lat"), F.radians("lon")
+        return df.withColumns({"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)})
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        path = shared_folder(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    same = Window.partitionBy("lat", "lon").orderBy("place_id")
+    spots = kept(position(places.select("place_id", "lat", "lon").withColumn("n", F.row_number().over(same)).where(F.col("n") <= k).drop("n")), "places")
+    count = spots.count()
+    open_, done, width = position(points.select("point_id", "lat", "lon")), None, min(2.0, max(2.0**-14, math.sqrt(4 * math.pi * k / max(count, 1))))
+    while count:
+        cell = lambda c, width=width: F.floor(F.col(c) / width).cast("long")
+        near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]))
+        asked = open_.select("point_id", F.col("lat").alias("plat"), F.col("lon").alias("plon"), cell("x").alias("i"), cell("y").alias("j"), cell("z").alias("l"), near.alias("o"))
+        asked = asked.select("point_id", "plat", "plon", (F.col("i") + F.col("o.a")).alias("i"), (F.col("j") + F.col("o.b")).alias("j"), (F.col("l") + F.col("o.c")).alias("l"))
+        met = asked.join(spots.select("place_id", "lat", "lon", cell("x").alias("i"), cell("y").alias("j"), cell("z").alias("l")), ["i", "j", "l"])
+        met = met.select("point_id", "place_id", haversine(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon")).alias("km"))
+        best = met.withColumn("rank", F.row_number().over(Window.partitionBy("point_id").orderBy("km", "place_id"))).where(F.col("rank") <= k)
+        # the chord of a distance on the unit sphere; a little short of the width, for rounding
+        chord = 2 * F.sin(F.col("km") / (2 * 6371.0))
+        best = kept(best, "nearest")
+        sure = best.groupBy("point_id").agg(F.count("*").alias("n"), F.max(chord).alias("far")).where((F.lit(width) >= 2) | ((F.col("n") >= k) & (F.col("far") < width * 0.999999)))
+        found = best.join(sure.select("point_id"), "point_id", "left_semi")
+        done = found if done is None else done.unionByName(found)
+        open_ = kept(open_.join(sure.select("point_id"), "point_id", "left_anti"), "points")
+        if width >= 2 or open_.isEmpty():
+            break
+        width = min(2.0, width * 2)
+    if done is None:
+        return spots.select(F.lit(None).cast(points.schema["point_id"].dataType).alias("point_id"), F.lit(0).alias("rank"), "place_id", F.lit(0.0).alias("km")).limit(0)
+    return done.select("point_id", "rank", "place_id", "km")
 
 
 def facets(rows: DataFrame, columns: list[str]) -> DataFrame:

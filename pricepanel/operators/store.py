@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,17 +62,32 @@ def unprocessed(links: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def publish(spark: SparkSession, values: DataFrame, root: str, run_id: str, declared: int) -> None:
-    """IO6: values first, partitioned by run; then the daily view; the run's row last, so a run that is listed is whole."""
-    rows = values.withColumn("run_id", F.lit(run_id))
-    rows.write.mode("append").partitionBy("run_id").parquet(f"{root}/values")
-    written = spark.read.parquet(f"{root}/values").where(F.col("run_id") == run_id)
-    n = written.count()
+    """IO6: values into a folder of the run's own, counted, then the run's row; a run that is listed is whole and never changes.
+
+    A failed publication leaves no row in ``runs``, and its folder is written over by the next try; a
+    run that is listed cannot be published again. The daily view is the newest listed run's daily rows
+    (``published_daily``), so it needs no copy that could fall behind.
+    """
+    if _exists(spark, f"{root}/runs") and not spark.read.parquet(f"{root}/runs").where(F.col("run_id") == run_id).isEmpty():
+        raise ValueError(f"{run_id} is published already")
+    values.write.mode("overwrite").parquet(f"{root}/values/run_id={run_id}")
+    n = spark.read.parquet(f"{root}/values/run_id={run_id}").count()
     if n == 0 or n != declared:
         raise ValueError(f"{n} rows written, {declared} declared")
-    written.where("grain = 'daily'").write.mode("overwrite").parquet(f"{root}/latest_daily")
     spark.createDataFrame([(run_id, n)], "run_id string, row_count long").withColumn("generated_at", F.current_timestamp()).write.mode("append").parquet(f"{root}/runs")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
+
+
+def published_daily(spark: SparkSession, root: str) -> DataFrame:
+    """IO6: the daily rows of the newest published run."""
+    run = spark.read.parquet(f"{root}/runs").agg(F.max_by("run_id", F.struct("generated_at", "run_id"))).first()[0]
+    return spark.read.parquet(f"{root}/values/run_id={run}").where("grain = 'daily'").withColumn("run_id", F.lit(run))
+
+
 def verify(rows: DataFrame) -> DataFrame:
     """IO7: per run: rows, unique product-days, consecutive days, finite positive prices."""
     per = rows.groupBy("run_id", "product_id").agg(F.count("*").alias("n"), F.count_distinct("date").alias("d"), F.datediff(F.max("date"), F.min("date")).alias("span"), F.bool_and((F.col("price") > 0) & (F.col("price") < float("inf"))).alias("ok"))
@@ -90,7 +107,22 @@ def latest_run(runs: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """IO10: a digest of a table's content, whatever its order."""
-    h = F.xxhash64(*columns)
-    sums = rows.agg(F.count("*").alias("n"), F.sum(h.cast("decimal(38,0)")).alias("s"), F.bit_xor(h).alias("x"))
-    return sums.select("n", F.sha2(F.concat_ws("|", F.col("n").cast("string"), F.col("s").cast("string"), F.col("x").cast("string")), 256).alias("sha256"))
+    """IO10: a digest of a table's content, whatever its order: sums of the two halves of each row's MD5.
+
+    Columns are taken as text, a null as ``\\N``; a row that occurs twice counts twice.
+    """
+    h = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]))
+    half = lambda a: F.sum(F.conv(F.substring(h, a, 15), 16, 10).cast("decimal(38,0)"))
+    sums = rows.agg(F.count("*").alias("n"), half(1).alias("a"), half(17).alias("b"))
+    text = lambda c: F.coalesce(F.col(c), F.lit(0).cast("decimal(38,0)")).cast("string")
+    return sums.select("n", F.sha2(F.concat_ws("|", F.col("n").cast("string"), text("a"), text("b")), 256).alias("sha256"))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; a local one in local mode where it is unset."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from .store import upsert_prices
+from .store import PRICE_SCHEMA, upsert_prices
 
 
 def daily_views(events: DataFrame, late: str = "2 days") -> DataFrame:
@@ -17,13 +17,49 @@ def daily_views(events: DataFrame, late: str = "2 days") -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "product_id").agg(F.count("*").alias("views")).select(F.to_date("w.start").alias("day"), "product_id", "views")
 
 
+def stored_prices(spark: SparkSession, root: str) -> DataFrame | None:
+    """ST2: the prices that the newest version under ``root`` names; None before the first."""
+    newest = _manifest(spark, root)
+    if newest is None:
+        return None
+    parts = [f"{root}/data/version={r['version']}/month={r['month']}" for r in newest.select("version", "month").distinct().collect()]  # a row per month
+    return spark.read.schema(PRICE_SCHEMA).parquet(*parts)
+
+
+def _manifest(spark: SparkSession, root: str) -> DataFrame | None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    entries = spark.read.schema("number int, month string, version int, batch string").parquet(f"{root}/manifest")
+    newest = entries.agg(F.max("number")).first()[0]
+    return None if newest is None else entries.where(F.col("number") == newest)
+
+
 def ingest_prices(batches: DataFrame, root: str, checkpoint: str):
-    """ST2: each micro-batch is merged by key into a new version under ``root``; the version file names the current one."""
+    """ST2: each micro-batch is merged by key into the months that it touches, and these months alone are written anew.
+
+    A version writes its months under ``data/version=n``; then one append to ``manifest`` names, for every
+    month, the version that holds it. Readers take the manifest's largest number, so a version that was
+    not finished is never seen; a repeated batch finds its own name in the manifest and does nothing.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        stored = spark.read.parquet(f"{root}/v{number - 1}") if number else batch.limit(0)
-        upsert_prices(stored, batch).write.mode("overwrite").parquet(f"{root}/v{number}")
+        name = f"{checkpoint}#{number}"
+        batch = batch.withColumn("month", F.date_format("report_date", "yyyy-MM")).persist()
+        known = _manifest(spark, root)
+        entries = [] if known is None else known.collect()  # a row per month
+        touched = [r["month"] for r in batch.select("month").distinct().collect()]
+        if touched and not any(r["batch"] == name for r in entries):
+            version = max((r["number"] for r in entries), default=-1) + 1
+            old = [f"{root}/data/version={r['version']}/month={r['month']}" for r in entries if r["month"] in touched]
+            rows = batch.drop("month")
+            stored = spark.read.schema(PRICE_SCHEMA).parquet(*old) if old else rows.limit(0)
+            merged = upsert_prices(stored, rows).withColumn("month", F.date_format("report_date", "yyyy-MM"))
+            merged.repartition("month").write.mode("overwrite").partitionBy("month").parquet(f"{root}/data/version={version}")
+            named = {r["month"]: (r["version"], r["batch"]) for r in entries} | {m: (version, name) for m in touched}
+            spark.createDataFrame([(version, m, v, b) for m, (v, b) in sorted(named.items())], "number int, month string, version int, batch string").coalesce(1).write.mode("append").parquet(f"{root}/manifest")
+        batch.unpersist()
 
     return batches.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
@@ -38,26 +74,37 @@ def news_volume(articles: DataFrame, size: str = "7 days", late: str = "3 days")
     return articles.withWatermark("created_at", late).groupBy(F.window("created_at", size, "1 day").alias("w"), "product").agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("from_day"), F.to_date("w.end").alias("to_day"), "product", "n")
 
 
+def _decayed(value: float | None, weight: float, price: float | None, alpha: float) -> tuple[float | None, float]:
+    """One step of an exponential average; a missing price lets the weight of what is known decay."""
+    if value is None:
+        return price, 1.0
+    weight *= 1 - alpha
+    return (value, weight) if price is None else ((weight * value + alpha * price) / (weight + alpha), 1.0)
+
+
 def series_state(prices: DataFrame) -> DataFrame:
-    """ST4: per series the EMA-12, EMA-26 and signal after each new price; late rows behind the last day are left out."""
+    """ST4: per series the EMA-12 less EMA-26 and its signal after each new day: the next row's FE10; rows not after the last day are left out."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, fast, slow, signal = state.get if state.exists else (None, None, None, None)
+        last, fast, fast_w, slow, slow_w, signal, signal_w = state.get if state.exists else (None, None, 1.0, None, 1.0, None, 1.0)
         rows = pd.concat(list(frames)).sort_values("report_date")
         out = []
-        for day, price in zip(rows["report_date"], rows["price_index"], strict=True):
+        for day, price in zip(rows["report_date"], rows["price_index"].astype(float), strict=True):
             number = pd.Timestamp(day).toordinal()
             if last is not None and number <= last:
                 continue
-            fast = price if fast is None else fast + (price - fast) * 2 / 13
-            slow = price if slow is None else slow + (price - slow) * 2 / 27
-            signal = fast - slow if signal is None else signal + (fast - slow - signal) * 2 / 10
+            price = None if price != price else price
+            fast, fast_w = _decayed(fast, fast_w, price, 2 / 13)
+            slow, slow_w = _decayed(slow, slow_w, price, 2 / 27)
+            line = None if fast is None else fast - slow
+            signal, signal_w = _decayed(signal, signal_w, line, 2 / 10)
             last = number
-            out.append((key[0], day, fast - slow, signal))
+            out.append((key[0], day, line, signal))
         if last is not None:
-            state.update((last, fast, slow, signal))
-        yield pd.DataFrame(out, columns=["series", "report_date", "macd", "macd_signal"])
+            state.update((last, fast, fast_w, slow, slow_w, signal, signal_w))
+        done = pd.DataFrame(out, columns=["series", "report_date", "macd", "macd_signal"])
+        yield done.astype({"macd": float, "macd_signal": float})
 
     return prices.select("series", "report_date", "price_index").groupBy("series").applyInPandasWithState(
-        step, "series string, report_date date, macd double, macd_signal double", "last long, fast double, slow double, signal double", "append", GroupStateTimeout.NoTimeout
+        step, "series string, report_date date, macd double, macd_signal double", "last long, fast double, fast_w double, slow double, slow_w double, signal double, signal_w double", "append", GroupStateTimeout.NoTimeout
     )

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from pricepanel.operators import backtest, calibrate, features
 
-from .base import PANEL, daily_panel, query, r6, with_sql
+from .base import PANEL, daily_panel, query, r6, with_sql, written
+from .feature_plans import RETURNS
 
 START, END = "1998-01-01", "2001-06-30"
 
@@ -55,6 +56,7 @@ def bt4(spark, sf):
 
 
 FIT = ["return_1", "return_7", "from_expanding_mean"]
+RIDGE = 0.001
 
 
 def training_rows(spark, sf):
@@ -62,27 +64,42 @@ def training_rows(spark, sf):
     return rows.withColumn("target", F.when(F.col("is_observed"), features.relative_target(F.col("observed_price"), F.col("lag_1")))).where("target IS NOT NULL AND return_7 IS NOT NULL AND from_expanding_mean IS NOT NULL AND return_1 IS NOT NULL")
 
 
-@query("bt5_pooled_model")
+# the three normal equations of standardised columns, by determinants
+BT5_SQL = RETURNS + f""",
+t AS (SELECT r.series, r.report_date, r1 AS a, r7 AS b, CASE WHEN e <> 0 THEN (l1 - e) / e END AS c, CASE WHEN p.is_observed AND l1 <> 0 THEN p.observed_price / l1 - 1 END AS y
+  FROM r JOIN panel p USING (series, report_date)),
+k AS (SELECT * FROM t WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND y IS NOT NULL),
+m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, avg(y) AS my, stddev_pop(a) AS sa, stddev_pop(b) AS sb, stddev_pop(c) AS sc, stddev_pop(y) AS sy,
+  corr(a, b) AS ab, corr(a, c) AS ac, corr(b, c) AS bc, corr(a, y) AS ay, corr(b, y) AS by_, corr(c, y) AS cy, 1 + {RIDGE} AS d FROM k),
+w AS (SELECT *, d * (d * d - bc * bc) - ab * (ab * d - bc * ac) + ac * (ab * bc - d * ac) AS det FROM m),
+v AS (SELECT *, (ay * (d * d - bc * bc) - ab * (by_ * d - bc * cy) + ac * (by_ * bc - d * cy)) / det * sy / sa AS wa,
+  (d * (by_ * d - bc * cy) - ay * (ab * d - bc * ac) + ac * (ab * cy - by_ * ac)) / det * sy / sb AS wb,
+  (d * (d * cy - by_ * bc) - ab * (ab * cy - by_ * ac) + ay * (ab * bc - d * ac)) / det * sy / sc AS wc FROM w)
+SELECT series, report_date, round(y, 6) AS target, round(my + wa * (a - ma) + wb * (b - mb) + wc * (c - mc), 6) AS predicted FROM k, v"""
+
+
+@query("bt5_pooled_model", with_sql(PANEL, BT5_SQL))
 def bt5(spark, sf):
-    rows = training_rows(spark, sf)
-    model = backtest.fit_relative(rows, FIT)
+    rows = written(training_rows(spark, sf), "training")
+    model = backtest.fit_relative(rows, FIT, ridge=RIDGE)
     value = sum((F.col(c) * float(w) for c, w in zip(FIT, model.coefficients, strict=True)), F.lit(float(model.intercept)))
-    return rows.select("series", "report_date", "target", value.alias("predicted"))
+    return rows.select("series", "report_date", r6("target").alias("target"), r6(value).alias("predicted"))
 
 
-@query("bt6_recursive")
-def bt6(spark, sf):
-    return backtest.recursive_paths(anchored(spark, sf), {"own": -0.05, "gap": -0.2, "peer": 0.1})
+def recursion_sql(own: float, gap: float, peer: float) -> str:
+    """One CTE a day: the list of a series' prices grows by the next one."""
+    steps = [", s0 AS (SELECT origin, product_category, series, len(last_prices) AS n0, last_prices AS l FROM anc)"]
+    for h in range(1, 31):
+        steps.append(
+            f"s{h} AS (SELECT origin, product_category, series, n0, list_append(l, greatest(0.01, l[-1] * (1 + {own} * own + {gap} * (l[-1] / list_avg(l[-7:]) - 1) + {peer} * peer))) AS l"
+            f" FROM (SELECT *, quantile_cont(own, 0.5) OVER (PARTITION BY origin, product_category) AS peer FROM (SELECT *, CASE WHEN len(l) > 1 THEN l[-1] / l[-2] - 1 ELSE 0.0 END AS own FROM s{h - 1})))"
+        )
+    return ",\n".join(steps) + "\nSELECT origin, product_category, series, h AS horizon, round(l[n0 + h], 5) AS price FROM s30, (SELECT CAST(unnest(range(1, 31)) AS INT) AS h)"
 
 
-@query("bt7_parity", with_sql(PANEL, "SELECT series, report_date, CAST(NULL AS DOUBLE) AS a, CAST(NULL AS DOUBLE) AS b FROM panel WHERE false"))
-def bt7(spark, sf):
-    """The mean of the last 7 prices by window and by the anchors' arrays."""
-    panel = daily_panel(spark, sf)
-    days = backtest.origins(spark, START, END)
-    a = backtest.anchors(panel, days).select("series", F.col("origin").alias("report_date"), "moving_average7")
-    b = calibrate.references(panel).join(F.broadcast(days), F.col("report_date") == F.col("origin")).select("series", "report_date", F.col("mean_7").alias("moving_average7"))
-    return backtest.parity(a, b, ["series", "report_date"], "moving_average7")
+@query("bt6_recursive", with_sql(PATHS, recursion_sql(-0.05, -0.2, 0.1)))
+def bt6(spark, sf):
+    return backtest.recursive_paths(anchored(spark, sf), {"own": -0.05, "gap": -0.2, "peer": 0.1}).withColumn("price", F.round("price", 5))
 
 
 @query("bt8_stacking", with_sql(PATHS, """SELECT series, origin, horizon, round(seasonal7 / anchor - 1, 6) AS r_seasonal7, round(moving_average7 / anchor - 1, 6) AS r_moving_average7,
@@ -155,7 +172,7 @@ def ca7(spark, sf):
     return tuning(spark, sf).where("actual IS NOT NULL").groupBy(calibrate.horizon_bin(F.col("horizon")).alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query("ca8_specialists", with_sql(PARTS, """, mid AS (SELECT quantile_cont(origin - DATE '1970-01-01', 0.5) AS m FROM bins WHERE actual <> 0),
+CA8_SQL = """, mid AS (SELECT quantile_cont(origin - DATE '1970-01-01', 0.5) AS m FROM bins WHERE actual <> 0),
 hv AS (SELECT product_name, bin, CASE WHEN origin - DATE '1970-01-01' <= m THEN 'early' ELSE 'late' END AS half, actual, persistence AS f, seasonal7, moving_average7 FROM bins, mid WHERE actual <> 0),
 tr AS (SELECT product_name, bin, half, alternative, w, count(*) AS n, avg(abs(f + w * (v - f) - actual)) / nullif(avg(abs(f - actual)), 0) AS q1, sqrt(avg((f + w * (v - f) - actual) ** 2)) / nullif(sqrt(avg((f - actual) ** 2)), 0) AS q2,
   avg(abs((f + w * (v - f) - actual) / actual)) / nullif(avg(abs((f - actual) / actual)), 0) AS q3
@@ -163,48 +180,63 @@ tr AS (SELECT product_name, bin, half, alternative, w, count(*) AS n, avg(abs(f
 rt AS (SELECT *, round((q1 + q2 + q3) / 3, 9) AS mr FROM tr),
 ow AS (SELECT product_name, bin, half, arg_min(alternative, (mr, alternative, w)) AS alternative, arg_min(w, (mr, alternative, w)) AS w FROM rt WHERE n >= 20 GROUP BY ALL),
 ck AS (SELECT ow.* FROM ow JOIN rt ON rt.product_name = ow.product_name AND rt.bin = ow.bin AND rt.half <> ow.half AND rt.alternative = ow.alternative AND rt.w = ow.w WHERE q1 < 1 AND q2 < 1 AND q3 < 1 AND mr <= 0.9975)
-SELECT product_name, bin, alternative, min(w) AS weight FROM ck GROUP BY ALL HAVING count(*) = 2"""))
+SELECT product_name, bin, alternative, min(w) AS weight FROM ck GROUP BY ALL HAVING count(*) = 2"""
+
+
+@query("ca8_specialists", with_sql(PARTS, CA8_SQL))
 def ca8(spark, sf):
     return calibrate.specialists(tuning(spark, sf), "persistence", ["seasonal7", "moving_average7"])
 
 
-def blended(spark, sf, layers: tuple[str, ...] = ("weight", "horizon", "category")):
-    rows = calibrate.split_forecasts(forecast_paths(spark, sf))
-    tune = rows.where("part = 'tuning'")
-    weight = calibrate.blend_weight(tune, "seasonal7", "moving_average7")
-    by_h, by_c = calibrate.trust(tune, "moving_average7", ["horizon"]), calibrate.trust(tune, "moving_average7", ["product_category", "horizon"], 0.05, 10)
-    if "weight" not in layers:
-        weight = weight.withColumn("weight", F.lit(0.0))
-    if "horizon" not in layers:
-        by_h = by_h.withColumn("trust", F.lit(1.0))
-    if "category" not in layers:
-        by_c = by_c.withColumn("trust", F.lit(1.0))
-    return calibrate.apply_blend(rows.where("part = 'calibration'"), "seasonal7", "moving_average7", weight, by_h, by_c)
+CA5_SQL = """WITH g AS (SELECT * FROM (SELECT unnest([0.05, 0.08, 0.1, 0.15, 0.2, 0.25, 0.3])::DOUBLE AS threshold), (SELECT unnest([0.25, 0.5, 0.75, 1.0])::DOUBLE AS strength), (SELECT unnest([3.0, 7.0, 14.0, 30.0])::DOUBLE AS decay)),
+e AS (SELECT threshold, strength, decay, count(*) FILTER (abs(ln(anchor / moving_average7)) > threshold) AS hits,
+  round(avg(abs(CASE WHEN abs(ln(anchor / moving_average7)) > threshold THEN seasonal7 + strength * (1 - exp(-horizon / decay)) * (moving_average7 - seasonal7) ELSE seasonal7 END - actual)), 9) AS mae, round(avg(abs(seasonal7 - actual)), 9) AS base FROM tun, g GROUP BY ALL)
+SELECT threshold, strength, decay FROM e WHERE hits > 0 AND mae < base ORDER BY e.mae, threshold, strength, decay LIMIT 1"""
 
+SWITCHES = [("all", ""), *[(f"no_{layer}", layer) for layer in calibrate.LAYERS]]
 
 BLEND = PARTS + f""",
 bw AS (SELECT arg_min(w, (mae, w)) AS weight FROM (SELECT w, round(avg(abs((1 - w) * seasonal7 + w * moving_average7 - actual)), 9) AS mae FROM tun, ({G01.format('w')}) GROUP BY w)),
 bh AS (SELECT * FROM (WITH {trust_sql("horizon", 1, 2).strip().removeprefix(',')})),
 bc AS (SELECT * FROM (WITH {trust_sql("product_category, horizon", 5, 10).strip().removeprefix(',')})),
-bl AS (SELECT p.*, bw.weight, bh.trust AS th, bc.trust AS tc, (1 - weight) * seasonal7 + weight * moving_average7 AS mixed FROM parts p CROSS JOIN bw LEFT JOIN bh ON bh.horizon = p.horizon LEFT JOIN bc ON bc.horizon = p.horizon AND bc.product_category = p.product_category WHERE part = 'calibration')
+ba AS (SELECT max(threshold) AS threshold, max(strength) AS strength, max(decay) AS decay FROM ({CA5_SQL})),
+bs AS (SELECT * FROM (WITH {CA8_SQL.strip().removeprefix(',')})),
+sw AS (SELECT * FROM (VALUES {', '.join(f"('{name}', '{off}')" for name, off in SWITCHES)}) v(layer, off)),
+b1 AS (SELECT p.*, layer, off, CASE WHEN off = 'weight' THEN 0 ELSE bw.weight END AS w, CASE WHEN off = 'horizon' THEN 1 ELSE coalesce(bh.trust, 1) END AS th, CASE WHEN off = 'category' THEN 1 ELSE coalesce(bc.trust, 1) END AS tc,
+  threshold, strength, decay, CASE WHEN off = 'special' THEN NULL WHEN bs.alternative = 'seasonal7' THEN seasonal7 WHEN bs.alternative = 'moving_average7' THEN moving_average7 END AS picked, bs.weight AS x
+  FROM parts p CROSS JOIN bw CROSS JOIN ba CROSS JOIN sw LEFT JOIN bh ON bh.horizon = p.horizon LEFT JOIN bc ON bc.horizon = p.horizon AND bc.product_category = p.product_category
+  LEFT JOIN bs ON bs.product_name = p.product_name AND bs.bin = CASE WHEN p.horizon <= 3 THEN '01-03' WHEN p.horizon <= 7 THEN '04-07' WHEN p.horizon <= 14 THEN '08-14' WHEN p.horizon <= 21 THEN '15-21' ELSE '22-30' END WHERE part = 'calibration'),
+b2 AS (SELECT *, persistence + th * tc * ((1 - w) * seasonal7 + w * moving_average7 - persistence) AS e1 FROM b1),
+b3 AS (SELECT *, CASE WHEN off <> 'anomaly' AND abs(ln(anchor / moving_average7)) > threshold THEN e1 + strength * (1 - exp(-horizon / decay)) * (moving_average7 - e1) ELSE e1 END AS e2 FROM b2),
+bl AS (SELECT *, CASE WHEN picked IS NOT NULL THEN e2 + x * (picked - e2) ELSE e2 END AS ensemble FROM b3)
 """
 
 
-@query("ca9_blend", with_sql(BLEND, "SELECT series, origin, horizon, round(persistence + th * tc * (mixed - persistence) + 3e-8, 6) AS ensemble FROM bl"))
+def layered(spark, sf):
+    """Calibration rows with the parameters of all layers, fitted on the tuning rows; the forecasts are computed once."""
+    rows = written(calibrate.split_forecasts(forecast_paths(spark, sf)), "paths")
+    tune = rows.where("part = 'tuning'")
+    return calibrate.with_layers(
+        rows.where("part = 'calibration'"), calibrate.blend_weight(tune, "seasonal7", "moving_average7"), calibrate.trust(tune, "moving_average7", ["horizon"]),
+        calibrate.trust(tune, "moving_average7", ["product_category", "horizon"], 0.05, 10), calibrate.reversion(tune, "seasonal7"), calibrate.specialists(tune, "persistence", ["seasonal7", "moving_average7"]),
+    )
+
+
+@query("ca9_blend", with_sql(BLEND, "SELECT series, origin, horizon, round(ensemble + 3e-7, 5) AS ensemble FROM bl WHERE layer = 'all'"))
 def ca9(spark, sf):
-    return blended(spark, sf).select("series", "origin", "horizon", r6(F.col("ensemble") + 3e-8).alias("ensemble"))
+    return layered(spark, sf).select("series", "origin", "horizon", F.round(calibrate.blended("seasonal7", "moving_average7") + 3e-7, 5).alias("ensemble"))
 
 
-@query("ca10_ablation", with_sql(BLEND, """, al AS (SELECT 'all' AS layer, persistence + th * tc * (mixed - persistence) AS f, * FROM bl UNION ALL SELECT 'no_category', persistence + th * (mixed - persistence), * FROM bl UNION ALL SELECT 'no_trust', mixed, * FROM bl)
-SELECT layer, count(*) AS n, round(avg(abs(f - actual)), 5) AS mae, round(sqrt(avg((f - actual) ** 2)), 5) AS rmse, round(avg(CASE WHEN actual <> anchor THEN CAST(sign(round(f - anchor, 9)) = sign(actual - anchor) AS INT) END), 5) AS direction FROM al WHERE actual IS NOT NULL GROUP BY 1"""))
+@query("ca10_ablation", with_sql(BLEND, """SELECT layer, count(*) AS n, round(avg(abs(ensemble - actual)), 5) AS mae, round(sqrt(avg((ensemble - actual) ** 2)), 5) AS rmse,
+round(avg(CASE WHEN actual <> anchor THEN CAST(sign(round(ensemble - anchor, 9)) = sign(actual - anchor) AS INT) END), 5) AS direction FROM bl WHERE actual IS NOT NULL GROUP BY 1"""))
 def ca10(spark, sf):
-    out = None
-    for name, layers in (("all", ("weight", "horizon", "category")), ("no_category", ("weight", "horizon")), ("no_trust", ("weight",))):
-        part = blended(spark, sf, layers).where("actual IS NOT NULL").select(F.lit(name).alias("layer"), "ensemble", "actual", "anchor")
-        out = part if out is None else out.unionByName(part)
+    """The blend, and the blend without each of its layers, in one pass over the rows."""
+    switch = F.explode(F.array(*[F.struct(F.lit(name).alias("layer"), F.lit(off).alias("off")) for name, off in SWITCHES])).alias("s")
+    rows = layered(spark, sf).where("actual IS NOT NULL").select("*", switch).select("*", "s.layer", "s.off")
+    rows = rows.withColumn("ensemble", calibrate.blended("seasonal7", "moving_average7", {layer: F.col("off") != layer for layer in calibrate.LAYERS}))
     e = F.col("ensemble") - F.col("actual")
     right = (F.signum(F.round(F.col("ensemble") - F.col("anchor"), 9)) == F.signum(F.col("actual") - F.col("anchor"))).cast("int")
-    return out.groupBy("layer").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(e)), 5).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 5).alias("rmse"), F.round(F.avg(F.when(F.col("actual") != F.col("anchor"), right)), 5).alias("direction"))
+    return rows.groupBy("layer").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(e)), 5).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 5).alias("rmse"), F.round(F.avg(F.when(F.col("actual") != F.col("anchor"), right)), 5).alias("direction"))
 
 
 @query("ca11_residual_bias", with_sql(PARTS, """, r AS (SELECT *, (actual - moving_average7) / moving_average7 AS r FROM bins), b AS (SELECT bin, avg(r) AS bb FROM r GROUP BY 1)

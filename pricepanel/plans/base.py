@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricepanel.operators import clean, panel
+from pricepanel.operators import clean, panel, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,31 +29,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` from a table in the shared folder, so that what several parts of a plan need is computed once."""
+    path = store.shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def r6(column: Column | str) -> Column:
     return F.round(F.col(column) if isinstance(column, str) else column, 6)
 
 
 def raw_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``lineitem`` and ``part`` as raw price reports, one per series and day."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate")
+    """``lineitem`` and ``part`` as raw price reports, one per series and day.
+
+    Of the lines of a series and day the first by order, line, part and supplier, which tell lines apart.
+    """
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_retailprice")
     rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
         F.expr("CASE WHEN p_type IN ('ECONOMY','PROMO') THEN 'Rice' WHEN p_type IN ('SMALL','MEDIUM') THEN 'Vegetables' ELSE 'Fish' END").alias("product_category"),
         F.col("p_type").alias("product_name"), F.expr("CASE l_returnflag WHEN 'N' THEN NULL ELSE l_returnflag END").alias("product_variant"),
         F.expr("CASE WHEN l_suppkey % 2 = 0 THEN 'Local' ELSE 'Imported' END").alias("origin"),
-        F.expr("CASE l_linenumber % 4 WHEN 0 THEN 'per kg' WHEN 1 THEN 'KG ' WHEN 2 THEN 'kilogram' ELSE NULL END").alias("unit"),
         F.to_date("l_shipdate").alias("report_date"),
         F.expr("CAST(CAST(p_retailprice AS DECIMAL(10,2)) * (1 - CAST(l_discount AS DECIMAL(10,2))) AS DOUBLE)").alias("price_index"),
-        (F.col("l_linestatus") == "O").alias("is_observed"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
+        (F.col("l_linestatus") == "O").alias("is_observed"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
     )
-    key = ["product_category", "product_name", F.coalesce("product_variant", F.lit("Standard")).alias("__v"), "origin", "report_date"]
-    columns = rows.columns
-    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    # the first row of each key by a struct minimum: partial aggregation, no sort by key
-    first = rows.groupBy(*key).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("r")).select("r.*")
+    key = ["product_category", "product_name", "product_variant", "origin", "report_date"]
+    # the first row of each key: its order packed into one number, so that the aggregates hash and need no sort
+    place = F.expr(
+        "CAST(l_orderkey * 10 + l_linenumber AS DECIMAL(20,0)) * CAST(1000000000000000000 AS DECIMAL(19,0))"
+        " + CAST(CAST(l_partkey AS BIGINT) * 1000000000 + l_suppkey AS DECIMAL(18,0))"
+    ).cast("decimal(38,0)")
+    least = lambda c: F.min_by(c, "place").alias(c)
+    first = rows.withColumn("place", place).groupBy(*key).agg(least("l_orderkey"), least("l_linenumber"), least("price_index"), least("is_observed"))
+    unit = F.expr("CASE l_linenumber % 4 WHEN 0 THEN 'per kg' WHEN 1 THEN 'KG ' WHEN 2 THEN 'kilogram' ELSE NULL END")
     day = F.when(F.col("is_observed"), F.col("report_date")).otherwise(F.date_sub("report_date", 1))
     return first.select(
-        *columns[:8], F.concat(F.lit("Price-Monitoring-"), F.date_format(day, "MMMM-d-yyyy"), F.lit(".pdf")).alias("source_pdf"),
+        *key[:4], unit.alias("unit"), "report_date", "price_index", "is_observed", F.concat(F.lit("Price-Monitoring-"), F.date_format(day, "MMMM-d-yyyy"), F.lit(".pdf")).alias("source_pdf"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
     )
 

@@ -23,10 +23,11 @@ def as9(spark, sf):
 CANON = r"regexp_replace(regexp_replace(lower(regexp_replace(url, '[?#].*$', '')), '^http://', 'https://'), '^https://(www|m)\.', 'https://')"
 
 
-@query("as10_index", rf"WITH r AS (SELECT {CANON} AS u, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host, page_id FROM pages), d AS (SELECT regexp_replace(u, '/[0-9]+$', '') AS document, page_id % 5 AS year, u LIKE '%com/%' AS named FROM r WHERE page_id % 17 <> 0 AND (host = 'example.com' OR host LIKE '%.example.com' OR host = 'example.org' OR host LIKE '%.example.org')) SELECT document, count(*) AS occurrences, count(DISTINCT year) AS years, bool_and(named) AS candidate FROM d GROUP BY 1")
+@query("as10_index", rf"WITH r AS (SELECT {CANON} AS u, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host, page_id FROM pages), d AS (SELECT regexp_replace(u, '/[0-9]+$', '') AS document, page_id, page_id % 5 AS year, u LIKE '%com/%' AS named FROM r WHERE page_id % 17 <> 0 AND (host = 'example.com' OR host LIKE '%.example.com' OR host = 'example.org' OR host LIKE '%.example.org')) SELECT document, 0 AS part, count(*) AS occurrences, count(DISTINCT year) AS years, bool_and(named) AS candidate, string_agg(page_id || ':' || year, ',' ORDER BY page_id) AS listed FROM d GROUP BY 1")
 def as10(spark, sf):
-    rows = table(spark, sf, "pages").select(F.when(F.col("page_id") % 17 == 0, 2).otherwise(3).alias("n_cells"), F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "/[0-9]+$", "").alias("url"), (F.col("page_id") % 5).alias("year"), F.lower("url").alias("subject"))
-    return asof.document_index(asof.listed(rows, ["example.com", "example.org"]), "com/")
+    rows = table(spark, sf, "pages").select(F.col("page_id").alias("place"), F.when(F.col("page_id") % 17 == 0, 2).otherwise(3).alias("n_cells"), F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "/[0-9]+$", "").alias("url"), (F.col("page_id") % 5).alias("year"), F.lower("url").alias("subject"))
+    index = asof.document_index(asof.listed(rows, ["example.com", "example.org"]), "com/")
+    return index.withColumn("listed", F.array_join(F.transform("listed", lambda x: F.concat_ws(":", x["place"], x["year"])), ","))
 
 
 @query("as12_corroborate", "WITH h AS (SELECT l_orderkey, count(*) AS n, max(strftime(CAST(l_shipdate AS DATE), '%B')) AS month FROM lineitem WHERE l_linestatus = 'O' AND l_linenumber % 3 = l_orderkey % 3 GROUP BY 1) SELECT o_orderkey AS link, CASE WHEN n IS NULL THEN 'none' WHEN n > 1 THEN 'ambiguous' WHEN month = strftime(CAST(o_orderdate AS DATE), '%B') THEN 'corroborated' ELSE 'other_month' END AS state FROM orders LEFT JOIN h ON l_orderkey = o_orderkey")
@@ -37,11 +38,11 @@ def as12(spark, sf):
     return asof.corroborate(releases, candidates).select("link", "state")
 
 
-@query("as6_first_availability", f"WITH d AS (SELECT doc_id, sha256(text) AS h, doc_id % 3 AS u FROM documents), c AS (SELECT h, u, CAST(min(DATE '2020-01-01' + CAST(doc_id % 700 AS INT)) AS DATE) AS first_seen, count(*) AS captures FROM d WHERE doc_id % 2 = 0 GROUP BY 1, 2) SELECT doc_id, first_seen, coalesce(captures, 0) AS captures FROM d LEFT JOIN c USING (h, u)")
+@query("as6_first_availability", f"WITH d AS (SELECT doc_id, sha256(text) AS h, doc_id % 3 AS u, coalesce(lang, '') <> 'fr' AS captured FROM documents), c AS (SELECT h, u, CAST(min(DATE '2020-01-01' + CAST(doc_id % 700 AS INT)) AS DATE) AS first_seen, count(*) AS captures FROM d WHERE captured GROUP BY 1, 2) SELECT doc_id, first_seen, coalesce(captures, 0) AS captures FROM d LEFT JOIN c USING (h, u)")
 def as6(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), (F.col("doc_id") % 3).cast("string").alias("u"))
+    rows = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), (F.col("doc_id") % 3).cast("string").alias("u"), (F.coalesce("lang", F.lit("")) != "fr").alias("captured"))
     documents = rows.select("doc_id", "sha256", F.concat(F.lit("http://www.Example.org/"), "u", F.lit("?v=1")).alias("url"))
-    captures = rows.where("doc_id % 2 = 0").select("sha256", F.concat(F.lit("https://example.org/"), "u").alias("url"), F.expr("date_add(DATE '2020-01-01', CAST(doc_id % 700 AS INT))").alias("captured_at"))
+    captures = rows.where("captured").select("sha256", F.concat(F.lit("https://example.org/"), "u").alias("url"), F.expr("date_add(DATE '2020-01-01', CAST(doc_id % 700 AS INT))").alias("captured_at"))
     return asof.first_availability(documents, captures).select("doc_id", "first_seen", F.coalesce("captures", F.lit(0).cast("long")).alias("captures"))
 
 
@@ -81,20 +82,28 @@ def nw6(spark, sf):
     return news.evidenced(rows, IMPACT, PRODUCTS, EVENTS).select("id", F.array_join(F.array_sort("products"), ",").alias("products"))
 
 
-@query("nw9_stories", """WITH RECURSIVE it AS (SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id AS id, 'u' || CAST(doc_id * 31 % 211 AS VARCHAR) AS k1, 's' || CAST(doc_id * 17 % 173 AS VARCHAR) || lang AS k2 FROM documents),
+@query("nw9_stories", """WITH RECURSIVE it AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id AS id, 'u' || md5(coalesce(text, '')) AS k1, 's' || substr(md5(substr(coalesce(text, ''), 1, 40)), 1, 12) || coalesce(lang, '') AS k2 FROM documents),
 g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS seen, CAST(NULL AS BIGINT) AS id, false AS kept
       UNION ALL SELECT it.i, CASE WHEN list_has_any(seen, [k1, k2]) THEN seen ELSE list_concat(seen, [k1, k2]) END, it.id, NOT list_has_any(seen, [k1, k2]) FROM g JOIN it ON it.i = g.i + 1)
 SELECT id FROM g WHERE kept""")
 def nw9(spark, sf):
-    rows = table(spark, sf, "documents").selectExpr("doc_id AS id", "concat('HTTPS://www.u', CAST(doc_id * 31 % 211 AS STRING), '/?v=', CAST(doc_id AS STRING)) AS url", "concat(' S  ', CAST(doc_id * 17 % 173 AS STRING)) AS title", "lang AS source", "'2024-01-01' AS date")
+    """The address from the whole text, the title from its beginning, so copies share both and near copies one."""
+    rows = table(spark, sf, "documents").selectExpr("doc_id AS id", "concat('HTTPS://www.u', md5(coalesce(text, '')), '/?v=', CAST(doc_id AS STRING)) AS url", "concat(' S  ', substr(md5(substring(coalesce(text, ''), 1, 40)), 1, 12)) AS title", "lang AS source", "'2024-01-01' AS date")
     return news.unique_stories(rows).select("id")
 
 
-@query("nw10_publication", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN TIMESTAMP '2024-05-06 05:08:09' END AS published_at, CASE doc_id % 3 WHEN 2 THEN DATE '2023-02-01' ELSE DATE '2024-05-06' END AS published_on FROM documents")
+@query("nw10_publication", """SELECT page_id, CASE page_id % 6 WHEN 0 THEN TIMESTAMP '2024-05-01 05:08:09' + to_days(CAST(page_id % 28 AS INT)) WHEN 3 THEN TIMESTAMP '2024-03-01 23:30:00' + to_days(CAST(page_id % 28 AS INT)) END AS published_at,
+CASE page_id % 6 WHEN 0 THEN DATE '2024-05-01' + CAST(page_id % 28 AS INT) WHEN 1 THEN DATE '2023-11-07' WHEN 2 THEN DATE '2022-02-03' WHEN 3 THEN DATE '2024-03-02' + CAST(page_id % 28 AS INT) WHEN 4 THEN DATE '2021-07-09' END AS published_on,
+CASE page_id % 6 WHEN 0 THEN 'article_published_meta' WHEN 1 THEN 'article_published_meta' WHEN 2 THEN 'json_ld_date_published' WHEN 3 THEN 'crawler_metadata' WHEN 4 THEN 'url_date' ELSE 'unknown' END AS source FROM pages""")
 def nw10(spark, sf):
-    rows = table(spark, sf, "documents").selectExpr("doc_id", "CASE doc_id % 3 WHEN 0 THEN '2024-05-06T07:08:09+02:00' WHEN 1 THEN '2024-05-06T07:08:09' ELSE 'soon' END AS meta", "'https://a.org/2023/02/01/x' AS url")
-    at, day = news.publication(F.col("meta"), F.col("url"))
-    return rows.select("doc_id", F.to_timestamp_ntz(F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd HH:mm:ss")).alias("published_at"), day.alias("published_on"))
+    """The pages with a publication tag put in by page id: meta tags in both orders, JSON-LD, crawler metadata, a dated address, nothing."""
+    day = "date_format(date_add(DATE '2024-05-01', CAST(page_id % 28 AS INT)), 'yyyy-MM-dd')"
+    html = f"""CASE page_id % 6 WHEN 0 THEN concat('<meta property="article:published_time" content="', {day}, 'T07:08:09+02:00">', html)
+      WHEN 1 THEN concat('<META content="2023-11-07T10:00:00" property=\\'article:published_time\\'>', html) WHEN 2 THEN concat('<script type="application/ld+json">{{"datePublished" : "2022-02-03"}}</script>', html) ELSE html END"""
+    meta = "CASE page_id % 6 WHEN 3 THEN concat(date_format(date_add(DATE '2024-03-02', CAST(page_id % 28 AS INT)), 'yyyy-MM-dd'), ' 01:30:00+02:00') WHEN 4 THEN 'soon' END"
+    rows = table(spark, sf, "pages").selectExpr("page_id", f"{html} AS html", f"{meta} AS meta", "CASE WHEN page_id % 6 = 4 THEN concat(url, '/2021/7/9/x') ELSE url END AS url")
+    at, on, source = news.publication(F.col("meta"), F.col("html"), F.col("url"))
+    return rows.select("page_id", F.to_timestamp_ntz(F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd HH:mm:ss")).alias("published_at"), on.alias("published_on"), source.alias("source"))
 
 
 @query("nw12_tags", f"""WITH {ART}, a AS (SELECT id, products, published_date, CASE WHEN id % 4 = 0 THEN 1.0 ELSE id % 10 / 10.0 END AS probability, CASE WHEN id % 6 > 0 THEN CAST(id % 2500 AS INT) END AS days FROM art),

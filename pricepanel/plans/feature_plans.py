@@ -85,9 +85,28 @@ def fe9(spark, sf):
     return features.rsi(daily_panel(spark, sf)).select("series", "report_date", F.round("rsi", 3).alias("rsi"))
 
 
-@query("fe10_macd")
+#: Exponential averages day by day; a missing price lets the weight of what is known decay.
+EMA = PANEL + """,
+pn AS MATERIALIZED (SELECT series, report_date, price_index AS x, row_number() OVER (PARTITION BY series ORDER BY report_date) AS n FROM panel),
+ema AS (
+  SELECT series, n, report_date, x AS f, 1.0::DOUBLE AS fw, x AS s, 1.0::DOUBLE AS sw, CASE WHEN x IS NOT NULL THEN 0.0::DOUBLE END AS g FROM pn WHERE n = 1
+  UNION ALL
+  SELECT series, n, report_date, f, fw, s, sw, CASE WHEN f IS NULL THEN NULL WHEN g0 IS NULL THEN f - s ELSE 0.8 * g0 + 0.2 * (f - s) END AS g FROM (
+    SELECT p.series, p.n, p.report_date, CASE WHEN e.f IS NULL THEN p.x WHEN p.x IS NULL THEN e.f ELSE (e.fw * (1 - 2 / 13.0::DOUBLE) * e.f + 2 / 13.0::DOUBLE * p.x) / (e.fw * (1 - 2 / 13.0::DOUBLE) + 2 / 13.0::DOUBLE) END AS f,
+      CASE WHEN e.f IS NOT NULL AND p.x IS NULL THEN e.fw * (1 - 2 / 13.0::DOUBLE) ELSE 1.0::DOUBLE END AS fw,
+      CASE WHEN e.s IS NULL THEN p.x WHEN p.x IS NULL THEN e.s ELSE (e.sw * (1 - 2 / 27.0::DOUBLE) * e.s + 2 / 27.0::DOUBLE * p.x) / (e.sw * (1 - 2 / 27.0::DOUBLE) + 2 / 27.0::DOUBLE) END AS s,
+      CASE WHEN e.s IS NOT NULL AND p.x IS NULL THEN e.sw * (1 - 2 / 27.0::DOUBLE) ELSE 1.0::DOUBLE END AS sw, e.g AS g0
+    FROM ema e JOIN pn p ON p.series = e.series AND p.n = e.n + 1))
+"""
+
+
+def recursive_sql(prefix: str, select: str) -> str:
+    return f"WITH RECURSIVE {prefix.strip()}\n{select.strip()}"
+
+
+@query("fe10_macd", recursive_sql(EMA, "SELECT p.series, p.report_date, round(e.f - e.s + 1e-8, 6) AS macd, round(e.g + 1e-8, 6) AS macd_signal FROM pn p LEFT JOIN ema e ON e.series = p.series AND e.n = p.n - 1"))
 def fe10(spark, sf):
-    return features.macd(daily_panel(spark, sf))
+    return features.macd(daily_panel(spark, sf)).select("series", "report_date", r6(F.col("macd") + 1e-8).alias("macd"), r6(F.col("macd_signal") + 1e-8).alias("macd_signal"))
 
 
 @query("fe11_peers", with_sql(PANEL, f""", c AS (SELECT product_category, report_date, (price_index - lag(price_index) {S}) / lag(price_index) {S} AS r FROM panel),
@@ -157,9 +176,25 @@ def fe18(spark, sf):
     return both.agg(F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("differing"), F.count("*").alias("n"))
 
 
-@query("fe19_multi_horizon", with_sql(PANEL, f""", o AS (SELECT series, report_date AS origin, price_index AS anchor, lag(price_index, 7) {S} / price_index AS x_lag_7, avg(price_index) OVER w / price_index AS x_mean_14, quantile_cont(price_index, 0.5) OVER w / price_index AS x_median_14 FROM panel
-  WINDOW w AS (PARTITION BY series ORDER BY report_date ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)),
-h AS (SELECT *, CAST(unnest(range(1, 31)) AS INT) AS horizon FROM o WHERE anchor IS NOT NULL AND origin >= DATE '1998-01-01' AND (origin - DATE '1998-01-01') % 30 = 0)
-SELECT h.series, origin, horizon, round(x_lag_7, 6) AS x_lag_7, round(x_mean_14, 6) AS x_mean_14, round(x_median_14, 6) AS x_median_14, round(p.observed_price / anchor - 1, 6) AS y FROM h JOIN panel p ON p.series = h.series AND p.report_date = origin + horizon WHERE p.observed_price IS NOT NULL"""))
+MULTI = [f"x_{c}_{w}" for w in (7, 14, 30) for c in ("mean", "std", "median", "min", "max", "slope")]
+SCALED = ", ".join(
+    f"avg(x) FILTER (age < {w}) / anchor AS x_mean_{w}, stddev_pop(x) FILTER (age < {w}) / anchor AS x_std_{w}, median(x) FILTER (age < {w}) / anchor AS x_median_{w}, "
+    f"min(x) FILTER (age < {w}) / anchor AS x_min_{w}, max(x) FILTER (age < {w}) / anchor AS x_max_{w}, CASE WHEN count(x) FILTER (age < {w}) > 1 THEN regr_slope(x, -age) FILTER (age < {w}) / anchor END AS x_slope_{w}" for w in (7, 14, 30)
+)
+OTHERS = [*[f"x_lag_{k}" for k in (1, 7, 14)], *[f"x_return_{k}" for k in (1, 7, 14)]]
+CYCLES = ("h_sqrt", "h_log", "origin_sin", "origin_cos", "target_sin", "target_cos")
+
+
+@query("fe19_multi_horizon", with_sql(PANEL, f""", pm AS MATERIALIZED (SELECT series, report_date, price_index, observed_price FROM panel),
+o AS (SELECT series, report_date AS origin, price_index AS anchor FROM pm WHERE price_index IS NOT NULL AND report_date >= DATE '1998-01-01' AND (report_date - DATE '1998-01-01') % 30 = 0),
+d AS (SELECT o.series, origin, anchor, p.price_index AS x, CAST(origin - p.report_date AS DOUBLE) AS age FROM o JOIN pm p ON p.series = o.series AND p.report_date BETWEEN origin - 29 AND origin),
+f AS (SELECT series, origin, anchor, {SCALED}, {", ".join(f"max(x) FILTER (age = {k}) / anchor AS x_lag_{k}, anchor / max(x) FILTER (age = {k}) - 1 AS x_return_{k}" for k in (1, 7, 14))} FROM d GROUP BY series, origin, anchor),
+h AS (SELECT *, CAST(unnest(range(1, 31)) AS INT) AS horizon FROM f)
+SELECT h.series, origin, horizon, {", ".join(f"round({c} + 3e-8, 6) AS {c}" for c in [*OTHERS, *MULTI])}, round(p.observed_price / anchor - 1 + 3e-8, 6) AS y,
+round(sqrt(horizon), 6) AS h_sqrt, round(ln(1 + horizon), 6) AS h_log, round(sin({PI} * dayofyear(origin) / 365) + 1e-9, 6) AS origin_sin, round(cos({PI} * dayofyear(origin) / 365) + 1e-9, 6) AS origin_cos,
+round(sin({PI} * dayofyear(p.report_date) / 365) + 1e-9, 6) AS target_sin, round(cos({PI} * dayofyear(p.report_date) / 365) + 1e-9, 6) AS target_cos
+FROM h JOIN pm p ON p.series = h.series AND p.report_date = origin + horizon WHERE p.observed_price IS NOT NULL"""))
 def fe19(spark, sf):
-    return features.multi_horizon(daily_panel(spark, sf)).select("series", "origin", "horizon", *[r6(c).alias(c) for c in ("x_lag_7", "x_mean_14", "x_median_14", "y")])
+    nudge = lambda c: 3e-8 if c in MULTI or c in OTHERS or c == "y" else 0.0 if c.startswith("h_") else 1e-9
+    rows = features.multi_horizon(daily_panel(spark, sf))
+    return rows.select("series", "origin", "horizon", *[r6(F.col(c) + nudge(c)).alias(c) for c in [*OTHERS, *MULTI, "y", *CYCLES]])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import backtests, base, cleaning, evidence, feature_plans, scoring, serving, signals
+from . import backtests, base, cleaning, evidence, feature_plans, incremental, scoring, serving, signals
 
 QUERIES, ORACLES = base.QUERIES, base.ORACLES
-MODULES = (backtests, cleaning, evidence, feature_plans, scoring, serving, signals)
+MODULES = (backtests, cleaning, evidence, feature_plans, incremental, scoring, serving, signals)

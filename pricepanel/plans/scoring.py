@@ -99,10 +99,19 @@ def sc9(spark, sf):
     return score.saved_or_rolling(publication(spark, sf), rolling(spark, sf)).select("series", "origin", "grain", "step", "kind")
 
 
-@query("sc10_horizon_audit", with_sql(PATHS, """, w AS (SELECT series, origin, CAST(date_trunc('week', date) AS DATE) AS s, avg(seasonal7) AS f, avg(actual) AS a, count(DISTINCT date) AS days FROM paths WHERE actual IS NOT NULL GROUP BY ALL)
-SELECT CAST((s - CAST(date_trunc('week', origin + 1) AS DATE)) // 7 + 1 AS INT) AS step, count(*) AS n, count(*) FILTER (days < 7) AS partial, round(avg(abs(f - a)), 5) AS mae, round(sqrt(avg((f - a) ** 2)), 5) AS rmse FROM w GROUP BY 1"""))
+PERIODS = """, pd AS (SELECT product_name, 'daily' AS grain, horizon AS step, seasonal7 AS f, actual AS a, false AS partial FROM paths WHERE actual IS NOT NULL
+  UNION ALL SELECT product_name, 'weekly', CAST((CAST(date_trunc('week', any_value(date)) AS DATE) - CAST(date_trunc('week', origin + 1) AS DATE)) // 7 + 1 AS INT), avg(seasonal7), avg(actual), count(DISTINCT date) < 7
+    FROM paths WHERE actual IS NOT NULL GROUP BY product_name, series, origin, date_trunc('week', date)
+  UNION ALL SELECT product_name, 'monthly', CAST((year(any_value(date)) * 12 + month(any_value(date))) - (year(origin + 1) * 12 + month(origin + 1)) + 1 AS INT), avg(seasonal7), avg(actual), count(DISTINCT date) < day(last_day(any_value(date)))
+    FROM paths WHERE actual IS NOT NULL GROUP BY product_name, series, origin, date_trunc('month', date))
+"""
+
+
+@query("sc10_horizon_audit", with_sql(PATHS, PERIODS + """SELECT grain, step, product_name, count(*) AS n, count(*) FILTER (partial) AS partial, count(*) FILTER (NOT (f > 0 AND a > 0)) AS invalid,
+round(avg(abs(f - a)) FILTER (f > 0 AND a > 0) + 3e-7, 5) AS mae, round(sqrt(avg((f - a) ** 2) FILTER (f > 0 AND a > 0)) + 3e-7, 5) AS rmse FROM pd GROUP BY GROUPING SETS ((grain, step), (grain, product_name), (grain, step, product_name))"""))
 def sc10(spark, sf):
-    return rounded(score.horizon_audit(forecast_paths(spark, sf), "seasonal7"), "mae", "rmse")
+    out = score.horizon_audit(forecast_paths(spark, sf), "seasonal7")
+    return out.withColumns({c: F.round(F.col(c) + 3e-7, 5) for c in ("mae", "rmse")})
 
 
 @query("sc10_worst", with_sql(PATHS, "SELECT series, count(*) AS n, round(sqrt(avg((seasonal7 - actual) ** 2)), 6) AS rmse FROM paths WHERE actual IS NOT NULL GROUP BY 1 ORDER BY rmse DESC, series LIMIT 5"))
@@ -110,9 +119,25 @@ def sc10w(spark, sf):
     return score.worst(forecast_paths(spark, sf), "seasonal7", "series")
 
 
-@query("sc11_contract", with_sql(PATHS, "SELECT origin, count(DISTINCT series) AS series, count(*) AS rows, CAST(0 AS BIGINT) AS incomplete, CAST(0 AS BIGINT) AS wrong_date, CAST(0 AS BIGINT) AS not_positive FROM paths GROUP BY 1"))
+#: Paths with planted faults: a missing lead, a date a day late, a price that is not above zero.
+FAULTY = """, fp AS (SELECT series, origin, horizon, CASE WHEN horizon = 9 AND product_name = 'SMALL' AND month(origin) = 3 THEN CAST(date + 1 AS DATE) ELSE date END AS date,
+  CASE WHEN horizon = 5 AND product_name = 'ECONOMY' AND day(origin) > 20 THEN 0 ELSE seasonal7 END AS prediction FROM paths WHERE NOT (horizon = 17 AND product_name = 'PROMO' AND month(origin) % 4 = 1)),
+fq AS (SELECT series, origin, count(*) AS n, count(DISTINCT horizon) AS leads, min(horizon) AS lo, max(horizon) AS hi, count(DISTINCT date) AS dates, count(*) FILTER (date <> origin + horizon) AS wrong_date, count(*) FILTER (NOT prediction > 0) AS not_positive FROM fp GROUP BY ALL),
+ck AS (SELECT origin, count(*) AS series, CAST(sum(n) AS BIGINT) AS rows, count(*) FILTER (NOT (n = 30 AND leads = 30 AND lo = 1 AND hi = 30 AND dates = 30)) AS incomplete, CAST(sum(wrong_date) AS BIGINT) AS wrong_date, CAST(sum(not_positive) AS BIGINT) AS not_positive FROM fq GROUP BY 1)
+"""
+
+
+def faulty(spark, sf):
+    rows = forecast_paths(spark, sf).where("NOT (horizon = 17 AND product_name = 'PROMO' AND month(origin) % 4 = 1)")
+    return rows.withColumns({
+        "date": F.expr("CASE WHEN horizon = 9 AND product_name = 'SMALL' AND month(origin) = 3 THEN date_add(date, 1) ELSE date END"),
+        "prediction": F.expr("CASE WHEN horizon = 5 AND product_name = 'ECONOMY' AND day(origin) > 20 THEN 0 ELSE seasonal7 END"),
+    })
+
+
+@query("sc11_contract", with_sql(PATHS, FAULTY + "SELECT * FROM ck"))
 def sc11(spark, sf):
-    return score.contract_checks(forecast_paths(spark, sf).withColumn("prediction", F.col("seasonal7")))
+    return score.contract_checks(faulty(spark, sf))
 
 
 @query("sc12_actuals", with_sql(PANEL, "SELECT count(*) FILTER (NOT report_date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31') AS outside, count(*) FILTER (report_date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31' AND NOT is_observed) AS unobserved, count(*) FILTER (report_date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31' AND is_observed) AS kept FROM panel"))
@@ -161,10 +186,15 @@ def sc17(spark, sf):
     return score.gate(score.compare_forecasters(forecast_paths(spark, sf), ["persistence", "seasonal7", "moving_average7"]), "moving_average7", "seasonal7")
 
 
-@query("sc18_labels", with_sql(PATHS, "SELECT count(*) FILTER (horizon > 20) AS only_a, CAST(0 AS BIGINT) AS only_b, CAST(0 AS BIGINT) AS differing FROM paths"))
+@query("sc18_labels", with_sql(PATHS, """, a AS (SELECT series, origin, horizon, actual FROM paths WHERE horizon > 2),
+b AS (SELECT series, origin, horizon, CASE WHEN horizon = 7 AND product_name = 'SMALL' THEN actual + 1 WHEN horizon = 8 AND product_name = 'PROMO' THEN NULL ELSE actual END AS actual FROM paths WHERE horizon <= 20)
+SELECT count(*) FILTER (b.series IS NULL) AS only_a, count(*) FILTER (a.series IS NULL) AS only_b, count(*) FILTER (a.series IS NOT NULL AND b.series IS NOT NULL AND a.actual IS DISTINCT FROM b.actual) AS differing
+FROM a FULL JOIN b ON a.series = b.series AND a.origin = b.origin AND a.horizon = b.horizon"""))
 def sc18(spark, sf):
+    """Labels of two sets of which each lacks some keys, with labels that were changed or taken away."""
     rows = forecast_paths(spark, sf)
-    return score.same_labels(rows, rows.where("horizon <= 20"))
+    changed = F.expr("CASE WHEN horizon = 7 AND product_name = 'SMALL' THEN actual + 1 WHEN horizon = 8 AND product_name = 'PROMO' THEN NULL ELSE actual END")
+    return score.same_labels(rows.where("horizon > 2"), rows.where("horizon <= 20").withColumn("actual", changed))
 
 
 @query("sc19_realized", with_sql(PATHS, """, f AS (SELECT CAST(origin AS VARCHAR) AS run_id, origin AS generated_at, series AS product_id, date, horizon AS lead, seasonal7 AS price, CASE WHEN horizon <= 7 THEN '1-7' WHEN horizon <= 14 THEN '8-14' ELSE '15-30' END AS bucket FROM paths),
@@ -218,10 +248,15 @@ def sc25(spark, sf):
     return rounded(score.replay_parity(rows, rows.withColumn("prediction", F.round("prediction", 1)), ["series", "origin", "horizon"]), "mean_diff", "max_diff")
 
 
-@query("sc26_reconcile", with_sql(PATHS, "SELECT count(*) AS n, count(*) FILTER (abs(seasonal7 - actual) <= 0.1 * actual) AS hits, count(*) AS pooled_n, count(*) FILTER (abs(seasonal7 - actual) <= 0.1 * actual) AS pooled_hits, true AS reconciles FROM paths WHERE actual > 0"))
+@query("sc26_reconcile", with_sql(PATHS, """, c AS (SELECT product_name, horizon, count(*) AS n, count(*) FILTER (abs(seasonal7 - actual) <= 0.1 * actual) AS hits FROM paths WHERE actual > 0 GROUP BY ALL),
+p AS (SELECT product_name, sum(n) AS n, sum(hits) AS hits FROM c WHERE NOT (product_name = 'PROMO' AND horizon = 30) GROUP BY 1),
+q AS (SELECT product_name, sum(n) AS pooled_n, sum(hits) AS pooled_hits FROM c GROUP BY 1)
+SELECT product_name, CAST(n AS BIGINT) AS n, CAST(hits AS BIGINT) AS hits, CAST(pooled_n AS BIGINT) AS pooled_n, CAST(pooled_hits AS BIGINT) AS pooled_hits, n = pooled_n AND hits = pooled_hits AS reconciles FROM p JOIN q USING (product_name)"""))
 def sc26(spark, sf):
+    """Per product; one product's parts lack a horizon and must not reconcile."""
     rows = forecast_paths(spark, sf)
-    return score.reconciles(score.hit_cells(rows, "seasonal7", ["series", "horizon"], 1), score.hit_cells(rows, "seasonal7", [], 1))
+    parts = score.hit_cells(rows, "seasonal7", ["product_name", "horizon"], 1).where("NOT (product_name = 'PROMO' AND horizon = 30)")
+    return score.reconciles(parts, score.hit_cells(rows, "seasonal7", ["product_name"], 1), ["product_name"])
 
 
 SAMPLES = PATHS + """,
@@ -235,10 +270,9 @@ def samples(spark, sf):
     return score.error_samples(forecast_paths(spark, sf), "seasonal7")
 
 
-@query("cf1_path_checks", with_sql(PATHS, "SELECT count(*) AS paths, CAST(0 AS BIGINT) AS broken FROM (SELECT DISTINCT series, origin FROM paths)"))
+@query("cf1_path_checks", with_sql(PATHS, FAULTY + "SELECT CAST(sum(series) AS BIGINT) AS paths, CAST(sum(incomplete + wrong_date) AS BIGINT) AS broken FROM ck"))
 def cf1(spark, sf):
-    checks = score.contract_checks(forecast_paths(spark, sf).withColumn("prediction", F.col("persistence")))
-    return checks.agg(F.sum("series").alias("paths"), F.sum(F.col("incomplete") + F.col("wrong_date")).alias("broken"))
+    return score.contract_checks(faulty(spark, sf)).agg(F.sum("series").alias("paths"), F.sum(F.col("incomplete") + F.col("wrong_date")).alias("broken"))
 
 
 @query("cf2_samples", with_sql(SAMPLES, "SELECT product_name, grain, step, count(*) AS n, round(avg(ape), 5) AS mape, max(available) AS last_known FROM sm GROUP BY ALL"))
@@ -255,17 +289,25 @@ def cf3(spark, sf):
 
 
 CONF = """, c AS (SELECT product_name, grain, count(*) AS n, count(DISTINCT origin) AS origins, avg(ape) AS mape FROM sm GROUP BY ALL),
-cf AS (SELECT *, concat_ws(',', CASE WHEN n < 8 THEN 'few_samples' END, CASE WHEN origins < 8 THEN 'few_origins' END) AS reasons, CASE WHEN n >= 8 AND origins >= 8 THEN greatest(0, 100 - mape) END AS score FROM c),
+oa AS (SELECT DISTINCT product_name, grain, origin FROM sm), av AS (SELECT product_name, grain, available, count(*) AS n FROM sm GROUP BY ALL),
+oc AS (SELECT oa.product_name, oa.grain, oa.origin, sum(av.n) AS seen FROM oa JOIN av ON av.product_name = oa.product_name AND av.grain = oa.grain AND av.available <= oa.origin GROUP BY ALL),
+ch AS (SELECT product_name, grain, count(*) AS checked FROM oc WHERE seen >= 8 GROUP BY ALL),
+cf AS (SELECT c.*, coalesce(checked, 0) AS checked, concat_ws(',', CASE WHEN n < 8 THEN 'few_samples' END, CASE WHEN origins < 8 THEN 'few_origins' END, CASE WHEN coalesce(checked, 0) < 3 THEN 'few_checked' END) AS reasons,
+  CASE WHEN n >= 8 AND origins >= 8 AND coalesce(checked, 0) >= 3 THEN greatest(0, 100 - mape) END AS score FROM c LEFT JOIN ch USING (product_name, grain)),
 cl AS (SELECT *, CASE WHEN score IS NULL THEN 'unavailable' WHEN score >= 90 THEN 'high' WHEN score >= 80 THEN 'moderate' ELSE 'low' END AS level FROM cf)
 """
 
 
-@query("cf4_confidence", with_sql(SAMPLES, CONF + "SELECT product_name, grain, n, origins, reasons, round(score, 5) AS score, level FROM cl"))
+@query("cf4_confidence", with_sql(SAMPLES, CONF + "SELECT product_name, grain, n, origins, checked, reasons, round(score, 5) AS score, level FROM cl"))
 def cf4(spark, sf):
-    return rounded(score.confidence(samples(spark, sf)), "score").select("product_name", "grain", "n", "origins", "reasons", "score", "level")
+    return rounded(score.confidence(samples(spark, sf)), "score").select("product_name", "grain", "n", "origins", "checked", "reasons", "score", "level")
 
 
-@query("cf5_label_coverage", with_sql(PATHS, "SELECT product_name, horizon, count(*) AS calendar, count(actual) AS observed, round(count(actual) / count(*), 5) AS coverage, count(actual) / count(*) < 0.8 AS withheld FROM paths GROUP BY ALL"))
+@query("cf5_label_coverage", with_sql(PATHS, """, pe AS (SELECT product_name, 'daily' AS grain, horizon AS step, 1 AS covered, CAST(actual IS NOT NULL AS INT) AS observed, 1 AS calendar FROM paths
+  UNION ALL SELECT product_name, 'weekly', CAST((CAST(date_trunc('week', any_value(date)) AS DATE) - CAST(date_trunc('week', origin + 1) AS DATE)) // 7 + 1 AS INT), count(*), count(actual), 7 FROM paths GROUP BY product_name, series, origin, date_trunc('week', date)
+  UNION ALL SELECT product_name, 'monthly', CAST((year(any_value(date)) * 12 + month(any_value(date))) - (year(origin + 1) * 12 + month(origin + 1)) + 1 AS INT), count(*), count(actual), day(last_day(any_value(date))) FROM paths GROUP BY product_name, series, origin, date_trunc('month', date))
+SELECT product_name, grain, step, CAST(sum(calendar) AS BIGINT) AS calendar, CAST(sum(covered) AS BIGINT) AS covered, CAST(sum(observed) AS BIGINT) AS observed, count(*) FILTER (covered < calendar) AS partial,
+round(sum(observed) / sum(covered), 5) AS coverage, sum(observed) / sum(covered) < 0.8 AS withheld FROM pe GROUP BY ALL"""))
 def cf5(spark, sf):
     return rounded(score.label_coverage(forecast_paths(spark, sf)), "coverage")
 

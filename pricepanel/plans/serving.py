@@ -58,18 +58,36 @@ def sv5(spark, sf):
     return serve.chart(daily_panel(spark, sf), "2001-05-20").withColumn("price", F.round(F.col("price") + 3e-7, 5))
 
 
-@query("sv6_overlay", with_sql(PATHS, """, h AS (SELECT series, report_date AS date, observed_price AS observed FROM panel WHERE observed_price IS NOT NULL AND report_date >= DATE '2001-04-01'), f AS (SELECT series, date, seasonal7 AS forecast FROM paths WHERE origin = DATE '2001-05-31')
+@query("sv6_overlay", with_sql(PANEL, """, pm AS MATERIALIZED (SELECT series, report_date, price_index, observed_price FROM panel WHERE report_date >= DATE '2001-01-01'),
+kn AS (SELECT series, report_date, price_index, row_number() OVER (PARTITION BY series ORDER BY report_date DESC) AS k, count(*) OVER (PARTITION BY series) AS n FROM pm WHERE price_index IS NOT NULL AND report_date <= DATE '2001-05-31'),
+an AS (SELECT DISTINCT series FROM kn WHERE k = 1 AND report_date = DATE '2001-05-31'),
+ls AS (SELECT series, list(price_index ORDER BY report_date) AS l FROM kn JOIN an USING (series) WHERE k <= 7 GROUP BY series),
+f AS (SELECT series, CAST(DATE '2001-05-31' + h AS DATE) AS date, l[(h - 1) % len(l) + 1] AS forecast FROM ls, (SELECT CAST(unnest(range(1, 31)) AS INT) AS h)),
+h AS (SELECT series, report_date AS date, observed_price AS observed FROM pm WHERE observed_price IS NOT NULL AND report_date >= DATE '2001-04-01')
 SELECT series, date, observed, forecast, coalesce(forecast, observed) AS shown FROM h FULL JOIN f USING (series, date)"""))
 def sv6(spark, sf):
     history = daily_panel(spark, sf).where("observed_price IS NOT NULL AND report_date >= DATE '2001-04-01'").select("series", F.col("report_date").alias("date"), F.col("observed_price").alias("price"))
     return serve.overlay(history, forecast_paths(spark, sf).where("origin = DATE '2001-05-31'").withColumnRenamed("seasonal7", "price"))
 
 
-@query("sv7_halves", with_sql(CLEAN, ", h AS (SELECT *, ntile(2) OVER (PARTITION BY origin ORDER BY report_date, id) AS half FROM clean), a AS (SELECT origin, avg(price_index) FILTER (half = 1) AS p, avg(price_index) FILTER (half = 2) AS c FROM h GROUP BY 1) SELECT origin, round(p, 5) AS previous, round(c, 5) AS current, round(100 * (c - p) / p, 5) AS change FROM a"))
+HALVES = ", h AS (SELECT *, ntile(2) OVER (PARTITION BY {k} ORDER BY report_date, id) AS half FROM clean), a AS (SELECT {k}, avg(price_index) FILTER (half = 1) AS p, avg(price_index) FILTER (half = 2) AS c FROM h GROUP BY 1) SELECT {k}, round(p, 5) AS previous, round(c, 5) AS current, round(100 * (c - p) / p, 5) AS change FROM a"
+
+
+@query("sv7_halves", with_sql(CLEAN, HALVES.format(k="origin")))
 def sv7(spark, sf):
     return rounded(serve.halves(clean_prices(spark, sf), "origin"), "previous", "current", "change")
 
 
+@query("sv7_variants", with_sql(CLEAN, HALVES.format(k="product_variant")))
+def sv7v(spark, sf):
+    return rounded(serve.halves(clean_prices(spark, sf), "product_variant"), "previous", "current", "change")
+
+
+@query("sv7_last_points", with_sql(CLEAN, ", d AS (SELECT product_variant, report_date, avg(price_index) AS price FROM clean GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY product_variant ORDER BY report_date DESC) AS k FROM d) SELECT product_variant, k, report_date, round(price + 3e-7, 5) AS price FROM r WHERE k <= 14"))
+def sv7p(spark, sf):
+    return serve.last_points(clean_prices(spark, sf), "product_variant", 14).select("product_variant", F.col("k").cast("long").alias("k"), "report_date", F.round(F.col("price") + 3e-7, 5).alias("price"))
+
+
 @query("sv8_cheaper", with_sql(CLEAN, """, l AS (SELECT series, product_category, product_name, unit, arg_max(price_index, (report_date, id)) AS price FROM clean GROUP BY ALL),
 j AS (SELECT a.series, b.series AS alternative, b.price AS alternative_price, a.price - b.price AS saving, 100 * (a.price - b.price) / a.price AS pct, row_number() OVER (PARTITION BY a.series ORDER BY b.price, b.series) AS rank FROM l a JOIN l b ON a.product_category = b.product_category AND a.unit = b.unit AND a.product_name <> b.product_name AND b.price < a.price)
 SELECT series, CAST(rank AS INT) AS rank, alternative, alternative_price, round(saving, 5) AS saving, round(pct, 5) AS saving_pct FROM j WHERE rank <= 5"""))
@@ -113,14 +131,14 @@ def sv13(spark, sf):
 GEO = "CAST({k} * 37 % 180 AS DOUBLE) - 90 AS lat, CAST({k} * 73 % 360 AS DOUBLE) - 180 AS lon"
 
 
-@query("sv14_nearest", f"""WITH p AS (SELECT c_custkey AS point_id, {GEO.format(k='c_custkey')} FROM customer), s AS (SELECT s_suppkey AS place_id, {GEO.format(k='s_suppkey')} FROM supplier WHERE s_suppkey <= 50),
+@query("sv14_nearest", f"""WITH p AS (SELECT c_custkey AS point_id, {GEO.format(k='c_custkey')} FROM customer), s AS (SELECT s_suppkey AS place_id, {GEO.format(k='s_suppkey')} FROM supplier),
 d AS (SELECT point_id, place_id, 2 * 6371.0 * asin(sqrt(sin(radians(s.lat - p.lat) / 2) ** 2 + cos(radians(p.lat)) * cos(radians(s.lat)) * sin(radians(s.lon - p.lon) / 2) ** 2)) AS km FROM p, s)
-SELECT point_id, place_id, round(km, 4) AS km FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY km, place_id) AS rank FROM d) WHERE rank <= 1""")
+SELECT point_id, rank, round(km, 4) AS km FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY km, place_id) AS rank FROM d) WHERE rank <= 3""")
 def sv14(spark, sf):
     geo = lambda k: (f"CAST({k} * 37 % 180 AS DOUBLE) - 90 AS lat", f"CAST({k} * 73 % 360 AS DOUBLE) - 180 AS lon")
     points = table(spark, sf, "customer").selectExpr("c_custkey AS point_id", *geo("c_custkey"))
-    places = table(spark, sf, "supplier").where("s_suppkey <= 50").selectExpr("s_suppkey AS place_id", *geo("s_suppkey"))
-    return serve.nearest(points, places, 1).select("point_id", "place_id", F.round("km", 4).alias("km"))
+    places = table(spark, sf, "supplier").selectExpr("s_suppkey AS place_id", *geo("s_suppkey"))
+    return serve.nearest(points, places, 3).select("point_id", F.col("rank").cast("long").alias("rank"), F.round("km", 4).alias("km"))
 
 
 @query("sv15_facets", with_sql(CLEAN, "SELECT 'product_category' AS facet, product_category AS value, count(*) AS n FROM clean GROUP BY 2 UNION ALL SELECT 'origin', origin, count(*) FROM clean GROUP BY 2"))
@@ -187,9 +205,17 @@ def io5(spark, sf):
     return store.unprocessed(rows.select("source_pdf").distinct(), rows.where("report_date < DATE '2001-06-01'"))
 
 
-@query("io7_verify", with_sql(PATHS, "SELECT CAST(origin AS VARCHAR) AS run_id, count(*) AS n, true AS unique_days, true AS consecutive, true AS positive FROM paths WHERE origin >= DATE '2001-01-01' GROUP BY 1"))
+@query("io7_verify", with_sql(PATHS, """, v AS (SELECT CAST(origin AS VARCHAR) AS run_id, series AS product_id, CASE WHEN horizon = 9 AND day(origin) % 2 = 0 THEN date - 1 ELSE date END AS date,
+  CASE WHEN horizon = 4 AND month(origin) % 3 = 0 THEN -seasonal7 ELSE seasonal7 END AS price FROM paths WHERE origin >= DATE '2001-01-01' AND NOT (horizon = 20 AND month(origin) % 2 = 0)),
+g AS (SELECT run_id, product_id, count(*) AS n, count(DISTINCT date) AS d, max(date) - min(date) AS span, bool_and(price > 0) AS ok FROM v GROUP BY ALL)
+SELECT run_id, CAST(sum(n) AS BIGINT) AS n, bool_and(n = d) AS unique_days, bool_and(span = d - 1) AS consecutive, bool_and(ok) AS positive FROM g GROUP BY 1"""))
 def io7(spark, sf):
-    rows = forecast_paths(spark, sf).where("origin >= DATE '2001-01-01'").select(F.col("origin").cast("string").alias("run_id"), F.col("series").alias("product_id"), "date", F.col("seasonal7").alias("price"))
+    """Runs with planted faults, by month and day of the origin: a doubled day, a missing day, a price below zero."""
+    rows = forecast_paths(spark, sf).where("origin >= DATE '2001-01-01' AND NOT (horizon = 20 AND month(origin) % 2 = 0)")
+    rows = rows.select(
+        F.col("origin").cast("string").alias("run_id"), F.col("series").alias("product_id"), F.expr("CASE WHEN horizon = 9 AND day(origin) % 2 = 0 THEN date_sub(date, 1) ELSE date END").alias("date"),
+        F.expr("CASE WHEN horizon = 4 AND month(origin) % 3 = 0 THEN -seasonal7 ELSE seasonal7 END").alias("price"),
+    )
     return store.verify(rows)
 
 
@@ -207,6 +233,8 @@ def io9(spark, sf):
     return store.latest_run(runs, rows).select("series", "horizon", "price")
 
 
-@query("io10_fingerprint")
+@query("io10_fingerprint", with_sql(CLEAN, """, h AS (SELECT md5(concat_ws('|', series, CAST(report_date AS VARCHAR), CAST(CAST(round(price_index * 10000) AS BIGINT) AS VARCHAR), source_pdf)) AS h FROM clean),
+s AS (SELECT count(*) AS n, sum(CAST('0x' || substr(h, 1, 15) AS HUGEINT)) AS a, sum(CAST('0x' || substr(h, 17, 15) AS HUGEINT)) AS b FROM h) SELECT n, sha256(concat_ws('|', CAST(n AS VARCHAR), CAST(a AS VARCHAR), CAST(b AS VARCHAR))) AS sha256 FROM s"""))
 def io10(spark, sf):
-    return store.fingerprint(clean_prices(spark, sf), ["series", "report_date", "price_index", "source_pdf"])
+    rows = clean_prices(spark, sf).withColumn("price", F.round(F.col("price_index") * 10000).cast("long"))
+    return store.fingerprint(rows, ["series", "report_date", "price", "source_pdf"])

@@ -35,16 +35,30 @@ def as2(spark, sf):
     return asof.as_of(asked(spark, sf), releases(spark, sf), ["grade"], 8, 7)
 
 
+@query("as3_monthly", "WITH " + REL.replace("CAST(o_orderdate AS DATE) AS reference_end", "last_day(CAST(o_orderdate AS DATE)) AS reference_end") + ASOF.format(lag=5, age=45) + ASK)
+def as3(spark, sf):
+    return asof.monthly_as_of(asked(spark, sf), releases(spark, sf).withColumnRenamed("reference_end", "period"), ["grade"], 45, 5)
+
+
+@query("as3_sectors", "WITH " + REL + """, f AS (SELECT grade, last_day(reference_end) AS period, min(struct_pack(available := available_at, value := value)) AS x FROM rel GROUP BY ALL),
+l AS (SELECT *, lag(period) OVER w AS p, lag(x) OVER w AS b FROM f WINDOW w AS (PARTITION BY grade ORDER BY period)),
+rel2 AS (SELECT grade, period AS reference_end, greatest(x.available, b.available) AS available_at, x.value / b.value - 1 AS value FROM l WHERE p = last_day(period - INTERVAL 1 MONTH))""" + ASOF.format(lag=0, age=60).replace("JOIN rel ON rel.", "JOIN rel2 rel ON rel.") + """SELECT grade, origin, reason, CASE WHEN reason = 'available' THEN round(b.value, 6) END AS value, CASE WHEN reason = 'available' THEN b.reference_end END AS reference_end FROM s""")
+def as3s(spark, sf):
+    changes = asof.monthly_changes(releases(spark, sf).withColumnRenamed("reference_end", "period"), ["grade"])
+    return asof.monthly_as_of(asked(spark, sf), changes, ["grade"], 60).withColumn("value", F.round("value", 6))
+
+
 @query("as4_validate", "WITH " + REL + ", v AS (SELECT concat_ws(',', CASE WHEN count(*) OVER (PARTITION BY grade, reference_end, available_at) > 1 THEN 'duplicate' END, CASE WHEN o_orderkey % 5 = 0 THEN 'hash' END, CASE WHEN o_orderkey % 7 = 0 THEN 'url' END) AS broken FROM rel) SELECT broken, count(*) AS n FROM v GROUP BY 1")
 def as4(spark, sf):
     rows = releases(spark, sf).withColumns({"sha256": F.when(F.col("o_orderkey") % 5 == 0, "x").otherwise(F.sha2(F.col("o_orderkey").cast("string"), 256)), "source_url": F.when(F.col("o_orderkey") % 7 == 0, "http://a").otherwise("https://a")})
     return asof.validate(rows, ["grade"]).groupBy("broken").agg(F.count("*").alias("n"))
 
 
-@query("as5_admission", "WITH a AS (SELECT o_custkey % 500 AS k, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1), r AS (SELECT c_custkey FROM customer) SELECT CASE WHEN n IS NULL THEN 'no_availability' WHEN n > 1 THEN 'ambiguous' ELSE 'admitted' END AS state, count(*) AS n FROM r LEFT JOIN a ON k = c_custkey GROUP BY 1")
+@query("as5_admission", "WITH a AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE year(CAST(o_orderdate AS DATE)) = 1997 GROUP BY 1) SELECT CASE WHEN n IS NULL THEN 'no_availability' WHEN n > 1 THEN 'ambiguous' ELSE 'admitted' END AS state, count(*) AS n FROM customer LEFT JOIN a ON k = c_custkey GROUP BY 1")
 def as5(spark, sf):
-    available = table(spark, sf, "orders").where("o_orderkey % 3 = 0").select((F.col("o_custkey") % 500).cast("string").alias("sha256"), F.lit("u").alias("source_url"), F.to_date("o_orderdate").alias("available_at"))
-    reviewed = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("sha256"), F.lit("u").alias("source_url"))
+    """Customers as reviewed rows of one address, orders as availability by customer and year."""
+    available = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("sha256"), F.year("o_orderdate").cast("string").alias("source_url"), F.to_date("o_orderdate").alias("available_at"))
+    reviewed = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("sha256"), F.lit("1997").alias("source_url"))
     return asof.admit(reviewed, available).groupBy("state").agg(F.count("*").alias("n"))
 
 
@@ -74,13 +88,17 @@ def nw2(spark, sf):
     return articles(spark, sf).groupBy(news.impact(F.col("sentiment")).alias("impact")).agg(F.count("*").alias("n"), F.round(F.avg(F.abs("sentiment")), 6).alias("confidence"))
 
 
-@query("nw3_windows", f"""WITH {ART}, a AS (SELECT unnest(products) AS product, published_date, sentiment, is_shock FROM art), d AS (SELECT DISTINCT product, published_date AS day FROM a)
-SELECT d.product, d.day, count(a.product) FILTER (day - published_date <= 3) AS n_3, count(a.product) FILTER (day - published_date <= 7) AS n_7, count(a.product) AS n_14, count(*) FILTER (is_shock AND day - published_date <= 7) AS shocks_7, round(coalesce(avg(sentiment), 0), 6) AS mean_sentiment_14
+@query("nw3_windows", f"""WITH {ART}, a AS (SELECT unnest(products) AS product, published_date, sentiment, is_shock, coalesce(regexp_matches(text, '(?i)(^|[^\\w])(inflation|cpi)([^\\w]|$)'), false) AS inflation,
+  CASE WHEN sentiment < -0.2 THEN abs(sentiment) WHEN sentiment > 0.2 THEN -abs(sentiment) ELSE 0 END AS signed FROM art), d AS (SELECT DISTINCT product, published_date AS day FROM a)
+SELECT d.product, d.day, count(a.product) FILTER (day - published_date <= 3) AS n_3, count(a.product) FILTER (day - published_date <= 7) AS n_7, count(a.product) AS n_14, count(*) FILTER (is_shock AND day - published_date <= 7) AS shocks_7,
+count(*) FILTER (inflation) AS inflation_14, count(*) FILTER (sentiment < -0.2 AND day - published_date <= 7) AS rising_7, count(*) FILTER (sentiment > 0.2 AND day - published_date <= 7) AS falling_7,
+round(coalesce(avg(sentiment), 0) + 3e-8, 6) AS mean_sentiment_14, round(coalesce(avg(abs(sentiment)) FILTER (day - published_date <= 7), 0) + 3e-8, 6) AS mean_confidence_7, round(coalesce(avg(signed) FILTER (day - published_date <= 3), 0) + 3e-8, 6) AS signed_score_3
 FROM d LEFT JOIN a ON a.product = d.product AND a.published_date BETWEEN d.day - 14 AND d.day GROUP BY ALL""")
 def nw3(spark, sf):
     rows = articles(spark, sf)
     days = rows.select(F.explode("products").alias("product"), F.col("published_date").alias("day")).distinct()
-    return news.windows(rows, days).select("product", "day", "n_3", "n_7", "n_14", "shocks_7", F.round("mean_sentiment_14", 6).alias("mean_sentiment_14"))
+    means = ("mean_sentiment_14", "mean_confidence_7", "signed_score_3")
+    return news.windows(rows, days).select("product", "day", "n_3", "n_7", "n_14", "shocks_7", "inflation_14", "rising_7", "falling_7", *[F.round(F.col(c) + 3e-8, 6).alias(c) for c in means])
 
 
 @query("nw4_topics", f"WITH {ART} SELECT id FROM art WHERE regexp_matches(lower(text), '\\b(worthless|idiot|clown)\\b') AND regexp_matches(lower(text), '\\b(the|that|from)\\b')")
@@ -88,16 +106,36 @@ def nw4(spark, sf):
     return articles(spark, sf).where(news.topical(F.col("text"), ["worthless", "idiot", "clown"], ["the", "that", "from"])).select("id")
 
 
+BODY = r"""WITH t AS (SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'Menu' || chr(10) || 'Published April 27, 2026 02:55 PM PHT' || chr(10) || coalesce(text, '') || chr(10) || 'Read More: [x](y)' || chr(10) || 'more'
+  WHEN 1 THEN '# Head [one](http://a) ![pic](b)' || chr(10) || coalesce(text, '') ELSE text END AS t FROM documents),
+b AS (SELECT id, regexp_replace(regexp_replace(t, '(?s)\A.*?(?m:^)[ \t]*Published\s+\w+\s+\d{1,2},?\s+\d{4}[^\n]*(\n|\z)', ''), '(?ms)^[ \t]*(Read More|Copyright ©|Privacy Preference Center).*\z', '') AS t FROM t),
+p AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '#{1,6}\s*|[*_~`]{1,3}', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM b),
+c AS (SELECT id, regexp_replace(regexp_replace(t, '\A\s+', ''), '\s+\z', '') AS t FROM p)
+SELECT id, length(t) AS n_chars, sha256(t) AS sha256 FROM c WHERE length(t) >= 200"""
+
+
+@query("nw5_body", BODY)
+def nw5(spark, sf):
+    """Documents as pages in markdown: with a publication line and footer, with a heading of links, or bare."""
+    page = F.expr(
+        "CASE doc_id % 3 WHEN 0 THEN concat('Menu\\nPublished April 27, 2026 02:55 PM PHT\\n', coalesce(text, ''), '\\nRead More: [x](y)\\nmore') "
+        "WHEN 1 THEN concat('# Head [one](http://a) ![pic](b)\\n', coalesce(text, '')) ELSE text END"
+    )
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), news.clean_body(page).alias("body")).where("body IS NOT NULL")
+    return rows.select("id", F.length("body").cast("long").alias("n_chars"), F.sha2("body", 256).alias("sha256"))
+
+
 @query("nw7_hosts", r"WITH u AS (SELECT page_id, url, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host FROM pages) SELECT page_id FROM u WHERE (host = 'example.net' OR host LIKE '%.example.net') AND NOT regexp_matches(url, '/(fr|de)(/|$|\?)')")
 def nw7(spark, sf):
     return table(spark, sf, "pages").where(news.allowed_url(F.col("url"), ["example.net"], ["fr", "de"])).select("page_id")
 
 
-@query("nw8_dedup", f"WITH {ART}, s AS (SELECT DISTINCT sha256(text) AS h FROM art WHERE id < 200) SELECT min(id) AS id, sha256(text) AS content_hash FROM art WHERE id >= 100 AND sha256(text) NOT IN (SELECT h FROM s) GROUP BY sha256(text)")
+@query("nw8_dedup", f"WITH {ART}, s AS (SELECT DISTINCT sha256(text) AS h FROM art WHERE coalesce(source, '') < 'src2' AND text IS NOT NULL) SELECT min(id) AS id, sha256(text) AS content_hash FROM art WHERE coalesce(source, '') >= 'src2' AND sha256(text) NOT IN (SELECT h FROM s) GROUP BY sha256(text)")
 def nw8(spark, sf):
-    rows = articles(spark, sf).select("id", F.col("text").alias("content"), F.col("id").cast("string").alias("url"))
-    stored = rows.where("id < 200").select("url", F.sha2("content", 256).alias("content_hash"))
-    return news.new_articles(rows.where("id >= 100"), stored.withColumn("url", F.concat(F.lit("old"), "url"))).select("id", "content_hash")
+    """Articles of some sources as the store, those of all others as the batch."""
+    rows = articles(spark, sf).select("id", F.col("text").alias("content"), F.col("id").cast("string").alias("url"), F.coalesce("source", F.lit("")).alias("source")).where("content IS NOT NULL")
+    stored = rows.where("source < 'src2'").select("url", F.sha2("content", 256).alias("content_hash"))
+    return news.new_articles(rows.where("source >= 'src2'").drop("source"), stored).select("id", "content_hash")
 
 
 @query("nw11_listing", f"WITH {ART} SELECT id, published_date FROM art WHERE published_date >= DATE '1995-03-01' AND contains(lower(source), 'src1') ORDER BY published_date DESC, id LIMIT 20 OFFSET 20")

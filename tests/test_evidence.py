@@ -12,15 +12,17 @@ def test_text_metrics_need_exactly_one_match(spark):
     assert out == {1: ("accepted", 2500.0, 1), 2: ("many_matches", None, None), 3: ("no_match", None, None), 4: ("no_match", None, None), 5: ("not_a_number", None, None)}
 
 
-def test_document_index_sets_bad_rows_aside(spark):
+def test_document_index_sets_bad_rows_aside(spark, monkeypatch):
     rows = spark.createDataFrame(
-        [(3, "http://www.a.org/f?x", 2001, "Rice"), (3, "https://a.org/f", 2002, "rice, corn"), (2, "https://a.org/f", 2003, "rice"), (3, "https://b.com/f", 2003, "rice"), (3, None, 2003, "rice"), (3, "https://a.org/g", None, None)],
-        "n_cells int, url string, year int, subject string",
+        [(1, 3, "http://www.a.org/f?x", 2001, "Rice"), (2, 3, "https://a.org/f", 2002, "rice, corn"), (3, 2, "https://a.org/f", 2003, "rice"), (4, 3, "https://b.com/f", 2003, "rice"), (5, 3, None, 2003, "rice"), (6, 3, "https://a.org/g", None, None)],
+        "place int, n_cells int, url string, year int, subject string",
     )
     rows = asof.listed(rows, ["a.org"])
     assert [r.reason for r in rows.collect()] == [None, None, "cells", "host", "link", None]
-    out = {r.document: (r.occurrences, r.years, r.candidate) for r in asof.document_index(rows, "rice").collect()}
-    assert out == {"https://a.org/f": (2, 2, True), "https://a.org/g": (1, 0, False)}
+    out = {r.document: (r.part, r.occurrences, r.years, r.candidate, [x.place for x in r.listed]) for r in asof.document_index(rows, "rice").collect()}
+    assert out == {"https://a.org/f": (0, 2, 2, True, [1, 2]), "https://a.org/g": (0, 1, 0, False, [6])}
+    monkeypatch.setattr(asof, "OCCURRENCES", 1)
+    assert sorted((r.document, r.part, r.occurrences, r.listed[0].place) for r in asof.document_index(rows, "rice").collect()) == [("https://a.org/f", 0, 2, 1), ("https://a.org/f", 1, 2, 2), ("https://a.org/g", 0, 1, 6)]
 
 
 def test_corroboration_states(spark):

@@ -2,7 +2,9 @@
 
 import datetime as dt
 import math
+import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -123,9 +125,14 @@ def test_cheaper_keeps_k(spark):
 def test_publish_and_snapshot(spark, tmp_path):
     rows = spark.createDataFrame([("p", "daily", DAY, 1.0), ("p", "weekly", DAY, 1.0)], "product_id string, grain string, date date, price double")
     store.publish(spark, rows, str(tmp_path / "v"), "r1", 2)
-    assert spark.read.parquet(str(tmp_path / "v/runs")).count() == 1 and spark.read.parquet(str(tmp_path / "v/latest_daily")).count() == 1
+    assert spark.read.parquet(str(tmp_path / "v/runs")).count() == 1 and store.published_daily(spark, str(tmp_path / "v")).count() == 1
     with pytest.raises(ValueError):
         store.publish(spark, rows, str(tmp_path / "v"), "r2", 3)
+    assert store.published_daily(spark, str(tmp_path / "v")).first().run_id == "r1"  # a failed run does not show
+    store.publish(spark, rows, str(tmp_path / "v"), "r2", 2)
+    assert [(r.run_id, r.price) for r in store.published_daily(spark, str(tmp_path / "v")).collect()] == [("r2", 1.0)]
+    with pytest.raises(ValueError):
+        store.publish(spark, rows, str(tmp_path / "v"), "r1", 2)  # what is published stays as it is
     (tmp_path / "a.json").write_text('{"rows": [{"id": "1", "product_name": "A", "price_index": 2.5, "report_date": "2024-01-02"}, {"id": "2", "report_date": "2024-03-02"}]}')
     (tmp_path / "b.json").write_text('[{"id": "1", "product_name": "A", "price_index": 2.5, "report_date": "2024-01-02"}]')
     assert [r.id for r in store.read_snapshot(spark, str(tmp_path / "a.json"), "2024-02-01").collect()] == ["1"]
@@ -137,6 +144,82 @@ def test_fingerprint_ignores_order(spark):
     assert store.fingerprint(rows, ["a", "b"]).first() == store.fingerprint(rows.orderBy(F.desc("a")), ["a", "b"]).first()
 
 
+def test_nearest_equals_brute_force(spark):
+    rnd = random.Random(5)
+    spot = lambda: rnd.choice([(rnd.uniform(-90, 90), rnd.uniform(-180, 180)), (10 + rnd.gauss(0, 0.001), 20 + rnd.gauss(0, 0.001)), (5.0, 5.0), (rnd.choice([-90.0, 90.0]), 0.0), (0.0, rnd.choice([-180.0, 180.0]))])
+    points, places = [(i, *spot()) for i in range(120)], [(1000 + i, *spot()) for i in range(90)]
+    out = serve.nearest(spark.createDataFrame(points, "point_id long, lat double, lon double"), spark.createDataFrame(places, "place_id long, lat double, lon double"), 3)
+    found = {(r.point_id, r.rank): r.km for r in out.collect()}
+
+    def km(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        return 2 * 6371.0 * math.asin(min(1.0, math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2)))
+
+    for i, a, b in points:
+        best = sorted(km(a, b, c, d) for _, c, d in places)[:3]
+        assert all(abs(found[i, r + 1] - x) < 1e-5 for r, x in enumerate(best)), i
+    few = spark.createDataFrame(places[:2], "place_id long, lat double, lon double")
+    assert serve.nearest(spark.createDataFrame(points[:5], "point_id long, lat double, lon double"), few, 3).count() == 10
+    assert serve.nearest(spark.createDataFrame(points[:5], "point_id long, lat double, lon double"), few.limit(0), 3).count() == 0
+
+
+def test_halves_split_inside_a_day(spark):
+    rnd = random.Random(2)
+    rows = [(rnd.choice("ab"), DAY + dt.timedelta(rnd.randrange(4)), i, float(rnd.randrange(100))) for i in range(61)] + [("c", DAY, 99, 5.0)]
+    out = {r.k: (r.previous, r.current) for r in serve.halves(spark.createDataFrame(rows, "k string, report_date date, id int, price_index double"), "k").collect()}
+    for k in "ab":
+        own = [p for _, _, _, p in sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2]))]
+        cut = -(-len(own) // 2)
+        assert math.isclose(out[k][0], sum(own[:cut]) / cut) and math.isclose(out[k][1], sum(own[cut:]) / (len(own) - cut))
+    assert out["c"] == (5.0, None)
+
+
+def test_multi_horizon_equals_plain_windows(spark):
+    rnd = random.Random(9)
+    prices = [None if rnd.random() < 0.1 else 50 + rnd.random() for _ in range(100)]
+    day = lambda k: DAY + dt.timedelta(k)
+    panel = spark.createDataFrame([("s", day(k), p, p) for k, p in enumerate(prices)], "series string, report_date date, price_index double, observed_price double")
+    for stride in (30, 10):
+        out = features.multi_horizon(panel, 30, stride, str(day(35))).collect()
+        seen = set()
+        for r in out:
+            o, t = (r.origin - DAY).days, (r.target_date - DAY).days
+            seen.add((o, r.horizon))
+            assert t == o + r.horizon and math.isclose(r.y, prices[t] / prices[o] - 1)
+            for w in (7, 14, 30):
+                x = np.array([np.nan if p is None else p for p in prices[max(0, o - w + 1) : o + 1]], dtype=float)
+                for name, value in (("mean", np.nanmean(x)), ("std", np.nanstd(x)), ("median", np.nanmedian(x)), ("min", np.nanmin(x)), ("max", np.nanmax(x))):
+                    assert math.isclose(r[f"x_{name}_{w}"], value / prices[o], rel_tol=1e-9, abs_tol=1e-12)
+                there = ~np.isnan(x)
+                if there.sum() > 1:
+                    assert math.isclose(r[f"x_slope_{w}"], np.polyfit(np.arange(len(x))[there], x[there], 1)[0] / prices[o], rel_tol=1e-6, abs_tol=1e-9)
+        assert seen == {(o, h) for o in range(35, 100, stride) if prices[o] is not None for h in range(1, 31) if o + h < 100 and prices[o + h] is not None}
+
+
+def test_recursive_paths_equal_a_plain_loop(spark):
+    rnd = random.Random(4)
+    rows = [(DAY, c, f"{c}{i}", [50 + rnd.random() for _ in range(n)]) for c in "xy" for i, n in enumerate((7, 7, 3, 1))]
+    found = {(r.series, r.horizon): r.price for r in backtest.recursive_paths(spark.createDataFrame(rows, "origin date, product_category string, series string, last_prices array<double>"), {"own": -0.05, "gap": -0.2, "peer": 0.1}).collect()}
+    for c in "xy":
+        last = {s: list(p) for _, k, s, p in rows if k == c}
+        for h in range(1, 31):
+            change = {s: p[-1] / p[-2] - 1 if len(p) > 1 else 0.0 for s, p in last.items()}
+            peer = float(np.median(list(change.values())))
+            for s, p in last.items():
+                p.append(max(0.01, p[-1] * (1 - 0.05 * change[s] - 0.2 * (p[-1] / np.mean(p[-7:]) - 1) + 0.1 * peer)))
+                assert math.isclose(found[s, h], p[-1], rel_tol=1e-9)
+
+
+def test_pooled_model_is_a_ridge_fit(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 2)) * [1, 5] + [0, 3]
+    y = 0.5 * x[:, 0] - 0.1 * x[:, 1] + rng.normal(size=400) * 0.1
+    df = spark.createDataFrame([(float(a), float(b), 1.0, float(c)) for (a, b), c in zip(x, y, strict=True)], "a double, b double, flat double, target double")
+    model = backtest.fit_relative(df, ["a", "b", "flat"], ridge=0.0)
+    exact = np.linalg.lstsq(np.column_stack([x, np.ones(400)]), y, rcond=None)[0]
+    assert np.allclose([*model.coefficients, model.intercept], [exact[0], exact[1], 0.0, exact[2]], atol=1e-9)
+
+
 def test_entry_and_names():
     import __spark_entry__ as entry
 

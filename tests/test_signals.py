@@ -5,7 +5,7 @@ import datetime as dt
 import pandas as pd
 from pyspark.sql import functions as F
 
-from pricepanel.operators import asof, news, streams
+from pricepanel.operators import asof, features, news, store, streams
 
 D = dt.date(2024, 1, 1)
 day = lambda k: D + dt.timedelta(days=k)
@@ -30,17 +30,30 @@ def test_first_availability_and_ranges(spark):
 
 
 def test_publication_time(spark):
-    rows = spark.createDataFrame([("2024-03-01T10:00:00+08:00", "u"), ("2024-03-01", "u"), ("2024-03-01T10:00:00", "u"), (None, "https://a/2024/05/06/x")], "m string, u string")
-    at, d = news.publication(F.col("m"), F.col("u"))
-    out = rows.select(at.isNotNull(), d).collect()
-    assert [r[0] for r in out] == [True, False, False, None] or [bool(r[0]) for r in out] == [True, False, False, False]
-    assert [r[1] for r in out] == [dt.date(2024, 3, 1)] * 3 + [dt.date(2024, 5, 6)]
+    tag = '<p><meta name="x" property="article:published_time" content="{}"></p>'
+    rows = [
+        ("2024-03-01T10:00:00+08:00", tag.format("2020-01-01"), "u"), ("2024-03-01", None, "u"), ("2024-03-01T10:00:00", None, "u"), (None, None, "https://a/2024/5/06/x"), ("soon", tag.format("2024-02-02 10:00:00Z"), "u"),
+        (None, "<meta content='2024-02-03' property='article:published_time'>", "u"), (None, '{"datePublished": "2024-02-04T01:00:00+00:00"}', "https://a/2024/05/06/x"), (None, "<p>none</p>", "https://a/2024/13/40/x"),
+    ]
+    at, d, source = news.publication(F.col("m"), F.col("h"), F.col("u"))
+    out = spark.createDataFrame(rows, "m string, h string, u string").select(at.isNotNull(), d, source).collect()
+    assert [r[0] for r in out] == [True, False, False, False, True, False, True, False]
+    assert [r[1] for r in out] == [dt.date(2024, 3, 1)] * 3 + [dt.date(2024, 5, 6), dt.date(2024, 2, 2), dt.date(2024, 2, 3), dt.date(2024, 2, 4), None]
+    assert [r[2] for r in out] == ["crawler_metadata"] * 3 + ["url_date", "article_published_meta", "article_published_meta", "json_ld_date_published", "unknown"]
 
 
 def test_body_and_json_products(spark):
-    row = spark.createDataFrame([("head Published March 3, 2024\n## Rice **up** [here](http://x) now\nRead More\nfoot", '["Rice", "rice ", "Fish"]')], "t string, p string")
-    out = row.select(news.clean_body(F.col("t")).alias("t"), news.products_of(F.col("p")).alias("p")).first()
-    assert out.t == "Rice up here now" and out.p == ["rice", "fish"]
+    long = "words " * 50
+    rows = [(f"head\nPublished March 3, 2024 02:00 PM\n## Rice **up** [here](http://x) now {long}\nRead More\nfoot", '["Rice", "rice ", "Fish"]'), ("Published March 3, 2024\ntoo short", "a"), (f"bare {long}", None), (None, None)]
+    out = spark.createDataFrame(rows, "t string, p string").select(news.clean_body(F.col("t")).alias("t"), news.products_of(F.col("p")).alias("p")).collect()
+    assert out[0].t == f"Rice up here now {long}".strip() and out[0].p == ["rice", "fish"]
+    assert [r.t for r in out[1:]] == [None, f"bare {long}".strip(), None]
+
+
+def test_monthly_changes_need_the_month_before(spark):
+    rows = [("a", dt.date(2024, 1, 3), dt.date(2024, 2, 5), 100.0), ("a", dt.date(2024, 2, 9), dt.date(2024, 3, 5), 110.0), ("a", dt.date(2024, 2, 9), dt.date(2024, 3, 9), 999.0), ("a", dt.date(2024, 4, 1), dt.date(2024, 5, 1), 120.0), ("b", dt.date(2024, 2, 1), dt.date(2024, 3, 1), 5.0)]
+    out = asof.monthly_changes(spark.createDataFrame(rows, "k string, period date, available_at date, value double"), ["k"]).collect()
+    assert [(r.k, r.period, r.available_at, round(r.value, 9)) for r in out] == [("a", dt.date(2024, 2, 29), dt.date(2024, 3, 5), 0.1)]
 
 
 def test_series_state_stream(spark, tmp_path):
@@ -57,10 +70,39 @@ def test_series_state_stream(spark, tmp_path):
     assert len(out) == 12 and abs(out["macd"].to_numpy() - line.to_numpy()).max() < 1e-9
 
 
-def test_price_ingestion_and_distinct_articles(spark, tmp_path):
-    schema = "id long, product_name string, product_variant string, origin string, report_date date, price_index double"
-    spark.createDataFrame([(1, "A", "null", "Local", D, 1.0), (2, "A", "Standard", "Local", D, 2.0)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    streams.ingest_prices(stream, str(tmp_path / "out"), str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
-    rows = spark.read.parquet(str(tmp_path / "out/v0")).collect()
-    assert len(rows) == 1 and rows[0].price_index == 1.0 and rows[0].product_variant == "Standard"
+def test_series_state_with_missing_prices_equals_the_batch(spark, tmp_path):
+    schema = "series string, report_date date, price_index double"
+    prices = [None, 50.0, None, 53.0, 51.0, None, None, 52.0, 58.0, 57.0]
+    rows = spark.createDataFrame([("s", day(k), p) for k, p in enumerate(prices)] + [("t", day(k), None) for k in range(3)], schema)
+    for name, lo, hi in (("a", 0, 4), ("b", 4, 7), ("c", 7, 10)):
+        rows.where(F.col("report_date").between(F.lit(day(lo)), F.lit(day(hi - 1)))).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    streams.series_state(stream).writeStream.format("memory").queryName("gaps_out").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination(120)
+    state = {(r.series, r.report_date): (r.macd, r.macd_signal) for r in spark.table("gaps_out").collect()}
+    for r in features.macd(rows).where("report_date > DATE '2024-01-01'").collect():
+        before = state[r.series, r.report_date - dt.timedelta(1)]
+        assert all((x is None and y is None) or abs(x - y) < 1e-9 for x, y in zip((r.macd, r.macd_signal), before, strict=True))
+
+
+def test_price_ingestion(spark, tmp_path):
+    names = [c.split()[0] for c in store.PRICE_SCHEMA.split(", ")]
+    row = lambda i, variant, on, price: dict.fromkeys(names) | {"id": str(i), "product_name": "A", "product_variant": variant, "origin": "Local", "report_date": on, "price_index": price}
+    first = [row(1, "null", D, 1.0), row(2, "Standard", D, 2.0), row(3, "Standard", dt.date(2024, 3, 1), 3.0)]
+    second = [row(4, None, D, 7.0), row(5, "Standard", dt.date(2024, 2, 1), 5.0)]
+    root = str(tmp_path / "store")
+    assert streams.stored_prices(spark, root) is None
+    for rows in (first, second):
+        spark.createDataFrame([tuple(r[n] for n in names) for r in rows], store.PRICE_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(store.PRICE_SCHEMA).parquet(str(tmp_path / "in"))
+        streams.ingest_prices(stream, root, str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    found = {(r.report_date, r.product_variant): r.price_index for r in streams.stored_prices(spark, root).collect()}
+    assert found == {(D, "Standard"): 7.0, (dt.date(2024, 2, 1), "Standard"): 5.0, (dt.date(2024, 3, 1), "Standard"): 3.0}
+    versions = {r.month: r.version for r in spark.read.parquet(f"{root}/manifest").where("number = 1").collect()}
+    assert versions == {"2024-01": 1, "2024-02": 1, "2024-03": 0}  # a month that the second batch did not touch stays where it is
+
+
+def test_distinct_articles(spark, tmp_path):
+    spark.createDataFrame([("a", dt.datetime(2024, 1, 1)), ("a", dt.datetime(2024, 1, 2)), ("b", dt.datetime(2024, 1, 1))], "content string, created_at timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("content string, created_at timestamp").parquet(str(tmp_path / "in"))
+    streams.distinct_articles(stream).writeStream.format("memory").queryName("articles_out").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination(120)
+    assert sorted(r.content for r in spark.table("articles_out").collect()) == ["a", "b"]
