@@ -225,28 +225,25 @@ def with_neighbours(docs: DataFrame, slices: int, id_col: str = "doc_id", text_c
     """Rows dealt to slices by id, so that each slice, read in order, has every row's next row.
 
     Columns ``slice, late, id, text``, sorted by them with ids descending. The first row of a slice
-    also ends the slice before it, and the first of all ends the last, both with ``late`` true. Only
-    ids are looked at to find the slices; each text moves once.
+    also ends the slice before it, and the first of all ends the last, both with ``late`` true. Ids are
+    numbers. Only ids are looked at to find the slices, which have about equally many rows; ranges of
+    slices go to tasks, and each text moves once.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     cuts = rows.select("id").agg(F.percentile_approx("id", [k / slices for k in range(1, slices)] or [0.5], F.lit(max(1000, 20 * slices)))).first()[0] or []
-    cuts = sorted(set(cuts), reverse=True)[: slices - 1 or None] if slices > 1 else []
+    cuts = sorted(set(cuts)) if slices > 1 else []
     # slice 0 has the largest ids; a null id stands last
-    place = sum((F.when(F.col("id") >= c, 0).otherwise(1) for c in cuts), F.lit(0)) if len(cuts) <= 16 else F.lit(len(cuts)) - F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col("id") >= c))
-    own = F.coalesce(place, F.lit(len(cuts))).cast("int")
+    above = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: F.col("id") >= c)) if cuts else F.lit(0)
+    own = F.coalesce(F.when(F.col("id").isNotNull(), F.lit(len(cuts)) - above), F.lit(len(cuts))).cast("int")
     ids = rows.select("id").withColumn("slice", own).groupBy("slice").agg(F.max("id").alias("first")).orderBy("slice").collect()  # a row per slice
     before = {r["first"]: ids[k - 1]["slice"] for k, r in enumerate(ids)}  # the first slice's row goes to the last
-    extra = F.lit(None).cast("int")
-    for first, to in before.items():
-        extra = F.when(F.col("id").eqNullSafe(F.lit(first).cast("long")), F.lit(to)).otherwise(extra)
-    if len(before) > 16:
-        keys = F.create_map(*[F.lit(x) for pair in before.items() if pair[0] is not None for x in pair])
-        extra = F.try_element_at(keys, F.col("id"))
-        if None in before:
-            extra = F.when(F.col("id").isNull(), before[None]).otherwise(extra)
+    known = [x for pair in before.items() if pair[0] is not None for x in pair]
+    extra = F.try_element_at(F.create_map(*map(F.lit, known)), F.col("id")) if known else F.lit(None).cast("int")
+    if None in before:
+        extra = F.when(F.col("id").isNull(), before[None]).otherwise(extra)
     both = F.filter(F.array(F.struct(own.alias("slice"), F.lit(False).alias("late")), F.struct(extra.cast("int").alias("slice"), F.lit(True).alias("late"))), lambda x: x["slice"].isNotNull())
     dealt = rows.select("id", "text", F.explode(both).alias("to")).select("to.slice", "to.late", "id", "text")
-    return dealt.repartition(slices, "slice").sortWithinPartitions("slice", "late", F.desc("id"), "text")
+    return dealt.repartitionByRange(slices, "slice").sortWithinPartitions("slice", "late", F.desc("id"), "text")
 
 
 def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: list[int] | None = None) -> DataFrame:
@@ -255,7 +252,7 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The edited text has its last ``floor(n_chars / 3)`` code points replaced by the first as many (or
     all) of the next document in descending id order (rows of one id: by text; after the last: the
     first). A null text is empty; a null id stands last; other columns are ignored; an empty table
-    gives no rows; a table of one row is its own next.
+    gives no rows; a table of one row is its own next. Ids are numbers.
     """
     ranks = rarity_ranks(docs, text_col) if ranks is None else ranks
     slices = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
