@@ -4,7 +4,9 @@ Every template (licence notices and short base phrases) is a word sequence; all
 generalised suffix automaton. A file streams through it word by word, which gives for every place
 the longest run of words that ends there and occurs in some template. Runs that cannot grow are the
 matches; long ones are chained along both file and template into spans, and the share of a
-template's words that its best chain covers decides on its label.
+template's words that its best chain covers decides on its label. Where chains of several labels cover
+the same words of the file (licences share much of their wording), the one that covers most of its
+template stands.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ BASE_PHRASES = {
     "mit license": "mit",
 }
 
-#: Notices by label.
+#: Notices and whole short licences by label (fixed values).
 TEMPLATES: list[tuple[str, str]] = [
     ("apache-2.0", "licensed under the apache license version 2.0"),
     ("apache-2.0", "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2.0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
@@ -43,6 +45,21 @@ TEMPLATES: list[tuple[str, str]] = [
     ("cc-by-nc-4.0", "licensed under cc by nc 4.0"),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
     ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("lgpl", "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu lesser general public license for more details"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("agpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu affero general public license for more details"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at https www eclipse org legal epl 2.0"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2.0"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required altered source versions must be plainly marked as such and must not be misrepresented as being the original software this notice may not be removed or altered from any source distribution"),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("cc-by-sa-4.0", "this work is licensed under a creative commons attribution sharealike 4.0 international license"),
+    ("cc-by-nc-4.0", "this work is licensed under a creative commons attribution noncommercial 4.0 international license"),
+    ("cc0-1.0", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of their rights to the work worldwide under copyright law"),
 ]
 
 #: Shortest match, in words, that a chain may use.
@@ -187,13 +204,24 @@ class LicenseAutomaton:
         return sorted(out)
 
 
+def standing(chains: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
+    """Chains that reach ``MIN_COVERED``, less those most of whose words a chain of another label with a larger share covers."""
+    kept = [c for c in chains if c[3] >= MIN_COVERED]
+
+    def beaten(c: tuple[str, int, int, float]) -> bool:
+        return any(o[0] != c[0] and o[3] > c[3] and 2 * (min(c[2], o[2]) - max(c[1], o[1]) + 1) > c[2] - c[1] + 1 for o in kept)
+
+    return [c for c in kept if not beaten(c)]
+
+
 def scan_licenses(docs: DataFrame, base: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: places of base phrases, labels, and covered template spans.
 
     A null or empty text has no words, no labels, null ``first_word``/``last_word`` and score 0.
     Repeated rows give repeated results, other columns are ignored, an empty table gives no rows.
     ``score`` is the largest share of a template that a chain covers, 1 where a base phrase stands.
-    ``spans`` holds the chains that reach ``MIN_COVERED``: label, first and last word, share.
+    ``spans`` holds the chains that reach ``MIN_COVERED`` and stand: label, first and last word, share; of
+    several labels with equal shares on the same words all stand.
     """
     base = BASE_PHRASES if base is None else base
     templates = TEMPLATES if templates is None else templates
@@ -208,7 +236,7 @@ def scan_licenses(docs: DataFrame, base: dict[str, str] | None = None, templates
                 words = words_of(text.as_py())
                 places, matches = automaton.scan(words)
                 chains = automaton.spans(matches)
-                kept = [c for c in chains if c[3] >= MIN_COVERED]
+                kept = standing(chains)
                 starts = [s for _, s in places]
                 base_labels = {automaton.base_labels[k] for k, _ in places}
                 rows.append((
