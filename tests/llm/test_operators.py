@@ -5,6 +5,7 @@ import collections
 import hashlib
 import io
 import math
+import os
 import random
 import re
 import time
@@ -65,6 +66,58 @@ def test_license_places_match_brute_force(spark, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def plain_spans(words, sequences, labels, first):
+    """Chains by trying everything: longest runs that end at each place, all places of a run in a template, all pairs of runs."""
+    inside = lambda run: any(seq[j : j + len(run)] == run for seq in sequences for j in range(len(seq) - len(run) + 1))
+    longest = []
+    for end in range(len(words) + 1):
+        n = longest[-1] + 1 if longest else 0
+        while n and not inside(words[end - n : end]):
+            n -= 1
+        longest.append(n)
+    matches = [(end, longest[end]) for end in range(1, len(words) + 1) if longest[end] >= licenses.MIN_MATCH and (end == len(words) or longest[end + 1] != longest[end] + 1)]
+    out = []
+    for k in range(first, len(sequences)):
+        seq = sequences[k]
+        found = sorted((end - n, j, n) for end, n in matches for j in range(len(seq) - n + 1) if seq[j : j + n] == words[end - n : end])
+        best = []
+        for d, t, n in found:
+            top = (n, d)
+            for (e, u, r), (covered, start) in zip(found, list(best), strict=False):
+                shared = max(0, e + r - d, u + r - t)
+                if e < d and u < t and shared < n and d - e - r <= licenses.MAX_GAP and t - u - r <= licenses.MAX_GAP and covered + n - shared > top[0]:
+                    top = (covered + n - shared, start)
+            best.append(top)
+        ends = {}
+        for (d, _, n), (covered, start) in zip(found, best, strict=True):
+            ends[start] = max(ends.get(start, (0, 0)), (covered, d + n - 1))
+        out += [(labels[k], start, last, min(1.0, covered / len(seq))) for start, (covered, last) in ends.items()]
+    return sorted(out)
+
+
+def test_license_spans_match_brute_force():
+    rnd = random.Random(31)
+    templates = [(f"t{k}", " ".join(rnd.choice("abcdefg") for _ in range(rnd.randrange(4, 25)))) for k in range(6)] + [("t0", "a b c d e f g a b c")]
+    automaton = licenses.LicenseAutomaton({"a b": "ab"}, templates)
+    for _ in range(150):
+        words = []
+        while len(words) < 40:
+            part = rnd.choice(templates)[1].split()
+            at = rnd.randrange(len(part))
+            words += part[at : at + rnd.randrange(1, 12)] + [rnd.choice("abcxyz")] * rnd.randrange(3)
+        words = [w.encode() for w in words]
+        _, matches = automaton.scan(words)
+        assert automaton.spans(matches) == plain_spans(words, automaton.sequences, automaton.labels, 1)
+
+
+def test_license_templates_are_told_apart(spark):
+    rows = [(i, f"some words before {text} and some after", label) for i, (label, text) in enumerate(licenses.TEMPLATES)]
+    found = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, label string")).collect()}
+    for i, _, label in rows:
+        own = set(found[i].labels.split(",")) - set(found[i].base_labels.split(","))
+        assert own <= {label} and label in found[i].labels.split(","), (label, found[i].labels)
+
+
 def test_mix_meets_targets(spark, docs, empty):
     out = mixing.mix(docs).toPandas()
     size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, *_ in rows_of()}
@@ -270,6 +323,77 @@ def test_fingerprints(spark, docs, empty):
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
+def plain_fingerprint(raw, ranks):
+    """Hashes of selected windows, one window at a time, and the filters as sets of bits."""
+    worst = fingerprints.LEVELS + 1
+    full = round(64 * 6 * 4096)
+    terms = [0] + [round(c * math.log2(c) * 4096) for c in range(1, 65)]
+
+    def rank(i):
+        total = sum(terms[c] for c in collections.Counter(raw[i : i + 64]).values())
+        return ranks[(full - total) * 1000 // full]
+
+    own = [rank(i) for i in range(len(raw) - 63)]
+    points = collections.Counter()
+    for i in range(len(own) - 63):
+        low = min(own[i : i + 64])
+        if low < worst:
+            points[i + own[i : i + 64].index(low)] += 1
+    picked = sorted(i for i, n in points.items() if n >= fingerprints.POPULAR)
+
+    def mixed(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) % 2**64
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) % 2**64
+        return x ^ (x >> 31)
+
+    def hashed(i):
+        out = 0x9E3779B97F4A7C15
+        for k in range(8):
+            out = mixed((out * 0x100000001B3) % 2**64 ^ int.from_bytes(raw[i + 8 * k : i + 8 * k + 8], "little"))
+        return out
+
+    hashes = [hashed(i) for i in picked] or ([int.from_bytes(hashlib.sha1(raw).digest()[:8], "little")] if raw else [])
+    chunks = [hashes[i : i + fingerprints.PER_FILTER] for i in range(0, len(hashes), fingerprints.PER_FILTER)]
+    return [{(h >> 11 * k) % 2048 for h in part for k in range(5)} for part in chunks]
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(len(a) == len(b))
+    if a == b:
+        return 1.0
+    packed = lambda f: b"".join(bytes(sum(128 >> j for j in range(8) if 8 * i + j in s) for i in range(256)) for s in f)
+    if (len(a), packed(a)) > (len(b), packed(b)):
+        a, b = b, a
+    scores = []
+    for x in a:
+        best = 0.0
+        for y in b:
+            chance = len(x) * len(y) / 2048
+            floor, most = chance + 3 * math.sqrt(chance), min(len(x), len(y))
+            if most > floor:
+                best = max(best, min(1.0, max(0.0, (len(x & y) - floor) / (most - floor))))
+        scores.append(best)
+    return sum(s * len(x) for s, x in zip(scores, a, strict=True)) / sum(map(len, a))
+
+
+def test_fingerprints_match_plain_version(spark):
+    rnd = random.Random(23)
+    texts = [prose(rnd, rnd.randrange(5, 90)) for _ in range(14)] + [None, "", "short", "é" * 50, "ab" * 60, prose(rnd, 4000)]
+    texts[5] = texts[4] + " and more"
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    ranks = fingerprints.rarity_ranks(df)
+    bits = lambda f: [{8 * i + j for i, byte in enumerate(row.tolist()) for j in range(8) if byte & 128 >> j} for row in fingerprints.decode(f)]
+    order = [t or "" for t in reversed(texts)]
+    found = {r.doc_id: r for r in fingerprints.compare_edits(df).collect()}
+    for k, t in enumerate(order):
+        r, nxt = found[len(texts) - 1 - k], order[(k + 1) % len(order)]
+        edited = t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]
+        own, changed, other = (plain_fingerprint(x.encode(), ranks) for x in (t, edited, nxt))
+        assert bits(r.fingerprint) == own and bits(r.edited_fingerprint) == changed
+        assert math.isclose(r.near_edited, plain_likeness(own, changed), abs_tol=1e-9) and math.isclose(r.near_next, plain_likeness(own, other), abs_tol=1e-9)
+
+
 def test_entropy_levels():
     data = np.frombuffer(prose(random.Random(1), 80).encode(), dtype=np.uint8)
     for i, level in enumerate(fingerprints.entropy_levels(data)):
@@ -530,6 +654,20 @@ def test_cotraining_accuracy(spark, docs, empty):
     assert cotraining.classify(empty, labels).count() == 0
 
 
+def test_cotraining_held_out_accuracy_on_the_labels(spark):
+    """Labels of every fourth labelled document are kept back; the rest must predict them."""
+    path = "/root/testdata/sf0.01/{}.parquet"
+    if not os.path.exists(path.format("labels")):
+        pytest.skip("no test tables here")
+    docs, labels = (spark.read.parquet(path.format(t)) for t in ("documents", "labels"))
+    held = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(4)) == 0
+    out = {r.doc_id: r for r in cotraining.classify(docs, labels.where(~held)).collect()}
+    truth = {r.doc_id: r.quality for r in labels.where(held).collect()}
+    right = sum(out[i].accepted == (q > 0) for i, q in truth.items())
+    print("held-out accuracy", right, len(truth))
+    assert len(truth) > 60 and right >= 0.97 * len(truth)
+
+
 def test_cotraining_sees_the_whole_text():
     rnd = random.Random(2)
     clean = "".join(rnd.choice("abcdefghij klmnop") for _ in range(70000))
