@@ -3,8 +3,8 @@
 Pre-tokens of a batch are made distinct, grouped by their length and laid out as the rows of a
 padded matrix of token ids. In every round each row merges its leftmost pair of minimum rank; a
 pair's rank comes from a vectorised hash table; finished rows leave the matrix and merged rows are
-compacted. Rows longer than ``LONG`` bytes take a whole run of equal pairs in a round, up to the
-first merge that would give rise to a pair of lower rank, which leaves the outcome as it is.
+compacted. A pre-token longer than ``LONG`` bytes is merged on its own in the same order, by a queue of
+its pairs, so that one unbroken line of a megabyte takes seconds.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cached_property
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -177,39 +179,33 @@ class ByteBPE:
             right = np.flatnonzero(place < n - 1)
             pair[place[right], right] = self.pairs.get(best[right], ids[place[right] + 1, right])
 
+    @cached_property
+    def pair_ranks(self) -> dict[int, int]:
+        there = self.pairs.values != NONE
+        return dict(zip(self.pairs.keys[there].tolist(), self.pairs.values[there].tolist(), strict=True))
+
     def _encode_long(self, piece: bytes) -> bytes:
-        ids = self.byte_id[np.frombuffer(piece, dtype=np.uint8)]
-        while len(ids) > 1:
-            pair = self.pairs.get(ids[:-1], ids[1:])
-            best = pair.min()
-            if best == NONE:
-                break
-            at = np.flatnonzero(pair == best)
-            # overlapping equal pairs (aaa): take every other one of a run, from its left end
-            start = np.r_[True, np.diff(at) > 1]
-            run = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
-            at = at[(np.arange(len(at)) - run) % 2 == 0]
-            merged = ids.copy()
-            merged[at] = best
-            keep = np.ones(len(ids), dtype=bool)
-            keep[at + 1] = False
-            merged = merged[keep]
-            where = at - np.arange(len(at))  # of the merged tokens
-            fresh = np.full(len(at), NONE)
-            inner = where > 0
-            fresh[inner] = self.pairs.get(merged[where[inner] - 1], merged[where[inner]])
-            inner = where < len(merged) - 1
-            fresh[inner] = np.minimum(fresh[inner], self.pairs.get(merged[where[inner]], merged[where[inner] + 1]))
-            lower = np.flatnonzero(fresh < best)
-            if len(lower):  # stop at the first merge that could open a pair of lower rank
-                at = at[: max(1, lower[0])]
-                merged = ids.copy()
-                merged[at] = best
-                keep = np.ones(len(ids), dtype=bool)
-                keep[at + 1] = False
-                merged = merged[keep]
-            ids = merged
-        return ids.astype("<u4").tobytes()
+        """One long pre-token: a queue of its pairs by rank, then place, and links between what is left; n log n steps."""
+        ids = self.byte_id[np.frombuffer(piece, dtype=np.uint8)].tolist()
+        n, rank_of = len(ids), self.pair_ranks.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue = [rank << 40 | i for i in range(n - 1) if (rank := rank_of(ids[i] << 32 | ids[i + 1])) is not None]
+        heapify(queue)
+        while queue:
+            rank, i = divmod(heappop(queue), 1 << 40)
+            j = after[i]
+            if ids[i] < 0 or j >= n or rank_of(ids[i] << 32 | ids[j]) != rank:
+                continue  # one of the two was merged meanwhile
+            ids[i], ids[j] = rank, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (next_rank := rank_of(rank << 32 | ids[k])) is not None:
+                    heappush(queue, next_rank << 40 | i)
+            h = before[i]
+            if h >= 0 and (next_rank := rank_of(ids[h] << 32 | rank)) is not None:
+                heappush(queue, next_rank << 40 | h)
+        return np.array([x for x in ids if x >= 0], dtype="<u4").tobytes()
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of a document's ids."""

@@ -567,6 +567,17 @@ def test_bpe_matches_library(spark, docs, empty):
     assert bpe.encode(empty, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_long_unbroken_texts():
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    own = bpe.ByteBPE.from_file(path, public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    rnd = random.Random(12)
+    began = time.process_time()
+    for text in ("".join(rnd.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(300_000)), "ab" * 100_000, "a" * 200_001, "the" * 50_000):
+        assert np.frombuffer(b"".join(own.encode_pieces([text.encode()])), dtype="<u4").tolist() == library.encode_ordinary(text)
+    assert time.process_time() - began < 60
+
+
 def slow_simhash(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})))
     shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
