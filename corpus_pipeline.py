@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pricepanel.llm import bpe, cotraining, mixing, quality_rules, simhash
-from pricepanel.llm.common import materialize, table
+from pricepanel.llm.common import drop_materialized, materialize, table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +53,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages applied to ``documents``; a stage's table goes once the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        if before is not None:
+            drop_materialized(before)
+        before = docs
     return docs
