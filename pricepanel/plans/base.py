@@ -108,11 +108,13 @@ panel AS (SELECT d.series, split_part(d.series, '||', 1) AS product_category, sp
 
 
 def clean_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.validate(raw_prices(spark, sf_dir))
+    """The clean prices; the raw rows, of which units are inferred and which take them, are written once."""
+    return clean.validate(written(raw_prices(spark, sf_dir), "raw"))
 
 
 def daily_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel.reindex_daily(clean_prices(spark, sf_dir))
+    """The daily panel; the clean prices, which give both its days and its values, are written once."""
+    return panel.reindex_daily(written(clean_prices(spark, sf_dir), "clean"))
 
 
 def with_sql(prefix: str, select: str) -> str:
