@@ -32,6 +32,40 @@ def sunk(spark, root: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{root}/output")
 
 
+def counted(counts):
+    """Start a stream of counts: every micro-batch writes them all, as they stand, into a folder of its own."""
+
+    def start(stream, root: str):
+        def keep(rows: DataFrame, number: int) -> None:
+            rows.write.mode("overwrite").parquet(f"{root}/output/batch={number}")
+
+        return counts(stream).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint")
+
+    return start
+
+
+def last_counts(spark, root: str) -> DataFrame:
+    rows = spark.read.parquet(f"{root}/output")
+    return rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0]).drop("batch")
+
+
+@query("st1_daily_views", "SELECT CAST(ts AS DATE) AS day, CAST(user_id AS VARCHAR) AS product_id, count(*) AS views FROM events WHERE event_type = 'view' GROUP BY ALL")
+def st1(spark, sf):
+    """Views in two batches: up to the middle day of the table, then the rest."""
+    rows = table(spark, sf, "events").where("event_type = 'view'").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("product_id"))
+    span = rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    middle = F.lit(span["lo"] + (span["hi"] - span["lo"]) / 2) if span["lo"] else F.lit(None).cast("timestamp")
+    return last_counts(spark, run_in_batches([rows.where(F.col("ts") <= middle), rows.where(F.col("ts") > middle)], "views", counted(streams.daily_views)))
+
+
+@query("st5_news_volume", f"WITH {ART}, a AS (SELECT unnest(products) AS product, published_date FROM art) SELECT CAST(published_date - k AS DATE) AS from_day, CAST(published_date - k + 7 AS DATE) AS to_day, product, count(*) AS n FROM a, (SELECT CAST(unnest(range(0, 7)) AS INT) AS k) GROUP BY ALL")
+def st5(spark, sf):
+    """Articles in two batches by publication day."""
+    rows = articles(spark, sf).select(F.explode("products").alias("product"), F.col("published_date").cast("timestamp").alias("created_at"))
+    batches = [rows.where("created_at < DATE '1997-01-01'"), rows.where("created_at >= DATE '1997-01-01'")]
+    return last_counts(spark, run_in_batches(batches, "volume", counted(streams.news_volume)))
+
+
 @query("st2_ingest", with_sql(RAW, """SELECT product_name, coalesce(product_variant, 'Standard') AS product_variant, origin, report_date,
 round(price_index + CASE WHEN report_date >= DATE '1998-07-01' AND product_name = 'PROMO' THEN 1 ELSE 0 END, 4) AS price_index FROM raw"""))
 def st2(spark, sf):

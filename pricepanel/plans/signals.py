@@ -1,10 +1,10 @@
-"""AS and NW queries; batch forms of ST queries."""
+"""AS and NW queries."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pricepanel.operators import asof, news, streams
+from pricepanel.operators import asof, news
 
 from .base import query, table
 
@@ -146,14 +146,3 @@ def nw11(spark, sf):
 @query("nw13_factors", f"WITH {ART}, a AS (SELECT unnest(products) AS product, id, published_date, sentiment FROM art WHERE published_date BETWEEN DATE '1995-06-16' AND DATE '1995-06-30'), r AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY published_date DESC, id) AS rank FROM a) SELECT product, id, rank, CASE WHEN sentiment > 0.3 THEN 'positive' WHEN sentiment < -0.3 THEN 'negative' ELSE 'neutral' END AS label FROM r WHERE rank <= 5")
 def nw13(spark, sf):
     return news.factors(articles(spark, sf), "1995-06-30").select("product", "id", F.col("rank").cast("long").alias("rank"), "label")
-
-
-@query("st1_daily_views", "SELECT CAST(ts AS DATE) AS day, CAST(user_id AS VARCHAR) AS product_id, count(*) AS views FROM events WHERE event_type = 'view' GROUP BY ALL")
-def st1(spark, sf):
-    return streams.daily_views(table(spark, sf, "events").where("event_type = 'view'").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("product_id")))
-
-
-@query("st5_news_volume", f"WITH {ART}, a AS (SELECT unnest(products) AS product, published_date FROM art) SELECT CAST(published_date - k AS DATE) AS from_day, CAST(published_date - k + 7 AS DATE) AS to_day, product, count(*) AS n FROM a, (SELECT CAST(unnest(range(0, 7)) AS INT) AS k) GROUP BY ALL")
-def st5(spark, sf):
-    rows = articles(spark, sf).select(F.explode("products").alias("product"), F.col("published_date").cast("timestamp").alias("created_at"))
-    return streams.news_volume(rows)
