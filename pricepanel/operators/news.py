@@ -61,13 +61,18 @@ def topical(text: Column, topics: list[str], effects: list[str]) -> Column:
     return text.rlike(whole_word(topics)) & text.rlike(whole_word(effects))
 
 
+#: The line before an article's body, and how the lines after it begin (fixed values).
+PUBLISHED_LINE = r"Published\s+\w+\s+\d{1,2},?\s+\d{4}"
+BODY_ENDS = ("Read More", "Copyright ©", "Privacy Preference Center")
+
+
 def clean_body(text: Column) -> Column:
     """NW5: the lines after the publication line up to ``Read More`` or the footer, without markdown; null below 200 characters.
 
     Without a publication line the whole text counts.
     """
-    body = F.regexp_replace(text, r"(?s)\A.*?(?m:^)[ \t]*Published\s+\w+\s+\d{1,2},?\s+\d{4}[^\n]*(\n|\z)", "")
-    body = F.regexp_replace(body, r"(?ms)^[ \t]*(Read More|Copyright ©|Privacy Preference Center).*\z", "")
+    body = F.regexp_replace(text, rf"(?s)\A.*?(?m:^)[ \t]*{PUBLISHED_LINE}[^\n]*(\n|\z)", "")
+    body = F.regexp_replace(body, rf"(?ms)^[ \t]*({'|'.join(BODY_ENDS)}).*\z", "")
     plain = F.regexp_replace(body, r"!\[[^\]]*\]\([^)]*\)", "")
     plain = F.regexp_replace(plain, r"\[([^\]]*)\]\([^)]*\)", "$1")
     plain = F.regexp_replace(F.regexp_replace(plain, r"#{1,6}\s*|[*_~`]{1,3}", ""), r"\n{3,}", "\n\n")
@@ -89,18 +94,22 @@ def new_articles(batch: DataFrame, stored: DataFrame) -> DataFrame:
     return one.join(stored.select("content_hash"), "content_hash", "left_anti").join(stored.select("url"), "url", "left_anti")
 
 
+#: Where a page states its publication, in order, and the name of that source (fixed values).
+PUBLISHED_IN_PAGE = (
+    (r"(?i)<meta[^>]+property=[\"']article:published_time[\"'][^>]+content=[\"']([^\"']+)", "article_published_meta"),
+    (r"(?i)<meta[^>]+content=[\"']([^\"']+)[\"'][^>]+property=[\"']article:published_time", "article_published_meta"),
+    (r'(?i)\"datePublished\"\s*:\s*\"([^\"]+)\"', "json_ld_date_published"),
+)
+
+
 def publication(meta: Column, html: Column, url: Column) -> tuple[Column, Column, Column]:
     """NW10: (timestamp, date, source) by the first that can be read: crawler metadata, the page's meta tag, its JSON-LD, the address.
 
     A timestamp needs a time and a zone; a date alone, or a time without zone, stays a date (of the text's own zone).
     """
-    tag = r"(?i)<meta[^>]+property=[\"']article:published_time[\"'][^>]+content=[\"']([^\"']+)"
-    turned = r"(?i)<meta[^>]+content=[\"']([^\"']+)[\"'][^>]+property=[\"']article:published_time"
-    ld = r'(?i)\"datePublished\"\s*:\s*\"([^\"]+)\"'
     y, m, d = (F.regexp_extract(url, r"/(\d{4})/(\d{1,2})/(\d{1,2})/", k) for k in (1, 2, 3))
     found = [
-        (meta, "crawler_metadata"), (F.regexp_extract(html, tag, 1), "article_published_meta"), (F.regexp_extract(html, turned, 1), "article_published_meta"),
-        (F.regexp_extract(html, ld, 1), "json_ld_date_published"), (F.when(y != "", F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))), "url_date"),
+        (meta, "crawler_metadata"), *[(F.regexp_extract(html, pattern, 1), source) for pattern, source in PUBLISHED_IN_PAGE], (F.when(y != "", F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))), "url_date"),
     ]
     read = lambda v: F.try_to_date(F.regexp_extract(F.trim(v), r"^(\d{4}-\d{2}-\d{2})([T ].*)?$", 1), "yyyy-MM-dd")
     good = F.filter(F.array(*[F.struct(F.trim(v).alias("v"), read(v).alias("day"), F.lit(s).alias("source")) for v, s in found]), lambda x: x["day"].isNotNull())
