@@ -13,10 +13,13 @@ START, END = "1998-01-01", "2001-06-30"
 
 PATHS = PANEL + f""",
 o0 AS (SELECT CAST(unnest(generate_series(DATE '{START}' - 1, DATE '{END}' - 30, INTERVAL 30 DAY)) AS DATE) AS origin UNION SELECT DATE '{END}' - 30),
-kn AS (SELECT series, product_category, product_name, report_date, price_index, list(price_index) OVER (PARTITION BY series ORDER BY report_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS last_prices FROM panel WHERE price_index IS NOT NULL),
-anc AS (SELECT series, product_category, product_name, origin, price_index AS anchor, list_sum(last_prices) / len(last_prices) AS moving_average7, last_prices FROM kn JOIN o0 ON report_date = origin),
+kn AS (SELECT series, product_category, product_name, report_date, price_index, list(price_index) OVER (PARTITION BY series
+  ORDER BY report_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS last_prices FROM panel WHERE price_index IS NOT NULL),
+anc AS (SELECT series, product_category, product_name, origin, price_index AS anchor, list_sum(last_prices) / len(last_prices) AS moving_average7,
+  last_prices FROM kn JOIN o0 ON report_date = origin),
 pt AS (SELECT *, CAST(unnest(range(1, 31)) AS INT) AS horizon FROM anc),
-paths AS (SELECT pt.series, pt.product_category, pt.product_name, origin, horizon, CAST(origin + horizon AS DATE) AS date, anchor, anchor AS persistence, moving_average7, last_prices[(horizon - 1) % len(last_prices) + 1] AS seasonal7, p.observed_price AS actual
+paths AS (SELECT pt.series, pt.product_category, pt.product_name, origin, horizon, CAST(origin + horizon AS DATE) AS date, anchor,
+  anchor AS persistence, moving_average7, last_prices[(horizon - 1) % len(last_prices) + 1] AS seasonal7, p.observed_price AS actual
   FROM pt LEFT JOIN panel p ON p.series = pt.series AND p.report_date = origin + horizon AND p.observed_price IS NOT NULL)
 """
 
@@ -66,7 +69,8 @@ def training_rows(spark, sf):
 
 # the three normal equations of standardised columns, by determinants
 BT5_SQL = RETURNS + f""",
-t AS (SELECT r.series, r.report_date, r1 AS a, r7 AS b, CASE WHEN e <> 0 THEN (l1 - e) / e END AS c, CASE WHEN p.is_observed AND l1 <> 0 THEN p.observed_price / l1 - 1 END AS y
+t AS (SELECT r.series, r.report_date, r1 AS a, r7 AS b, CASE WHEN e <> 0 THEN (l1 - e) / e END AS c, CASE WHEN p.is_observed
+  AND l1 <> 0 THEN p.observed_price / l1 - 1 END AS y
   FROM r JOIN panel p USING (series, report_date)),
 k AS (SELECT * FROM t WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND y IS NOT NULL),
 m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, avg(y) AS my, stddev_pop(a) AS sa, stddev_pop(b) AS sb, stddev_pop(c) AS sc, stddev_pop(y) AS sy,
@@ -103,7 +107,8 @@ def bt6(spark, sf):
 
 
 @query("bt8_stacking", with_sql(PATHS, """SELECT series, origin, horizon, round(seasonal7 / anchor - 1, 6) AS r_seasonal7, round(moving_average7 / anchor - 1, 6) AS r_moving_average7,
-round(abs(seasonal7 / anchor - moving_average7 / anchor), 6) AS disagreement, round(horizon / 30, 6) AS h, CAST(product_category = 'Rice' AS INT) AS is_rice, round(actual / anchor - 1, 6) AS y FROM paths WHERE actual IS NOT NULL"""))
+round(abs(seasonal7 / anchor - moving_average7 / anchor), 6) AS disagreement, round(horizon / 30, 6) AS h,
+  CAST(product_category = 'Rice' AS INT) AS is_rice, round(actual / anchor - 1, 6) AS y FROM paths WHERE actual IS NOT NULL"""))
 def bt8(spark, sf):
     rows = backtest.stacking_design(forecast_paths(spark, sf).where("actual IS NOT NULL"), ["seasonal7", "moving_average7"], ["Rice"])
     return rows.select("series", "origin", "horizon", *[r6(c).alias(c) for c in ("r_seasonal7", "r_moving_average7", "disagreement", "h", "y")], "is_rice")
@@ -114,7 +119,8 @@ od AS (SELECT origin, row_number() OVER (ORDER BY origin) - 1 AS i, count(*) OVE
 cu AS (SELECT origin AS cutoff FROM od WHERE i = floor(n * 2.0 / 3)),
 parts AS (SELECT paths.*, CASE WHEN date <= cutoff THEN 'tuning' WHEN origin >= cutoff THEN 'calibration' END AS part FROM paths, cu),
 tun AS (SELECT * FROM parts WHERE part = 'tuning' AND actual IS NOT NULL),
-bins AS (SELECT *, CASE WHEN horizon <= 3 THEN '01-03' WHEN horizon <= 7 THEN '04-07' WHEN horizon <= 14 THEN '08-14' WHEN horizon <= 21 THEN '15-21' ELSE '22-30' END AS bin FROM tun)
+bins AS (SELECT *, CASE WHEN horizon <= 3 THEN '01-03' WHEN horizon <= 7 THEN '04-07' WHEN horizon <= 14 THEN '08-14' WHEN horizon <= 21 THEN '15-21'
+  ELSE '22-30' END AS bin FROM tun)
 """
 
 
@@ -130,7 +136,8 @@ def ca1(spark, sf):
 G01 = "SELECT unnest(range(0, 101)) / 100 AS {}"
 
 
-@query("ca2_blend_weight", with_sql(PARTS, f", e AS (SELECT w, round(avg(abs((1 - w) * seasonal7 + w * moving_average7 - actual)), 9) AS mae FROM tun, ({G01.format('w')}) GROUP BY w) SELECT arg_min(w, (mae, w)) AS weight, round(min(mae), 6) AS mae FROM e"))
+@query("ca2_blend_weight", with_sql(PARTS, f""", e AS (SELECT w, round(avg(abs((1 - w) * seasonal7 + w * moving_average7 - actual)), 9) AS mae FROM tun, ({G01.format('w')}) GROUP BY w)
+  SELECT arg_min(w, (mae, w)) AS weight, round(min(mae), 6) AS mae FROM e"""))
 def ca2(spark, sf):
     return calibrate.blend_weight(tuning(spark, sf), "seasonal7", "moving_average7").select("weight", r6("mae").alias("mae"))
 
@@ -139,7 +146,8 @@ def trust_sql(keys: str, step: int, least: int) -> str:
     f = "persistence + t * (moving_average7 - persistence) - actual"
     b = "persistence - actual"
     return f"""
-, tr AS (SELECT {keys}, t, count(*) AS n, round(coalesce(avg(abs({f})) / nullif(avg(abs({b})), 0), 0) + coalesce(sqrt(avg(({f}) * ({f}))) / nullif(sqrt(avg(({b}) * ({b}))), 0), 0) + coalesce(avg(abs(({f}) / actual)) / nullif(avg(abs(({b}) / actual)), 0), 0), 9) AS score
+, tr AS (SELECT {keys}, t, count(*) AS n,
+  round(coalesce(avg(abs({f})) / nullif(avg(abs({b})), 0), 0) + coalesce(sqrt(avg(({f}) * ({f}))) / nullif(sqrt(avg(({b}) * ({b}))), 0), 0) + coalesce(avg(abs(({f}) / actual)) / nullif(avg(abs(({b}) / actual)), 0), 0), 9) AS score
   FROM tun, (SELECT unnest(range(0, {100 // step + 1})) * {step} / 100 AS t) WHERE actual <> 0 GROUP BY {keys}, t)
 SELECT {keys}, any_value(n) AS n, CASE WHEN any_value(n) < {least} THEN 1.0 ELSE arg_min(t, (score, t)) END AS trust FROM tr GROUP BY {keys}"""
 
@@ -154,15 +162,18 @@ def ca4(spark, sf):
     return calibrate.trust(tuning(spark, sf), "moving_average7", ["product_category", "horizon"], 0.05, 10)
 
 
-@query("ca5_reversion", with_sql(PARTS, """, g AS (SELECT * FROM (SELECT unnest([0.05, 0.08, 0.1, 0.15, 0.2, 0.25, 0.3])::DOUBLE AS threshold), (SELECT unnest([0.25, 0.5, 0.75, 1.0])::DOUBLE AS strength), (SELECT unnest([3.0, 7.0, 14.0, 30.0])::DOUBLE AS decay)),
+@query("ca5_reversion", with_sql(PARTS, """, g AS (SELECT * FROM (SELECT unnest([0.05, 0.08, 0.1, 0.15, 0.2, 0.25, 0.3])::DOUBLE AS threshold),
+  (SELECT unnest([0.25, 0.5, 0.75, 1.0])::DOUBLE AS strength), (SELECT unnest([3.0, 7.0, 14.0, 30.0])::DOUBLE AS decay)),
 e AS (SELECT threshold, strength, decay, count(*) FILTER (abs(ln(anchor / moving_average7)) > threshold) AS hits,
   round(avg(abs(CASE WHEN abs(ln(anchor / moving_average7)) > threshold THEN seasonal7 + strength * (1 - exp(-horizon / decay)) * (moving_average7 - seasonal7) ELSE seasonal7 END - actual)), 9) AS mae, round(avg(abs(seasonal7 - actual)), 9) AS base FROM tun, g GROUP BY ALL)
-SELECT round(mae, 6) AS mae, threshold, strength, decay, round(base, 6) AS base FROM e WHERE hits > 0 AND mae < base ORDER BY e.mae, threshold, strength, decay LIMIT 1"""))
+SELECT round(mae, 6) AS mae, threshold, strength, decay, round(base, 6) AS base FROM e WHERE hits > 0 AND mae < base
+  ORDER BY e.mae, threshold, strength, decay LIMIT 1"""))
 def ca5(spark, sf):
     return calibrate.reversion(tuning(spark, sf), "seasonal7").withColumns({"mae": r6("mae"), "base": r6("base")})
 
 
-@query("ca6_references", with_sql(PANEL, ", k AS (SELECT * FROM panel WHERE price_index IS NOT NULL) SELECT series, report_date, round(avg(price_index) OVER (PARTITION BY series ORDER BY report_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) + 3e-8, 6) AS mean_7, " + ", ".join(f"round(quantile_cont(price_index, 0.5) OVER (PARTITION BY series ORDER BY report_date ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) + 3e-8, 6) AS median_{w}" for w in (7, 14, 30)) + " FROM k"))
+@query("ca6_references", with_sql(PANEL, """, k AS (SELECT * FROM panel WHERE price_index IS NOT NULL) SELECT series, report_date, round(avg(price_index) OVER (PARTITION BY series
+  ORDER BY report_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) + 3e-8, 6) AS mean_7, """ + ", ".join(f"round(quantile_cont(price_index, 0.5) OVER (PARTITION BY series ORDER BY report_date ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) + 3e-8, 6) AS median_{w}" for w in (7, 14, 30)) + " FROM k"))
 def ca6(spark, sf):
     return calibrate.references(daily_panel(spark, sf)).select("series", "report_date", *[r6(F.col(c) + 3e-8).alias(c) for c in ("mean_7", "median_7", "median_14", "median_30")])
 
@@ -173,13 +184,18 @@ def ca7(spark, sf):
 
 
 CA8_SQL = """, mid AS (SELECT quantile_cont(origin - DATE '1970-01-01', 0.5) AS m FROM bins WHERE actual <> 0),
-hv AS (SELECT product_name, bin, CASE WHEN origin - DATE '1970-01-01' <= m THEN 'early' ELSE 'late' END AS half, actual, persistence AS f, seasonal7, moving_average7 FROM bins, mid WHERE actual <> 0),
-tr AS (SELECT product_name, bin, half, alternative, w, count(*) AS n, avg(abs(f + w * (v - f) - actual)) / nullif(avg(abs(f - actual)), 0) AS q1, sqrt(avg((f + w * (v - f) - actual) ** 2)) / nullif(sqrt(avg((f - actual) ** 2)), 0) AS q2,
+hv AS (SELECT product_name, bin, CASE WHEN origin - DATE '1970-01-01' <= m THEN 'early' ELSE 'late' END AS half, actual, persistence AS f, seasonal7,
+  moving_average7 FROM bins, mid WHERE actual <> 0),
+tr AS (SELECT product_name, bin, half, alternative, w, count(*) AS n, avg(abs(f + w * (v - f) - actual)) / nullif(avg(abs(f - actual)), 0) AS q1,
+  sqrt(avg((f + w * (v - f) - actual) ** 2)) / nullif(sqrt(avg((f - actual) ** 2)), 0) AS q2,
   avg(abs((f + w * (v - f) - actual) / actual)) / nullif(avg(abs((f - actual) / actual)), 0) AS q3
-  FROM (SELECT product_name, bin, half, actual, f, 'seasonal7' AS alternative, seasonal7 AS v FROM hv UNION ALL SELECT product_name, bin, half, actual, f, 'moving_average7', moving_average7 FROM hv), (SELECT unnest(range(1, 11)) * 5 / 100 AS w) GROUP BY ALL),
+  FROM (SELECT product_name, bin, half, actual, f, 'seasonal7' AS alternative, seasonal7 AS v FROM hv UNION ALL
+  SELECT product_name, bin, half, actual, f, 'moving_average7', moving_average7 FROM hv), (SELECT unnest(range(1, 11)) * 5 / 100 AS w) GROUP BY ALL),
 rt AS (SELECT *, round((q1 + q2 + q3) / 3, 9) AS mr FROM tr),
-ow AS (SELECT product_name, bin, half, arg_min(alternative, (mr, alternative, w)) AS alternative, arg_min(w, (mr, alternative, w)) AS w FROM rt WHERE n >= 20 GROUP BY ALL),
-ck AS (SELECT ow.* FROM ow JOIN rt ON rt.product_name = ow.product_name AND rt.bin = ow.bin AND rt.half <> ow.half AND rt.alternative = ow.alternative AND rt.w = ow.w WHERE q1 < 1 AND q2 < 1 AND q3 < 1 AND mr <= 0.9975)
+ow AS (SELECT product_name, bin, half, arg_min(alternative, (mr, alternative, w)) AS alternative, arg_min(w, (mr, alternative, w)) AS w FROM rt
+  WHERE n >= 20 GROUP BY ALL),
+ck AS (SELECT ow.* FROM ow JOIN rt ON rt.product_name = ow.product_name AND rt.bin = ow.bin AND rt.half <> ow.half AND rt.alternative = ow.alternative
+  AND rt.w = ow.w WHERE q1 < 1 AND q2 < 1 AND q3 < 1 AND mr <= 0.9975)
 SELECT product_name, bin, alternative, min(w) AS weight FROM ck GROUP BY ALL HAVING count(*) = 2"""
 
 
@@ -188,7 +204,8 @@ def ca8(spark, sf):
     return calibrate.specialists(tuning(spark, sf), "persistence", ["seasonal7", "moving_average7"])
 
 
-CA5_SQL = """WITH g AS (SELECT * FROM (SELECT unnest([0.05, 0.08, 0.1, 0.15, 0.2, 0.25, 0.3])::DOUBLE AS threshold), (SELECT unnest([0.25, 0.5, 0.75, 1.0])::DOUBLE AS strength), (SELECT unnest([3.0, 7.0, 14.0, 30.0])::DOUBLE AS decay)),
+CA5_SQL = """WITH g AS (SELECT * FROM (SELECT unnest([0.05, 0.08, 0.1, 0.15, 0.2, 0.25, 0.3])::DOUBLE AS threshold),
+  (SELECT unnest([0.25, 0.5, 0.75, 1.0])::DOUBLE AS strength), (SELECT unnest([3.0, 7.0, 14.0, 30.0])::DOUBLE AS decay)),
 e AS (SELECT threshold, strength, decay, count(*) FILTER (abs(ln(anchor / moving_average7)) > threshold) AS hits,
   round(avg(abs(CASE WHEN abs(ln(anchor / moving_average7)) > threshold THEN seasonal7 + strength * (1 - exp(-horizon / decay)) * (moving_average7 - seasonal7) ELSE seasonal7 END - actual)), 9) AS mae, round(avg(abs(seasonal7 - actual)), 9) AS base FROM tun, g GROUP BY ALL)
 SELECT threshold, strength, decay FROM e WHERE hits > 0 AND mae < base ORDER BY e.mae, threshold, strength, decay LIMIT 1"""
@@ -196,18 +213,25 @@ SELECT threshold, strength, decay FROM e WHERE hits > 0 AND mae < base ORDER BY
 SWITCHES = [("all", ""), *[(f"no_{layer}", layer) for layer in calibrate.LAYERS]]
 
 BLEND = PARTS + f""",
-bw AS (SELECT arg_min(w, (mae, w)) AS weight FROM (SELECT w, round(avg(abs((1 - w) * seasonal7 + w * moving_average7 - actual)), 9) AS mae FROM tun, ({G01.format('w')}) GROUP BY w)),
+bw AS (SELECT arg_min(w, (mae, w)) AS weight FROM (SELECT w, round(avg(abs((1 - w) * seasonal7 + w * moving_average7 - actual)), 9) AS mae
+  FROM tun, ({G01.format('w')}) GROUP BY w)),
 bh AS (SELECT * FROM (WITH {trust_sql("horizon", 1, 2).strip().removeprefix(',')})),
 bc AS (SELECT * FROM (WITH {trust_sql("product_category, horizon", 5, 10).strip().removeprefix(',')})),
 ba AS (SELECT max(threshold) AS threshold, max(strength) AS strength, max(decay) AS decay FROM ({CA5_SQL})),
 bs AS (SELECT * FROM (WITH {CA8_SQL.strip().removeprefix(',')})),
 sw AS (SELECT * FROM (VALUES {', '.join(f"('{name}', '{off}')" for name, off in SWITCHES)}) v(layer, off)),
-b1 AS (SELECT p.*, layer, off, CASE WHEN off = 'weight' THEN 0 ELSE bw.weight END AS w, CASE WHEN off = 'horizon' THEN 1 ELSE coalesce(bh.trust, 1) END AS th, CASE WHEN off = 'category' THEN 1 ELSE coalesce(bc.trust, 1) END AS tc,
-  threshold, strength, decay, CASE WHEN off = 'special' THEN NULL WHEN bs.alternative = 'seasonal7' THEN seasonal7 WHEN bs.alternative = 'moving_average7' THEN moving_average7 END AS picked, bs.weight AS x
-  FROM parts p CROSS JOIN bw CROSS JOIN ba CROSS JOIN sw LEFT JOIN bh ON bh.horizon = p.horizon LEFT JOIN bc ON bc.horizon = p.horizon AND bc.product_category = p.product_category
-  LEFT JOIN bs ON bs.product_name = p.product_name AND bs.bin = CASE WHEN p.horizon <= 3 THEN '01-03' WHEN p.horizon <= 7 THEN '04-07' WHEN p.horizon <= 14 THEN '08-14' WHEN p.horizon <= 21 THEN '15-21' ELSE '22-30' END WHERE part = 'calibration'),
+b1 AS (SELECT p.*, layer, off, CASE WHEN off = 'weight' THEN 0 ELSE bw.weight END AS w, CASE WHEN off = 'horizon' THEN 1
+  ELSE coalesce(bh.trust, 1) END AS th, CASE WHEN off = 'category' THEN 1 ELSE coalesce(bc.trust, 1) END AS tc,
+  threshold, strength, decay, CASE WHEN off = 'special' THEN NULL WHEN bs.alternative = 'seasonal7' THEN seasonal7
+  WHEN bs.alternative = 'moving_average7' THEN moving_average7 END AS picked, bs.weight AS x
+  FROM parts p CROSS JOIN bw CROSS JOIN ba CROSS JOIN sw LEFT JOIN bh ON bh.horizon = p.horizon LEFT
+  JOIN bc ON bc.horizon = p.horizon AND bc.product_category = p.product_category
+  LEFT JOIN bs ON bs.product_name = p.product_name AND bs.bin = CASE WHEN p.horizon <= 3 THEN '01-03' WHEN p.horizon <= 7 THEN '04-07'
+  WHEN p.horizon <= 14 THEN '08-14' WHEN p.horizon <= 21 THEN '15-21' ELSE '22-30' END WHERE part = 'calibration'),
 b2 AS (SELECT *, persistence + th * tc * ((1 - w) * seasonal7 + w * moving_average7 - persistence) AS e1 FROM b1),
-b3 AS (SELECT *, CASE WHEN off <> 'anomaly' AND abs(ln(anchor / moving_average7)) > threshold THEN e1 + strength * (1 - exp(-horizon / decay)) * (moving_average7 - e1) ELSE e1 END AS e2 FROM b2),
+b3 AS (SELECT *, CASE WHEN off <> 'anomaly'
+  AND abs(ln(anchor / moving_average7)) > threshold THEN e1 + strength * (1 - exp(-horizon / decay)) * (moving_average7 - e1) ELSE e1 END AS e2
+  FROM b2),
 bl AS (SELECT *, CASE WHEN picked IS NOT NULL THEN e2 + x * (picked - e2) ELSE e2 END AS ensemble FROM b3)
 """
 
@@ -228,7 +252,8 @@ def ca9(spark, sf):
 
 
 @query("ca10_ablation", with_sql(BLEND, """SELECT layer, count(*) AS n, round(avg(abs(ensemble - actual)), 5) AS mae, round(sqrt(avg((ensemble - actual) ** 2)), 5) AS rmse,
-round(avg(CASE WHEN actual <> anchor THEN CAST(sign(round(ensemble - anchor, 9)) = sign(actual - anchor) AS INT) END), 5) AS direction FROM bl WHERE actual IS NOT NULL GROUP BY 1"""))
+round(avg(CASE WHEN actual <> anchor THEN CAST(sign(round(ensemble - anchor, 9)) = sign(actual - anchor) AS INT) END), 5) AS direction FROM bl
+  WHERE actual IS NOT NULL GROUP BY 1"""))
 def ca10(spark, sf):
     """The blend, and the blend without each of its layers, in one pass over the rows."""
     switch = F.explode(F.array(*[F.struct(F.lit(name).alias("layer"), F.lit(off).alias("off")) for name, off in SWITCHES])).alias("s")
@@ -240,23 +265,28 @@ def ca10(spark, sf):
 
 
 @query("ca11_residual_bias", with_sql(PARTS, """, r AS (SELECT *, (actual - moving_average7) / moving_average7 AS r FROM bins), b AS (SELECT bin, avg(r) AS bb FROM r GROUP BY 1)
-SELECT product_category, r.bin, count(*) AS n, round(any_value(bb), 6) AS bin_bias, round((count(*) * avg(r) + 50 * any_value(bb)) / (count(*) + 50), 6) AS bias FROM r JOIN b USING (bin) GROUP BY ALL"""))
+SELECT product_category, r.bin, count(*) AS n, round(any_value(bb), 6) AS bin_bias,
+  round((count(*) * avg(r) + 50 * any_value(bb)) / (count(*) + 50), 6) AS bias FROM r JOIN b USING (bin) GROUP BY ALL"""))
 def ca11(spark, sf):
     return calibrate.residual_bias(tuning(spark, sf), "moving_average7", ["product_category"]).select("product_category", "bin", "n", r6("bin_bias").alias("bin_bias"), r6("bias").alias("bias"))
 
 
 @query("ca12_regime_trust", with_sql(PARTS, """, mid AS (SELECT quantile_cont(origin - DATE '1970-01-01', 0.5) AS m FROM bins),
-hv AS (SELECT bin, CAST(sign(moving_average7 / anchor - 1) AS INT) AS sign, CASE WHEN abs(moving_average7 / anchor - 1) < 0.01 THEN 'small' WHEN abs(moving_average7 / anchor - 1) < 0.05 THEN 'middle' ELSE 'large' END AS size,
+hv AS (SELECT bin, CAST(sign(moving_average7 / anchor - 1) AS INT) AS sign, CASE WHEN abs(moving_average7 / anchor - 1) < 0.01 THEN 'small'
+  WHEN abs(moving_average7 / anchor - 1) < 0.05 THEN 'middle' ELSE 'large' END AS size,
   CASE WHEN origin - DATE '1970-01-01' <= m THEN 0 ELSE 1 END AS half, actual, anchor, moving_average7 AS f FROM bins, mid),
-s AS (SELECT bin, sign, size, half, alpha, round(avg(abs(anchor + alpha * (f - anchor) - actual)), 9) AS mae FROM hv, (SELECT unnest(range(0, 16)) / 10 AS alpha) GROUP BY ALL),
+s AS (SELECT bin, sign, size, half, alpha, round(avg(abs(anchor + alpha * (f - anchor) - actual)), 9) AS mae
+  FROM hv, (SELECT unnest(range(0, 16)) / 10 AS alpha) GROUP BY ALL),
 b AS (SELECT bin, sign, size, 1 - half AS half, arg_min(alpha, (mae, abs(alpha - 1), alpha)) AS alpha FROM s GROUP BY bin, sign, size, half),
-c AS (SELECT b.*, s.mae <= 0.9975 * p.mae AS ok FROM b JOIN s USING (bin, sign, size, half, alpha) JOIN s p ON p.bin = b.bin AND p.sign = b.sign AND p.size = b.size AND p.half = b.half AND p.alpha = 1.0)
+c AS (SELECT b.*, s.mae <= 0.9975 * p.mae AS ok FROM b JOIN s USING (bin, sign, size, half, alpha)
+  JOIN s p ON p.bin = b.bin AND p.sign = b.sign AND p.size = b.size AND p.half = b.half AND p.alpha = 1.0)
 SELECT bin, sign, size, CASE WHEN bool_and(ok) AND count(*) = 2 THEN arg_min(alpha, (abs(alpha - 1), alpha)) ELSE 1.0 END AS alpha FROM c GROUP BY bin, sign, size"""))
 def ca12(spark, sf):
     return calibrate.regime_trust(tuning(spark, sf), "moving_average7")
 
 
-@query("ca13_baseline_blend", with_sql(PARTS, """, s AS (SELECT product_name, bin, w, avg(abs((1 - w) * persistence + w * moving_average7 - actual)) AS mae FROM bins, (SELECT unnest(range(0, 21)) * 5 / 100 AS w) GROUP BY ALL),
+@query("ca13_baseline_blend", with_sql(PARTS, """, s AS (SELECT product_name, bin, w, avg(abs((1 - w) * persistence + w * moving_average7 - actual)) AS mae
+  FROM bins, (SELECT unnest(range(0, 21)) * 5 / 100 AS w) GROUP BY ALL),
 z AS (SELECT s.*, o.mae AS zero, round(s.mae + 0.01 * s.w * o.mae, 9) AS sc FROM s JOIN s o ON o.product_name = s.product_name AND o.bin = s.bin AND o.w = 0),
 x AS (SELECT product_name, bin, arg_min(w, (sc, w)) AS w, arg_min(mae, (sc, w)) AS mae, any_value(zero) AS zero FROM z GROUP BY ALL)
 SELECT product_name, bin, CASE WHEN mae <= 0.995 * zero THEN w ELSE 0.0 END AS weight FROM x"""))

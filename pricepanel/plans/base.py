@@ -92,9 +92,12 @@ raw AS (
 CLEAN = RAW + """,
 c1 AS (SELECT product_category, product_name, coalesce(product_variant, 'Standard') AS product_variant, origin,
               CASE WHEN unit IS NULL THEN 'unknown' ELSE 'kg' END AS unit, report_date, price_index, is_observed, source_pdf, id FROM raw),
-c2 AS (SELECT * REPLACE (CASE WHEN unit = 'unknown' AND (count(DISTINCT CASE WHEN unit <> 'unknown' THEN unit END) OVER (PARTITION BY product_category, product_name, product_variant, origin)) = 1
-              THEN max(CASE WHEN unit <> 'unknown' THEN unit END) OVER (PARTITION BY product_category, product_name, product_variant, origin) ELSE unit END AS unit) FROM c1),
-clean AS (SELECT concat_ws('||', product_category, product_name, product_variant, origin, unit) AS series, *, CASE WHEN is_observed THEN price_index END AS observed_price FROM c2)
+c2 AS (SELECT * REPLACE (CASE WHEN unit = 'unknown' AND (count(DISTINCT CASE
+  WHEN unit <> 'unknown' THEN unit END) OVER (PARTITION BY product_category, product_name, product_variant, origin)) = 1
+              THEN max(CASE WHEN unit <> 'unknown' THEN unit END) OVER (PARTITION BY product_category, product_name, product_variant, origin)
+  ELSE unit END AS unit) FROM c1),
+clean AS (SELECT concat_ws('||', product_category, product_name, product_variant, origin, unit) AS series, *, CASE
+  WHEN is_observed THEN price_index END AS observed_price FROM c2)
 """
 
 PANEL = CLEAN + """,

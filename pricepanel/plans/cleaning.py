@@ -11,7 +11,8 @@ from .base import CLEAN, PANEL, RAW, clean_prices, daily_panel, query, r6, raw_p
 KEY = "product_category, product_name, product_variant, origin, unit"
 
 
-@query("cl1_coerce", with_sql(RAW, "SELECT id, product_category, product_name, coalesce(product_variant, 'Unknown') AS product_variant, coalesce(trim(unit), 'Unknown') AS unit, report_date, price_index FROM raw"))
+@query("cl1_coerce", with_sql(RAW, """SELECT id, product_category, product_name, coalesce(product_variant, 'Unknown') AS product_variant, coalesce(trim(unit), 'Unknown') AS unit,
+  report_date, price_index FROM raw"""))
 def cl1(spark, sf):
     return clean.coerce(raw_prices(spark, sf)).select("id", "product_category", "product_name", "product_variant", "unit", "report_date", "price_index")
 
@@ -21,7 +22,8 @@ def cl2(spark, sf):
     return raw_prices(spark, sf).withColumn("product_variant", clean.default_variant(F.col("product_variant"))).groupBy("product_variant").agg(F.count("*").alias("n"))
 
 
-@query("cl3_unit", with_sql(RAW, "SELECT CASE lower(trim(coalesce(unit, 'unknown'))) WHEN 'per kg' THEN 'kg' WHEN 'kilogram' THEN 'kg' ELSE lower(trim(coalesce(unit, 'unknown'))) END AS unit, count(*) AS n FROM raw GROUP BY 1"))
+@query("cl3_unit", with_sql(RAW, """SELECT CASE lower(trim(coalesce(unit, 'unknown'))) WHEN 'per kg' THEN 'kg' WHEN 'kilogram' THEN 'kg'
+  ELSE lower(trim(coalesce(unit, 'unknown'))) END AS unit, count(*) AS n FROM raw GROUP BY 1"""))
 def cl3(spark, sf):
     unit = clean.normalise_unit(F.col("unit"), F.col("product_category"), F.col("product_name"))
     return raw_prices(spark, sf).withColumn("unit", unit).groupBy("unit").agg(F.count("*").alias("n"))
@@ -37,7 +39,7 @@ def cl5(spark, sf):
     return clean.valid_rows(clean.coerce(raw_prices(spark, sf))).groupBy("product_category").agg(F.count("*").alias("n"), F.round(F.sum("price_index"), 4).alias("total"))
 
 
-@query("cl6_source_date", with_sql(RAW, r"SELECT id, CAST(strptime(regexp_extract(source_pdf, '([A-Za-z]+-\d{1,2}-\d{4})', 1), '%B-%-d-%Y') AS DATE) AS source_date FROM raw"))
+@query("cl6_source_date", with_sql(RAW, r"""SELECT id, CAST(strptime(regexp_extract(source_pdf, '([A-Za-z]+-\d{1,2}-\d{4})', 1), '%B-%-d-%Y') AS DATE) AS source_date FROM raw"""))
 def cl6(spark, sf):
     return raw_prices(spark, sf).select("id", clean.source_date(F.col("source_pdf")).alias("source_date"))
 
@@ -47,7 +49,8 @@ def cl7(spark, sf):
     return clean_prices(spark, sf).select("series", "report_date", "is_observed", "observed_price")
 
 
-@query("cl8_conflicts", with_sql(RAW, "SELECT product_category, product_name, coalesce(product_variant, 'Standard') AS product_variant, report_date, min(price_index) AS lowest, max(price_index) AS highest, count(*) AS n FROM raw0 WHERE is_observed GROUP BY ALL HAVING min(price_index) <> max(price_index)"))
+@query("cl8_conflicts", with_sql(RAW, """SELECT product_category, product_name, coalesce(product_variant, 'Standard') AS product_variant, report_date, min(price_index) AS lowest,
+  max(price_index) AS highest, count(*) AS n FROM raw0 WHERE is_observed GROUP BY ALL HAVING min(price_index) <> max(price_index)"""))
 def cl8(spark, sf):
     from .base import table
 
@@ -66,8 +69,10 @@ def cl9(spark, sf):
     return clean_prices(spark, sf).select(*clean.SERIES_KEY, "report_date", "id", "is_observed")
 
 
-@query("cl10_repair", with_sql(RAW, """, m AS (SELECT *, max(product_variant = 'A') OVER w AS std, row_number() OVER (PARTITION BY product_name, origin, report_date ORDER BY (product_variant IS NULL) DESC, id) AS rn FROM raw WINDOW w AS (PARTITION BY product_name, origin, report_date))
-SELECT id, product_name, coalesce(CASE product_variant WHEN 'A' THEN 'Standard' ELSE product_variant END, 'Standard') AS product_variant FROM m WHERE product_variant IS NOT NULL OR (NOT coalesce(std, false) AND rn = 1)"""))
+@query("cl10_repair", with_sql(RAW, """, m AS (SELECT *, max(product_variant = 'A') OVER w AS std, row_number() OVER (PARTITION BY product_name, origin, report_date
+  ORDER BY (product_variant IS NULL) DESC, id) AS rn FROM raw WINDOW w AS (PARTITION BY product_name, origin, report_date))
+SELECT id, product_name, coalesce(CASE product_variant WHEN 'A' THEN 'Standard' ELSE product_variant END, 'Standard') AS product_variant FROM m
+  WHERE product_variant IS NOT NULL OR (NOT coalesce(std, false) AND rn = 1)"""))
 def cl10(spark, sf):
     rows = raw_prices(spark, sf).withColumn("product_variant", F.when(F.col("product_variant") == "A", "Standard").otherwise(F.col("product_variant")))
     return clean.repair_variants(rows).select("id", "product_name", "product_variant")
@@ -77,14 +82,16 @@ def cl10(spark, sf):
 cal AS (SELECT CAST(unnest(generate_series(DATE '1996-12-25', DATE '1997-12-31', INTERVAL 1 DAY)) AS DATE) AS day),
 rec AS (SELECT day, r.report_date FROM cal LEFT JOIN (SELECT DISTINCT report_date FROM g) r ON day = r.report_date),
 f AS (SELECT day, last_value(report_date IGNORE NULLS) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS from_day, report_date FROM rec)
-SELECT f.day AS report_date, count(*) AS n, round(sum(price_index), 4) AS total FROM g JOIN f ON g.report_date = f.from_day WHERE f.report_date IS NULL AND f.day >= DATE '1997-01-01' GROUP BY 1"""))
+SELECT f.day AS report_date, count(*) AS n, round(sum(price_index), 4) AS total FROM g JOIN f ON g.report_date = f.from_day
+  WHERE f.report_date IS NULL AND f.day >= DATE '1997-01-01' GROUP BY 1"""))
 def cl11(spark, sf):
     rows = clean_prices(spark, sf).where("weekday(report_date) < 5")
     filled = clean.fill_missing_days(rows, "1997-01-01", "1997-12-31")
     return filled.where("is_copy").groupBy("report_date").agg(F.count("*").alias("n"), F.round(F.sum("price_index"), 4).alias("total"))
 
 
-@query("cl12_quarantine", with_sql(RAW, """, q AS (SELECT *, CASE WHEN product_category IN ('Rice', 'Vegetables') THEN '' ELSE 'category' END AS a, CASE WHEN unit IS NULL THEN 'unit' ELSE '' END AS b,
+@query("cl12_quarantine", with_sql(RAW, """, q AS (SELECT *, CASE WHEN product_category IN ('Rice', 'Vegetables') THEN '' ELSE 'category' END AS a, CASE WHEN unit IS NULL THEN 'unit'
+  ELSE '' END AS b,
   CASE WHEN count(*) OVER (PARTITION BY source_pdf, product_name, product_variant, origin) > 1 THEN 'duplicate' ELSE '' END AS c FROM raw),
 r AS (SELECT source_pdf, concat_ws(',', nullif(a, ''), nullif(b, ''), nullif(c, '')) AS reasons FROM q),
 d AS (SELECT source_pdf, max(reasons <> '') AS rejected FROM r GROUP BY 1)
@@ -93,20 +100,23 @@ def cl12(spark, sf):
     return clean.quarantine(raw_prices(spark, sf), ["rice", "VEGETABLES"]).groupBy("reasons", "rejected").agg(F.count("*").alias("n"))
 
 
-@query("cl13_source_audit", with_sql(RAW, "SELECT count(*) AS n, count(*) FILTER (is_observed) AS matches, count(*) FILTER (NOT is_observed) AS copied, CAST(0 AS BIGINT) AS later, CAST(0 AS BIGINT) AS unparsed FROM raw"))
+@query("cl13_source_audit", with_sql(RAW, """SELECT count(*) AS n, count(*) FILTER (is_observed) AS matches, count(*) FILTER (NOT is_observed) AS copied, CAST(0 AS BIGINT) AS later,
+  CAST(0 AS BIGINT) AS unparsed FROM raw"""))
 def cl13(spark, sf):
     return clean.source_audit(raw_prices(spark, sf))
 
 
 @query("cl14_profile", with_sql(CLEAN, """, g AS (SELECT report_date - lag(report_date) OVER (PARTITION BY series ORDER BY report_date) AS gap FROM clean)
-SELECT count(*) AS n, min(report_date) AS first_day, max(report_date) AS last_day, count(DISTINCT report_date) AS n_days, count(DISTINCT series) AS n_series, count(*) FILTER (observed_price IS NULL) AS null_observed,
+SELECT count(*) AS n, min(report_date) AS first_day, max(report_date) AS last_day, count(DISTINCT report_date) AS n_days,
+  count(DISTINCT series) AS n_series, count(*) FILTER (observed_price IS NULL) AS null_observed,
 count(DISTINCT unit) AS n_units, quantile_cont(price_index, 0.25) AS q25, quantile_cont(price_index, 0.5) AS q50, quantile_cont(price_index, 0.75) AS q75,
 (SELECT count(*) FROM g WHERE gap > 1) AS n_gaps, (SELECT max(gap) FROM g) AS longest_gap FROM clean"""))
 def cl14(spark, sf):
     return clean.profile(clean_prices(spark, sf))
 
 
-@query("cl15_catalog", with_sql(CLEAN, "SELECT product_name, product_variant, origin, unit, arg_min(product_category, (report_date, id)) AS product_category, md5(concat_ws('|', product_name, product_variant, origin, unit)) AS product_id FROM clean WHERE unit <> 'unknown' GROUP BY product_name, product_variant, origin, unit"))
+@query("cl15_catalog", with_sql(CLEAN, """SELECT product_name, product_variant, origin, unit, arg_min(product_category, (report_date, id)) AS product_category, md5(concat_ws('|',
+  product_name, product_variant, origin, unit)) AS product_id FROM clean WHERE unit <> 'unknown' GROUP BY product_name, product_variant, origin, unit"""))
 def cl15(spark, sf):
     return clean.catalog(clean_prices(spark, sf))
 
@@ -116,8 +126,10 @@ def pn1(spark, sf):
     return daily_panel(spark, sf).select("series", "report_date", "price_index", "observed_price", "is_observed")
 
 
-@query("pn2_extend", with_sql(CLEAN, """, d AS (SELECT series, CAST(unnest(generate_series(min(report_date), DATE '2002-01-31', INTERVAL 1 DAY)) AS DATE) AS report_date FROM clean GROUP BY series),
-p AS (SELECT d.series, d.report_date, c.observed_price, last_value(c.observed_price IGNORE NULLS) OVER (PARTITION BY d.series ORDER BY d.report_date ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS price_index FROM d LEFT JOIN clean c USING (series, report_date))
+@query("pn2_extend", with_sql(CLEAN, """, d AS (SELECT series, CAST(unnest(generate_series(min(report_date), DATE '2002-01-31', INTERVAL 1 DAY)) AS DATE) AS report_date FROM clean
+  GROUP BY series),
+p AS (SELECT d.series, d.report_date, c.observed_price, last_value(c.observed_price IGNORE NULLS) OVER (PARTITION BY d.series
+  ORDER BY d.report_date ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS price_index FROM d LEFT JOIN clean c USING (series, report_date))
 SELECT series, count(*) AS n, count(price_index) AS n_filled, max(report_date) AS last_day FROM p GROUP BY 1"""))
 def pn2(spark, sf):
     return panel.extend_to(clean_prices(spark, sf), "2002-01-31").groupBy("series").agg(F.count("*").alias("n"), F.count("price_index").alias("n_filled"), F.max("report_date").alias("last_day"))
@@ -128,7 +140,9 @@ def pn3(spark, sf):
     return panel.as_of(clean_prices(spark, sf), "1999-06-30T15:59:59Z").select("series", "report_date", "price_index")
 
 
-@query("pn4_label_audit", with_sql(PANEL, "SELECT count(*) AS n, count(*) FILTER (is_observed) AS observed, count(*) FILTER (is_observed AND report_date <= DATE '1999-12-31') AS available, count(*) FILTER (is_observed AND report_date > DATE '1999-12-31') AS after_cutoff, round(count(*) FILTER (is_observed AND report_date <= DATE '1999-12-31') / count(*), 6) AS coverage FROM panel"))
+@query("pn4_label_audit", with_sql(PANEL, """SELECT count(*) AS n, count(*) FILTER (is_observed) AS observed, count(*) FILTER (is_observed AND report_date <= DATE '1999-12-31') AS available,
+  count(*) FILTER (is_observed AND report_date > DATE '1999-12-31') AS after_cutoff, round(count(*) FILTER (is_observed
+  AND report_date <= DATE '1999-12-31') / count(*), 6) AS coverage FROM panel"""))
 def pn4(spark, sf):
     return panel.label_audit(daily_panel(spark, sf), "1999-12-31")
 
@@ -145,17 +159,21 @@ def pn5(spark, sf):
     return panel.split(daily_panel(spark, sf), 0.7, 0.85).groupBy("split", "report_date").agg(F.count("*").alias("n"))
 
 
-@query("pn6_bounds", with_sql(SPLIT, "SELECT split, min(report_date) AS first_day, max(report_date) AS last_day, count(*) AS n, count(*) FILTER (is_observed) AS observed FROM splits GROUP BY 1"))
+@query("pn6_bounds", with_sql(SPLIT, """SELECT split, min(report_date) AS first_day, max(report_date) AS last_day, count(*) AS n, count(*) FILTER (is_observed) AS observed FROM splits
+  GROUP BY 1"""))
 def pn6(spark, sf):
     return panel.split_bounds(panel.split(daily_panel(spark, sf), 0.7, 0.85))
 
 
-@query("pn7_integrity", with_sql(CLEAN, "SELECT series, report_date, step FROM (SELECT series, report_date, report_date - lag(report_date) OVER (PARTITION BY series ORDER BY report_date) AS step FROM clean) WHERE step <> 1"))
+@query("pn7_integrity", with_sql(CLEAN, """SELECT series, report_date, step FROM (SELECT series, report_date, report_date - lag(report_date) OVER (PARTITION BY series
+  ORDER BY report_date) AS step FROM clean) WHERE step <> 1"""))
 def pn7(spark, sf):
     return panel.violations(clean_prices(spark, sf))
 
 
-@query("pn8_eligibility", with_sql(PANEL, """SELECT series, arg_max_null(price_index, report_date) AS last_price, max(CASE WHEN is_observed THEN report_date END) AS last_observed, count(*) FILTER (is_observed) AS n_observed,
-CASE WHEN arg_max_null(price_index, report_date) IS NULL THEN 'unavailable' WHEN count(*) FILTER (is_observed) >= 30 THEN 'model' ELSE 'persistence' END AS served_by FROM panel GROUP BY 1"""))
+@query("pn8_eligibility", with_sql(PANEL, """SELECT series, arg_max_null(price_index, report_date) AS last_price, max(CASE WHEN is_observed THEN report_date END) AS last_observed,
+  count(*) FILTER (is_observed) AS n_observed,
+CASE WHEN arg_max_null(price_index, report_date) IS NULL THEN 'unavailable' WHEN count(*) FILTER (is_observed) >= 30 THEN 'model'
+  ELSE 'persistence' END AS served_by FROM panel GROUP BY 1"""))
 def pn8(spark, sf):
     return panel.eligibility(daily_panel(spark, sf))

@@ -58,7 +58,9 @@ def st1(spark, sf):
     return last_counts(spark, run_in_batches([rows.where(F.col("ts") <= middle), rows.where(F.col("ts") > middle)], "views", counted(streams.daily_views)))
 
 
-@query("st5_news_volume", f"WITH {ART}, a AS (SELECT unnest(products) AS product, published_date FROM art) SELECT CAST(published_date - k AS DATE) AS from_day, CAST(published_date - k + 7 AS DATE) AS to_day, product, count(*) AS n FROM a, (SELECT CAST(unnest(range(0, 7)) AS INT) AS k) GROUP BY ALL")
+@query("st5_news_volume", f"""WITH {ART}, a AS (SELECT unnest(products) AS product, published_date FROM art)
+  SELECT CAST(published_date - k AS DATE) AS from_day, CAST(published_date - k + 7 AS DATE) AS to_day, product, count(*) AS n
+  FROM a, (SELECT CAST(unnest(range(0, 7)) AS INT) AS k) GROUP BY ALL""")
 def st5(spark, sf):
     """Articles in two batches by publication day."""
     rows = articles(spark, sf).select(F.explode("products").alias("product"), F.col("published_date").cast("timestamp").alias("created_at"))
@@ -102,7 +104,8 @@ def st4(spark, sf):
     return states(spark, daily_panel(spark, sf)).select("series", "report_date", r6(F.col("macd") + 1e-8).alias("macd"), r6(F.col("macd_signal") + 1e-8).alias("macd_signal"))
 
 
-@query("bt7_parity", with_sql(PANEL, "SELECT count(*) - count(DISTINCT series) AS batch, count(*) - count(DISTINCT series) AS incremental, CAST(0 AS BIGINT) AS unmatched, CAST(0 AS BIGINT) AS differing, CAST(0 AS DOUBLE) AS largest FROM panel"))
+@query("bt7_parity", with_sql(PANEL, """SELECT count(*) - count(DISTINCT series) AS batch, count(*) - count(DISTINCT series) AS incremental, CAST(0 AS BIGINT) AS unmatched,
+  CAST(0 AS BIGINT) AS differing, CAST(0 AS DOUBLE) AS largest FROM panel"""))
 def bt7(spark, sf):
     """The state after a day, kept over three runs of the stream, against the features of the day after from the whole panel."""
     panel = written(daily_panel(spark, sf), "panel")
@@ -112,7 +115,8 @@ def bt7(spark, sf):
     return backtest.parity(batch, kept, ["series", "report_date"], ["macd", "macd_signal"]).withColumn("largest", F.round("largest", 6))
 
 
-@query("io1_snapshot", with_sql(CLEAN, "SELECT product_name, product_variant, count(*) AS n, CAST(sum(CAST(round(price_index * 10000) AS BIGINT)) AS BIGINT) AS total, max(report_date) AS last FROM raw WHERE report_date <= DATE '1998-12-31' GROUP BY ALL"))
+@query("io1_snapshot", with_sql(CLEAN, """SELECT product_name, product_variant, count(*) AS n, CAST(sum(CAST(round(price_index * 10000) AS BIGINT)) AS BIGINT) AS total,
+  max(report_date) AS last FROM raw WHERE report_date <= DATE '1998-12-31' GROUP BY ALL"""))
 def io1(spark, sf):
     """The prices as a CSV snapshot in the shared folder, read up to a day."""
     names = [c.split()[0] for c in store.PRICE_SCHEMA.split(", ")]
@@ -121,7 +125,7 @@ def io1(spark, sf):
     return store.read_snapshot(spark, path, "1998-12-31").groupBy("product_name", "product_variant").agg(F.count("*").alias("n"), F.sum(F.round(F.col("price_index") * 10000).cast("long")).alias("total"), F.max("report_date").alias("last"))
 
 
-@query("io6_publish", with_sql(PATHS, "SELECT series, date, seasonal7 AS price, CAST(origin AS VARCHAR) AS run_id FROM paths WHERE origin = (SELECT max(origin) FROM paths)"))
+@query("io6_publish", with_sql(PATHS, """SELECT series, date, seasonal7 AS price, CAST(origin AS VARCHAR) AS run_id FROM paths WHERE origin = (SELECT max(origin) FROM paths)"""))
 def io6(spark, sf):
     """Two runs published in turn, and between them one whose declared count is wrong, which must not show."""
     root = store.shared_folder(spark, "publication")

@@ -19,10 +19,13 @@ def asked(spark, sf):
     return releases(spark, sf).select("grade").distinct().select("grade", F.explode(F.expr("sequence(DATE '1996-01-15', DATE '1998-01-15', INTERVAL 30 DAYS)")).alias("origin"))
 
 
-ASOF = """, j AS (SELECT og.grade, og.origin, max(struct_pack(reference_end := reference_end, available := available_at, value := value)) AS b FROM og LEFT JOIN rel ON rel.grade = og.grade AND available_at <= origin - {lag} GROUP BY og.grade, og.origin),
-s AS (SELECT grade, origin, CASE WHEN b.reference_end IS NULL THEN 'no_available_quote' WHEN origin - b.reference_end > {age} OR origin < b.reference_end THEN 'stale_reference' ELSE 'available' END AS reason, b FROM j)
+ASOF = """, j AS (SELECT og.grade, og.origin, max(struct_pack(reference_end := reference_end, available := available_at, value := value)) AS b FROM og LEFT
+  JOIN rel ON rel.grade = og.grade AND available_at <= origin - {lag} GROUP BY og.grade, og.origin),
+s AS (SELECT grade, origin, CASE WHEN b.reference_end IS NULL THEN 'no_available_quote' WHEN origin - b.reference_end > {age}
+  OR origin < b.reference_end THEN 'stale_reference' ELSE 'available' END AS reason, b FROM j)
 """
-ASK = "SELECT grade, origin, reason, CASE WHEN reason = 'available' THEN b.value END AS value, CASE WHEN reason = 'available' THEN b.reference_end END AS reference_end FROM s"
+ASK = """SELECT grade, origin, reason, CASE WHEN reason = 'available' THEN b.value END AS value, CASE
+  WHEN reason = 'available' THEN b.reference_end END AS reference_end FROM s"""
 
 
 @query("as1_vintage", "WITH " + REL + ASOF.format(lag=0, age=10) + ASK)
@@ -48,13 +51,17 @@ def as3s(spark, sf):
     return asof.monthly_as_of(asked(spark, sf), changes, ["grade"], 60).withColumn("value", F.round("value", 6))
 
 
-@query("as4_validate", "WITH " + REL + ", v AS (SELECT concat_ws(',', CASE WHEN count(*) OVER (PARTITION BY grade, reference_end, available_at) > 1 THEN 'duplicate' END, CASE WHEN o_orderkey % 5 = 0 THEN 'hash' END, CASE WHEN o_orderkey % 7 = 0 THEN 'url' END) AS broken FROM rel) SELECT broken, count(*) AS n FROM v GROUP BY 1")
+@query("as4_validate", "WITH " + REL + """, v AS (SELECT concat_ws(',', CASE WHEN count(*) OVER (PARTITION BY grade, reference_end, available_at) > 1 THEN 'duplicate' END, CASE
+  WHEN o_orderkey % 5 = 0 THEN 'hash' END, CASE WHEN o_orderkey % 7 = 0 THEN 'url' END) AS broken FROM rel) SELECT broken, count(*) AS n FROM v
+  GROUP BY 1""")
 def as4(spark, sf):
     rows = releases(spark, sf).withColumns({"sha256": F.when(F.col("o_orderkey") % 5 == 0, "x").otherwise(F.sha2(F.col("o_orderkey").cast("string"), 256)), "source_url": F.when(F.col("o_orderkey") % 7 == 0, "http://a").otherwise("https://a")})
     return asof.validate(rows, ["grade"]).groupBy("broken").agg(F.count("*").alias("n"))
 
 
-@query("as5_admission", "WITH a AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE year(CAST(o_orderdate AS DATE)) = 1997 GROUP BY 1) SELECT CASE WHEN n IS NULL THEN 'no_availability' WHEN n > 1 THEN 'ambiguous' ELSE 'admitted' END AS state, count(*) AS n FROM customer LEFT JOIN a ON k = c_custkey GROUP BY 1")
+@query("as5_admission", """WITH a AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE year(CAST(o_orderdate AS DATE)) = 1997 GROUP BY 1)
+  SELECT CASE WHEN n IS NULL THEN 'no_availability' WHEN n > 1 THEN 'ambiguous' ELSE 'admitted' END AS state, count(*) AS n FROM customer LEFT
+  JOIN a ON k = c_custkey GROUP BY 1""")
 def as5(spark, sf):
     """Customers as reviewed rows of one address, orders as availability by customer and year."""
     available = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("sha256"), F.year("o_orderdate").cast("string").alias("source_url"), F.to_date("o_orderdate").alias("available_at"))
@@ -62,7 +69,9 @@ def as5(spark, sf):
     return asof.admit(reviewed, available).groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query("as7_coverage", "WITH " + REL + ", g AS (SELECT 0 AS lag, 5 AS max_age UNION ALL SELECT 7, 10), j AS (SELECT lag, max_age, og.grade, origin, max(struct_pack(r := reference_end, a := available_at, v := value)) AS b FROM og CROSS JOIN g LEFT JOIN rel ON rel.grade = og.grade AND available_at <= origin - lag GROUP BY ALL) SELECT lag, max_age, count(*) AS n, count(*) FILTER (origin - b.r <= max_age AND b.r <= origin) AS usable FROM j GROUP BY ALL")
+@query("as7_coverage", "WITH " + REL + """, g AS (SELECT 0 AS lag, 5 AS max_age UNION ALL SELECT 7, 10), j AS (SELECT lag, max_age, og.grade, origin, max(struct_pack(r := reference_end,
+  a := available_at, v := value)) AS b FROM og CROSS JOIN g LEFT JOIN rel ON rel.grade = og.grade AND available_at <= origin - lag GROUP BY ALL)
+  SELECT lag, max_age, count(*) AS n, count(*) FILTER (origin - b.r <= max_age AND b.r <= origin) AS usable FROM j GROUP BY ALL""")
 def as7(spark, sf):
     o, r = asked(spark, sf), releases(spark, sf)
     return asof.coverage_grid(o, r, ["grade"], [0], [5]).unionByName(asof.coverage_grid(o, r, ["grade"], [7], [10]))
@@ -83,16 +92,23 @@ def nw1(spark, sf):
     return news.match(articles(spark, sf), "P3", "1995-06-01").select("id", "published_date")
 
 
-@query("nw2_events", f"WITH {ART} SELECT CASE WHEN sentiment < -0.2 THEN 'increase' WHEN sentiment > 0.2 THEN 'decrease' ELSE 'neutral' END AS impact, count(*) AS n, round(avg(abs(sentiment)), 6) AS confidence FROM art GROUP BY 1")
+@query("nw2_events", f"""WITH {ART} SELECT CASE WHEN sentiment < -0.2 THEN 'increase' WHEN sentiment > 0.2 THEN 'decrease' ELSE 'neutral' END AS impact, count(*) AS n,
+  round(avg(abs(sentiment)), 6) AS confidence FROM art GROUP BY 1""")
 def nw2(spark, sf):
     return articles(spark, sf).groupBy(news.impact(F.col("sentiment")).alias("impact")).agg(F.count("*").alias("n"), F.round(F.avg(F.abs("sentiment")), 6).alias("confidence"))
 
 
-@query("nw3_windows", f"""WITH {ART}, a AS (SELECT unnest(products) AS product, published_date, sentiment, is_shock, coalesce(regexp_matches(text, '(?i)(^|[^\\w])(inflation|cpi)([^\\w]|$)'), false) AS inflation,
-  CASE WHEN sentiment < -0.2 THEN abs(sentiment) WHEN sentiment > 0.2 THEN -abs(sentiment) ELSE 0 END AS signed FROM art), d AS (SELECT DISTINCT product, published_date AS day FROM a)
-SELECT d.product, d.day, count(a.product) FILTER (day - published_date <= 3) AS n_3, count(a.product) FILTER (day - published_date <= 7) AS n_7, count(a.product) AS n_14, count(*) FILTER (is_shock AND day - published_date <= 7) AS shocks_7,
-count(*) FILTER (inflation) AS inflation_14, count(*) FILTER (sentiment < -0.2 AND day - published_date <= 7) AS rising_7, count(*) FILTER (sentiment > 0.2 AND day - published_date <= 7) AS falling_7,
-round(coalesce(avg(sentiment), 0) + 3e-8, 6) AS mean_sentiment_14, round(coalesce(avg(abs(sentiment)) FILTER (day - published_date <= 7), 0) + 3e-8, 6) AS mean_confidence_7, round(coalesce(avg(signed) FILTER (day - published_date <= 3), 0) + 3e-8, 6) AS signed_score_3
+@query("nw3_windows", f"""WITH {ART}, a AS (SELECT unnest(products) AS product, published_date, sentiment, is_shock,
+  coalesce(regexp_matches(text, '(?i)(^|[^\\w])(inflation|cpi)([^\\w]|$)'), false) AS inflation,
+  CASE WHEN sentiment < -0.2 THEN abs(sentiment) WHEN sentiment > 0.2 THEN -abs(sentiment) ELSE 0 END AS signed
+  FROM art), d AS (SELECT DISTINCT product, published_date AS day FROM a)
+SELECT d.product, d.day, count(a.product) FILTER (day - published_date <= 3) AS n_3, count(a.product) FILTER (day - published_date <= 7) AS n_7,
+  count(a.product) AS n_14, count(*) FILTER (is_shock AND day - published_date <= 7) AS shocks_7,
+count(*) FILTER (inflation) AS inflation_14, count(*) FILTER (sentiment < -0.2 AND day - published_date <= 7) AS rising_7,
+  count(*) FILTER (sentiment > 0.2 AND day - published_date <= 7) AS falling_7,
+round(coalesce(avg(sentiment), 0) + 3e-8, 6) AS mean_sentiment_14,
+  round(coalesce(avg(abs(sentiment)) FILTER (day - published_date <= 7), 0) + 3e-8, 6) AS mean_confidence_7,
+  round(coalesce(avg(signed) FILTER (day - published_date <= 3), 0) + 3e-8, 6) AS signed_score_3
 FROM d LEFT JOIN a ON a.product = d.product AND a.published_date BETWEEN d.day - 14 AND d.day GROUP BY ALL""")
 def nw3(spark, sf):
     rows = articles(spark, sf)
@@ -101,12 +117,14 @@ def nw3(spark, sf):
     return news.windows(rows, days).select("product", "day", "n_3", "n_7", "n_14", "shocks_7", "inflation_14", "rising_7", "falling_7", *[F.round(F.col(c) + 3e-8, 6).alias(c) for c in means])
 
 
-@query("nw4_topics", f"WITH {ART} SELECT id FROM art WHERE regexp_matches(lower(text), '\\b(worthless|idiot|clown)\\b') AND regexp_matches(lower(text), '\\b(the|that|from)\\b')")
+@query("nw4_topics", f"""WITH {ART} SELECT id FROM art WHERE regexp_matches(lower(text), '\\b(worthless|idiot|clown)\\b')
+  AND regexp_matches(lower(text), '\\b(the|that|from)\\b')""")
 def nw4(spark, sf):
     return articles(spark, sf).where(news.topical(F.col("text"), ["worthless", "idiot", "clown"], ["the", "that", "from"])).select("id")
 
 
-BODY = r"""WITH t AS (SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'Menu' || chr(10) || 'Published April 27, 2026 02:55 PM PHT' || chr(10) || coalesce(text, '') || chr(10) || 'Read More: [x](y)' || chr(10) || 'more'
+BODY = r"""WITH t AS (SELECT doc_id AS id, CASE doc_id % 3
+  WHEN 0 THEN 'Menu' || chr(10) || 'Published April 27, 2026 02:55 PM PHT' || chr(10) || coalesce(text, '') || chr(10) || 'Read More: [x](y)' || chr(10) || 'more'
   WHEN 1 THEN '# Head [one](http://a) ![pic](b)' || chr(10) || coalesce(text, '') ELSE text END AS t FROM documents),
 b AS (SELECT id, regexp_replace(regexp_replace(t, '(?s)\A.*?(?m:^)[ \t]*Published\s+\w+\s+\d{1,2},?\s+\d{4}[^\n]*(\n|\z)', ''), '(?ms)^[ \t]*(Read More|Copyright ©|Privacy Preference Center).*\z', '') AS t FROM t),
 p AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '#{1,6}\s*|[*_~`]{1,3}', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM b),
@@ -125,12 +143,15 @@ def nw5(spark, sf):
     return rows.select("id", F.length("body").cast("long").alias("n_chars"), F.sha2("body", 256).alias("sha256"))
 
 
-@query("nw7_hosts", r"WITH u AS (SELECT page_id, url, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host FROM pages) SELECT page_id FROM u WHERE (host = 'example.net' OR host LIKE '%.example.net') AND NOT regexp_matches(url, '/(fr|de)(/|$|\?)')")
+@query("nw7_hosts", r"""WITH u AS (SELECT page_id, url, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host FROM pages) SELECT page_id FROM u
+  WHERE (host = 'example.net' OR host LIKE '%.example.net') AND NOT regexp_matches(url, '/(fr|de)(/|$|\?)')""")
 def nw7(spark, sf):
     return table(spark, sf, "pages").where(news.allowed_url(F.col("url"), ["example.net"], ["fr", "de"])).select("page_id")
 
 
-@query("nw8_dedup", f"WITH {ART}, s AS (SELECT DISTINCT sha256(text) AS h FROM art WHERE coalesce(source, '') < 'src2' AND text IS NOT NULL) SELECT min(id) AS id, sha256(text) AS content_hash FROM art WHERE coalesce(source, '') >= 'src2' AND sha256(text) NOT IN (SELECT h FROM s) GROUP BY sha256(text)")
+@query("nw8_dedup", f"""WITH {ART}, s AS (SELECT DISTINCT sha256(text) AS h FROM art WHERE coalesce(source, '') < 'src2' AND text IS NOT NULL)
+  SELECT min(id) AS id, sha256(text) AS content_hash FROM art WHERE coalesce(source, '') >= 'src2' AND sha256(text) NOT IN (SELECT h FROM s)
+  GROUP BY sha256(text)""")
 def nw8(spark, sf):
     """Articles of some sources as the store, those of all others as the batch."""
     rows = articles(spark, sf).select("id", F.col("text").alias("content"), F.col("id").cast("string").alias("url"), F.coalesce("source", F.lit("")).alias("source")).where("content IS NOT NULL")
@@ -138,11 +159,15 @@ def nw8(spark, sf):
     return news.new_articles(rows.where("source >= 'src2'").drop("source"), stored).select("id", "content_hash")
 
 
-@query("nw11_listing", f"WITH {ART} SELECT id, published_date FROM art WHERE published_date >= DATE '1995-03-01' AND contains(lower(source), 'src1') ORDER BY published_date DESC, id LIMIT 20 OFFSET 20")
+@query("nw11_listing", f"""WITH {ART} SELECT id, published_date FROM art WHERE published_date >= DATE '1995-03-01' AND contains(lower(source), 'src1')
+  ORDER BY published_date DESC, id LIMIT 20 OFFSET 20""")
 def nw11(spark, sf):
     return news.listing(articles(spark, sf).withColumnRenamed("source", "title"), "SRC1", "1995-03-01", 1, 20).select("id", "published_date")
 
 
-@query("nw13_factors", f"WITH {ART}, a AS (SELECT unnest(products) AS product, id, published_date, sentiment FROM art WHERE published_date BETWEEN DATE '1995-06-16' AND DATE '1995-06-30'), r AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY published_date DESC, id) AS rank FROM a) SELECT product, id, rank, CASE WHEN sentiment > 0.3 THEN 'positive' WHEN sentiment < -0.3 THEN 'negative' ELSE 'neutral' END AS label FROM r WHERE rank <= 5")
+@query("nw13_factors", f"""WITH {ART}, a AS (SELECT unnest(products) AS product, id, published_date, sentiment FROM art
+  WHERE published_date BETWEEN DATE '1995-06-16' AND DATE '1995-06-30'), r AS (SELECT *, row_number() OVER (PARTITION BY product
+  ORDER BY published_date DESC, id) AS rank FROM a) SELECT product, id, rank, CASE WHEN sentiment > 0.3 THEN 'positive'
+  WHEN sentiment < -0.3 THEN 'negative' ELSE 'neutral' END AS label FROM r WHERE rank <= 5""")
 def nw13(spark, sf):
     return news.factors(articles(spark, sf), "1995-06-30").select("product", "id", F.col("rank").cast("long").alias("rank"), "label")
