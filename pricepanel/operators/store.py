@@ -118,11 +118,15 @@ def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
     return sums.select("n", F.sha2(F.concat_ws("|", F.col("n").cast("string"), text("a"), text("b")), 256).alias("sha256"))
 
 
+def can_share(spark: SparkSession) -> bool:
+    """Whether there is a folder that driver and executors share: ``spark.checkpoint.dir`` is set, or all is in one process."""
+    master = spark.sparkContext.master
+    return bool(spark.sparkContext.getConf().get("spark.checkpoint.dir")) or (master.startswith("local") and not master.startswith("local-cluster"))
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share; a local one in local mode where it is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="spark-")
+    if not can_share(spark):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -30,7 +30,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` from a table in the shared folder, so that what several parts of a plan need is computed once."""
+    """``df`` from a table in the shared folder, so that what several parts of a plan need is computed once; ``df`` itself where there is none."""
+    if not store.can_share(df.sparkSession):
+        return df
     path = store.shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
