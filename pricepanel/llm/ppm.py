@@ -40,7 +40,7 @@ HEAD = 100_000
 #: Marks before the first byte and after the last; neither occurs in UTF-8.
 START, END = 0xFE, 0xFF
 #: Bytes of text of a block; a longer text is a block of its own and its grams are worked on in pieces of this size.
-BLOCK = 1 << 23
+BLOCK = 6 << 20
 #: Grams merged or looked up at once.
 PIECE = 1 << 20
 
@@ -235,14 +235,14 @@ class Trie:
             self.left_total.append(shorter.total[at] - np.add.reduceat(seen, own.first) if len(seen) else np.zeros(0))
             self.left_kinds.append(shorter.kinds[at] - own.kinds)
         top = self.levels[ORDER]
-        self.top_log = np.log10(top.n) - np.repeat(np.log10(top.total + top.kinds), top.kinds)
+        self.top_whole = np.repeat(top.total + top.kinds, top.kinds)
 
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        at, known = _find(self.levels[ORDER].codes, codes)
-        out = np.zeros(len(codes))
-        out[known] = self.top_log[at[known]]
-        out[~known] = self._escaped(codes[~known])
-        return out
+    def answers(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Whether the longest context has each code; count and whole of those that it has; log10 of the others."""
+        top = self.levels[ORDER]
+        at, known = _find(top.codes, codes)
+        at = at[known]
+        return known, top.n[at] if len(top.n) else at, self.top_whole[at] if len(top.n) else at, self._escaped(codes[~known])
 
     def _escaped(self, codes: np.ndarray) -> np.ndarray:
         """Codes that the top level may not have: down the levels, with escapes and exclusion."""
@@ -318,6 +318,17 @@ class _Table:
         return self.logs[slot]
 
 
+_ANSWER = ["codes", "known", "times", "whole", "logs"]
+
+
+def _read_answer(size: int, codes: bytes, known: bytes, times: bytes, whole: bytes, logs: bytes) -> tuple[np.ndarray, np.ndarray]:
+    hit = np.unpackbits(np.frombuffer(known, dtype=np.uint8), count=size).astype(bool)
+    n, out = int(hit.sum()), np.empty(size)
+    out[hit] = np.log10(_unpack(times, n, ORDER + 1).astype(np.int64)) - np.log10(_unpack(whole, n, ORDER + 1).astype(np.int64))
+    out[~hit] = np.frombuffer(pa.decompress(logs, (size - n) * 8, "zstd"))
+    return _unpack_codes(codes, size), out
+
+
 def _answer(short_sent):
     """Rows sorted by bucket, counts before questions -> the scores of each question's grams."""
 
@@ -349,9 +360,11 @@ def _answer(short_sent):
                 if trie is None:
                     merge()
                     trie = Trie(*merged, short, short_n)
-                out.append((block, n, codes, pa.compress(trie.log10(own).tobytes(), "zstd", asbytes=True)))
+                known, times, whole, logs = trie.answers(own)
+                # counts are small and pack well, logarithms do not: only codes beyond the longest context have one
+                out.append((block, n, codes, np.packbits(known).tobytes(), _pack(times, ORDER + 1), _pack(whole, ORDER + 1), pa.compress(logs.tobytes(), "zstd", asbytes=True)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "size", "codes", "logs"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), *[pa.binary()] * 5), strict=True)], names=["block", "size", *_ANSWER])
 
     return run
 
@@ -372,11 +385,11 @@ def score_rows(rows: DataFrame) -> DataFrame:
     grams = cut.where("kind = 'grams'").select("bucket", "block", "size", "codes", "counts")
     asked = grams.select("bucket", F.lit(False).alias("asks"), "block", "size", "codes", "counts").union(grams.select("bucket", F.lit(True), "block", "size", "codes", F.lit(None).cast("binary")))
     dealt = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "asks")
-    answers = dealt.mapInArrow(_answer(short_sent), "block long, size int, codes binary, logs binary")
+    answers = dealt.mapInArrow(_answer(short_sent), "block long, size int, " + ", ".join(f"{c} binary" for c in _ANSWER))
     kind = cut.schema["ids"].dataType.simpleString()
     none = lambda t: F.lit(None).cast(t)
-    texts = cut.where("kind = 'texts'").select("block", F.lit(True).alias("is_text"), none("int").alias("size"), none("binary").alias("codes"), none("binary").alias("logs"), "texts", "bytes", "lengths", "rows", "ids")
-    both = answers.select("block", F.lit(False).alias("is_text"), "size", "codes", "logs", none("binary").alias("texts"), none("long").alias("bytes"), none("array<long>").alias("lengths"), none("array<long>").alias("rows"), none(kind).alias("ids")).unionByName(texts)
+    texts = cut.where("kind = 'texts'").select("block", F.lit(True).alias("is_text"), none("int").alias("size"), *[none("binary").alias(c) for c in _ANSWER], "texts", "bytes", "lengths", "rows", "ids")
+    both = answers.select("block", F.lit(False).alias("is_text"), "size", *_ANSWER, none("binary").alias("texts"), none("long").alias("bytes"), none("array<long>").alias("lengths"), none("array<long>").alias("rows"), none(kind).alias("ids")).unionByName(texts)
     met = both.repartition("block").sortWithinPartitions("block", "is_text")
     done = materialize(met.mapInArrow(_scorer(head_sent, norm), f"row long, id {rows.schema['id'].dataType.simpleString()}, n_tokens long, n_known long, base double, score double, word binary, times long"), "ppm-scored")
 
@@ -410,9 +423,9 @@ def _scorer(head_sent, norm: float):
                 if cell("block") != block:
                     block, answers = cell("block"), []
                 if not cell("is_text"):
-                    answers.append((cell("codes"), cell("logs"), cell("size")))
+                    answers.append(_read_answer(cell("size"), *map(cell, _ANSWER)))
                     continue
-                known = _Table(np.concatenate([_unpack_codes(c, n) for c, _, n in answers]), np.concatenate([np.frombuffer(pa.decompress(x, n * 8, "zstd")) for _, x, n in answers]))
+                known = _Table(*(np.concatenate(x) for x in zip(*answers, strict=True)))
                 answers = []
                 glued, texts, start = pa.decompress(cell("texts"), cell("bytes"), "zstd", asbytes=True), [], 0
                 for n in cell("lengths"):
