@@ -247,12 +247,15 @@ def _surest(text: View, meta: View, taken: list):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality") -> CoTrained | None:
-    """Fit on at most ``MAX_LABELLED`` labelled rows and the surest of all others; None if one class has no label."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source")).where("id IS NOT NULL")
+def _named(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
+
+
+def train(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> CoTrained | None:
+    """Fit on ``id, xt, xm`` of all rows: at most ``MAX_LABELLED`` labelled ones and the surest of all others; None if one class has no label."""
     one = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.min(label_col).alias("y"))
     # features move and not texts; rows of one id count once
-    featured = _featured(rows, ["id"]).groupBy("id").agg(F.min(F.struct("xt", "xm")).alias("x")).select("id", "x.xt", "x.xm")
+    featured = rows.where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("xt", "xm")).alias("x")).select("id", "x.xt", "x.xm")
     featured = featured.join(one, F.col("id") == F.col("label_id"), "left")
     featured = materialize(featured.select("id", F.xxhash64(F.col("id"), F.lit(11)).alias("h"), F.col("y").cast("int").alias("y"), "xt", "xm"), "cotrain-features")
     chosen = materialize(featured.where("y IS NOT NULL").select("id", "h").orderBy("h", "id").limit(MAX_LABELLED).select(F.col("id").alias("chosen_id")), "cotrain-chosen")
@@ -285,8 +288,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def _scores(batch: pa.RecordBatch, model: CoTrained, text_col: str, lang_col: str, source_col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     texts, langs, sources = (batch.column(c).to_pylist() for c in (text_col, lang_col, source_col))
-    xt = np.array([text_features(t) for t in texts]).reshape(-1, TEXT_FEATURES)
-    xm = np.array([meta_features(a, b, t) for a, b, t in zip(langs, sources, texts, strict=True)]).reshape(-1, META_FEATURES)
+    xt = np.array([text_features(t) for t in texts], dtype=np.float32).reshape(-1, TEXT_FEATURES)
+    xm = np.array([meta_features(a, b, t) for a, b, t in zip(langs, sources, texts, strict=True)], dtype=np.float32).reshape(-1, META_FEATURES)
     return model.score(xt, xm)
 
 
@@ -296,18 +299,19 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     A null or empty text has no text features and is scored; null language and source are values of
     their own; labels of one id that disagree count as bad, null labels as none; repeated rows give
     repeated results; ties at the cutoff are accepted; without labels of both classes the scores are
-    null and all rows are accepted; an empty table gives no rows; other columns are ignored.
+    null and all rows are accepted; an empty table gives no rows; other columns are ignored. The
+    features of every row are computed once and written; training and scoring both read them.
     """
-    model = train(docs, labels, id_col, text_col, lang_col, source_col)
+    rows = materialize(_featured(_named(docs, id_col, text_col, lang_col, source_col), ["id"]), "cotrain-rows")
+    model = train(rows, labels, id_col)
     if model is None:
         none = F.lit(None).cast("double")
-        return docs.select(F.col(id_col), none.alias("text_score"), none.alias("meta_score"), none.alias("score"), F.lit(True).alias("accepted"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
+        return rows.select(F.col("id").alias(id_col), none.alias("text_score"), none.alias("meta_score"), none.alias("score"), F.lit(True).alias("accepted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _pieces(batches):
-            t, m, both = _scores(batch, model, "text", "lang", "source")
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(t), pa.array(m), pa.array(both), pa.array(both >= model.cutoff)], names=["id", "text_score", "meta_score", "score", "accepted"])
+        for batch in batches:
+            t, m, both = model.score(_matrix(batch, "xt", TEXT_FEATURES), _matrix(batch, "xm", META_FEATURES))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, pa.float64()) for x in (t, m, both)), pa.array(both >= model.cutoff)], names=["id", "text_score", "meta_score", "score", "accepted"])
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, text_score double, meta_score double, score double, accepted boolean").withColumnRenamed("id", id_col)
@@ -318,7 +322,7 @@ def keep_accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     Rows stay as they are, repeated ones as often as they come; all else as for ``classify``.
     """
-    model = train(docs, labels, id_col, text_col, lang_col, source_col)
+    model = train(_featured(_named(docs, id_col, text_col, lang_col, source_col), ["id"]), labels, id_col)
     if model is None:
         return docs
 

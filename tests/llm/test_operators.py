@@ -701,7 +701,7 @@ def test_cotraining_pool_is_every_unlabelled_row(spark, monkeypatch):
     labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(400)], "doc_id long, quality int")
     text = []
     monkeypatch.setattr(cotraining, "_surest", lambda t, m, taken, make=cotraining._surest: text.append((t, list(taken))) or make(t, m, taken))
-    cotraining.train(df, labels)
+    cotraining.classify(df, labels)
     view, taken = text[0]
     assert not taken and len(seen) == len(text)
     z = view.raw(np.array([cotraining.text_features(t) for t in texts[400:]], dtype=np.float32))
