@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,35 +32,76 @@ def blend_weight(rows: DataFrame, a: str, b: str, keys: list[str] | None = None,
     return error.groupBy(*keys).agg(F.min(F.struct(F.round("mae", 9).alias("mae"), "w")).alias("x")).select(*keys, F.col("x.w").alias("weight"), F.col("x.mae").alias("mae"))
 
 
-def trust(rows: DataFrame, forecast: str, keys: list[str], step: float = 0.01, least_rows: int = 2, penalty: float = 0.0) -> DataFrame:
-    """CA3, CA4: how far from persistence towards the forecast, by the sum of MAE, RMSE and MAPE ratios to persistence.
+def _error_sums(rows: DataFrame, value: Column, keys: list[str]) -> DataFrame:
+    """By ``keys``: rows and sums of the absolute, squared and relative errors of ``value`` and of persistence."""
+    e, b = value - F.col("actual"), F.col("persistence") - F.col("actual")
+    terms = {"e1": F.abs(e), "e2": e * e, "e3": F.abs(e / F.col("actual")), "b1": F.abs(b), "b2": b * b, "b3": F.abs(b / F.col("actual"))}
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(v).alias(c) for c, v in terms.items()])
 
-    Groups of fewer than ``least_rows`` rows get trust 1. ``penalty`` adds ``penalty * (1 - t)^2``.
-    """
+
+def _ratio_score() -> Column:
+    """The sum of MAE, RMSE and MAPE, each over that of persistence, from the sums of ``_error_sums``."""
+    mean = lambda c: F.sqrt(F.col(c) / F.col("n")) if c.endswith("2") else F.col(c) / F.col("n")
+    return F.round(sum(mean(f"e{k}") / F.greatest(mean(f"b{k}"), F.lit(1e-12)) for k in (1, 2, 3)), 9)
+
+
+_SUMS = ("n", "e1", "e2", "e3", "b1", "b2", "b3")
+
+
+def _trust_sums(rows: DataFrame, forecast: str, keys: list[str], step: float) -> DataFrame:
     tried = rows.where("actual IS NOT NULL AND actual <> 0").select(*keys, "actual", "persistence", forecast, F.explode(grid(0, 1, step)).alias("t"))
-    err = F.col("persistence") + F.col("t") * (F.col(forecast) - F.col("persistence")) - F.col("actual")
-    base = F.col("persistence") - F.col("actual")
-    sums = tried.groupBy(*keys, "t").agg(
-        F.count("*").alias("n"), F.avg(F.abs(err)).alias("e1"), F.sqrt(F.avg(err * err)).alias("e2"), F.avg(F.abs(err / F.col("actual"))).alias("e3"),
-        F.avg(F.abs(base)).alias("b1"), F.sqrt(F.avg(base * base)).alias("b2"), F.avg(F.abs(base / F.col("actual"))).alias("b3"),
-    )
-    score = sum(F.coalesce(F.try_divide(F.col(f"e{k}"), F.col(f"b{k}")), F.lit(0.0)) for k in (1, 2, 3)) + penalty * (1 - F.col("t")) * (1 - F.col("t"))
-    best = sums.groupBy(*keys).agg(F.first("n").alias("n"), F.min(F.struct(F.round(score, 9).alias("score"), "t")).alias("x"))
+    return _error_sums(tried, F.col("persistence") + F.col("t") * (F.col(forecast) - F.col("persistence")), [*keys, "t"])
+
+
+def horizon_trust(rows: DataFrame, forecast: str, horizon: int = 30, step: float = 0.01) -> DataFrame:
+    """CA3: per horizon 1 to ``horizon`` how far from persistence towards the forecast, by ``_ratio_score``.
+
+    A horizon of fewer than two rows is judged by the rows of all horizons; without any rows trust is 1.
+    ``n`` counts the horizon's own rows. One pass over the rows; the fallback adds up the sums by horizon.
+    """
+    sums = _trust_sums(rows, forecast, ["horizon"], step)
+    spark = rows.sparkSession
+    own = sums.groupBy("horizon").agg(F.max("n").alias("own"), F.min(F.struct(_ratio_score().alias("score"), "t")).alias("x"))
+    whole = sums.groupBy("t").agg(*[F.sum(c).alias(c) for c in _SUMS]).agg(F.min(F.struct(_ratio_score().alias("score"), "t")).alias("all"))
+    every = spark.range(1, horizon + 1).select(F.col("id").cast("int").alias("horizon"))
+    out = every.join(own, "horizon", "left").join(F.broadcast(whole))  # one row
+    n = F.coalesce("own", F.lit(0)).cast("long")
+    return out.select("horizon", n.alias("n"), F.coalesce(F.when(n < 2, F.col("all.t")).otherwise(F.col("x.t")), F.lit(1.0)).alias("trust"))
+
+
+def group_trust(rows: DataFrame, forecast: str, keys: list[str], step: float = 0.05, least_rows: int = 10) -> DataFrame:
+    """CA4: the same per ``keys``, to be applied to the path after CA3; groups of fewer than ``least_rows`` rows get trust 1."""
+    sums = _trust_sums(rows, forecast, keys, step)
+    best = sums.groupBy(*keys).agg(F.max("n").alias("n"), F.min(F.struct(_ratio_score().alias("score"), "t")).alias("x"))
     return best.select(*keys, "n", F.when(F.col("n") < least_rows, 1.0).otherwise(F.col("x.t")).alias("trust"))
 
 
-THRESHOLDS, STRENGTHS, DECAYS = (0.05, 0.08, 0.1, 0.15, 0.2, 0.25, 0.3), (0.25, 0.5, 0.75, 1.0), (3.0, 7.0, 14.0, 30.0)
+#: What CA5 tries (fixed values).
+THRESHOLDS, STRENGTHS, DECAYS = (0.15, 0.2, 0.25, 0.3, 0.5, 0.75, 1.0), (0.25, 0.5, 0.75, 1.0), (1.0, 3.0, 7.0, 14.0)
 
 
 def reversion(rows: DataFrame, forecast: str, reference: str = "moving_average7") -> DataFrame:
-    """CA5: threshold, strength and decay of moving anomalous anchors to their reference, if any beats doing nothing."""
+    """CA5: threshold, strength and decay of moving anomalous anchors to their reference, if any lowers the score of the forecast.
+
+    One row with ``score`` and ``base`` (the forecast as it is); where nothing helps, a threshold that no
+    anchor exceeds, strength 0 and decay 1. A triple that touches no row is
+    not tried; of equal scores the first in the order of threshold, strength and decay stands.
+    """
     triples = F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(s).alias("strength"), F.lit(d).alias("decay")) for t in THRESHOLDS for s in STRENGTHS for d in DECAYS])
-    tried = rows.where("actual IS NOT NULL").select("actual", "anchor", "horizon", forecast, reference, F.explode(triples).alias("g")).select("*", "g.*")
-    hit = F.abs(F.ln(F.col("anchor") / F.col(reference))) > F.col("threshold")
+    known = rows.where("actual IS NOT NULL AND actual <> 0")
+    tried = known.select("actual", "persistence", "anchor", "horizon", forecast, reference, F.explode(triples).alias("g")).select("*", "g.*")
+    hit = F.coalesce(F.abs(F.ln(F.col("anchor") / F.col(reference))) > F.col("threshold"), F.lit(False))
     pull = F.col("strength") * (1 - F.exp(-F.col("horizon") / F.col("decay")))
     moved = F.when(hit, F.col(forecast) + pull * (F.col(reference) - F.col(forecast))).otherwise(F.col(forecast))
-    errors = tried.groupBy("threshold", "strength", "decay").agg(F.count_if(hit).alias("hits"), F.round(F.avg(F.abs(moved - F.col("actual"))), 9).alias("mae"), F.round(F.avg(F.abs(F.col(forecast) - F.col("actual"))), 9).alias("base"))
-    return errors.where("hits > 0 AND mae < base").groupBy("base").agg(F.min(F.struct("mae", "threshold", "strength", "decay")).alias("x")).select("x.*", "base")
+    keys = ["threshold", "strength", "decay"]
+    sums = _error_sums(tried.withColumns({"__moved": moved, "__hit": hit}).drop(forecast), F.col("__moved"), [*keys, "__hit"])
+    scores = sums.groupBy(*keys).agg(F.bool_or("__hit").alias("hits"), *[F.sum(c).alias(c) for c in _SUMS]).where("hits").select(*keys, _ratio_score().alias("score"))
+    base = _error_sums(known, F.col(forecast), []).select(_ratio_score().alias("base"))
+    best = scores.agg(F.min(F.struct("score", *keys)).alias("x"))
+    none = {"score": F.col("base"), "threshold": F.lit(1e9), "strength": F.lit(0.0), "decay": F.lit(1.0)}
+    both = base.join(F.broadcast(best)).select("base", F.col("x.score").alias("score"), *[F.col(f"x.{c}").alias(c) for c in keys])  # one row each
+    helps = F.coalesce(F.col("score") < F.col("base"), F.lit(False))
+    return both.select(*[F.when(helps, F.col(c)).otherwise(v).alias(c) for c, v in none.items()], "base")
 
 
 def references(panel: DataFrame) -> DataFrame:
@@ -77,25 +120,31 @@ def horizon_bin(h: Column) -> Column:
 def specialists(rows: DataFrame, forecast: str, alternatives: list[str], least_rows: int = 20, gain: float = 0.9975) -> DataFrame:
     """CA8: per product and horizon bin an alternative that both halves of the origins pick, and that helps the other half.
 
-    Halves are by origin; a pick is the (alternative, weight .05 to .5) of least summed MAE, RMSE and MAPE
-    ratios to the forecast; it must lower all three on the other half and their mean to ``gain``. The
-    smaller of the two weights is kept.
+    The earlier half are the first half of the distinct origins (of fewer than four there is no result).
+    A half of ``least_rows`` rows or more picks the alternative and weight (.05 to .5) of least mean ratio
+    of MAE, RMSE and MAPE to those of the forecast, if that is below 1; of equal ones the first in the
+    order of ``alternatives``, then the lesser weight. Both must pick one alternative, and each pick must
+    lower all three errors of the other half, and their mean ratio to ``gain``. The lesser weight is kept.
     """
-    known = rows.where("actual IS NOT NULL AND actual <> 0").withColumn("bin", horizon_bin(F.col("horizon")))
-    middle = known.agg(F.percentile(F.datediff("origin", F.lit("1970-01-01").cast("date")), F.lit(0.5)).alias("middle"))
-    known = known.join(F.broadcast(middle)).withColumn("half", F.when(F.datediff("origin", F.lit("1970-01-01").cast("date")) <= F.col("middle"), "early").otherwise("late"))
-    tried = known.select("product_name", "bin", "half", "actual", F.col(forecast).alias("f"), F.explode(F.array(*[F.struct(F.lit(a).alias("alternative"), F.col(a).alias("v")) for a in alternatives])).alias("x"))
-    tried = tried.select("product_name", "bin", "half", "actual", "f", "x.*").select("*", F.explode(grid(0.05, 0.5, 0.05)).alias("w"))
-    err, base = F.col("f") + F.col("w") * (F.col("v") - F.col("f")) - F.col("actual"), F.col("f") - F.col("actual")
-    ratios = tried.groupBy("product_name", "bin", "half", "alternative", "w").agg(
-        F.count("*").alias("n"), F.try_divide(F.avg(F.abs(err)), F.avg(F.abs(base))).alias("q1"), F.try_divide(F.sqrt(F.avg(err * err)), F.sqrt(F.avg(base * base))).alias("q2"),
-        F.try_divide(F.avg(F.abs(err / F.col("actual"))), F.avg(F.abs(base / F.col("actual")))).alias("q3"),
+    known = rows.where("actual IS NOT NULL").withColumn("bin", horizon_bin(F.col("horizon")))
+    days = known.select("origin").distinct().withColumns({"i": F.row_number().over(Window.orderBy("origin")), "k": F.count("*").over(Window.partitionBy())})  # a row per origin
+    cutoff = days.where("k >= 4 AND i = floor(k / 2)").select(F.col("origin").alias("__cutoff"))
+    known = known.join(F.broadcast(cutoff)).withColumn("half", F.when(F.col("origin") <= F.col("__cutoff"), "early").otherwise("late"))  # one row
+    group = ["product_category", "product_name", "bin"]
+    picks = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(a).alias("alternative"), F.col(a).alias("v")) for k, a in enumerate(alternatives)])
+    tried = known.select(*group, "half", "actual", F.col(forecast).alias("f"), F.explode(picks).alias("x")).select(*group, "half", "actual", "f", "x.*").select("*", F.explode(grid(0.05, 0.5, 0.05)).alias("w"))
+    err, base = (1 - F.col("w")) * F.col("f") + F.col("w") * F.col("v") - F.col("actual"), F.col("f") - F.col("actual")
+    scale = F.greatest(F.abs("actual"), F.lit(1e-8))
+    least = lambda c, r: F.when(r > 1e-12, c / r)  # noqa: E731  an error of zero can't be lowered
+    ratios = tried.groupBy(*group, "half", "place", "alternative", "w").agg(
+        F.count("*").alias("n"), least(F.avg(F.abs(err)), F.avg(F.abs(base))).alias("q1"), least(F.sqrt(F.avg(err * err)), F.sqrt(F.avg(base * base))).alias("q2"),
+        least(F.avg(F.abs(err) / scale), F.avg(F.abs(base) / scale)).alias("q3"),
     ).withColumn("mean_ratio", F.round((F.col("q1") + F.col("q2") + F.col("q3")) / 3, 9))
-    own = ratios.where(F.col("n") >= least_rows).groupBy("product_name", "bin", "half").agg(F.min(F.struct("mean_ratio", "alternative", "w")).alias("p")).select("product_name", "bin", "half", "p.alternative", "p.w")
+    own = ratios.where((F.col("n") >= least_rows) & (F.col("mean_ratio") < 1)).groupBy(*group, "half").agg(F.min(F.struct("mean_ratio", "place", "w")).alias("p")).select(*group, "half", "p.place", "p.w")
     ok = (F.col("q1") < 1) & (F.col("q2") < 1) & (F.col("q3") < 1) & (F.col("mean_ratio") <= gain)
-    other = ratios.select("product_name", "bin", F.when(F.col("half") == "early", "late").otherwise("early").alias("half"), "alternative", "w", ok.alias("ok"))
-    checked = own.join(other, ["product_name", "bin", "half", "alternative", "w"]).where("ok")
-    both = checked.groupBy("product_name", "bin", "alternative").agg(F.count("*").alias("halves"), F.min("w").alias("weight"))
+    other = ratios.where(ok & (F.col("n") >= least_rows)).select(*group, F.when(F.col("half") == "early", "late").otherwise("early").alias("half"), "place", "alternative", "w")
+    checked = own.join(other, [*group, "half", "place", "w"])
+    both = checked.groupBy(*group, "alternative").agg(F.count("*").alias("halves"), F.min("w").alias("weight"))
     return both.where("halves = 2").drop("halves")
 
 
@@ -103,16 +152,43 @@ def specialists(rows: DataFrame, forecast: str, alternatives: list[str], least_r
 LAYERS = ("weight", "horizon", "category", "anomaly", "special")
 
 
-def with_layers(rows: DataFrame, weight: DataFrame, by_horizon: DataFrame, by_category: DataFrame, anomaly: DataFrame, special: DataFrame) -> DataFrame:
-    """CA9: the rows with the parameters of every layer (columns from ``__w`` on), null where a layer has none.
+def fit_layers(rows: DataFrame, a: str, b: str, alternatives: list[str], write: Callable[[DataFrame, str], DataFrame]) -> dict[str, DataFrame]:
+    """CA2 to CA5 and CA8 in order, each fitted to the path that the earlier ones give; a table of parameters by layer.
+
+    ``write(table, name)`` gives a table back from storage: a later fit reads the parameters and does not
+    fit the earlier layers again.
+    """
+    none = {layer: None for layer in LAYERS}
+    found: dict[str, DataFrame] = {}
+    path = lambda: with_layers(rows, **(none | found)).withColumn("__path", blended(a, b))
+    found["weight"] = write(blend_weight(rows, a, b), "layer-weight")
+    found["horizon"] = write(horizon_trust(path(), "__path"), "layer-horizon")
+    found["category"] = write(group_trust(path(), "__path", ["product_category", "horizon"]), "layer-category")
+    found["anomaly"] = write(reversion(path(), "__path"), "layer-anomaly")
+    found["special"] = write(specialists(path(), "__path", alternatives), "layer-special")
+    return found
+
+
+def with_layers(rows: DataFrame, weight: DataFrame, horizon: DataFrame | None, category: DataFrame | None, anomaly: DataFrame | None, special: DataFrame | None) -> DataFrame:
+    """CA9: the rows with the parameters of every layer (columns from ``__w`` on), null where a layer has none or isn't fitted yet.
 
     Parameter tables have a row per key and are small; the optimizer broadcasts them by their size.
     """
+    none = lambda **kinds: {c: F.lit(None).cast(t) for c, t in kinds.items()}
     out = rows.join(F.broadcast(weight.select(F.col("weight").alias("__w"))))  # one row
-    out = out.join(by_horizon.select("horizon", F.col("trust").alias("__h")), "horizon", "left").join(by_category.select("product_category", "horizon", F.col("trust").alias("__c")), ["product_category", "horizon"], "left")
-    one = anomaly.agg(F.first("threshold").alias("__t"), F.first("strength").alias("__s"), F.first("decay").alias("__d"))
-    out = out.join(F.broadcast(one)).withColumn("bin", horizon_bin(F.col("horizon")))  # one row
-    return out.join(special.select("product_name", "bin", F.col("alternative").alias("__a"), F.col("weight").alias("__x")), ["product_name", "bin"], "left")
+    out = out.withColumns(none(__h="double")) if horizon is None else out.join(horizon.select("horizon", F.col("trust").alias("__h")), "horizon", "left")
+    keys = ["product_category", "horizon"]
+    out = out.withColumns(none(__c="double")) if category is None else out.join(category.select(*keys, F.col("trust").alias("__c")), keys, "left")
+    if anomaly is None:
+        out = out.withColumns(none(__t="double", __s="double", __d="double"))
+    else:
+        one = anomaly.agg(F.first("threshold").alias("__t"), F.first("strength").alias("__s"), F.first("decay").alias("__d"))
+        out = out.join(F.broadcast(one))  # one row
+    if special is None:
+        return out.withColumns(none(__a="string", __x="double"))
+    keys = ["product_category", "product_name", "bin"]
+    out = out.withColumn("bin", horizon_bin(F.col("horizon")))
+    return out.join(special.select(*keys, F.col("alternative").alias("__a"), F.col("weight").alias("__x")), keys, "left").drop("bin")
 
 
 def blended(a: str, b: str, on: dict[str, Column] | None = None) -> Column:
@@ -127,7 +203,7 @@ def blended(a: str, b: str, on: dict[str, Column] | None = None) -> Column:
     value = F.col("persistence") + trusted[0] * trusted[1] * (mixed - F.col("persistence"))
     hit = use("anomaly") & F.coalesce(F.abs(F.ln(F.col("anchor") / F.col("moving_average7"))) > F.col("__t"), F.lit(False))
     value = F.when(hit, value + F.col("__s") * (1 - F.exp(-F.col("horizon") / F.col("__d"))) * (F.col("moving_average7") - value)).otherwise(value)
-    picked = F.coalesce(*[F.when(F.col("__a") == c, F.col(c)) for c in ("seasonal7", "moving_average7", "persistence")])
+    picked = F.coalesce(*[F.when(F.col("__a") == c, F.col(c)) for c in dict.fromkeys((a, b, "persistence", "moving_average7"))])
     return F.when(use("special") & picked.isNotNull(), value + F.col("__x") * (picked - value)).otherwise(value)
 
 

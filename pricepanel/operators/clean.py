@@ -24,18 +24,17 @@ def coerce(raw: DataFrame) -> DataFrame:
 
 
 def default_variant(variant: Column) -> Column:
-    """CL2"""
-    return F.when(variant.isNull() | variant.isin("", "Unknown"), "Standard").otherwise(variant)
+    """CL2: the text ``null`` is a missing variant too, in this spelling alone."""
+    return F.when(variant.isNull() | variant.isin("", "Unknown", "null"), "Standard").otherwise(variant)
 
 
-def normalise_unit(unit: Column, category: Column, name: Column) -> Column:
-    """CL3: lower-case, aliases, then the overrides of a few products."""
+def normalise_unit(unit: Column, category: Column, name: Column, variant: Column) -> Column:
+    """CL3: lower-case, aliases, then what the size of an oil or the name of a product decides. A null unit is ``unknown``, an empty one stays."""
     low = F.lower(F.trim(F.coalesce(unit, F.lit("unknown"))))
     aliases = F.create_map(*[F.lit(x) for pair in UNIT_ALIASES.items() for x in pair])
     known = F.coalesce(F.try_element_at(aliases, low), low)
-    raw = F.lower(F.trim(F.coalesce(unit, F.lit(""))))
-    oils = category.ilike("%oil%")
-    return F.when(oils & raw.isin("1l", "1 liter"), "liter").when(oils & raw.isin("350ml", "350 ml"), "350ml").when(name.ilike("%chicken egg%"), "piece").when(known == "", "unknown").otherwise(known)
+    size = F.when(category == "Oils", F.lower(variant))
+    return F.when(name == "Chicken Egg", "piece").when(size == "1l", "liter").when(size == "350ml", "350ml").otherwise(known)
 
 
 def infer_unit(rows: DataFrame) -> DataFrame:
@@ -87,7 +86,7 @@ def validate(raw: DataFrame) -> DataFrame:
     """CL1-CL7 and CL9 in order, with the series id."""
     rows = coerce(raw)
     rows = rows.withColumn("product_variant", default_variant(F.col("product_variant")))
-    rows = rows.withColumn("unit", normalise_unit(F.nullif("unit", F.lit("Unknown")), F.col("product_category"), F.col("product_name")))
+    rows = rows.withColumn("unit", normalise_unit(F.nullif("unit", F.lit("Unknown")), F.col("product_category"), F.col("product_name"), F.col("product_variant")))
     rows = observation_flag(valid_rows(infer_unit(rows)))
     return deduplicate(rows).withColumn("series", series_id())
 

@@ -72,12 +72,12 @@ def price_windows(panel: DataFrame) -> DataFrame:
 
 
 def rsi(panel: DataFrame, days: int = 14) -> DataFrame:
-    """FE9: simple means of gains and losses of the shifted price; a missing change counts as 0, the first rows are 0."""
+    """FE9: simple means of gains and losses of the shifted price over up to ``days`` rows; a missing change counts as 0."""
     delta = F.lag("price_index", 1).over(by_series()) - F.lag("price_index", 2).over(by_series())
-    out = panel.withColumn("__d", delta).withColumn("__n", F.row_number().over(by_series()))
+    out = panel.withColumn("__d", delta)
     frame = by_series().rowsBetween(-days + 1, 0)
     gain, loss = F.avg(F.greatest(F.coalesce("__d", F.lit(0.0)), F.lit(0.0))).over(frame), F.avg(F.greatest(-F.coalesce("__d", F.lit(0.0)), F.lit(0.0))).over(frame)
-    return out.withColumn("rsi", F.when(F.col("__n") < days, 0.0).otherwise(100 - 100 / (1 + gain / (loss + 1e-6)))).drop("__d", "__n")
+    return out.withColumn("rsi", 100 - 100 / (1 + gain / (loss + 1e-6))).drop("__d")
 
 
 def ema(values: pd.Series, span: int) -> pd.Series:

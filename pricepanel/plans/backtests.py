@@ -142,34 +142,75 @@ def ca2(spark, sf):
     return calibrate.blend_weight(tuning(spark, sf), "seasonal7", "moving_average7").select("weight", r6("mae").alias("mae"))
 
 
-def trust_sql(keys: str, step: int, least: int) -> str:
-    f = "persistence + t * (moving_average7 - persistence) - actual"
-    b = "persistence - actual"
-    return f"""
-, tr AS (SELECT {keys}, t, count(*) AS n,
-  round(coalesce(avg(abs({f})) / nullif(avg(abs({b})), 0), 0) + coalesce(sqrt(avg(({f}) * ({f}))) / nullif(sqrt(avg(({b}) * ({b}))), 0), 0) + coalesce(avg(abs(({f}) / actual)) / nullif(avg(abs(({b}) / actual)), 0), 0), 9) AS score
-  FROM tun, (SELECT unnest(range(0, {100 // step + 1})) * {step} / 100 AS t) WHERE actual <> 0 GROUP BY {keys}, t)
-SELECT {keys}, any_value(n) AS n, CASE WHEN any_value(n) < {least} THEN 1.0 ELSE arg_min(t, (score, t)) END AS trust FROM tr GROUP BY {keys}"""
+def score_sql(f: str) -> str:
+    """MAE, RMSE and MAPE of ``f``, each over that of persistence, summed."""
+    pairs = [("avg(abs({} - actual))",), ("sqrt(avg(({} - actual) ** 2))",), ("avg(abs(({} - actual) / actual))",)]
+    return "round(" + " + ".join(f"{m.format(f)} / greatest({m.format('persistence')}, 1e-12)" for (m,) in pairs) + ", 9)"
 
 
-@query("ca3_horizon_trust", with_sql(PARTS, trust_sql("horizon", 1, 2)))
+#: Each layer from the path that the earlier ones give: ``ly2`` has the blend, ``ly3`` the horizon's trust, and so on.
+LAYERED = PARTS + f""",
+bw AS (SELECT arg_min(w, (mae, w)) AS weight, min(mae) AS mae FROM (SELECT w, round(avg(abs((1 - w) * {{a}} + w * {{b}} - actual)), 9) AS mae
+  FROM tun, ({G01.format('w')}) GROUP BY w)),
+ly2 AS (SELECT tun.*, (1 - weight) * {{a}} + weight * {{b}} AS f2 FROM tun, bw WHERE actual <> 0),
+hn AS (SELECT h AS horizon, (SELECT count(*) FROM ly2 WHERE horizon = h) AS n FROM (SELECT CAST(unnest(range(1, 31)) AS INT) AS h)),
+bh AS (SELECT horizon, any_value(n) AS n, arg_min(t, (score, t)) AS trust FROM (
+  SELECT hn.horizon, n, t, {score_sql('(persistence + t * (f2 - persistence))')} AS score
+  FROM hn JOIN ly2 ON ly2.horizon = hn.horizon OR n < 2, ({G01.format('t')}) GROUP BY hn.horizon, n, t) GROUP BY horizon),
+ly3 AS (SELECT ly2.*, persistence + trust * (f2 - persistence) AS f3 FROM ly2 JOIN bh USING (horizon)),
+bc AS (SELECT product_category, horizon, any_value(n) AS n, CASE WHEN any_value(n) < 10 THEN 1.0 ELSE arg_min(t, (score, t)) END AS trust FROM (
+  SELECT product_category, horizon, t, count(*) AS n, {score_sql('(persistence + t * (f3 - persistence))')} AS score
+  FROM ly3, (SELECT unnest(range(0, 21)) * 5 / 100 AS t) GROUP BY product_category, horizon, t) GROUP BY product_category, horizon),
+ly4 AS (SELECT ly3.*, persistence + trust * (f3 - persistence) AS f4 FROM ly3 JOIN bc USING (product_category, horizon)),
+gr AS (SELECT * FROM (SELECT unnest([0.15, 0.2, 0.25, 0.3, 0.5, 0.75, 1.0])::DOUBLE AS threshold),
+  (SELECT unnest([0.25, 0.5, 0.75, 1.0])::DOUBLE AS strength), (SELECT unnest([1.0, 3.0, 7.0, 14.0])::DOUBLE AS decay)),
+mv AS (SELECT threshold, strength, decay, actual, persistence, abs(ln(anchor / moving_average7)) > threshold AS hit,
+  CASE WHEN hit THEN f4 + strength * (1 - exp(-horizon / decay)) * (moving_average7 - f4) ELSE f4 END AS f FROM ly4, gr),
+ba AS (SELECT coalesce(threshold, 1e9) AS threshold, coalesce(strength, 0.0) AS strength, coalesce(decay, 1.0) AS decay, coalesce(score, base) AS score, base
+  FROM (SELECT {score_sql('f4')} AS base FROM ly4)
+  LEFT JOIN (SELECT threshold, strength, decay, bool_or(hit) AS hits, {score_sql('f')} AS score FROM mv GROUP BY ALL) ON hits AND score < base
+  ORDER BY score, threshold, strength, decay LIMIT 1),
+b1r AS (SELECT threshold, strength, decay FROM ba),
+ly5 AS (SELECT ly4.*, CASE WHEN abs(ln(anchor / moving_average7)) > threshold
+  THEN f4 + strength * (1 - exp(-horizon / decay)) * (moving_average7 - f4) ELSE f4 END AS f5 FROM ly4, b1r),
+og AS (SELECT origin, row_number() OVER (ORDER BY origin) AS i, count(*) OVER () AS k FROM (SELECT DISTINCT origin FROM ly5)),
+hv AS (SELECT product_category, product_name, CASE WHEN horizon <= 3 THEN '01-03' WHEN horizon <= 7 THEN '04-07' WHEN horizon <= 14 THEN '08-14'
+  WHEN horizon <= 21 THEN '15-21' ELSE '22-30' END AS bin, origin <= (SELECT origin FROM og WHERE k >= 4 AND i = k // 2) AS early, actual, f5,
+  unnest([{{a}}, persistence, moving_average7]) AS v, unnest(['{{a}}', 'persistence', 'moving_average7']) AS alternative, unnest([0, 1, 2]) AS place FROM ly5),
+er AS (SELECT product_category, product_name, bin, early, alternative, place, w, count(*) AS n, avg(abs(f5 - actual)) AS b1, sqrt(avg((f5 - actual) ** 2)) AS b2,
+  avg(abs((f5 - actual) / actual)) AS b3, avg(abs((1 - w) * f5 + w * v - actual)) AS e1, sqrt(avg(((1 - w) * f5 + w * v - actual) ** 2)) AS e2,
+  avg(abs(((1 - w) * f5 + w * v - actual) / actual)) AS e3 FROM hv, (SELECT unnest(range(1, 11)) * 5 / 100 AS w) WHERE early IS NOT NULL GROUP BY ALL),
+rt AS (SELECT *, round((e1 / b1 + e2 / b2 + e3 / b3) / 3, 9) AS mr, e1 < b1 AND e2 < b2 AND e3 < b3 AND round((e1 / b1 + e2 / b2 + e3 / b3) / 3, 9) <= 0.9975 AS ok
+  FROM er WHERE n >= 20 AND b1 > 1e-12 AND b2 > 1e-12 AND b3 > 1e-12),
+pk AS (SELECT product_category, product_name, bin, early, arg_min(alternative, (mr, place, w)) AS alternative, arg_min(w, (mr, place, w)) AS w
+  FROM rt WHERE mr < 1 GROUP BY ALL),
+bs AS (SELECT product_category, product_name, bin, p.alternative, least(p.w, q.w) AS weight
+  FROM pk p JOIN pk q USING (product_category, product_name, bin, alternative)
+  JOIN rt rp USING (product_category, product_name, bin, alternative) JOIN rt rq USING (product_category, product_name, bin, alternative)
+  WHERE p.early AND NOT q.early AND rp.w = p.w AND NOT rp.early AND rp.ok AND rq.w = q.w AND rq.early AND rq.ok)
+"""
+BASELINES = ("seasonal7", "moving_average7")
+BASE_LAYERED = LAYERED.replace("{a}", BASELINES[0]).replace("{b}", BASELINES[1])
+
+
+def layers_of(spark, sf):
+    """The parameters of all layers, fitted in order on the tuning rows, which are written once."""
+    return calibrate.fit_layers(written(tuning(spark, sf), "tuning"), *BASELINES, [BASELINES[0], "persistence", "moving_average7"], written)
+
+
+@query("ca3_horizon_trust", with_sql(BASE_LAYERED, "SELECT horizon, n, trust FROM bh"))
 def ca3(spark, sf):
-    return calibrate.trust(tuning(spark, sf), "moving_average7", ["horizon"])
+    return layers_of(spark, sf)["horizon"]
 
 
-@query("ca4_category_trust", with_sql(PARTS, trust_sql("product_category, horizon", 5, 10)))
+@query("ca4_category_trust", with_sql(BASE_LAYERED, "SELECT product_category, horizon, n, trust FROM bc"))
 def ca4(spark, sf):
-    return calibrate.trust(tuning(spark, sf), "moving_average7", ["product_category", "horizon"], 0.05, 10)
+    return layers_of(spark, sf)["category"]
 
 
-@query("ca5_reversion", with_sql(PARTS, """, g AS (SELECT * FROM (SELECT unnest([0.05, 0.08, 0.1, 0.15, 0.2, 0.25, 0.3])::DOUBLE AS threshold),
-  (SELECT unnest([0.25, 0.5, 0.75, 1.0])::DOUBLE AS strength), (SELECT unnest([3.0, 7.0, 14.0, 30.0])::DOUBLE AS decay)),
-e AS (SELECT threshold, strength, decay, count(*) FILTER (abs(ln(anchor / moving_average7)) > threshold) AS hits,
-  round(avg(abs(CASE WHEN abs(ln(anchor / moving_average7)) > threshold THEN seasonal7 + strength * (1 - exp(-horizon / decay)) * (moving_average7 - seasonal7) ELSE seasonal7 END - actual)), 9) AS mae, round(avg(abs(seasonal7 - actual)), 9) AS base FROM tun, g GROUP BY ALL)
-SELECT round(mae, 6) AS mae, threshold, strength, decay, round(base, 6) AS base FROM e WHERE hits > 0 AND mae < base
-  ORDER BY e.mae, threshold, strength, decay LIMIT 1"""))
+@query("ca5_reversion", with_sql(BASE_LAYERED, "SELECT threshold, strength, decay, round(score, 6) AS score, round(base, 6) AS base FROM ba"))
 def ca5(spark, sf):
-    return calibrate.reversion(tuning(spark, sf), "seasonal7").withColumns({"mae": r6("mae"), "base": r6("base")})
+    return layers_of(spark, sf)["anomaly"].withColumns({"score": r6("score"), "base": r6("base")})
 
 
 @query("ca6_references", with_sql(PANEL, """, k AS (SELECT * FROM panel WHERE price_index IS NOT NULL) SELECT series, report_date, round(avg(price_index) OVER (PARTITION BY series
@@ -183,50 +224,22 @@ def ca7(spark, sf):
     return tuning(spark, sf).where("actual IS NOT NULL").groupBy(calibrate.horizon_bin(F.col("horizon")).alias("bin")).agg(F.count("*").alias("n"))
 
 
-CA8_SQL = """, mid AS (SELECT quantile_cont(origin - DATE '1970-01-01', 0.5) AS m FROM bins WHERE actual <> 0),
-hv AS (SELECT product_name, bin, CASE WHEN origin - DATE '1970-01-01' <= m THEN 'early' ELSE 'late' END AS half, actual, persistence AS f, seasonal7,
-  moving_average7 FROM bins, mid WHERE actual <> 0),
-tr AS (SELECT product_name, bin, half, alternative, w, count(*) AS n, avg(abs(f + w * (v - f) - actual)) / nullif(avg(abs(f - actual)), 0) AS q1,
-  sqrt(avg((f + w * (v - f) - actual) ** 2)) / nullif(sqrt(avg((f - actual) ** 2)), 0) AS q2,
-  avg(abs((f + w * (v - f) - actual) / actual)) / nullif(avg(abs((f - actual) / actual)), 0) AS q3
-  FROM (SELECT product_name, bin, half, actual, f, 'seasonal7' AS alternative, seasonal7 AS v FROM hv UNION ALL
-  SELECT product_name, bin, half, actual, f, 'moving_average7', moving_average7 FROM hv), (SELECT unnest(range(1, 11)) * 5 / 100 AS w) GROUP BY ALL),
-rt AS (SELECT *, round((q1 + q2 + q3) / 3, 9) AS mr FROM tr),
-ow AS (SELECT product_name, bin, half, arg_min(alternative, (mr, alternative, w)) AS alternative, arg_min(w, (mr, alternative, w)) AS w FROM rt
-  WHERE n >= 20 GROUP BY ALL),
-ck AS (SELECT ow.* FROM ow JOIN rt ON rt.product_name = ow.product_name AND rt.bin = ow.bin AND rt.half <> ow.half AND rt.alternative = ow.alternative
-  AND rt.w = ow.w WHERE q1 < 1 AND q2 < 1 AND q3 < 1 AND mr <= 0.9975)
-SELECT product_name, bin, alternative, min(w) AS weight FROM ck GROUP BY ALL HAVING count(*) = 2"""
-
-
-@query("ca8_specialists", with_sql(PARTS, CA8_SQL))
+@query("ca8_specialists", with_sql(BASE_LAYERED, "SELECT product_category, product_name, bin, alternative, weight FROM bs"))
 def ca8(spark, sf):
-    return calibrate.specialists(tuning(spark, sf), "persistence", ["seasonal7", "moving_average7"])
+    return layers_of(spark, sf)["special"]
 
 
-CA5_SQL = """WITH g AS (SELECT * FROM (SELECT unnest([0.05, 0.08, 0.1, 0.15, 0.2, 0.25, 0.3])::DOUBLE AS threshold),
-  (SELECT unnest([0.25, 0.5, 0.75, 1.0])::DOUBLE AS strength), (SELECT unnest([3.0, 7.0, 14.0, 30.0])::DOUBLE AS decay)),
-e AS (SELECT threshold, strength, decay, count(*) FILTER (abs(ln(anchor / moving_average7)) > threshold) AS hits,
-  round(avg(abs(CASE WHEN abs(ln(anchor / moving_average7)) > threshold THEN seasonal7 + strength * (1 - exp(-horizon / decay)) * (moving_average7 - seasonal7) ELSE seasonal7 END - actual)), 9) AS mae, round(avg(abs(seasonal7 - actual)), 9) AS base FROM tun, g GROUP BY ALL)
-SELECT threshold, strength, decay FROM e WHERE hits > 0 AND mae < base ORDER BY e.mae, threshold, strength, decay LIMIT 1"""
-
 SWITCHES = [("all", ""), *[(f"no_{layer}", layer) for layer in calibrate.LAYERS]]
 
-BLEND = PARTS + f""",
-bw AS (SELECT arg_min(w, (mae, w)) AS weight FROM (SELECT w, round(avg(abs((1 - w) * seasonal7 + w * moving_average7 - actual)), 9) AS mae
-  FROM tun, ({G01.format('w')}) GROUP BY w)),
-bh AS (SELECT * FROM (WITH {trust_sql("horizon", 1, 2).strip().removeprefix(',')})),
-bc AS (SELECT * FROM (WITH {trust_sql("product_category, horizon", 5, 10).strip().removeprefix(',')})),
-ba AS (SELECT max(threshold) AS threshold, max(strength) AS strength, max(decay) AS decay FROM ({CA5_SQL})),
-bs AS (SELECT * FROM (WITH {CA8_SQL.strip().removeprefix(',')})),
+BLEND = BASE_LAYERED + f""",
 sw AS (SELECT * FROM (VALUES {', '.join(f"('{name}', '{off}')" for name, off in SWITCHES)}) v(layer, off)),
 b1 AS (SELECT p.*, layer, off, CASE WHEN off = 'weight' THEN 0 ELSE bw.weight END AS w, CASE WHEN off = 'horizon' THEN 1
   ELSE coalesce(bh.trust, 1) END AS th, CASE WHEN off = 'category' THEN 1 ELSE coalesce(bc.trust, 1) END AS tc,
   threshold, strength, decay, CASE WHEN off = 'special' THEN NULL WHEN bs.alternative = 'seasonal7' THEN seasonal7
-  WHEN bs.alternative = 'moving_average7' THEN moving_average7 END AS picked, bs.weight AS x
-  FROM parts p CROSS JOIN bw CROSS JOIN ba CROSS JOIN sw LEFT JOIN bh ON bh.horizon = p.horizon LEFT
+  WHEN bs.alternative = 'moving_average7' THEN moving_average7 WHEN bs.alternative = 'persistence' THEN persistence END AS picked, bs.weight AS x
+  FROM parts p CROSS JOIN bw CROSS JOIN b1r CROSS JOIN sw LEFT JOIN bh ON bh.horizon = p.horizon LEFT
   JOIN bc ON bc.horizon = p.horizon AND bc.product_category = p.product_category
-  LEFT JOIN bs ON bs.product_name = p.product_name AND bs.bin = CASE WHEN p.horizon <= 3 THEN '01-03' WHEN p.horizon <= 7 THEN '04-07'
+  LEFT JOIN bs ON bs.product_category = p.product_category AND bs.product_name = p.product_name AND bs.bin = CASE WHEN p.horizon <= 3 THEN '01-03' WHEN p.horizon <= 7 THEN '04-07'
   WHEN p.horizon <= 14 THEN '08-14' WHEN p.horizon <= 21 THEN '15-21' ELSE '22-30' END WHERE part = 'calibration'),
 b2 AS (SELECT *, persistence + th * tc * ((1 - w) * seasonal7 + w * moving_average7 - persistence) AS e1 FROM b1),
 b3 AS (SELECT *, CASE WHEN off <> 'anomaly'
@@ -239,11 +252,8 @@ bl AS (SELECT *, CASE WHEN picked IS NOT NULL THEN e2 + x * (picked - e2) ELSE e
 def layered(spark, sf):
     """Calibration rows with the parameters of all layers, fitted on the tuning rows; the forecasts are computed once."""
     rows = written(calibrate.split_forecasts(forecast_paths(spark, sf)), "paths")
-    tune = rows.where("part = 'tuning'")
-    return calibrate.with_layers(
-        rows.where("part = 'calibration'"), calibrate.blend_weight(tune, "seasonal7", "moving_average7"), calibrate.trust(tune, "moving_average7", ["horizon"]),
-        calibrate.trust(tune, "moving_average7", ["product_category", "horizon"], 0.05, 10), calibrate.reversion(tune, "seasonal7"), calibrate.specialists(tune, "persistence", ["seasonal7", "moving_average7"]),
-    )
+    found = calibrate.fit_layers(rows.where("part = 'tuning'"), *BASELINES, [BASELINES[0], "persistence", "moving_average7"], written)
+    return calibrate.with_layers(rows.where("part = 'calibration'"), **found)
 
 
 @query("ca9_blend", with_sql(BLEND, "SELECT series, origin, horizon, round(ensemble + 3e-7, 5) AS ensemble FROM bl WHERE layer = 'all'"))

@@ -17,16 +17,30 @@ def cl1(spark, sf):
     return clean.coerce(raw_prices(spark, sf)).select("id", "product_category", "product_name", "product_variant", "unit", "report_date", "price_index")
 
 
-@query("cl2_variant", with_sql(RAW, "SELECT coalesce(product_variant, 'Standard') AS product_variant, count(*) AS n FROM raw GROUP BY 1"))
+#: Variants, products and units that the tables lack, planted by the row's id.
+PLANTED_VARIANT = "CASE id % 7 WHEN 0 THEN 'null' WHEN 1 THEN '' WHEN 2 THEN 'Unknown' WHEN 3 THEN 'NULL' ELSE product_variant END"
+PLANTED_PRODUCT = {
+    "product_category": "CASE id % 5 WHEN 0 THEN 'Oils' WHEN 1 THEN 'Coconut Oils' ELSE product_category END",
+    "product_name": "CASE id % 11 WHEN 0 THEN 'Chicken Egg' WHEN 1 THEN 'Chicken Egg, brown' ELSE product_name END",
+    "product_variant": "CASE id % 3 WHEN 0 THEN '1L' WHEN 1 THEN '350ml' ELSE product_variant END",
+    "unit": "CASE id % 13 WHEN 0 THEN 'Btl' WHEN 1 THEN ' 350 ML' WHEN 2 THEN '1 Liter' WHEN 3 THEN 'per piece' WHEN 4 THEN '' ELSE unit END",
+}
+
+
+@query("cl2_variant", with_sql(RAW, f"""SELECT CASE WHEN v IS NULL OR v IN ('', 'Unknown', 'null') THEN 'Standard' ELSE v END AS product_variant, count(*) AS n
+  FROM (SELECT {PLANTED_VARIANT} AS v FROM raw) GROUP BY 1"""))
 def cl2(spark, sf):
-    return raw_prices(spark, sf).withColumn("product_variant", clean.default_variant(F.col("product_variant"))).groupBy("product_variant").agg(F.count("*").alias("n"))
+    return raw_prices(spark, sf).withColumn("product_variant", clean.default_variant(F.expr(PLANTED_VARIANT))).groupBy("product_variant").agg(F.count("*").alias("n"))
 
 
-@query("cl3_unit", with_sql(RAW, """SELECT CASE lower(trim(coalesce(unit, 'unknown'))) WHEN 'per kg' THEN 'kg' WHEN 'kilogram' THEN 'kg'
-  ELSE lower(trim(coalesce(unit, 'unknown'))) END AS unit, count(*) AS n FROM raw GROUP BY 1"""))
+@query("cl3_unit", with_sql(RAW, f"""SELECT product_category, CASE WHEN product_name = 'Chicken Egg' THEN 'piece' WHEN product_category = 'Oils' AND lower(product_variant) = '1l' THEN 'liter'
+  WHEN product_category = 'Oils' AND lower(product_variant) = '350ml' THEN '350ml' ELSE CASE lower(trim(coalesce(unit, 'unknown'))) WHEN 'per kg' THEN 'kg' WHEN 'kilogram' THEN 'kg'
+  WHEN 'btl' THEN 'bottle' WHEN '350 ml' THEN '350ml' WHEN '1 liter' THEN 'liter' WHEN 'per piece' THEN 'piece' ELSE lower(trim(coalesce(unit, 'unknown'))) END END AS unit, count(*) AS n
+  FROM (SELECT {', '.join(f"{e} AS {c}" for c, e in PLANTED_PRODUCT.items())} FROM raw) GROUP BY 1, 2"""))
 def cl3(spark, sf):
-    unit = clean.normalise_unit(F.col("unit"), F.col("product_category"), F.col("product_name"))
-    return raw_prices(spark, sf).withColumn("unit", unit).groupBy("unit").agg(F.count("*").alias("n"))
+    planted = raw_prices(spark, sf).select(*[F.expr(e).alias(c) for c, e in PLANTED_PRODUCT.items()])
+    unit = clean.normalise_unit(*[F.col(c) for c in ("unit", "product_category", "product_name", "product_variant")])
+    return planted.withColumn("unit", unit).groupBy("product_category", "unit").agg(F.count("*").alias("n"))
 
 
 @query("cl4_infer_unit", with_sql(CLEAN, f"SELECT {KEY}, count(*) AS n FROM c2 GROUP BY {KEY}"))

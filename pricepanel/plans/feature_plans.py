@@ -87,10 +87,10 @@ def fe8(spark, sf):
     return features.price_windows(daily_panel(spark, sf)).select("series", "report_date", r6(F.col("expanding_mean") + 3e-8).alias("expanding_mean"), r6("from_expanding_mean").alias("from_expanding_mean"))
 
 
-@query("fe9_rsi", with_sql(PANEL, f""", d AS (SELECT series, report_date, lag(price_index, 1) {S} - lag(price_index, 2) {S} AS d, row_number() {S} AS n FROM panel),
-g AS (SELECT series, report_date, n, avg(greatest(coalesce(d, 0), 0)) OVER w AS g, avg(greatest(-coalesce(d, 0), 0)) OVER w AS l
+@query("fe9_rsi", with_sql(PANEL, f""", d AS (SELECT series, report_date, lag(price_index, 1) {S} - lag(price_index, 2) {S} AS d FROM panel),
+g AS (SELECT series, report_date, avg(greatest(coalesce(d, 0), 0)) OVER w AS g, avg(greatest(-coalesce(d, 0), 0)) OVER w AS l
   FROM d WINDOW w AS (PARTITION BY series ORDER BY report_date ROWS BETWEEN 13 PRECEDING AND CURRENT ROW))
-SELECT series, report_date, round(CASE WHEN n < 14 THEN 0.0 ELSE 100 - 100 / (1 + g / (l + 1e-6)) END, 3) AS rsi FROM g"""))
+SELECT series, report_date, round(100 - 100 / (1 + g / (l + 1e-6)), 3) AS rsi FROM g"""))
 def fe9(spark, sf):
     return features.rsi(daily_panel(spark, sf)).select("series", "report_date", F.round("rsi", 3).alias("rsi"))
 

@@ -21,10 +21,25 @@ def daily(spark, prices, observed=None, series="Vegetables||Lettuce||Romaine||Lo
 
 
 def test_units_and_variants(spark):
-    rows = spark.createDataFrame([("Oils", "Palm", "1L"), ("Oils", "Palm", "350 ml"), ("Poultry", "Chicken Egg", "kg"), ("Rice", "A", " Per KG"), ("Rice", "A", None), ("Fish", "B", "btl")], "c string, n string, u string")
-    out = [r[0] for r in rows.select(clean.normalise_unit(F.col("u"), F.col("c"), F.col("n"))).collect()]
-    assert out == ["liter", "350ml", "piece", "kg", "unknown", "bottle"]
-    assert [r[0] for r in spark.createDataFrame([("",), (None,), ("Unknown",), ("R",)], "v string").select(clean.default_variant(F.col("v"))).collect()] == ["Standard"] * 3 + ["R"]
+    rows = [
+        ("Oils", "Palm", "1L", "bottle", "liter"), ("Oils", "Palm", "350ML", None, "350ml"), ("Oils", "Palm", "Standard", "1L", "liter"), ("Oils", "Palm", "500ml", "Btl", "bottle"),
+        ("Coconut Oils", "Palm", "1L", "bottle", "bottle"), ("Poultry", "Chicken Egg", "Large", "kg", "piece"), ("Oils", "Chicken Egg", "1L", "kg", "piece"), ("Poultry", "Chicken Egg, brown", "Large", "kg", "kg"),
+        ("Rice", "A", None, " Per KG", "kg"), ("Rice", "A", "1L", None, "unknown"), ("Fish", "B", "x", "btl", "bottle"), ("Fish", "B", "x", "", ""),
+    ]
+    out = spark.createDataFrame(rows, "c string, n string, v string, u string, expected string").withColumn("unit", clean.normalise_unit(F.col("u"), F.col("c"), F.col("n"), F.col("v")))
+    assert [r.unit for r in out.collect()] == [r[4] for r in rows]
+    variants = [("",), (None,), ("Unknown",), ("null",), ("NULL",), ("R",)]
+    assert [r[0] for r in spark.createDataFrame(variants, "v string").select(clean.default_variant(F.col("v"))).collect()] == ["Standard"] * 4 + ["NULL", "R"]
+
+
+def test_rsi_starts_with_the_first_change(spark):
+    prices = [10.0, 10.0, 11.0, 10.5, 10.8, None, 11.0, 9.0] + [9.0 + k % 3 for k in range(20)]
+    df = spark.createDataFrame([("s", DAY + dt.timedelta(days=i), p) for i, p in enumerate(prices)], "series string, report_date date, price_index double")
+    got = [r.rsi for r in features.rsi(df).orderBy("report_date").collect()]
+    shifted = pd.Series(prices, dtype=float).shift(1).diff()
+    gain, loss = (shifted.where(shifted > 0, 0).rolling(14, min_periods=1).mean(), (-shifted.where(shifted < 0, 0)).rolling(14, min_periods=1).mean())
+    assert np.allclose(got, 100 - 100 / (1 + gain / (loss + 1e-6)))
+    assert got[:3] == [0, 0, 0] and got[3] > 99
 
 
 def test_source_date(spark):
@@ -84,7 +99,7 @@ def test_pooled_model_beats_zero(spark):
 def test_blend_endpoint(spark):
     rows = spark.createDataFrame([(10.0 + i, 10.0 + i, 5.0, 1) for i in range(20)], "actual double, a double, b double, horizon int").withColumn("persistence", F.lit(9.0))
     assert calibrate.blend_weight(rows, "a", "b").first().weight == 0.0
-    assert calibrate.trust(rows, "a", ["horizon"]).first().trust == 1.0
+    assert calibrate.horizon_trust(rows, "a", 1).first().trust == 1.0
 
 
 def test_cents_half_even(spark):
