@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .store import PRICE_SCHEMA, upsert_prices
 
@@ -72,39 +68,3 @@ def distinct_articles(articles: DataFrame, late: str = "7 days") -> DataFrame:
 def news_volume(articles: DataFrame, size: str = "7 days", late: str = "3 days") -> DataFrame:
     """ST5: articles per product in sliding windows of a day's step."""
     return articles.withWatermark("created_at", late).groupBy(F.window("created_at", size, "1 day").alias("w"), "product").agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("from_day"), F.to_date("w.end").alias("to_day"), "product", "n")
-
-
-def _decayed(value: float | None, weight: float, price: float | None, alpha: float) -> tuple[float | None, float]:
-    """One step of an exponential average; a missing price lets the weight of what is known decay."""
-    if value is None:
-        return price, 1.0
-    weight *= 1 - alpha
-    return (value, weight) if price is None else ((weight * value + alpha * price) / (weight + alpha), 1.0)
-
-
-def series_state(prices: DataFrame) -> DataFrame:
-    """ST4: per series the EMA-12 less EMA-26 and its signal after each new day: the next row's FE10; rows not after the last day are left out."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, fast, fast_w, slow, slow_w, signal, signal_w = state.get if state.exists else (None, None, 1.0, None, 1.0, None, 1.0)
-        rows = pd.concat(list(frames)).sort_values("report_date")
-        out = []
-        for day, price in zip(rows["report_date"], rows["price_index"].astype(float), strict=True):
-            number = pd.Timestamp(day).toordinal()
-            if last is not None and number <= last:
-                continue
-            price = None if price != price else price
-            fast, fast_w = _decayed(fast, fast_w, price, 2 / 13)
-            slow, slow_w = _decayed(slow, slow_w, price, 2 / 27)
-            line = None if fast is None else fast - slow
-            signal, signal_w = _decayed(signal, signal_w, line, 2 / 10)
-            last = number
-            out.append((key[0], day, line, signal))
-        if last is not None:
-            state.update((last, fast, fast_w, slow, slow_w, signal, signal_w))
-        done = pd.DataFrame(out, columns=["series", "report_date", "macd", "macd_signal"])
-        yield done.astype({"macd": float, "macd_signal": float})
-
-    return prices.select("series", "report_date", "price_index").groupBy("series").applyInPandasWithState(
-        step, "series string, report_date date, macd double, macd_signal double", "last long, fast double, fast_w double, slow double, slow_w double, signal double, signal_w double", "append", GroupStateTimeout.NoTimeout
-    )

@@ -1,11 +1,11 @@
 """As-of lookups, news rules and streaming operators."""
 
 import datetime as dt
+import random
 
-import pandas as pd
 from pyspark.sql import functions as F
 
-from pricepanel.operators import asof, features, news, store, streams
+from pricepanel.operators import asof, backtest, features, news, panel, state, store, streams
 
 D = dt.date(2024, 1, 1)
 day = lambda k: D + dt.timedelta(days=k)
@@ -56,33 +56,39 @@ def test_monthly_changes_need_the_month_before(spark):
     assert [(r.k, r.period, r.available_at, round(r.value, 9)) for r in out] == [("a", dt.date(2024, 2, 29), dt.date(2024, 3, 5), 0.1)]
 
 
-def test_series_state_stream(spark, tmp_path):
-    schema = "series string, report_date date, price_index double"
-    prices = [50.0 + k % 5 for k in range(12)]
-    for name, part in (("a", range(6)), ("b", [3, *range(6, 12)])):
-        spark.createDataFrame([("s", day(k), prices[k]) for k in part], schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
-    done = streams.series_state(stream).writeStream.format("memory").queryName("state_out").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
-    done.awaitTermination(120)
-    out = spark.table("state_out").orderBy("report_date").toPandas()
-    s = pd.Series(prices)
-    line = s.ewm(span=12, adjust=False).mean() - s.ewm(span=26, adjust=False).mean()
-    assert len(out) == 12 and abs(out["macd"].to_numpy() - line.to_numpy()).max() < 1e-9
-
-
-def test_series_state_with_missing_prices_equals_the_batch(spark, tmp_path):
-    schema = "series string, report_date date, price_index double"
-    prices = [None, 50.0, None, 53.0, 51.0, None, None, 52.0, 58.0, 57.0]
-    rows = spark.createDataFrame([("s", day(k), p) for k, p in enumerate(prices)] + [("t", day(k), None) for k in range(3)], schema)
-    for name, lo, hi in (("a", 0, 4), ("b", 4, 7), ("c", 7, 10)):
-        rows.where(F.col("report_date").between(F.lit(day(lo)), F.lit(day(hi - 1)))).coalesce(1).write.parquet(str(tmp_path / "in" / name))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
-    streams.series_state(stream).writeStream.format("memory").queryName("gaps_out").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination(120)
-    state = {(r.series, r.report_date): (r.macd, r.macd_signal) for r in spark.table("gaps_out").collect()}
-    for r in features.macd(rows).where("report_date > DATE '2024-01-01'").collect():
-        before = state[r.series, r.report_date - dt.timedelta(1)]
-        assert all((x is None and y is None) or abs(x - y) < 1e-9 for x, y in zip((r.macd, r.macd_signal), before, strict=True))
-
+def run_states(spark, tmp_path, batches, name):
+    """The next rows after each batch has been streamed in turn."""
+    schema = "series string, report_date date, observed_price double"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = state.next_rows(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+    return spark.read.schema(state.SCHEMA).parquet(str(tmp_path / "out"))
+
+
+def test_next_rows_equal_the_batch_features(spark, tmp_path):
+    """Gaps inside and across batches, shorter and longer than a price is carried; a first day without a price; late rows."""
+    rnd = random.Random(3)
+    days = {"Rice||s": [k for k in range(90) if rnd.random() < 0.7 and not 40 <= k < 55], "Rice||t": [*range(0, 20), 60, 61, 75], "Rice||u": [5]}
+    rows = [(s, day(k), None if (s, k) in (("Rice||s", days["Rice||s"][0]), ("Rice||t", 3)) else round(50 + rnd.uniform(-5, 5), 2)) for s, ks in days.items() for k in ks]
+    of = lambda lo, hi: [r for r in rows if day(lo) <= r[1] < day(hi)]
+    late = [("Rice||s", day(2), 999.0), ("Rice||t", day(19), 999.0)]
+    got = run_states(spark, tmp_path, [of(0, 30), of(30, 61) + late, of(61, 90)], "next")
+    dense = panel.reindex_daily(spark.createDataFrame(rows, "series string, report_date date, observed_price double")).cache()
+    batch = features.observation_history(features.rsi(features.price_windows(dense))).join(features.macd(dense), ["series", "report_date"])
+    ends = dense.groupBy("series").agg(F.min("report_date").alias("lo"), F.max("report_date").alias("hi"))
+    found = backtest.parity(batch.join(ends, "series").where("report_date > lo"), got.join(ends, "series").where("report_date <= hi"), ["series", "report_date"], state.COLUMNS).first()
+    assert found.batch == found.incremental > 150 and found.unmatched == found.differing == 0
+    assert got.count() == got.select("series", "report_date").distinct().count()
+
+
+def test_timers_fill_days_that_the_watermark_has_passed(spark, tmp_path):
+    got = run_states(spark, tmp_path, [[("a", day(0), 5.0), ("b", day(0), 7.0)], [("a", day(4), 6.0)], [("a", day(30), 6.0)]], "timers")
+    rows = {r.report_date: r for r in got.where("series = 'b'").collect()}
+    # a price is carried for seven days; then the series waits for its next price
+    assert max(rows) == day(8) and sorted(rows) == [day(k) for k in range(1, 9)]
+    assert rows[day(8)].lag_1 == 7.0 and rows[day(8)].observed_age == 8 and rows[day(8)].observed_7 == 0
+    assert got.where("series = 'a'").count() == 31
 
 def test_price_ingestion(spark, tmp_path):
     names = [c.split()[0] for c in store.PRICE_SCHEMA.split(", ")]
