@@ -11,6 +11,7 @@ template stands.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -205,11 +206,20 @@ class LicenseAutomaton:
 
 
 def standing(chains: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
-    """Chains that reach ``MIN_COVERED``, less those most of whose words a chain of another label with a larger share covers."""
-    kept = [c for c in chains if c[3] >= MIN_COVERED]
+    """Chains that reach ``MIN_COVERED``, less those most of whose words a chain of another label with a larger share covers.
+
+    What covers most of a chain covers its middle word; a chain is no longer than templates and gaps
+    allow, so only those that begin within that reach before the middle are looked at.
+    """
+    kept = sorted(c for c in chains if c[3] >= MIN_COVERED)
+    by_start = sorted(kept, key=lambda c: c[1])
+    starts = [c[1] for c in by_start]
+    reach = max((c[2] - c[1] for c in kept), default=0)
 
     def beaten(c: tuple[str, int, int, float]) -> bool:
-        return any(o[0] != c[0] and o[3] > c[3] and 2 * (min(c[2], o[2]) - max(c[1], o[1]) + 1) > c[2] - c[1] + 1 for o in kept)
+        middle = (c[1] + c[2]) // 2
+        near = by_start[bisect_left(starts, middle - reach) : bisect_right(starts, middle)]
+        return any(o[0] != c[0] and o[3] > c[3] and 2 * (min(c[2], o[2]) - max(c[1], o[1]) + 1) > c[2] - c[1] + 1 for o in near)
 
     return [c for c in kept if not beaten(c)]
 
@@ -255,4 +265,4 @@ def scan_licenses(docs: DataFrame, base: dict[str, str] | None = None, templates
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(table(spark, sf_dir, "documents"))
-    return found.selectExpr("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "cast(size(spans) as long) AS n_spans")
+    return found.selectExpr("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "cast(size(spans) as long) AS n_spans", "to_json(spans) AS spans")

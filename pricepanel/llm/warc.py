@@ -11,6 +11,7 @@ payload chunks in order, then CRLF CRLF, give the record's bytes as in a WARC/1.
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -33,8 +34,15 @@ _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-di
 _ARCHIVE = "record_id string, chunk_no int, n_chunks int, header string, payload binary, prefix_sha256 string"
 
 
-def record_id(id_column: str) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.col(id_column).cast("string"), F.lit(">"))
+def record_id(id_: Column, uri: Column, digest: Column) -> Column:
+    """The name of a record: its id, if any, and a hash of address and payload, so that rows of one id have records of their own."""
+    rest = F.substring(F.sha2(F.to_json(F.struct(uri.alias("uri"), digest.alias("digest"))), 256), 1, 32)
+    return F.when(id_.isNull(), F.concat(F.lit("<urn:page-without-id:"), rest, F.lit(">"))).otherwise(F.concat(F.lit("<urn:page:"), id_.cast("string"), F.lit(":"), rest, F.lit(">")))
+
+
+def page_of(name: Column) -> Column:
+    """The id in a record's name as text; null where the page has none."""
+    return F.when(name.startswith("<urn:page:"), F.regexp_extract(name, r"(?s)^<urn:page:(.*):[0-9a-f]{32}>$", 1))
 
 
 def _described(records: DataFrame) -> DataFrame:
@@ -42,18 +50,17 @@ def _described(records: DataFrame) -> DataFrame:
     return records.select("id", "uri", F.octet_length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("digest"), F.xxhash64("payload").alias("key"))
 
 
-def _headers(rows: DataFrame) -> DataFrame:
-    """Add ``record_id`` and ``head`` to rows of ``id, uri, bytes, digest, first_id``; a set ``first_id`` makes a revisit."""
-    revisit = F.col("first_id").isNotNull()
+def _headers(rows: DataFrame, date: str) -> DataFrame:
+    """Add ``record_id`` and ``head`` to rows of ``id, uri, bytes, digest, first``; a set ``first`` (id, uri) makes a revisit."""
+    revisit = F.col("first").isNotNull()
     crlf = "\r\n"
-    # a record without an id is named by its address and digest
-    own_id = F.coalesce(record_id("id"), F.concat(F.lit("<urn:page-without-id:"), F.sha2(F.to_json(F.struct("uri", "digest")), 256), F.lit(">")))
+    own_id = record_id(F.col("id"), F.col("uri"), F.col("digest"))
     head = F.concat(
         F.lit("WARC/1.1" + crlf + "WARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
-        F.lit(crlf + "WARC-Record-ID: "), own_id,
+        F.lit(crlf + "WARC-Record-ID: "), own_id, F.lit(f"{crlf}WARC-Date: {date}"),
         F.lit(crlf + "WARC-Target-URI: "), F.regexp_replace(F.coalesce("uri", F.lit("")), r"[\r\n]", " "),
         F.lit(crlf + "WARC-Payload-Digest: sha256:"), F.col("digest"),
-        F.when(revisit, F.concat(F.lit(crlf + "WARC-Refers-To: "), record_id("first_id"), F.lit(f"{crlf}WARC-Profile: {_REVISIT_PROFILE}"))).otherwise(""),
+        F.when(revisit, F.concat(F.lit(crlf + "WARC-Refers-To: "), record_id(F.col("first.id"), F.col("first.uri"), F.col("digest")), F.lit(f"{crlf}WARC-Profile: {_REVISIT_PROFILE}"))).otherwise(""),
         F.lit(crlf + "Content-Type: text/html; charset=utf-8" + crlf + "Content-Length: "),
         F.when(revisit, F.lit(0)).otherwise(F.col("bytes")).cast("string"), F.lit(crlf + crlf),
     )
@@ -103,27 +110,30 @@ def _in_map(bits: Column, key: Column) -> Column:
     return F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
 
 
-def write_chunks(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """The archive of rows of ``id, uri, payload`` (binary), in the shared folder.
+def write_chunks(records: DataFrame, chunk: int = CHUNK, date: str | None = None) -> DataFrame:
+    """The archive of rows of ``id, uri, payload`` (binary), in the shared folder; ``date`` (UTC, default now) stands in every header.
 
-    Of records of equal payloads of ``MIN_REVISIT`` bytes or more, that of the smallest id is a
-    response and the others are revisits with a header and no payload; an exact repeat of a row is
-    written once. Ids and digests settle who is what. A payload that occurs once, told by a bit map of
+    Of records of equal payloads of ``MIN_REVISIT`` bytes or more, that of the smallest id, and of that id
+    the one of the smallest address (a null one first), is a response and the others are revisits with a
+    header and no payload. An exact repeat of a row is written once; other rows of one id are records of
+    their own. Ids and digests settle who is what. A payload that occurs once, told by a bit map of
     fixed size, is written where it stands; of the others only responses' payloads move, dealt by id and
     digest, so equal payloads do not meet in one task.
     """
+    date = date or dt.datetime.now(dt.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     told = materialize(_described(records), "warc-digests")
-    groups = told.groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.first("bytes").alias("bytes"))
-    again = materialize(groups.where("n > 1").select(F.col("digest").alias("d"), "first_id", (F.col("bytes") >= MIN_REVISIT).alias("revisited")), "warc-repeated")
+    place = F.struct("id", "uri")
+    groups = told.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.when(F.col("id").isNotNull(), place)).alias("least"), F.first("bytes").alias("bytes"))
+    again = materialize(groups.where("n > 1").select(F.col("digest").alias("d"), "least", (F.col("bytes") >= MIN_REVISIT).alias("revisited")), "warc-repeated")
     shared = told.join(again, F.col("digest") == F.col("d")).drop("d")
-    revisit = F.col("revisited") & F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id"))
-    shared = materialize(shared.withColumn("revisit", revisit).select("id", "uri", "bytes", "digest", "key", "revisit", F.when(revisit, F.col("first_id")).alias("first_id")).distinct(), "warc-shared")
+    revisit = F.col("revisited") & F.col("least").isNotNull() & ~(F.col("id").eqNullSafe(F.col("least.id")) & F.col("uri").eqNullSafe(F.col("least.uri")))
+    shared = materialize(shared.withColumn("revisit", revisit).select("id", "uri", "bytes", "digest", "key", "revisit", F.when(revisit, F.col("least")).alias("first")).distinct(), "warc-shared")
     none = hashlib.sha256().hexdigest()
-    revisits = _headers(shared.where("revisit")).select("record_id", F.lit(0).alias("chunk_no"), F.lit(1).alias("n_chunks"), F.col("head").alias("header"), F.lit(b"").alias("payload"), F.lit(none).alias("prefix_sha256"))
+    revisits = _headers(shared.where("revisit"), date).select("record_id", F.lit(0).alias("chunk_no"), F.lit(1).alias("n_chunks"), F.col("head").alias("header"), F.lit(b"").alias("payload"), F.lit(none).alias("prefix_sha256"))
 
     bits = _bit_map(shared.select("key"))
     often = _in_map(bits, F.xxhash64("payload"))
-    described = lambda rows: rows.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256), "first_id": F.lit(None).cast(records.schema["id"].dataType)})
+    described = lambda rows: rows.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256), "first": F.lit(None).cast(shared.schema["first"].dataType)})
     once = described(records.where(~often))
     moved = described(records.where(often))
     told_once = moved.join(again.select("d"), F.col("digest") == F.col("d"), "left_anti")  # the map's false hits
@@ -131,7 +141,7 @@ def write_chunks(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
     same = F.col("id").eqNullSafe(F.col("i")) & F.col("uri").eqNullSafe(F.col("u")) & (F.col("digest") == F.col("d"))
     responses = moved.join(first, same, "left_semi").dropDuplicates(["id", "uri", "digest"])
     whole = once.unionByName(told_once).unionByName(responses)
-    chunks = _headers(whole).select("record_id", "head", "payload").mapInArrow(_cut(chunk), _ARCHIVE)
+    chunks = _headers(whole, date).select("record_id", "head", "payload").mapInArrow(_cut(chunk), _ARCHIVE)
     return materialize(chunks.unionByName(revisits), "warc")
 
 
@@ -223,14 +233,14 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url",
 
     Returns ``page_id, payload_bytes, payload_digest, record_type, refers_to``; length and digest of a
     response are those of the bytes that were read back, a revisit takes those of the response it
-    names. A null html is an empty payload and a null url an empty header field. Ids are assumed
-    unique (as in WARC) where they are not null; an exact repeat of a row counts as the same page and
-    is written once; a null id is never the one referred to, and its record is named by its address and
-    digest. An empty table gives no rows; other columns are ignored.
+    names. A null html is an empty payload and a null url an empty header field. An exact repeat of a row
+    counts as the same page and gives one row; rows of one id that differ in address or payload give a
+    row each. A null id is never the one referred to. An empty table gives no rows; other columns are
+    ignored.
     """
     records = pages.select(F.col(id_col).alias("id"), F.col(uri_col).alias("uri"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
     read = read_chunks(write_chunks(records, chunk))
-    page = F.when(F.col("record_id").startswith("<urn:page:"), F.regexp_extract("record_id", "^<urn:page:(.*)>$", 1)).cast(pages.schema[id_col].dataType)
+    page = page_of(F.col("record_id")).cast(pages.schema[id_col].dataType)
     read = read.withColumn("id", page)
     ok = F.when(F.col("complete") & ((F.col("read_digest") == F.col("declared_digest")) | (F.col("record_type") == "revisit")), F.col("declared_digest")).otherwise(F.raise_error(F.concat(F.lit("damaged record "), F.col("record_id"))))
     read = materialize(read.select("id", "record_id", "record_type", "refers_to_record", "read_bytes", ok.alias("payload_digest")), "warc-read")
