@@ -6,8 +6,10 @@ ratios are smoothed with a Gaussian over neighbouring lines; a threshold on the
 splits the lines into content and the rest. The content lines vote for the element that holds the
 main text: an article or main element, else the deepest container of nearly all their text. The
 text is what that element holds outside boilerplate, with the content lines beside it and the blocks
-that adjoin at both ends up to a line of links, in page order. A named element ends the text. A class
-word that may also name part of an article (``_WEAK_WORDS``) makes boilerplate of an element unless it
+that adjoin at both ends up to a line of links, in page order. A named element ends the text; several
+of like size are all part of it. A line that is links for the most part has no ratio of its own to speak of and is never content.
+A class word that may also name part of an article (one of ``_WEAK_WORDS``, or any word beside others
+that name no part of a page's frame: ``social-history``) makes boilerplate of an element unless it
 stands in an article and has the ratio of content. All steps are linear in the page: elements are
 numbered in the order in which they open, so those inside one are a range of numbers.
 """
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -55,6 +58,18 @@ _BOILER_WORDS = set(
 #: Of these, words that may also name part of an article; and the least text, and most of it in links, that it then has.
 _WEAK_WORDS = {"warning", "alert", "alerts", "popular", "share", "form", "header", "widget"}
 WEAK_CHARS, WEAK_LINKS = 120, 0.25
+#: Words that name parts of a page's frame, whatever it holds (fixed values); beside these a word of boilerplate keeps its sense.
+_FRAME_WORDS = set(
+    "all area article articles bar block blog board body bottom box btn button buttons card cards close col cols column columns container content count "
+    "desktop entry field fixed grid group header heading icon icons id inline inner input item items js label large left level link links list lists main "
+    "mini mobile modal module more new news number outer page pane panel post posts primary reader right root row rows secondary section site size slot "
+    "small sticky stories story text thread title top tree unit user users wrap wrapper zone".split()
+)
+#: The least share of the largest article's text that makes another one part of the text.
+LIKE_SIZE = 1 / 3
+#: Lines of a page's foot that say who owns it.
+_OWNER = re.compile(r"(?i)^(?:©|\(c\)|copyright\s+(?:©|\(c\)|\d{4})|&copy;)|^.{0,160}all rights reserved\.?$")
+OWNER_CHARS = 240
 _NOT_BOILER_AFTER = {"has", "with", "no", "without", "is"}
 # An open element that the start of another one ends.
 _CLOSES = {
@@ -131,9 +146,10 @@ class _Lines(HTMLParser):
         found = 0
         for value in (*values.get("class", "").split(), values.get("id", "")):
             words = _words(value)
+            framed = all(w in _BOILER_WORDS or w in _FRAME_WORDS or w in _NOT_BOILER_AFTER or w.isdigit() for w in words)
             for i, w in enumerate(words):
                 if w in _BOILER_WORDS and not (i and words[i - 1] in _NOT_BOILER_AFTER):
-                    if w not in _WEAK_WORDS:
+                    if framed and w not in _WEAK_WORDS:
                         return 1
                     found = 3
         return found
@@ -255,19 +271,34 @@ def _smooth(values: np.ndarray) -> np.ndarray:
     return np.convolve(values, kernel)[middle] / np.convolve(np.ones(len(values)), kernel)[middle]
 
 
+def _without_open_end(html: str) -> str:
+    """The page up to a tag, comment or declaration that never ends, which has no content."""
+    if cut := re.compile(r"<[A-Za-z/!?]").search(html, html.rfind(">") + 1):
+        return html[: cut.start()]
+    return html
+
+
 def blocks(html: str | None) -> list[str]:
     """The blocks of the main text, in page order."""
     parser = _Lines()
-    html = html or ""
-    for at in range(0, len(html), 1 << 16):  # the parser keeps what an incomplete event needs
-        parser.feed(html[at : at + (1 << 16)])
+    html = _without_open_end(html or "")
+    at = 0
+    while at < len(html):  # the parser keeps what an incomplete event needs; the longer that is, the more is fed at once
+        size = max(1 << 16, len(parser.rawdata))
+        parser.feed(html[at : at + size])
+        at += size
     lines = parser.finish()
+    for x in reversed(lines):  # who owns the page stands below its text, among links
+        if len(x.text) <= OWNER_CHARS and _OWNER.search(x.text):
+            x.boiler = True
+        elif not x.boiler and x.link_chars <= len(x.text) / 2:
+            break
     if all(x.boiler for x in lines):
         return []
     ratio = np.array([0.0 if x.boiler else len(x.text) / max(1, x.tags) * (1 - min(1.0, x.link_chars / len(x.text))) for x in lines])
     smooth = _smooth(ratio)
     limit = min(THRESHOLD * float(ratio.std()), float(smooth.max()))
-    content = [s >= limit and not x.boiler for s, x in zip(smooth.tolist(), lines, strict=True)]
+    content = [s >= limit and x.link_chars <= len(x.text) / 2 and not x.boiler for s, x in zip(smooth.tolist(), lines, strict=True)]
     if not any(content):
         content = [not x.boiler for x in lines]
     held: dict[int, int] = defaultdict(int)
@@ -279,21 +310,39 @@ def blocks(html: str | None) -> list[str]:
         if held.get(n):
             held[parser.parent[n]] += held[n]
     held.pop(0, None)
-    holds = lambda n, x: n <= x.container <= parser.last[n]
-    named = [n for n in held if parser.tags_of[n] in _MAIN and held[n]]
-    best = outer = None
+    named = sorted(n for n in held if parser.tags_of[n] in _MAIN and held[n])
+    best: list[int] = []
+    outer: list[int] = []
     if named:
-        # of nested or repeated ones: the most text, the innermost (an article inside main) of those
+        # those of like size, and of nested ones (an article inside main) the innermost that holds as much
         most = max(held[n] for n in named)
-        best = max(n for n in named if held[n] >= SHARE * most)
+        enough = [n for n in named if held[n] >= LIKE_SIZE * most]
+        best = [n for n in enough if held[n] >= SHARE * max(held[m] for m in enough if m <= n <= parser.last[m])]
         # what a main or article around it holds besides (a title, a lead) belongs to it
-        outer = min(n for n in named if n <= best <= parser.last[n])
+        for n in named:
+            if any(n <= m <= parser.last[n] for m in best) and not (outer and n <= parser.last[outer[-1]]):
+                outer.append(n)
     else:
         # short blocks beside a long table or list may stand at any level
         wide = max((n for n in held if held[n] >= SHARE * total and parser.tags_of[n] not in ("p", "li", *_HEADINGS)), default=None)
-        best = wide if wide is not None and parser.tags_of[wide] not in ("body", "html") else None
-    inside = [outer is None or holds(outer, x) for x in lines]
-    at = [i for i, x in enumerate(lines) if inside[i] and not x.boiler and (content[i] or (best is not None and holds(best, x)))]
+        best = [wide] if wide is not None and parser.tags_of[wide] not in ("body", "html") else []
+
+    def within(elements: list[int], x: _Line) -> bool:
+        k = bisect_right(elements, x.container) - 1
+        while k >= 0 and parser.last[elements[k]] < x.container:
+            k = around[elements[k]]
+        return k >= 0
+
+    around: dict[int, int] = {}  # of the elements of a list: the place of the one around
+    for elements in (best, outer):
+        open_: list[int] = []
+        for k, n in enumerate(elements):
+            while open_ and parser.last[elements[open_[-1]]] < n:
+                open_.pop()
+            around[n] = open_[-1] if open_ else -1
+            open_.append(k)
+    inside = [not outer or within(outer, x) for x in lines]
+    at = [i for i, x in enumerate(lines) if inside[i] and not x.boiler and (content[i] or within(best, x))]
     first, last = at[0], at[-1]
     # short blocks at both ends, up to the next line of links
     links = [not x.boiler and x.link_chars > len(x.text) / 2 for x in lines]
@@ -301,15 +350,16 @@ def blocks(html: str | None) -> list[str]:
         first -= 1
     while last + 1 < len(lines) and inside[last + 1] and not links[last + 1]:
         last += 1
+    kept = [i for i in range(first, last + 1) if inside[i] and not lines[i].boiler]
     if named:
         # a first-level heading above the element is its title
         above = first
         while above and not links[above - 1]:
             above -= 1
             if lines[above].title and not lines[above].boiler:
-                first = above
+                kept = [i for i in range(above, first) if not lines[i].boiler] + kept
                 break
-    return [x.text for x in lines[first : last + 1] if not x.boiler]
+    return [lines[i].text for i in kept]
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -520,8 +520,8 @@ def test_html_many_short_blocks_at_both_ends():
     assert html_text.blocks(f"<html><body><div>{page}</div></body></html>") == [*ends, LONG.strip(), *ends]
 
 
-def random_page(rnd):
-    """A page and the blocks of its article, by one of several layouts."""
+def random_page(rnd, name=lambda usual: usual):
+    """A page and the blocks of its article, by one of several layouts; ``name`` gives class names."""
     text = lambda n: prose(rnd, n).capitalize() + "."
     own, parts = [], []
 
@@ -541,9 +541,11 @@ def random_page(rnd):
         elif kind == 2:
             block("blockquote", 30)
         elif kind == 3:
-            parts.append(f"<div class=ad>{text(8)}</div>")
+            parts.append(f"<div class=ad>{text(8)}</div>")  # only its name tells
+        elif kind == 4:
+            block("div", rnd.randrange(40, 90), f"<div class='{name('note')}'><p>{{}}</p></div>")
         block("p", rnd.randrange(15, 120), rnd.choice(["{}", "<b>{}</b>", "<em>{}</em>"]))
-    frame = rnd.choice(["<article>{}</article>", "<main>{}</main>", "<div id=content>{}</div>", "<div><div class=post-body>{}</div></div>", "{}"])
+    frame = rnd.choice(["<article>{}</article>", "<main>{}</main>", f"<div id={name('content')}>{{}}</div>", f"<div><div class={name('post-body')}>{{}}</div></div>", "{}"])
     links = lambda n: "<ul>" + "".join(f"<li><a href=/{k}>{prose(rnd, 2)}</a></li>" for k in range(n)) + "</ul>"
     body = f"<header><div class=logo>Site</div></header><nav>{links(8)}</nav>{frame.format(chr(10).join(parts))}"
     body += f"<aside class=sidebar><h3>Popular</h3>{links(5)}</aside><section id=comments><div class=comment><p>{text(60)}</p></div><div class=comment><p>{text(40)}</p></div></section>"
@@ -562,6 +564,64 @@ def test_html_precision_and_recall():
     assert right / found >= 0.99 and right / there >= 0.99, (right / found, right / there)
 
 
+def test_html_precision_and_recall_with_unknown_names():
+    """Names that are in no list, some of them with a word of boilerplate among others: what the structure and the ratios alone give."""
+    rnd = random.Random(23)
+    names = ["qx-{}", "{}Zone7", "history-{}", "social-{}", "{}-related-work", "notice-{}-board", "k{}"]
+    right = found = there = 0
+    for _ in range(200):
+        page, own = random_page(rnd, lambda usual: rnd.choice(names[:2] if usual != "note" else names).format(rnd.choice(WORDS)))
+        got = collections.Counter(" ".join(html_text.blocks(page)).split())
+        want = collections.Counter(" ".join(own).split())
+        right, found, there = right + (got & want).total(), found + got.total(), there + want.total()
+    assert right / found >= 0.95 and right / there >= 0.95, (right / found, right / there)
+
+
+@pytest.mark.parametrize("name", ["social-history", "search-results-analysis", "related-work", "notice-board-history"])
+def test_html_names_that_say_more_than_boilerplate(name):
+    page = f"<article><h1>Title</h1><p>{LONG}</p><div class='{name}'><p>{LONG}</p></div><p>end</p></article>"
+    assert html_text.blocks(page) == ["Title", LONG.strip(), LONG.strip(), "end"]
+    # without the ratio of content it goes
+    assert html_text.blocks(page.replace(f"'><p>{LONG}</p></div>", "'><a href=x>one</a> <a href=y>two</a></div>")) == ["Title", LONG.strip(), "end"]
+
+
+def test_html_lines_of_links_and_owners_at_the_ends():
+    links = lambda *names: "<p>" + " ".join(f"<a href=/{n}>{n}</a>" for n in names) + "</p>"
+    page = links("Home", "News") + f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p>" + links("Terms", "Privacy") + "<p>Copyright 2024 Example. All rights reserved.</p>"
+    assert html_text.blocks(f"<html><body>{page}</body></html>") == ["Title", LONG.strip(), LONG.strip()]
+    owned = f"<body><h1>Title</h1><p>{LONG}</p><p>Copyright law is old.</p><p>© 2024 Example</p></body>"
+    assert html_text.blocks(owned) == ["Title", LONG.strip(), "Copyright law is old."]
+
+
+def test_html_several_articles():
+    one, two = "First " + LONG.strip(), "Second " + LONG.strip()
+    teaser = "<article><p>A teaser of few words.</p></article>"
+    page = f"<body><article><h2>A</h2><p>{one}</p></article><p>Between them.</p><article><h2>B</h2><p>{two}</p></article>{teaser}<footer>foot</footer></body>"
+    assert html_text.blocks(page) == ["A", one, "B", two]
+    nested = f"<main><h1>T</h1><article><p>{one}</p><article><p>{two}</p></article></article></main>{teaser}"
+    assert html_text.blocks(nested) == ["T", one, two]
+
+
+def test_html_open_ends_in_linear_time():
+    began = time.process_time()
+    for sign in ("<!", "<a ", "</", "<?", "<!--", "<![CDATA[", "</a ", "<a b='"):
+        assert html_text.blocks("<p>text</p>" + sign * 800_000) == ["text"]
+    assert html_text.blocks("<p>text</p>" + "<!" * 800_000 + ">") == ["text"]
+    assert time.process_time() - began < 60
+
+
+def plain_smooth(values):
+    weight = lambda d: math.exp(-0.5 * (d / html_text.SIGMA) ** 2) if abs(d) <= math.ceil(3 * html_text.SIGMA) else 0.0
+    return [sum(weight(i - j) * v for j, v in enumerate(values)) / sum(weight(i - j) for j in range(len(values))) for i in range(len(values))]
+
+
+def test_html_smoothing_matches_brute_force():
+    rnd = random.Random(4)
+    for n in (1, 2, 5, 40):
+        values = [rnd.uniform(0, 200) for _ in range(n)]
+        assert np.allclose(html_text._smooth(np.array(values)), plain_smooth(values))
+
+
 def test_html_long_and_deep_pages_in_linear_time():
     began = time.process_time()
     assert html_text.blocks("<p>x</p>" * 100_000) == ["x"] * 100_000
