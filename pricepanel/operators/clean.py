@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .quantiles import exact_quantiles
+
 SERIES_KEY = ["product_category", "product_name", "product_variant", "origin", "unit"]
 
 #: Unit spellings and their names (fixed values).
@@ -143,9 +145,11 @@ def profile(rows: DataFrame) -> DataFrame:
     facts = rows.agg(
         F.count("*").alias("n"), F.min("report_date").alias("first_day"), F.max("report_date").alias("last_day"), F.count_distinct("report_date").alias("n_days"),
         F.count_distinct("series").alias("n_series"), F.count_if(F.col("observed_price").isNull()).alias("null_observed"), F.count_distinct("unit").alias("n_units"),
-        F.percentile("price_index", F.lit(0.25)).alias("q25"), F.percentile("price_index", F.lit(0.5)).alias("q50"), F.percentile("price_index", F.lit(0.75)).alias("q75"),
     )
-    return facts.join(F.broadcast(n_gaps))  # one row each
+    quartiles = exact_quantiles(rows, "price_index", [0.25, 0.5, 0.75])
+    at = lambda k: F.max(F.get("quantiles", k))  # noqa: E731  null without prices
+    quartiles = quartiles.agg(at(0).alias("q25"), at(1).alias("q50"), at(2).alias("q75"))
+    return facts.join(F.broadcast(n_gaps)).join(F.broadcast(quartiles))  # one row each
 
 
 def catalog(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import shared_folder
+from .quantiles import exact_quantiles
+from .store import kept
 
 
 def newest(n: int, keys: list[str], order: str = "report_date") -> tuple[Window, int]:
@@ -148,51 +149,72 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return 2 * 6371.0 * F.asin(F.sqrt(d))
 
 
-def nearest(points: DataFrame, places: DataFrame, k: int = 3) -> DataFrame:
-    """SV14: the ``k`` nearest places of each point by great-circle distance (ties: smaller id), for tables of any size.
+#: Parts of a cell by each axis, and the level of the smallest cells (a few metres wide).
+FAN, DEEPEST = 4, 10
 
-    Points and places are dealt to cubic cells of their position on the unit sphere. A point looks at
-    its own and the 26 cells around: if its ``k`` nearest there are within a cell's width, no place
-    outside can be nearer and it is done; the others go on with cells twice as wide. Of places at one
-    position only the ``k`` smallest ids take part. ``point_id`` is unique; the first width is chosen so
-    that a cell of evenly spread places holds about ``k``.
+
+def _split_cells(spots: DataFrame, leaf: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """The cells of each level, split where they hold more than ``leaf`` places, and the places by their last cell.
+
+    A cell's row has the box around its places, their number and whether it is split no further.
+    """
+    levels: list[DataFrame] = []
+    leaves, inside = None, spots
+    for level in range(1, DEEPEST + 1):
+        cell = lambda c, level=level: F.least(F.floor((F.col(c) + 1) / 2 * FAN**level), F.lit(FAN**level - 1)).cast("long")
+        placed = inside.withColumns({"i": cell("x"), "j": cell("y"), "l": cell("z")})
+        box = [f(c).alias(f"{n}_{c}") for c in ("x", "y", "z") for n, f in (("lo", F.min), ("hi", F.max))]
+        cells = placed.groupBy("i", "j", "l").agg(F.count("*").alias("n"), *box)
+        cells = kept(cells.withColumn("is_leaf", (F.col("n") <= leaf) | F.lit(level == DEEPEST)).withColumn("level", F.lit(level)), "cells")
+        levels.append(cells)
+        ended = placed.join(cells.where("is_leaf").select("i", "j", "l", "level"), ["i", "j", "l"]).select("place_id", "lat", "lon", "level", "i", "j", "l")
+        leaves = ended if leaves is None else leaves.unionByName(ended)
+        if cells.where("NOT is_leaf").isEmpty():
+            break
+        inside = kept(placed.join(cells.where("NOT is_leaf").select("i", "j", "l"), ["i", "j", "l"], "left_semi").drop("i", "j", "l"), "places")
+    return levels, leaves
+
+
+def nearest(points: DataFrame, places: DataFrame, k: int = 3, leaf: int = 64) -> DataFrame:
+    """SV14: the ``k`` nearest places of each point by great-circle distance (ties: smaller id), for tables of any size and density.
+
+    Cells of the cube around the unit sphere are split where they hold more than ``leaf`` places. A point
+    goes down level by level: the nearest cells that surely hold ``k`` places bound its distance, and
+    cells farther than that are left out; only the places of the last cells that are left meet the point.
+    So a point meets a few cells of at most ``leaf`` places, in a dense city as elsewhere. Of places at one
+    position only the ``k`` smallest ids take part (more than ``leaf`` of those within the smallest cell
+    stay together). ``point_id`` is unique; points and places without a position have no result.
     """
-    spark = points.sparkSession
 
     def position(df: DataFrame) -> DataFrame:
         lat, lon = F.radians("lat"), F.radians("lon")
-        return df.withColumns({"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)})
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        path = shared_folder(spark, name)
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        return df.where("lat IS NOT NULL AND lon IS NOT NULL").withColumns({"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)})
 
     same = Window.partitionBy("lat", "lon").orderBy("place_id")
     spots = kept(position(places.select("place_id", "lat", "lon").withColumn("n", F.row_number().over(same)).where(F.col("n") <= k).drop("n")), "places")
-    count = spots.count()
-    open_, done, width = position(points.select("point_id", "lat", "lon")), None, min(2.0, max(2.0**-14, math.sqrt(4 * math.pi * k / max(count, 1))))
-    while count:
-        cell = lambda c, width=width: F.floor(F.col(c) / width).cast("long")
-        near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]))
-        asked = open_.select("point_id", F.col("lat").alias("plat"), F.col("lon").alias("plon"), cell("x").alias("i"), cell("y").alias("j"), cell("z").alias("l"), near.alias("o"))
-        asked = asked.select("point_id", "plat", "plon", (F.col("i") + F.col("o.a")).alias("i"), (F.col("j") + F.col("o.b")).alias("j"), (F.col("l") + F.col("o.c")).alias("l"))
-        met = asked.join(spots.select("place_id", "lat", "lon", cell("x").alias("i"), cell("y").alias("j"), cell("z").alias("l")), ["i", "j", "l"])
-        met = met.select("point_id", "place_id", haversine(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon")).alias("km"))
-        best = met.withColumn("rank", F.row_number().over(Window.partitionBy("point_id").orderBy("km", "place_id"))).where(F.col("rank") <= k)
-        # the chord of a distance on the unit sphere; a little short of the width, for rounding
-        chord = 2 * F.sin(F.col("km") / (2 * 6371.0))
-        best = kept(best, "nearest")
-        sure = best.groupBy("point_id").agg(F.count("*").alias("n"), F.max(chord).alias("far")).where((F.lit(width) >= 2) | ((F.col("n") >= k) & (F.col("far") < width * 0.999999)))
-        found = best.join(sure.select("point_id"), "point_id", "left_semi")
-        done = found if done is None else done.unionByName(found)
-        open_ = kept(open_.join(sure.select("point_id"), "point_id", "left_anti"), "points")
-        if width >= 2 or open_.isEmpty():
-            break
-        width = min(2.0, width * 2)
-    if done is None:
-        return spots.select(F.lit(None).cast(points.schema["point_id"].dataType).alias("point_id"), F.lit(0).alias("rank"), "place_id", F.lit(0.0).alias("km")).limit(0)
-    return done.select("point_id", "rank", "place_id", "km")
+    levels, leaves = _split_cells(spots, leaf)
+    asked = position(points.select("point_id", "lat", "lon")).select("point_id", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))
+    open_, ended = asked.withColumns({c: F.lit(0).cast("long") for c in ("pi", "pj", "pl")}), None
+    kinds = ["point_id", "px", "py", "pz", "level", "i", "j", "l", "n", "is_leaf", "least", "most"]
+    for cells in levels:
+        up = lambda c: F.floor(F.col(c) / FAN).cast("long")
+        met = open_.join(cells.withColumns({"pi": up("i"), "pj": up("j"), "pl": up("l")}), ["pi", "pj", "pl"])
+        # the least and largest chord from the point to the box of a cell's places
+        squares = lambda f: F.sqrt(sum(f(F.col(f"p{c}"), F.col(f"lo_{c}"), F.col(f"hi_{c}")) for c in ("x", "y", "z")))
+        near = squares(lambda p, lo, hi: F.pow(F.greatest(lo - p, p - hi, F.lit(0.0)), 2))
+        far = squares(lambda p, lo, hi: F.pow(F.greatest(F.abs(p - lo), F.abs(p - hi)), 2))
+        met = met.withColumns({"least": near, "most": far}).select(*kinds)
+        both = met if ended is None else met.unionByName(ended)
+        upto = F.sum("n").over(Window.partitionBy("point_id").orderBy("most", "level", "i", "j", "l"))
+        bound = F.min(F.when(F.col("upto") >= k, F.col("most"))).over(Window.partitionBy("point_id"))
+        left = both.withColumn("upto", upto).withColumn("bound", F.coalesce(bound, F.lit(2.0))).where(F.col("least") <= F.col("bound") + 1e-9).select(*kinds)
+        left = kept(left, "frontier")
+        ended = left.where("is_leaf")
+        open_ = left.where("NOT is_leaf").select("point_id", "px", "py", "pz", F.col("i").alias("pi"), F.col("j").alias("pj"), F.col("l").alias("pl"))
+    met = ended.select("point_id", "level", "i", "j", "l").join(leaves, ["level", "i", "j", "l"]).join(points.select("point_id", F.col("lat").alias("plat"), F.col("lon").alias("plon")), "point_id")
+    met = met.select("point_id", "place_id", haversine(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon")).alias("km"))
+    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("point_id").orderBy("km", "place_id")))
+    return ranked.where(F.col("rank") <= k).select("point_id", "rank", "place_id", "km")
 
 
 def facets(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -229,7 +251,7 @@ def freshness(series: DataFrame, issue: str) -> DataFrame:
 def stability_index(reference: DataFrame, current: DataFrame, column: str, keys: list[str] | None = None, eps: float = 1e-6) -> DataFrame:
     """DR1: population stability over deciles of the reference (duplicates merged, last bin closed, outside values dropped)."""
     keys = keys or []
-    edges = reference.groupBy(*keys).agg(F.array_distinct(F.percentile(column, F.array(*[F.lit(k / 10) for k in range(11)]))).alias("edges"))
+    edges = exact_quantiles(reference, column, [k / 10 for k in range(11)], keys).select(*keys, F.array_distinct("quantiles").alias("edges"))
     labelled = reference.select(*keys, column, F.lit(1).alias("ref")).unionByName(current.select(*keys, column, F.lit(0).alias("ref")))
     joined = labelled.join(edges, keys) if keys else labelled.join(F.broadcast(edges))  # one row
     v = F.col(column)

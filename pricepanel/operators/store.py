@@ -130,3 +130,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` from a table in the shared folder: computed once, and there again when an executor is lost."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
