@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,20 +63,85 @@ def unprocessed(links: DataFrame, stored: DataFrame) -> DataFrame:
     return links.join(stored.select("source_pdf").distinct(), "source_pdf", "left_anti")
 
 
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a small file with ``text`` unless there is one at ``path``; whether it was made. Of several writers one succeeds.
+
+    The text is written aside and moved into place without replacing anything, so a reader sees the
+    whole file or none.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    fs = to.getFileSystem(conf)
+    aside = jvm.org.apache.hadoop.fs.Path(to.getParent(), f".{uuid.uuid4().hex}")
+    out = fs.create(aside, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(aside), fs.makeQualified(to), none)
+        return True
+    except Py4JJavaError as error:
+        fs.delete(aside, False)
+        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+
+
+def read_entry(spark: SparkSession, path: str) -> str:
+    """The text of a file of ``create_once``."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def entries(spark: SparkSession, folder: str) -> list[str]:
+    """The names of the files of ``create_once`` in a folder, in order."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(n for n in names if not n.startswith((".", "_")))
+
+
+def numbered(number: int) -> str:
+    return f"{number:012d}.json"
+
+
 def publish(spark: SparkSession, values: DataFrame, root: str, run_id: str, declared: int) -> None:
-    """IO6: values into a folder of the run's own, counted, then the run's row; a run that is listed is whole and never changes.
+    """IO6: values into a folder of the try's own, counted, then the run's entry, which can be made once; a listed run never changes.
 
-    A failed publication leaves no row in ``runs``, and its folder is written over by the next try; a
-    run that is listed cannot be published again. The daily view is the newest listed run's daily rows
-    (``published_daily``), so it needs no copy that could fall behind.
+    A failed publication leaves no entry. Of two writers of one run the first to make the entry wins and
+    the other fails, whatever it has written stays unread. Entries are numbered in the order in which
+    they were made; the daily view is the last one's daily rows (``published_daily``), so it needs no
+    copy that could fall behind.
     """
-    if _exists(spark, f"{root}/runs") and not spark.read.parquet(f"{root}/runs").where(F.col("run_id") == run_id).isEmpty():
+    if any(e["run_id"] == run_id for e in published_runs(spark, root)):
         raise ValueError(f"{run_id} is published already")
-    values.write.mode("overwrite").parquet(f"{root}/values/run_id={run_id}")
-    n = spark.read.parquet(f"{root}/values/run_id={run_id}").count()
+    folder = f"{root}/values/{uuid.uuid4().hex}"
+    values.write.parquet(folder)
+    n = spark.read.parquet(folder).count()
     if n == 0 or n != declared:
         raise ValueError(f"{n} rows written, {declared} declared")
-    spark.createDataFrame([(run_id, n)], "run_id string, row_count long").withColumn("generated_at", F.current_timestamp()).write.mode("append").parquet(f"{root}/runs")
+    while True:
+        listed = published_runs(spark, root)
+        if any(e["run_id"] == run_id for e in listed):
+            raise ValueError(f"{run_id} is published already")
+        entry = {"run_id": run_id, "row_count": n, "values": folder}
+        if create_once(spark, f"{root}/runs/{numbered(len(listed))}", json.dumps(entry)):
+            return
+
+
+def published_runs(spark: SparkSession, root: str) -> list[dict]:
+    """IO6: the entries of all published runs in order: ``run_id``, ``row_count`` and the folder of the values."""
+    return [json.loads(read_entry(spark, f"{root}/runs/{name}")) for name in entries(spark, f"{root}/runs")]  # a row per run
+
+
+def published(spark: SparkSession, entry: dict) -> DataFrame:
+    return spark.read.parquet(entry["values"]).withColumn("run_id", F.lit(entry["run_id"]))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -84,8 +151,26 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def published_daily(spark: SparkSession, root: str) -> DataFrame:
     """IO6: the daily rows of the newest published run."""
-    run = spark.read.parquet(f"{root}/runs").agg(F.max_by("run_id", F.struct("generated_at", "run_id"))).first()[0]
-    return spark.read.parquet(f"{root}/values/run_id={run}").where("grain = 'daily'").withColumn("run_id", F.lit(run))
+    return published(spark, published_runs(spark, root)[-1]).where("grain = 'daily'")
+
+
+def view_differences(run: DataFrame, view: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """IO7: how a view departs from the run that it should equal: one row of counts.
+
+    Both are multisets of rows. By ``keys``: ``missing`` rows of the run that the view lacks, ``doubled`` rows
+    beyond those of the run, ``foreign`` rows of keys that the run hasn't, ``changed`` rows whose ``values``
+    differ; a null equals a null. Rows are counted before they are shuffled, so only different rows meet.
+    """
+    both = run.select(*keys, *values, F.lit(1).alias("r"), F.lit(0).alias("v")).unionByName(view.select(*keys, *values, F.lit(0).alias("r"), F.lit(1).alias("v")))
+    rows = both.groupBy(*keys, *values).agg(F.sum("r").alias("r"), F.sum("v").alias("v"))
+    by_key = rows.groupBy(*keys).agg(F.sum("r").alias("r"), F.sum("v").alias("v"), F.sum(F.least("r", "v")).alias("same"))
+    known = F.col("r") > 0
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return by_key.agg(
+        total("r").alias("run_rows"), total("v").alias("view_rows"), total(F.when(known, F.greatest(F.col("r") - F.col("v"), F.lit(0)))).alias("missing"),
+        total(F.when(known, F.greatest(F.col("v") - F.col("r"), F.lit(0)))).alias("doubled"), total(F.when(~known, F.col("v"))).alias("foreign"),
+        total(F.when(known, F.least("r", "v") - F.col("same"))).alias("changed"),
+    )
 
 
 def verify(rows: DataFrame) -> DataFrame:
@@ -137,3 +222,40 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_by_month(rows: DataFrame, root: str) -> None:
+    """IO2: prices laid out by month, so that a bounded read opens the months of its bounds alone."""
+    months = rows.withColumn("month", F.date_format("report_date", "yyyy-MM"))
+    months.repartition("month").write.mode("overwrite").partitionBy("month").parquet(root)
+
+
+def read_months(spark: SparkSession, root: str, since: DataFrame | None = None, through: DataFrame | None = None, schema: str | None = None) -> DataFrame:
+    """IO2: the rows of ``write_by_month`` later than ``since`` and up to ``through``, each a table of one date that is known only when read.
+
+    The bounds (one row each) come to the driver, so both the months and the days within them are filters
+    of the scan. A table without a date gives no bound.
+    """
+    rows = spark.read.schema(f"{PRICE_SCHEMA}, month string" if schema is None else f"{schema}, month string").parquet(root)
+    for bound, later in ((since, True), (through, False)):
+        day = None if bound is None else bound.first()
+        if day is None or day[0] is None:
+            continue
+        limit, month = F.lit(day[0]), F.lit(day[0].strftime("%Y-%m"))
+        rows = rows.where((F.col("month") >= month) & (F.col("report_date") > limit)) if later else rows.where((F.col("month") <= month) & (F.col("report_date") <= limit))
+    return rows
+
+
+def save_model(spark: SparkSession, root: str, columns: list[str], model) -> int:
+    """BT5: a fitted linear model under the next free version; of two writers each gets a version of its own."""
+    text = json.dumps({"columns": columns, "coefficients": [float(c) for c in model.coefficients], "intercept": float(model.intercept)})
+    version = len(entries(spark, root))
+    while not create_once(spark, f"{root}/{numbered(version)}", text):
+        version += 1
+    return version
+
+
+def read_model(spark: SparkSession, root: str, version: int) -> tuple[dict[str, float], float]:
+    """BT5: the weights by column, and the intercept, of a saved version."""
+    saved = json.loads(read_entry(spark, f"{root}/{numbered(version)}"))
+    return dict(zip(saved["columns"], saved["coefficients"], strict=True)), saved["intercept"]

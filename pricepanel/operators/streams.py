@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store
 from .store import PRICE_SCHEMA, upsert_prices
 
 
@@ -15,49 +19,57 @@ def daily_views(events: DataFrame, late: str = "2 days") -> DataFrame:
 
 def stored_prices(spark: SparkSession, root: str) -> DataFrame | None:
     """ST2: the prices that the newest version under ``root`` names; None before the first."""
-    newest = _manifest(spark, root)
-    if newest is None:
+    newest = manifest(spark, root)
+    if not newest:
         return None
-    parts = [f"{root}/data/version={r['version']}/month={r['month']}" for r in newest.select("version", "month").distinct().collect()]  # a row per month
-    return spark.read.schema(PRICE_SCHEMA).parquet(*parts)
+    return spark.read.schema(PRICE_SCHEMA).parquet(*[f"{root}/data/{e['folder']}/month={m}" for m, e in newest["months"].items()])
 
 
-def _manifest(spark: SparkSession, root: str) -> DataFrame | None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest")
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return None
-    entries = spark.read.schema("number int, month string, version int, batch string").parquet(f"{root}/manifest")
-    newest = entries.agg(F.max("number")).first()[0]
-    return None if newest is None else entries.where(F.col("number") == newest)
+def manifest(spark: SparkSession, root: str) -> dict | None:
+    """ST2: the newest version: its number, and for every month the folder that holds it and the batch that wrote it; a row per month."""
+    names = store.entries(spark, f"{root}/manifest")
+    return json.loads(store.read_entry(spark, f"{root}/manifest/{names[-1]}")) if names else None
+
+
+def merge_prices(batch: DataFrame, root: str, name: str) -> int:
+    """ST2: merge a batch by key into the months that it touches, as a new version; the number of times it was merged (0: it was there already).
+
+    The months go to a folder of the try's own; then the version's file is made, which only one writer can
+    do. A writer that comes second merges again into what the first one left.
+    """
+    spark = batch.sparkSession
+    batch = batch.withColumn("month", F.date_format("report_date", "yyyy-MM")).persist()
+    touched = [r["month"] for r in batch.select("month").distinct().collect()]
+    tries = 0
+    while touched:
+        known = manifest(spark, root) or {"number": -1, "months": {}}
+        if any(e["batch"] == name for e in known["months"].values()) or name in known.get("batches", []):
+            break
+        tries += 1
+        old = [f"{root}/data/{known['months'][m]['folder']}/month={m}" for m in touched if m in known["months"]]
+        rows = batch.drop("month")
+        stored = spark.read.schema(PRICE_SCHEMA).parquet(*old) if old else rows.limit(0)
+        folder = uuid.uuid4().hex
+        merged = upsert_prices(stored, rows).withColumn("month", F.date_format("report_date", "yyyy-MM"))
+        merged.repartition("month").write.partitionBy("month").parquet(f"{root}/data/{folder}")
+        months = known["months"] | {m: {"folder": folder, "batch": name} for m in touched}
+        number = known["number"] + 1
+        # the last batches by name: one that a later one has written over altogether must be known too
+        batches = [*known.get("batches", []), name][-1000:]
+        if store.create_once(spark, f"{root}/manifest/{store.numbered(number)}", json.dumps({"number": number, "months": months, "batches": batches})):
+            break
+    batch.unpersist()
+    return tries
 
 
 def ingest_prices(batches: DataFrame, root: str, checkpoint: str):
     """ST2: each micro-batch is merged by key into the months that it touches, and these months alone are written anew.
 
-    A version writes its months under ``data/version=n``; then one append to ``manifest`` names, for every
-    month, the version that holds it. Readers take the manifest's largest number, so a version that was
-    not finished is never seen; a repeated batch finds its own name in the manifest and does nothing.
+    A version is a file under ``manifest`` that names, for every month, the folder that holds it. Readers
+    take the newest, so a version that was not finished is never seen; a repeated batch finds its own
+    name and does nothing; several streams may write to one ``root``.
     """
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        name = f"{checkpoint}#{number}"
-        batch = batch.withColumn("month", F.date_format("report_date", "yyyy-MM")).persist()
-        known = _manifest(spark, root)
-        entries = [] if known is None else known.collect()  # a row per month
-        touched = [r["month"] for r in batch.select("month").distinct().collect()]
-        if touched and not any(r["batch"] == name for r in entries):
-            version = max((r["number"] for r in entries), default=-1) + 1
-            old = [f"{root}/data/version={r['version']}/month={r['month']}" for r in entries if r["month"] in touched]
-            rows = batch.drop("month")
-            stored = spark.read.schema(PRICE_SCHEMA).parquet(*old) if old else rows.limit(0)
-            merged = upsert_prices(stored, rows).withColumn("month", F.date_format("report_date", "yyyy-MM"))
-            merged.repartition("month").write.mode("overwrite").partitionBy("month").parquet(f"{root}/data/version={version}")
-            named = {r["month"]: (r["version"], r["batch"]) for r in entries} | {m: (version, name) for m in touched}
-            spark.createDataFrame([(version, m, v, b) for m, (v, b) in sorted(named.items())], "number int, month string, version int, batch string").coalesce(1).write.mode("append").parquet(f"{root}/manifest")
-        batch.unpersist()
-
-    return batches.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return batches.writeStream.foreachBatch(lambda batch, number: merge_prices(batch, root, f"{checkpoint}#{number}")).option("checkpointLocation", checkpoint)
 
 
 def distinct_articles(articles: DataFrame, late: str = "7 days") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pricepanel.operators import backtest, calibrate, features
+from pricepanel.operators import backtest, calibrate, features, store
 
 from .base import PANEL, daily_panel, query, r6, with_sql, written
 from .feature_plans import RETURNS
@@ -68,17 +68,18 @@ def training_rows(spark, sf):
 
 
 # the three normal equations of standardised columns, by determinants
-BT5_SQL = RETURNS + f""",
-t AS (SELECT r.series, r.report_date, r1 AS a, r7 AS b, CASE WHEN e <> 0 THEN (l1 - e) / e END AS c, CASE WHEN p.is_observed
-  AND l1 <> 0 THEN p.observed_price / l1 - 1 END AS y
-  FROM r JOIN panel p USING (series, report_date)),
-k AS (SELECT * FROM t WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND y IS NOT NULL),
+SOLVED = f"""
 m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, avg(y) AS my, stddev_pop(a) AS sa, stddev_pop(b) AS sb, stddev_pop(c) AS sc, stddev_pop(y) AS sy,
   corr(a, b) AS ab, corr(a, c) AS ac, corr(b, c) AS bc, corr(a, y) AS ay, corr(b, y) AS by_, corr(c, y) AS cy, 1 + {RIDGE} AS d FROM k),
 w AS (SELECT *, d * (d * d - bc * bc) - ab * (ab * d - bc * ac) + ac * (ab * bc - d * ac) AS det FROM m),
 v AS (SELECT *, (ay * (d * d - bc * bc) - ab * (by_ * d - bc * cy) + ac * (by_ * bc - d * cy)) / det * sy / sa AS wa,
   (d * (by_ * d - bc * cy) - ay * (ab * d - bc * ac) + ac * (ab * cy - by_ * ac)) / det * sy / sb AS wb,
-  (d * (d * cy - by_ * bc) - ab * (ab * cy - by_ * ac) + ay * (ab * bc - d * ac)) / det * sy / sc AS wc FROM w)
+  (d * (d * cy - by_ * bc) - ab * (ab * cy - by_ * ac) + ay * (ab * bc - d * ac)) / det * sy / sc AS wc FROM w)"""
+BT5_SQL = RETURNS + f""",
+t AS (SELECT r.series, r.report_date, r1 AS a, r7 AS b, CASE WHEN e <> 0 THEN (l1 - e) / e END AS c, CASE WHEN p.is_observed
+  AND l1 <> 0 THEN p.observed_price / l1 - 1 END AS y
+  FROM r JOIN panel p USING (series, report_date)),
+k AS (SELECT * FROM t WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND y IS NOT NULL),{SOLVED}
 SELECT series, report_date, round(y, 6) AS target, round(my + wa * (a - ma) + wb * (b - mb) + wc * (c - mc), 6) AS predicted FROM k, v"""
 
 
@@ -90,15 +91,19 @@ def bt5(spark, sf):
     return rows.select("series", "report_date", r6("target").alias("target"), r6(value).alias("predicted"))
 
 
-def recursion_sql(own: float, gap: float, peer: float) -> str:
-    """One CTE a day: the list of a series' prices grows by the next one."""
+def recursion_steps(own: str, gap: str, peer: str, intercept: str = "0", source: str = "") -> str:
+    """One CTE a day: the list of a series' prices grows by the next one; ``source`` gives the weights, where they are columns."""
     steps = [", s0 AS (SELECT origin, product_category, series, len(last_prices) AS n0, last_prices AS l FROM anc)"]
     for h in range(1, 31):
         steps.append(
-            f"s{h} AS (SELECT origin, product_category, series, n0, list_append(l, greatest(0.01, l[-1] * (1 + {own} * own + {gap} * (l[-1] / list_avg(l[-7:]) - 1) + {peer} * peer))) AS l"
-            f" FROM (SELECT *, quantile_cont(own, 0.5) OVER (PARTITION BY origin, product_category) AS peer FROM (SELECT *, CASE WHEN len(l) > 1 THEN l[-1] / l[-2] - 1 ELSE 0.0 END AS own FROM s{h - 1})))"
+            f"s{h} AS (SELECT origin, product_category, series, n0, list_append(l, greatest(0.01, l[-1] * (1 + {intercept} + {own} * own + {gap} * (l[-1] / list_avg(l[-7:]) - 1) + {peer} * peer))) AS l"
+            f" FROM (SELECT *, quantile_cont(own, 0.5) OVER (PARTITION BY origin, product_category) AS peer FROM (SELECT *, CASE WHEN len(l) > 1 THEN l[-1] / l[-2] - 1 ELSE 0.0 END AS own FROM s{h - 1})){source})"
         )
-    return ",\n".join(steps) + "\nSELECT origin, product_category, series, h AS horizon, round(l[n0 + h], 5) AS price FROM s30, (SELECT CAST(unnest(range(1, 31)) AS INT) AS h)"
+    return ",\n".join(steps)
+
+
+def recursion_sql(own: float, gap: float, peer: float) -> str:
+    return recursion_steps(str(own), str(gap), str(peer)) + "\nSELECT origin, product_category, series, h AS horizon, round(l[n0 + h], 5) AS price FROM s30, (SELECT CAST(unnest(range(1, 31)) AS INT) AS h)"
 
 
 @query("bt6_recursive", with_sql(PATHS, recursion_sql(-0.05, -0.2, 0.1)))
@@ -302,3 +307,61 @@ x AS (SELECT product_name, bin, arg_min(w, (sc, w)) AS w, arg_min(mae, (sc, w))
 SELECT product_name, bin, CASE WHEN mae <= 0.995 * zero THEN w ELSE 0.0 END AS weight FROM x"""))
 def ca13(spark, sf):
     return calibrate.baseline_blend(tuning(spark, sf).withColumn("bin", calibrate.horizon_bin(F.col("horizon"))), "persistence", "moving_average7", ["product_name", "bin"])
+
+
+#: The fitted model: its columns, as the recursion computes them day by day.
+MODEL = ["own", "gap", "peer"]
+
+#: ``paths`` with a column ``model``: fitted on the days before the first origin, then moved day by day.
+FITTED_PATHS = (
+    PATHS.replace("\npaths AS (", "\npaths0 AS (")
+    + RETURNS.replace("\n, l AS (", ", l AS (", 1)
+    + f""",
+ch AS (SELECT product_category, report_date, price_index / lag(price_index) OVER (PARTITION BY series ORDER BY report_date) - 1 AS r FROM panel),
+pl AS (SELECT product_category, report_date, coalesce(lag(m) OVER (PARTITION BY product_category ORDER BY report_date), 0) AS peer
+  FROM (SELECT product_category, report_date, quantile_cont(r, 0.5) AS m FROM ch GROUP BY ALL)),
+m7 AS (SELECT series, report_date, avg(price_index) OVER (PARTITION BY series ORDER BY report_date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS mean_7 FROM panel),
+k AS (SELECT r1 AS a, l1 / mean_7 - 1 AS b, peer AS c, p.observed_price / l1 - 1 AS y FROM r JOIN panel p USING (series, report_date) JOIN m7 USING (series, report_date)
+  JOIN pl ON pl.product_category = p.product_category AND pl.report_date = p.report_date
+  WHERE p.is_observed AND l1 <> 0 AND r1 IS NOT NULL AND p.report_date < DATE '{START}'),{SOLVED}"""
+    + recursion_steps("wa", "wb", "wc", "(my - wa * ma - wb * mb - wc * mc)", ", v")
+    + """,
+mp AS (SELECT origin, series, h AS horizon, l[n0 + h] AS model FROM s30, (SELECT CAST(unnest(range(1, 31)) AS INT) AS h)),
+paths AS (SELECT paths0.*, mp.model FROM paths0 JOIN mp USING (series, origin, horizon))
+"""
+)
+FITTED_PARTS = FITTED_PATHS + PARTS[len(PATHS) :]
+FITTED_BLEND = FITTED_PARTS + (LAYERED[len(PARTS) :] + BLEND[len(BASE_LAYERED) :].replace("seasonal7", "model")).replace("{a}", "model").replace("{b}", "moving_average7")
+
+
+def model_rows(panel):
+    """FE columns of the recursion beside the next day's relative change, of observed days."""
+    rows = features.price_windows(panel).join(features.peer_returns(panel), ["product_category", "report_date"])
+    target = F.when(F.col("is_observed"), features.relative_target(F.col("observed_price"), F.col("lag_1")))
+    return rows.select("series", "report_date", F.col("return_1").alias("own"), (F.col("lag_1") / F.col("mean_7") - 1).alias("gap"), F.col("peer_lag_1").alias("peer"), target.alias("target"))
+
+
+def fitted_paths(spark, sf):
+    """The baseline paths with those of the fitted model; the model is fitted before the first origin, saved, and read by its version."""
+    panel = written(daily_panel(spark, sf), "panel")
+    root = store.shared_folder(spark, "models")
+    version = store.save_model(spark, root, MODEL, backtest.fit_relative(model_rows(panel).where(F.col("report_date") < F.lit(START).cast("date")), MODEL, ridge=RIDGE))
+    weights, intercept = store.read_model(spark, root, version)
+    anchored = written(backtest.anchors(panel, backtest.origins(spark, START, END)), "anchors")
+    moved = backtest.recursive_paths(anchored, weights, intercept).select("series", "origin", "horizon", F.col("price").alias("model"))
+    return backtest.paths(anchored, panel).join(moved, ["series", "origin", "horizon"])
+
+
+@query("bt6_fitted", with_sql(FITTED_PATHS, "SELECT series, origin, horizon, round(model, 4) AS price, actual FROM paths"))
+def bt6_fitted(spark, sf):
+    """Paths of the fitted model beside the truth."""
+    return fitted_paths(spark, sf).select("series", "origin", "horizon", F.round("model", 4).alias("price"), "actual")
+
+
+@query("ca9_fitted", with_sql(FITTED_BLEND, "SELECT series, origin, horizon, round(ensemble + 3e-6, 4) AS ensemble FROM bl WHERE layer = 'all'"))
+def ca9_fitted(spark, sf):
+    """The blend of the fitted model and the week's mean, all layers fitted on the tuning rows."""
+    rows = written(calibrate.split_forecasts(fitted_paths(spark, sf)), "paths")
+    found = calibrate.fit_layers(rows.where("part = 'tuning'"), "model", "moving_average7", ["model", "persistence", "moving_average7"], written)
+    blended = calibrate.with_layers(rows.where("part = 'calibration'"), **found)
+    return blended.select("series", "origin", "horizon", F.round(calibrate.blended("model", "moving_average7") + 3e-6, 4).alias("ensemble"))

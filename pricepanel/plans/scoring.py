@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from pricepanel.operators import score
 
-from .backtests import PATHS, forecast_paths
-from .base import PANEL, daily_panel, query, r6, with_sql
+from .backtests import FITTED_PATHS, PATHS, fitted_paths, forecast_paths
+from .base import PANEL, daily_panel, query, r6, with_sql, written
 
 M = "count(*) AS n, round(avg(abs({f} - actual)), 5) AS mae, round(sqrt(avg(({f} - actual) ** 2)), 5) AS rmse, round(100 * avg(abs(({f} - actual) / actual)), 5) AS mape"
 M5 = lambda f: M.format(f=f)
@@ -51,6 +51,17 @@ def sc4(spark, sf):
     return rounded(out.select("model", "n", *R5, "improvement"), *R5, "improvement")
 
 
+FITTED_LONG = "lf AS (SELECT model, v, actual FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS model, {f} AS v, actual FROM paths WHERE actual IS NOT NULL" for f in ("persistence", "seasonal7", "moving_average7", "model")) + "))"
+
+
+@query("sc4_fitted", with_sql(FITTED_PATHS, f""", {FITTED_LONG}, sc AS (SELECT model, {M5('v')}, avg(abs(v - actual)) AS m FROM lf GROUP BY 1)
+  SELECT model, n, mae, rmse, mape, round(100 * (1 - m / (SELECT m FROM sc WHERE model = 'persistence')), 5) AS improvement FROM sc"""))
+def sc4_fitted(spark, sf):
+    """The fitted model among the baselines."""
+    out = score.compare_forecasters(written(fitted_paths(spark, sf), "paths"), ["persistence", "seasonal7", "moving_average7", "model"])
+    return rounded(out.select("model", "n", *R5, "improvement"), *R5, "improvement")
+
+
 PUB = PATHS + """,
 dl AS (SELECT series, origin, date, round_even(CAST(seasonal7 AS DECIMAL(20,6)), 2) AS price FROM paths WHERE origin >= DATE '2000-01-01'),
 pr AS (SELECT series, origin, 'daily' AS grain, date AS period_start, date AS period_end, price FROM dl

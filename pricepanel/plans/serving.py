@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pricepanel.operators import serve, store
 
 from .backtests import PATHS, forecast_paths
-from .base import CLEAN, PANEL, clean_prices, daily_panel, query, r6, raw_prices, table, with_sql
+from .base import CLEAN, PANEL, clean_prices, daily_panel, query, r6, raw_prices, table, with_sql, written
 from .scoring import rounded
 
 L = "row_number() OVER (PARTITION BY series ORDER BY report_date DESC) AS k"
@@ -228,6 +228,18 @@ def io2(spark, sf):
     return store.bounded(clean_prices(spark, sf), "1999-03-01", "1999-04-30").select("id", "product_name", "report_date", "price_index")
 
 
+@query("io2_months", with_sql(CLEAN, """, bound AS (SELECT max(report_date) AS hi FROM clean WHERE product_category = 'Fish' AND product_variant = 'R')
+SELECT id, product_name, report_date, price_index FROM clean, bound WHERE report_date <= hi AND report_date > hi - 45"""))
+def io2_months(spark, sf):
+    """The prices laid out by month, then those of the 45 days up to a day that is known only when the table is read."""
+    rows = written(clean_prices(spark, sf).select("id", "product_category", "product_name", "product_variant", "report_date", "price_index"), "clean")
+    root = store.shared_folder(spark, "months")
+    store.write_by_month(rows, root)
+    through = rows.where("product_category = 'Fish' AND product_variant = 'R'").agg(F.max("report_date").alias("day"))
+    since = through.select(F.date_sub("day", 45))
+    return store.read_months(spark, root, since, through, ", ".join(f"{n} {t}" for n, t in rows.dtypes)).select("id", "product_name", "report_date", "price_index")
+
+
 @query("io3_history", with_sql(CLEAN, """SELECT report_date, price_index FROM clean WHERE product_name = 'PROMO' AND product_variant = 'R' AND origin = 'Local'
   AND product_category = 'Rice' ORDER BY report_date DESC LIMIT 50"""))
 def io3(spark, sf):
@@ -267,6 +279,17 @@ def io7(spark, sf):
     return store.verify(rows)
 
 
+@query("io7_view", with_sql(PATHS, """, f AS (SELECT *, CASE WHEN horizon = 3 THEN 0 WHEN horizon = 5 THEN 2 ELSE 1 END AS copies, horizon = 9 AS is_new FROM paths)
+SELECT CAST(count(*) AS BIGINT) AS run_rows, CAST(sum(copies) + count(*) FILTER (horizon = 30) AS BIGINT) AS view_rows, count(*) FILTER (horizon = 3) AS missing,
+  count(*) FILTER (horizon = 5) AS doubled, count(*) FILTER (horizon = 30) AS foreign, count(*) FILTER (is_new) AS changed FROM f"""))
+def io7_view(spark, sf):
+    """Every run's daily view, from which one horizon is missing, in which one is doubled and one changed, and to which days beyond the last are added."""
+    run = written(forecast_paths(spark, sf).select("series", "origin", "horizon", "date", F.col("seasonal7").alias("price")), "run")
+    view = run.where("horizon <> 3").withColumn("price", F.when(F.col("horizon") == 9, F.col("price") + 1).otherwise(F.col("price")))
+    view = view.unionByName(run.where("horizon = 5")).unionByName(run.where("horizon = 30").withColumn("date", F.date_add("date", 1)))
+    return store.view_differences(run, view, ["series", "origin", "date"], ["price"])
+
+
 @query("io8_evaluations", with_sql(PATHS, """, e AS (SELECT CAST(origin AS VARCHAR) AS model_run_id, product_name AS commodity_id, horizon, count(actual) AS n FROM paths
   WHERE origin >= DATE '2001-01-01' GROUP BY ALL)
 SELECT model_run_id, commodity_id, horizon, CASE WHEN horizon <= 10 THEN n + 1 ELSE n END AS n, horizon > 10 AS approved FROM e"""))

@@ -1,6 +1,7 @@
 """As-of lookups, news rules and streaming operators."""
 
 import datetime as dt
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -103,8 +104,9 @@ def test_price_ingestion(spark, tmp_path):
         streams.ingest_prices(stream, root, str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
     found = {(r.report_date, r.product_variant): r.price_index for r in streams.stored_prices(spark, root).collect()}
     assert found == {(D, "Standard"): 7.0, (dt.date(2024, 2, 1), "Standard"): 5.0, (dt.date(2024, 3, 1), "Standard"): 3.0}
-    versions = {r.month: r.version for r in spark.read.parquet(f"{root}/manifest").where("number = 1").collect()}
-    assert versions == {"2024-01": 1, "2024-02": 1, "2024-03": 0}  # a month that the second batch did not touch stays where it is
+    newest, first = streams.manifest(spark, root), json.loads(store.read_entry(spark, f"{root}/manifest/{store.numbered(0)}"))
+    untouched = {m for m, e in newest["months"].items() if e == first["months"].get(m)}
+    assert newest["number"] == 1 and set(newest["months"]) == {"2024-01", "2024-02", "2024-03"} and untouched == {"2024-03"}  # a month that the second batch did not touch stays where it is
 
 
 def test_distinct_articles(spark, tmp_path):
@@ -112,3 +114,82 @@ def test_distinct_articles(spark, tmp_path):
     stream = spark.readStream.schema("content string, created_at timestamp").parquet(str(tmp_path / "in"))
     streams.distinct_articles(stream).writeStream.format("memory").queryName("articles_out").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination(120)
     assert sorted(r.content for r in spark.table("articles_out").collect()) == ["a", "b"]
+
+
+def prices(spark, *rows):
+    kinds = [c.split()[0] for c in store.PRICE_SCHEMA.split(", ")]
+    full = [{"id": i, "product_name": n, "product_variant": "Standard", "origin": "Local", "product_category": "Rice", "unit": "kg", "price_index": p, "report_date": d, "source_pdf": "x"} for i, n, d, p in rows]
+    return spark.createDataFrame([tuple(r[k] for k in kinds) for r in full], store.PRICE_SCHEMA)
+
+
+def test_of_two_writers_one_wins_and_the_other_merges_again(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "store")
+    assert streams.merge_prices(prices(spark, ("1", "A", day(0), 1.0)), root, "first") == 1
+    commit, met = store.create_once, []
+
+    def late(spark_, path, text):
+        if not met:  # another writer is done between this one's reading and its commit
+            met.append(path)
+            monkeypatch.setattr(store, "create_once", commit)
+            assert streams.merge_prices(prices(spark, ("2", "B", day(1), 2.0), ("3", "A", day(0), 9.0)), root, "other") == 1
+        return commit(spark_, path, text)
+
+    monkeypatch.setattr(store, "create_once", late)
+    assert streams.merge_prices(prices(spark, ("4", "C", day(2), 3.0)), root, "mine") == 2
+    assert sorted((r.product_name, r.price_index) for r in streams.stored_prices(spark, root).collect()) == [("A", 9.0), ("B", 2.0), ("C", 3.0)]
+    assert streams.merge_prices(prices(spark, ("4", "C", day(2), 4.0)), root, "mine") == 0  # a repeated batch
+    assert streams.manifest(spark, root)["number"] == 2
+
+
+def test_entries_are_made_once(spark, tmp_path):
+    path = str(tmp_path / "e" / "one.json")
+    assert store.create_once(spark, path, "é") and not store.create_once(spark, path, "other")
+    assert store.read_entry(spark, path) == "é" and store.entries(spark, str(tmp_path / "e")) == ["one.json"]
+
+
+def test_of_two_publications_of_a_run_one_fails(spark, tmp_path, monkeypatch):
+    root, rows = str(tmp_path / "v"), spark.createDataFrame([("p", D, "daily", 1.0)], "product_id string, date date, grain string, price double")
+    commit, met = store.create_once, []
+
+    def late(spark_, path, text):
+        if not met:
+            met.append(path)
+            store.publish(spark, rows.withColumn("price", F.lit(2.0)), root, "r", 1)
+        return commit(spark_, path, text)
+
+    monkeypatch.setattr(store, "create_once", late)
+    try:
+        store.publish(spark, rows, root, "r", 1)
+        raise AssertionError("published twice")
+    except ValueError:
+        pass
+    assert [e["run_id"] for e in store.published_runs(spark, root)] == ["r"] and store.published_daily(spark, root).first().price == 2.0
+
+
+def test_view_differences(spark):
+    kinds = "product string, date date, price double"
+    run = [("a", day(0), 1.0), ("a", day(1), 2.0), ("b", day(0), None), ("b", day(1), 3.0), ("c", day(0), 4.0), ("c", day(0), 4.0)]
+    view = [("a", day(0), 1.0), ("a", day(1), 2.5), ("b", day(0), None), ("b", day(0), None), ("c", day(0), 4.0), ("d", day(0), 1.0), (None, day(0), 1.0)]
+    found = store.view_differences(spark.createDataFrame(run, kinds), spark.createDataFrame(view, kinds), ["product", "date"], ["price"]).first()
+    assert found.asDict() == {"run_rows": 6, "view_rows": 7, "missing": 2, "doubled": 1, "foreign": 2, "changed": 1}
+    assert store.view_differences(spark.createDataFrame(run, kinds), spark.createDataFrame(run[::-1], kinds), ["product", "date"], ["price"]).first()[2:] == (0, 0, 0, 0)
+    assert store.view_differences(spark.createDataFrame([], kinds), spark.createDataFrame([], kinds), ["product", "date"], ["price"]).first().run_rows == 0
+
+
+def test_bounded_reads_open_the_months_of_their_bounds(spark, tmp_path):
+    root = str(tmp_path / "months")
+    store.write_by_month(spark.createDataFrame([(k, day(k * 7)) for k in range(60)], "k int, report_date date"), root)
+    bound = lambda k: spark.createDataFrame([(day(k),)], "day date")
+    read = store.read_months(spark, root, bound(100), bound(150), "k int, report_date date")
+    assert sorted(r.k for r in read.collect()) == [k for k in range(60) if 100 < 7 * k <= 150]
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan and "(month" in plan.split("PartitionFilters:")[1].split("PushedFilters")[0]
+    assert {r.f.split("month=")[1][:7] for r in read.select(F.input_file_name().alias("f")).collect()} == {"2024-04", "2024-05"}
+    open_end = store.read_months(spark, root, None, spark.createDataFrame([], "day date"), "k int, report_date date")
+    assert open_end.count() == 60
+
+
+def test_models_are_saved_by_version(spark, tmp_path):
+    root = str(tmp_path / "models")
+    versions = [store.save_model(spark, root, ["a", "b"], backtest.Linear([k, 0.5], 0.25)) for k in (1.0, 2.0)]
+    assert versions == [0, 1] and store.read_model(spark, root, 0) == ({"a": 1.0, "b": 0.5}, 0.25) and store.read_model(spark, root, 1)[0]["a"] == 2.0
