@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -130,3 +131,44 @@ def stacking_design(rows: DataFrame, forecasters: list[str], categories: list[st
     names = list(returns)
     spread = F.greatest(*names) - F.least(*names) if len(names) > 1 else F.lit(0.0)
     return out.withColumns({"disagreement": spread, "h": F.col("horizon") / HORIZON, "y": F.col("actual") / F.col("anchor") - 1} | {f"is_{c.lower()}": (F.col("product_category") == c).cast("int") for c in categories})
+
+
+def fit_weighted(rows: DataFrame, columns: list[str], target: str, weight: str, keys: list[str], ridge: float = 0.001) -> DataFrame:
+    """BT8: weighted ridge regressions by ``keys``: ``keys, n, weights`` (an array in the order of ``columns``) and ``intercept``.
+
+    Two aggregations give the sufficient statistics: weighted means, then weighted products of what is
+    left of them (so that large means cost no digits). A small system is solved per key, in the task
+    that holds the key's one row. The ridge is relative to each column's own spread; a column without
+    spread gets no weight, rows with a null or without weight are left out.
+    """
+    known = rows.dropna(subset=[*columns, target, weight]).where(F.col(weight) > 0)
+    mean = lambda c: (F.sum(F.col(weight) * F.col(c)) / F.sum(weight)).alias(f"m_{c}")
+    means = known.groupBy(*keys).agg(*[mean(c) for c in [*columns, target]])
+    pairs = [(a, b) for i, a in enumerate(columns) for b in [*columns[i:], target]]
+    product = lambda a, b: F.sum(F.col(weight) * (F.col(a) - F.col(f"m_{a}")) * (F.col(b) - F.col(f"m_{b}"))) / F.sum(weight)
+    sums = known.join(means, keys).groupBy(*keys, *[f"m_{c}" for c in [*columns, target]]).agg(F.count("*").alias("n"), *[product(a, b).alias(f"p_{a}_{b}") for a, b in pairs])
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for row in frame.to_dict("records"):
+                kept = [c for c in columns if row[f"p_{c}_{c}"] > 1e-20 * row[f"m_{c}"] ** 2]  # more than rounding
+                of = lambda a, b, row=row: row[f"p_{a}_{b}"] if (a, b) in pairs else row[f"p_{b}_{a}"]
+                found = dict.fromkeys(columns, 0.0)
+                if kept:
+                    system = np.array([[of(a, b) * (1 + ridge * (a == b)) for b in kept] for a in kept])
+                    found |= dict(zip(kept, np.linalg.solve(system, np.array([of(a, target) for a in kept])).tolist(), strict=True))
+                weights = [found[c] for c in columns]
+                out.append([*[row[k] for k in keys], row["n"], weights, row[f"m_{target}"] - sum(w * row[f"m_{c}"] for w, c in zip(weights, columns, strict=True))])
+            yield pd.DataFrame(out, columns=[*keys, "n", "weights", "intercept"])
+
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return sums.mapInPandas(solve, f"{kinds}, n long, weights array<double>, intercept double")
+
+
+def stacked_prices(rows: DataFrame, fit: DataFrame, columns: list[str], keys: list[str], limit: float = 0.5) -> DataFrame:
+    """BT8: the anchor moved by the fitted return, which is held within ``limit`` either way; keys without a fit stay at their anchor."""
+    value = sum((F.col("__w")[k] * F.col(c) for k, c in enumerate(columns)), F.col("__i"))
+    out = rows.join(fit.select(*keys, F.col("weights").alias("__w"), F.col("intercept").alias("__i")), keys, "left")
+    move = F.greatest(F.lit(-limit), F.least(F.lit(limit), F.coalesce(value, F.lit(0.0))))
+    return out.withColumn("price", F.col("anchor") * (1 + move)).drop("__w", "__i")

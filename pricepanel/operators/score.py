@@ -253,6 +253,40 @@ def replay_parity(replayed: DataFrame, saved: DataFrame, key: list[str]) -> Data
     return both.agg(F.count("*").alias("matched"), F.avg(d).alias("mean_diff"), F.max(d).alias("max_diff"), F.count_if(d > 0.005).alias("over_half_cent"))
 
 
+def period_rows(paths: DataFrame, forecast: str) -> DataFrame:
+    """SC25: ``series, origin, grain, step, actual, forecast`` of days, Monday weeks and calendar months of the paths.
+
+    A period's forecast is the mean of all its days that the path covers, its truth the mean of those
+    that were observed; a period without an observation is left out, and periods keep their number.
+    """
+    days = paths.select("series", "origin", F.lit("daily").alias("grain"), F.col("horizon").cast("int").alias("step"), "actual", F.col(forecast).alias("forecast"))
+    for grain, start in (("weekly", F.date_trunc("week", "date")), ("monthly", F.date_trunc("month", "date"))):
+        periods = paths.groupBy("series", "origin", start.alias("start")).agg(F.avg("actual").alias("actual"), F.avg(forecast).alias("forecast"))
+        step = F.row_number().over(Window.partitionBy("series", "origin").orderBy("start"))  # a row per period of a path
+        days = days.unionByName(periods.select("series", "origin", F.lit(grain).alias("grain"), step.alias("step"), "actual", "forecast"))
+    return days.where("actual IS NOT NULL")
+
+
+def replay_tables(rows: DataFrame) -> DataFrame:
+    """SC25: errors of ``period_rows`` by grain, by grain and step and by grain and series, in one pass; ``level`` tells which.
+
+    MAPE is over rows of a positive truth, null without any.
+    """
+    e = F.col("forecast") - F.col("actual")
+    sets = [[F.col("grain")], [F.col("grain"), F.col("step")], [F.col("grain"), F.col("series")]]
+    out = rows.groupingSets(sets, "grain", "step", "series").agg(
+        F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.when(F.col("actual") > 0, 100 * F.abs(e) / F.col("actual"))).alias("mape"),
+        F.grouping("step").alias("no_step"), F.grouping("series").alias("no_series"),
+    )
+    return out.withColumn("level", F.when(F.col("no_step") == 0, "step").when(F.col("no_series") == 0, "series").otherwise("all")).drop("no_step", "no_series")
+
+
+def worst_series(tables: DataFrame, k: int = 5) -> DataFrame:
+    """SC25: the ``k`` series of each grain with the largest RMSE (ties: by name)."""
+    place = F.row_number().over(Window.partitionBy("grain").orderBy(F.desc(F.round("rmse", 9)), "series"))
+    return tables.where("level = 'series'").withColumn("place", place).where(F.col("place") <= k)
+
+
 def reconciles(parts: DataFrame, pooled: DataFrame, keys: list[str]) -> DataFrame:
     """SC26: per key, parts' samples and hits must sum to the pooled ones."""
     sums = parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))

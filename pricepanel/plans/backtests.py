@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from pricepanel.operators import backtest, calibrate, features, store
 
-from .base import PANEL, daily_panel, query, r6, with_sql, written
-from .feature_plans import RETURNS
+from .base import PANEL, daily_panel, many, many_prices, query, r6, raw_prices, with_sql, written
+from .feature_plans import RETURNS, ROLLED
 
 START, END = "1998-01-01", "2001-06-30"
 
@@ -28,15 +28,13 @@ def anchored(spark, sf):
     return backtest.anchors(daily_panel(spark, sf), backtest.origins(spark, START, END))
 
 
-def forecast_paths(spark, sf):
-    panel = daily_panel(spark, sf)
+def forecast_paths(spark, sf, raw=raw_prices):
+    panel = daily_panel(spark, sf, raw)
     return backtest.paths(backtest.anchors(panel, backtest.origins(spark, START, END)), panel)
 
 
 @query("bt1_origins", with_sql(PATHS, "SELECT origin FROM o0"))
 def bt1(spark, sf):
-    from .base import raw_prices
-
     # the span of the data bounds the origins
     span = raw_prices(spark, sf).agg(F.min("report_date").alias("lo"), F.max("report_date").alias("hi"))
     return backtest.origins(spark, START, END).join(F.broadcast(span)).where("origin BETWEEN lo AND hi").select("origin")
@@ -119,6 +117,44 @@ def bt8(spark, sf):
     return rows.select("series", "origin", "horizon", *[r6(c).alias(c) for c in ("r_seasonal7", "r_moving_average7", "disagreement", "h", "y")], "is_rice")
 
 
+#: What the stacked model is fitted on beside an intercept.
+STACK = ["r_seasonal7", "r_moving_average7", "h"]
+
+# weighted normal equations of each horizon bin: rows of near days weigh more
+STACK_SQL = f"""
+, sd AS (SELECT series, origin, horizon, anchor, actual, CASE WHEN horizon <= 3 THEN '01-03' WHEN horizon <= 7 THEN '04-07' WHEN horizon <= 14 THEN '08-14'
+  WHEN horizon <= 21 THEN '15-21' ELSE '22-30' END AS bin, seasonal7 / anchor - 1 AS a, moving_average7 / anchor - 1 AS b, horizon / 30 AS c, actual / anchor - 1 AS y,
+  1 / sqrt(horizon) AS q FROM paths WHERE actual IS NOT NULL),
+me AS (SELECT bin, sum(q * a) / sum(q) AS ma, sum(q * b) / sum(q) AS mb, sum(q * c) / sum(q) AS mc, sum(q * y) / sum(q) AS my FROM sd GROUP BY bin),
+co AS (SELECT bin, any_value(ma) AS ma, any_value(mb) AS mb, any_value(mc) AS mc, any_value(my) AS my, sum(q * (a - ma) * (a - ma)) / sum(q) AS aa, sum(q * (b - mb) * (b - mb)) / sum(q) AS bb,
+  sum(q * (c - mc) * (c - mc)) / sum(q) AS cc, sum(q * (a - ma) * (b - mb)) / sum(q) AS ab, sum(q * (a - ma) * (c - mc)) / sum(q) AS ac, sum(q * (b - mb) * (c - mc)) / sum(q) AS bc,
+  sum(q * (a - ma) * (y - my)) / sum(q) AS ay, sum(q * (b - mb) * (y - my)) / sum(q) AS by_, sum(q * (c - mc) * (y - my)) / sum(q) AS cy FROM sd JOIN me USING (bin) GROUP BY bin),
+rg AS (SELECT *, aa * {1 + RIDGE} AS da, bb * {1 + RIDGE} AS db, cc * {1 + RIDGE} AS dc FROM co),
+dt AS (SELECT *, da * (db * dc - bc * bc) - ab * (ab * dc - bc * ac) + ac * (ab * bc - db * ac) AS det FROM rg),
+sw8 AS (SELECT bin, ma, mb, mc, my, (ay * (db * dc - bc * bc) - ab * (by_ * dc - bc * cy) + ac * (by_ * bc - db * cy)) / det AS wa,
+  (da * (by_ * dc - bc * cy) - ay * (ab * dc - bc * ac) + ac * (ab * cy - by_ * ac)) / det AS wb,
+  (da * (db * cy - by_ * bc) - ab * (ab * cy - by_ * ac) + ay * (ab * bc - db * ac)) / det AS wc FROM dt)
+"""
+
+
+def stacked(spark, sf):
+    rows = backtest.stacking_design(forecast_paths(spark, sf).where("actual IS NOT NULL"), ["seasonal7", "moving_average7"], ["Rice"])
+    return written(rows.withColumns({"bin": calibrate.horizon_bin(F.col("horizon")), "q": 1 / F.sqrt("horizon")}), "stacking")
+
+
+@query("bt8_fit", with_sql(PATHS, STACK_SQL + "SELECT bin, round(wa, 5) AS r_seasonal7, round(wb, 5) AS r_moving_average7, round(wc, 5) AS h, round(my - wa * ma - wb * mb - wc * mc, 6) AS intercept FROM sw8"))
+def bt8_fit(spark, sf):
+    fit = backtest.fit_weighted(stacked(spark, sf), STACK, "y", "q", ["bin"], RIDGE)
+    return fit.select("bin", *[F.round(F.col("weights")[k], 5).alias(c) for k, c in enumerate(STACK)], r6("intercept").alias("intercept"))
+
+
+@query("bt8_predict", with_sql(PATHS, STACK_SQL + """SELECT series, origin, horizon, round(anchor * (1 + greatest(-0.5, least(0.5, my + wa * (a - ma) + wb * (b - mb) + wc * (c - mc)))), 4) AS price FROM sd JOIN sw8 USING (bin)"""))
+def bt8_predict(spark, sf):
+    rows = stacked(spark, sf)
+    fit = backtest.fit_weighted(rows, STACK, "y", "q", ["bin"], RIDGE)
+    return backtest.stacked_prices(rows, fit, STACK, ["bin"]).select("series", "origin", "horizon", F.round("price", 4).alias("price"))
+
+
 PARTS = PATHS + """,
 od AS (SELECT origin, row_number() OVER (ORDER BY origin) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT origin FROM paths)),
 cu AS (SELECT origin AS cutoff FROM od WHERE i = floor(n * 2.0 / 3)),
@@ -254,9 +290,9 @@ bl AS (SELECT *, CASE WHEN picked IS NOT NULL THEN e2 + x * (picked - e2) ELSE e
 """
 
 
-def layered(spark, sf):
+def layered(spark, sf, raw=raw_prices):
     """Calibration rows with the parameters of all layers, fitted on the tuning rows; the forecasts are computed once."""
-    rows = written(calibrate.split_forecasts(forecast_paths(spark, sf)), "paths")
+    rows = written(calibrate.split_forecasts(forecast_paths(spark, sf, raw)), "paths")
     found = calibrate.fit_layers(rows.where("part = 'tuning'"), *BASELINES, [BASELINES[0], "persistence", "moving_average7"], written)
     return calibrate.with_layers(rows.where("part = 'calibration'"), **found)
 
@@ -365,3 +401,24 @@ def ca9_fitted(spark, sf):
     found = calibrate.fit_layers(rows.where("part = 'tuning'"), "model", "moving_average7", ["model", "persistence", "moving_average7"], written)
     blended = calibrate.with_layers(rows.where("part = 'calibration'"), **found)
     return blended.select("series", "origin", "horizon", F.round(calibrate.blended("model", "moving_average7") + 3e-6, 4).alias("ensemble"))
+
+
+@query("pn1_many_series", with_sql(many(PANEL), "SELECT series, report_date, price_index, observed_price, is_observed FROM panel"))
+def pn1_many(spark, sf):
+    return daily_panel(spark, sf, many_prices).select("series", "report_date", "price_index", "observed_price", "is_observed")
+
+
+@query("fe4_many_series", with_sql(many(PANEL), ROLLED))
+def fe4_many(spark, sf):
+    out = features.price_windows(daily_panel(spark, sf, many_prices))
+    return out.select("series", "report_date", *[r6(F.col(f"{n}_{w}") + 3e-8).alias(f"{n}_{w}") for w in features.WINDOWS for n in ("mean", "std", "min", "max")])
+
+
+@query("bt3_many_series", with_sql(many(PATHS), "SELECT series, origin, horizon, date, persistence, seasonal7, actual FROM paths"))
+def bt3_many(spark, sf):
+    return forecast_paths(spark, sf, many_prices).select("series", "origin", "horizon", "date", "persistence", "seasonal7", "actual")
+
+
+@query("ca9_many_series", with_sql(many(BLEND), "SELECT series, origin, horizon, round(ensemble + 3e-7, 5) AS ensemble FROM bl WHERE layer = 'all'"))
+def ca9_many(spark, sf):
+    return layered(spark, sf, many_prices).select("series", "origin", "horizon", F.round(calibrate.blended("seasonal7", "moving_average7") + 3e-7, 5).alias("ensemble"))

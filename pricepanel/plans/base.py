@@ -42,7 +42,20 @@ def r6(column: Column | str) -> Column:
     return F.round(F.col(column) if isinstance(column, str) else column, 6)
 
 
-def raw_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Category, product and variant of a line: six products, or one per supplier.
+FEW_SERIES = (
+    "CASE WHEN p_type IN ('ECONOMY','PROMO') THEN 'Rice' WHEN p_type IN ('SMALL','MEDIUM') THEN 'Vegetables' ELSE 'Fish' END",
+    "p_type", "CASE l_returnflag WHEN 'N' THEN NULL ELSE l_returnflag END",
+)
+MANY_SERIES = ("CASE l_suppkey % 3 WHEN 0 THEN 'Rice' WHEN 1 THEN 'Vegetables' ELSE 'Fish' END", "concat('S', l_suppkey)", "CAST(NULL AS STRING)")
+
+
+def many_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw reports as one series per supplier."""
+    return raw_prices(spark, sf_dir, MANY_SERIES)
+
+
+def raw_prices(spark: SparkSession, sf_dir: str, names: tuple[str, str, str] = FEW_SERIES) -> DataFrame:
     """``lineitem`` and ``part`` as raw price reports, one per series and day.
 
     Of the lines of a series and day the first by order, line, part and supplier, which tell lines apart.
@@ -50,8 +63,7 @@ def raw_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_retailprice")
     rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.expr("CASE WHEN p_type IN ('ECONOMY','PROMO') THEN 'Rice' WHEN p_type IN ('SMALL','MEDIUM') THEN 'Vegetables' ELSE 'Fish' END").alias("product_category"),
-        F.col("p_type").alias("product_name"), F.expr("CASE l_returnflag WHEN 'N' THEN NULL ELSE l_returnflag END").alias("product_variant"),
+        *[F.expr(e).alias(c) for c, e in zip(("product_category", "product_name", "product_variant"), names, strict=True)],
         F.expr("CASE WHEN l_suppkey % 2 = 0 THEN 'Local' ELSE 'Imported' END").alias("origin"),
         F.to_date("l_shipdate").alias("report_date"),
         F.expr("CAST(CAST(p_retailprice AS DECIMAL(10,2)) * (1 - CAST(l_discount AS DECIMAL(10,2))) AS DOUBLE)").alias("price_index"),
@@ -91,6 +103,24 @@ raw AS (
                ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn FROM raw0) WHERE rn = 1)
 """
 
+#: The same lines as one series per supplier, so that series grow with the data; a category is a third of the suppliers.
+MANY_RAW = """
+raw0 AS (
+  SELECT """ + MANY_SERIES[0] + """ AS product_category, 'S' || l.l_suppkey AS product_name, CAST(NULL AS VARCHAR) AS product_variant,
+         CASE WHEN l.l_suppkey % 2 = 0 THEN 'Local' ELSE 'Imported' END AS origin,
+         CASE l.l_linenumber % 4 WHEN 0 THEN 'per kg' WHEN 1 THEN 'KG ' WHEN 2 THEN 'kilogram' ELSE NULL END AS unit,
+         CAST(l.l_shipdate AS DATE) AS report_date,
+         CAST(CAST(p.p_retailprice AS DECIMAL(10,2)) * (1 - CAST(l.l_discount AS DECIMAL(10,2))) AS DOUBLE) AS price_index,
+         l.l_linestatus = 'O' AS is_observed, l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_extendedprice
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
+""" + RAW[RAW.index("raw AS (") :]
+
+
+def many(sql: str) -> str:
+    """SQL over the series of ``MANY_RAW`` in place of those of ``RAW``."""
+    return sql.replace(RAW, MANY_RAW)
+
+
 CLEAN = RAW + """,
 c1 AS (SELECT product_category, product_name, coalesce(product_variant, 'Standard') AS product_variant, origin,
               CASE WHEN unit IS NULL THEN 'unknown' ELSE 'kg' END AS unit, report_date, price_index, is_observed, source_pdf, id FROM raw),
@@ -112,14 +142,14 @@ panel AS (SELECT d.series, split_part(d.series, '||', 1) AS product_category, sp
 """
 
 
-def clean_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+def clean_prices(spark: SparkSession, sf_dir: str, raw: Callable[[SparkSession, str], DataFrame] = raw_prices) -> DataFrame:
     """The clean prices; the raw rows, of which units are inferred and which take them, are written once."""
-    return clean.validate(written(raw_prices(spark, sf_dir), "raw"))
+    return clean.validate(written(raw(spark, sf_dir), "raw"))
 
 
-def daily_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def daily_panel(spark: SparkSession, sf_dir: str, raw: Callable[[SparkSession, str], DataFrame] = raw_prices) -> DataFrame:
     """The daily panel; the clean prices, which give both its days and its values, are written once."""
-    return panel.reindex_daily(written(clean_prices(spark, sf_dir), "clean"))
+    return panel.reindex_daily(written(clean_prices(spark, sf_dir, raw), "clean"))
 
 
 def with_sql(prefix: str, select: str) -> str:

@@ -308,6 +308,30 @@ def sc25(spark, sf):
     return rounded(score.replay_parity(rows, rows.withColumn("prediction", F.round("prediction", 1)), ["series", "origin", "horizon"]), "mean_diff", "max_diff")
 
 
+REPLAYED = PATHS + """,
+pw AS (SELECT series, origin, 'weekly' AS grain, date_trunc('week', date) AS start, avg(actual) AS actual, avg(seasonal7) AS f FROM paths GROUP BY ALL),
+pm AS (SELECT series, origin, 'monthly' AS grain, date_trunc('month', date) AS start, avg(actual) AS actual, avg(seasonal7) AS f FROM paths GROUP BY ALL),
+pp AS (SELECT series, origin, grain, CAST(row_number() OVER (PARTITION BY series, origin, grain ORDER BY start) AS INT) AS step, actual, f FROM (SELECT * FROM pw UNION ALL SELECT * FROM pm)
+  UNION ALL SELECT series, origin, 'daily', CAST(horizon AS INT), actual, seasonal7 FROM paths),
+tb AS (SELECT CASE WHEN grouping(step) = 0 THEN 'step' WHEN grouping(series) = 0 THEN 'series' ELSE 'all' END AS level, grain, step, series, count(*) AS n, avg(abs(f - actual)) AS mae,
+  sqrt(avg((f - actual) ** 2)) AS rmse, avg(CASE WHEN actual > 0 THEN 100 * abs(f - actual) / actual END) AS mape
+  FROM pp WHERE actual IS NOT NULL GROUP BY GROUPING SETS ((grain), (grain, step), (grain, series)))
+"""
+
+
+@query("sc25_tables", with_sql(REPLAYED, "SELECT level, grain, step, series, n, round(mae, 5) AS mae, round(rmse, 5) AS rmse, round(mape, 5) AS mape FROM tb"))
+def sc25_tables(spark, sf):
+    tables = score.replay_tables(score.period_rows(forecast_paths(spark, sf), "seasonal7"))
+    return rounded(tables.select("level", "grain", "step", "series", "n", *R5), *R5)
+
+
+@query("sc25_worst", with_sql(REPLAYED, """SELECT grain, place, series, n, round(rmse, 5) AS rmse FROM (SELECT *, CAST(row_number() OVER (PARTITION BY grain
+  ORDER BY round(rmse, 9) DESC, series) AS INT) AS place FROM tb WHERE level = 'series') WHERE place <= 5"""))
+def sc25_worst(spark, sf):
+    tables = score.replay_tables(score.period_rows(forecast_paths(spark, sf), "seasonal7"))
+    return score.worst_series(tables).select("grain", "place", "series", "n", F.round("rmse", 5).alias("rmse"))
+
+
 @query("sc26_reconcile", with_sql(PATHS, """, c AS (SELECT product_name, horizon, count(*) AS n, count(*) FILTER (abs(seasonal7 - actual) <= 0.1 * actual) AS hits FROM paths WHERE actual > 0
   GROUP BY ALL),
 p AS (SELECT product_name, sum(n) AS n, sum(hits) AS hits FROM c WHERE NOT (product_name = 'PROMO' AND horizon = 30) GROUP BY 1),

@@ -6,7 +6,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from pricepanel.operators import calibrate
+from pricepanel.operators import backtest, calibrate
+from pricepanel.operators import score as scoring
 
 DAY = dt.date(2024, 1, 1)
 COLUMNS = "product_category string, product_name string, origin date, horizon int, actual double, anchor double, persistence double, seasonal7 double, moving_average7 double"
@@ -108,3 +109,40 @@ def test_layers_without_help_or_rows(spark):
     assert {r.trust for r in got["category"].collect()} == {1.0}
     nothing = calibrate.horizon_trust(spark.createDataFrame([], COLUMNS), "seasonal7")
     assert {(r.n, r.trust) for r in nothing.collect()} == {(0, 1.0)}
+
+
+def test_weighted_fit_and_stacked_prices(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for key, n in (("a", 200), ("b", 3), ("c", 40)):
+        for _ in range(n):
+            x, z = rng.normal(1e4, 1), rng.normal()
+            rows.append((key, float(x), 7.0 if key == "c" else float(z), float(2 * x - z + rng.normal(0, 0.1)), float(rng.uniform(0.1, 3)), 10.0))
+    rows += [("a", None, 1.0, 1.0, 1.0, 10.0), ("a", 1.0, 1.0, 1.0, 0.0, 10.0)]
+    df = spark.createDataFrame(rows, "key string, x double, z double, y double, q double, anchor double")
+    got = {r.key: r for r in backtest.fit_weighted(df, ["x", "z"], "y", "q", ["key"], ridge=1e-3).collect()}
+    for key in "abc":
+        own = np.array([r[1:5] for r in rows if r[0] == key and r[1] is not None and r[4] > 0])
+        q = own[:, 3] / own[:, 3].sum()
+        mean = q @ own[:, :3]
+        left = own[:, :3] - mean
+        cov = (left * q[:, None]).T @ left
+        kept = [0] if key == "c" else [0, 1]  # a column without spread
+        weights = np.zeros(2)
+        weights[kept] = np.linalg.solve(cov[np.ix_(kept, kept)] + 1e-3 * np.diag(np.diag(cov)[kept]), cov[kept, 2])
+        assert np.allclose(got[key].weights, weights) and np.isclose(got[key].intercept, mean[2] - weights @ mean[:2]) and got[key].n == len(own)
+    fit = spark.createDataFrame([("a", [0.1, 0.0], 0.0), ("b", [1.0, 0.0], 5.0)], "key string, weights array<double>, intercept double")
+    few = spark.createDataFrame([("a", 2.0, 1.0, 10.0), ("b", 1.0, 1.0, 10.0), ("z", 1.0, 1.0, 10.0), ("a", None, 1.0, 10.0)], "key string, x double, z double, anchor double")
+    assert sorted(r.price for r in backtest.stacked_prices(few, fit, ["x", "z"], ["key"]).collect()) == [10.0, 10.0, 12.0, 15.0]
+
+
+def test_replay_tables(spark):
+    rows = [("s", DAY, DAY + dt.timedelta(days=h), h, float(10 + h) if h != 2 else None, 12.0) for h in range(1, 11)] + [("t", DAY, DAY + dt.timedelta(days=h), h, None, 5.0) for h in range(1, 4)]
+    paths = spark.createDataFrame(rows, "series string, origin date, date date, horizon int, actual double, f double")
+    # 1 January 2024 is a Monday: the first week has six days of the path, the second four
+    got = {(r.level, r.grain, r.step, r.series): (r.n, round(r.mae, 6), round(r.rmse, 6)) for r in scoring.replay_tables(scoring.period_rows(paths, "f")).collect()}
+    first, second = np.mean([11, 13, 14, 15, 16]), np.mean([17, 18, 19, 20])
+    assert got["step", "weekly", 1, None][1] == round(abs(first - 12), 6) and got["step", "weekly", 2, None][1] == round(abs(second - 12), 6)
+    assert got["all", "daily", None, None][0] == 9 and got["series", "monthly", None, "s"][0] == 1 and not any(k[3] == "t" for k in got)
+    worst = scoring.worst_series(scoring.replay_tables(scoring.period_rows(paths, "f")), 5).collect()
+    assert {(r.grain, r.place, r.series) for r in worst} == {("daily", 1, "s"), ("weekly", 1, "s"), ("monthly", 1, "s")}
