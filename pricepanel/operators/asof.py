@@ -43,9 +43,19 @@ def monthly_changes(levels: DataFrame, key: list[str]) -> DataFrame:
 
 
 def validate(releases: DataFrame, key: list[str]) -> DataFrame:
-    """AS4: the broken rules of each release; empty if it may be used."""
+    """AS4: the broken rules of each release; empty if it may be used.
+
+    A value is positive and finite. Where releases have a ``missing_reason``, a missing value needs one and a
+    value that is there must have none; where they have ``availability_evidence``, it must not be blank.
+    """
     n = F.count("*").over(Window.partitionBy(*key, "reference_end", "available_at"))
-    rules = {"duplicate": n > 1, "not_yet": F.col("reference_end") > F.to_date("available_at"), "value": ~F.coalesce((F.col("value") > 0) & (F.col("value") < float("inf")), F.lit(False)), "hash": ~F.col("sha256").rlike("^[0-9a-f]{64}$"), "url": ~F.col("source_url").startswith("https://")}
+    usable = F.coalesce((F.col("value") > 0) & (F.col("value") < float("inf")), F.lit(False))
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    if "missing_reason" in releases.columns:
+        usable = F.when(F.col("value").isNull(), ~blank("missing_reason")).otherwise(usable & blank("missing_reason"))
+    rules = {"duplicate": n > 1, "not_yet": F.col("reference_end") > F.to_date("available_at"), "value": ~usable, "hash": ~F.col("sha256").rlike("^[0-9a-f]{64}$"), "url": ~F.col("source_url").startswith("https://")}
+    if "availability_evidence" in releases.columns:
+        rules["evidence"] = blank("availability_evidence")
     return releases.withColumn("broken", F.concat_ws(",", F.array_compact(F.array(*[F.when(bad, name) for name, bad in rules.items()]))))
 
 

@@ -59,6 +59,21 @@ def as4(spark, sf):
     return asof.validate(rows, ["grade"]).groupBy("broken").agg(F.count("*").alias("n"))
 
 
+@query("as4_reasons", "WITH " + REL + """, p AS (SELECT grade, reference_end, available_at, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE value END AS v,
+  CASE WHEN o_orderkey % 6 = 0 THEN 'not published' WHEN o_orderkey % 10 = 1 THEN 'late' WHEN o_orderkey % 9 = 0 THEN ' ' END AS reason, o_orderkey FROM rel),
+v AS (SELECT concat_ws(',', CASE WHEN count(*) OVER (PARTITION BY grade, reference_end, available_at) > 1 THEN 'duplicate' END,
+  CASE WHEN v IS NULL AND trim(coalesce(reason, '')) = '' OR v IS NOT NULL AND reason IN ('not published', 'late') THEN 'value' END,
+  CASE WHEN o_orderkey % 11 = 0 THEN 'evidence' END) AS broken FROM p) SELECT broken, count(*) AS n FROM v GROUP BY 1""")
+def as4_reasons(spark, sf):
+    """Releases of which some lack a value, with and without a reason, some have both, and some no evidence of when they appeared."""
+    k = F.col("o_orderkey")
+    rows = releases(spark, sf).withColumns({
+        "value": F.when(k % 3 != 0, F.col("value")), "missing_reason": F.when(k % 6 == 0, "not published").when(k % 10 == 1, "late").when(k % 9 == 0, " "),
+        "availability_evidence": F.when(k % 11 != 0, "archive"), "sha256": F.sha2(k.cast("string"), 256), "source_url": F.lit("https://a"),
+    })
+    return asof.validate(rows, ["grade"]).groupBy("broken").agg(F.count("*").alias("n"))
+
+
 @query("as5_admission", """WITH a AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE year(CAST(o_orderdate AS DATE)) = 1997 GROUP BY 1)
   SELECT CASE WHEN n IS NULL THEN 'no_availability' WHEN n > 1 THEN 'ambiguous' ELSE 'admitted' END AS state, count(*) AS n FROM customer LEFT
   JOIN a ON k = c_custkey GROUP BY 1""")
