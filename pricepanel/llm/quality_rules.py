@@ -103,7 +103,10 @@ def binomial_tail(n: Column, k: Column, alpha: float) -> Column:
 
 
 def thresholds(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """``stratum`` and one cutoff per signal, for strata with a certified level.
+    """``stratum``, one cutoff per signal and ``certified``, for strata with a certified level.
+
+    ``certified``: ``alone`` where the stratum's own labels prove the bound, ``pool`` where it was proved for
+    the strata with too few labels together; the latter holds for the pool, not for each of its members.
 
     ``measured`` has ``id_col`` and ``q``; all labelled documents take part. A document fails if a
     signal is above its cutoff. Labels of one id that disagree count as bad; null labels are ignored.
@@ -140,18 +143,19 @@ def thresholds(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", l
     gain = (F.col("bad_failed") * F.col("good") - COST * F.col("good_failed") * F.col("bad")).alias("gain")
     best = certified.groupBy("grp").agg(F.max_by("level", F.struct(gain, -F.col("level"))).alias("best"))
     chosen = best.join(cutoffs, (F.col("grp") == F.col("at")) & (F.col("best") == F.col("level"))).drop("grp")
-    return groups.join(chosen, F.col("grp") == F.col("at")).select(F.col("s").alias("stratum"), *[f"cut_{s}" for s in SIGNALS])
+    return groups.join(chosen, F.col("grp") == F.col("at")).select(F.col("s").alias("stratum"), *[f"cut_{s}" for s in SIGNALS], F.when(F.col("grp") == "*", "pool").otherwise("alone").alias("certified"))
 
 
 def judged(measured: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Add ``kept`` to rows of ``q`` and columns without clashes; a stratum without a certified level has the base rule alone."""
+    """Add ``kept`` and ``certified`` (``none`` where there is no cutoff) to rows of ``q`` and columns without clashes; a stratum without a certified level has the base rule alone."""
     out = measured.join(cuts.withColumnRenamed("stratum", "at"), F.col("q.stratum") == F.col("at"), "left")
     fails = F.expr(" OR ".join(f"coalesce(q.{s} > cut_{s}, false)" for s in SIGNALS))
+    out = out.withColumn("certified", F.coalesce("certified", F.lit("none")))
     return out.withColumn("kept", ~F.col("q.base_failed") & ~fails).drop("at", *[f"cut_{s}" for s in SIGNALS])
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept`` of every row.
+    """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, certified`` of every row.
 
     A null or empty text has no words and fails the base rule; a null stratum is that of the empty
     name; a signal that ties with its cutoff passes; repeated rows give repeated results; without labels
@@ -161,7 +165,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     measured = materialize(signals(rows).select("id", "q"), "rules-signals")
     cuts = materialize(thresholds(measured.withColumnRenamed("id", id_col), labels, id_col), "rules-cuts")
     done = judged(measured, cuts)
-    return done.select(F.col("id").alias(id_col), *[F.col(f"q.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], "kept")
+    return done.select(F.col("id").alias(id_col), *[F.col(f"q.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], "kept", "certified")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
@@ -216,6 +220,6 @@ z AS (SELECT *, bool_and(passes) OVER (PARTITION BY grp ORDER BY level) AS certi
 best AS (SELECT grp, arg_max(level, (bad_failed * good - {COST} * good_failed * bad) * 100 - level) AS level FROM z WHERE certified GROUP BY grp),
 cuts AS (SELECT k.* FROM k JOIN best USING (grp, level))
 SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT coalesce({_FAILED}, false) AS kept
+       NOT base_failed AND NOT coalesce({_FAILED}, false) AS kept, CASE WHEN cuts.grp IS NULL THEN 'none' WHEN cuts.grp = '*' THEN 'pool' ELSE 'alone' END AS certified
 FROM s LEFT JOIN g USING (stratum) LEFT JOIN cuts USING (grp)
 """

@@ -322,8 +322,9 @@ def test_quality_rules(spark, docs, empty):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n_words, word_chars, n_symbols, n_dup, n_repeat)
         assert r.base_failed == (n_words < 50 or 100 * n_repeat > 50 * n_words) and not (r.base_failed and r.kept)
     assert sum(out[i].kept for i in range(700)) >= 680 and not any(out[1000 + i].kept for i in range(100))
+    assert {r.certified for r in out.values()} <= {"alone", "pool", "none"} and "alone" in {r.certified for r in out.values()}
     base_only = quality_rules.quality_rules(df, labels.limit(0))
-    assert base_only.where("kept = base_failed").count() == 0
+    assert base_only.where("kept = base_failed").count() == 0 and {r.certified for r in base_only.collect()} == {"none"}
     assert quality_rules.quality_rules(empty, labels).count() == 0
     kept = quality_rules.keep_good(df, labels)
     assert kept.columns == df.columns and kept.count() == sum(r.kept for r in quality_rules.quality_rules(df, labels).collect())
