@@ -149,6 +149,28 @@ def holdout_scores(rows: DataFrame, forecast: str) -> DataFrame:
     return both.groupBy("grain").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("f") - F.col("actual"))).alias("mae"), ape("f").alias("mape"), F.avg(F.abs(F.col("p") - F.col("actual"))).alias("persistence_mae"), ape("p").alias("persistence_mape"))
 
 
+def target_gates(paths: DataFrame, forecast: str, targets: dict[str, tuple[str, float]]) -> DataFrame:
+    """SC13: one row: whether every grain meets every target, whether all that was declared was observed, and both.
+
+    ``targets``: a column of the scores by grain (``mae``, ``rmse``, ``mape``, ``r2``, ``within_10``) with
+    ``min`` or ``max`` and a bound; a score that is missing fails. The declared scope is observed if
+    every forecast day has its truth.
+    """
+    rows = period_rows(paths, forecast)
+    e = F.col("forecast") - F.col("actual")
+    scores = rows.groupBy("grain").agg(
+        F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (100 * F.avg(F.when(F.col("actual") > 0, F.abs(e) / F.col("actual")))).alias("mape"),
+        (1 - F.try_divide(F.sum(e * e), F.var_pop("actual") * F.count("*"))).alias("r2"),
+        (100 * F.avg(F.when(F.col("actual") > 0, (F.abs(e) <= 0.1 * F.col("actual")).cast("int")))).alias("within_10"),
+    )
+    met = F.lit(True)
+    for column, (side, bound) in targets.items():
+        met &= F.coalesce(F.col(column) <= bound if side == "max" else F.col(column) >= bound, F.lit(False))
+    by_grain = scores.select("grain", met.alias("met")).agg(F.count_if("met").alias("grains_met"), (F.count_if("met") == 3).alias("metric_target_met"))
+    scope = paths.agg((F.count("*") == F.count("actual")).alias("full_scope_observed"))
+    return by_grain.join(F.broadcast(scope)).withColumn("target_met", F.col("metric_target_met") & F.col("full_scope_observed"))  # one row each
+
+
 def holdout_coverage(forecasts: DataFrame, truth: DataFrame) -> DataFrame:
     """SC14: keys on one side only, and series out of scope."""
     key = ["series", "date"]

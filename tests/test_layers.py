@@ -146,3 +146,15 @@ def test_replay_tables(spark):
     assert got["all", "daily", None, None][0] == 9 and got["series", "monthly", None, "s"][0] == 1 and not any(k[3] == "t" for k in got)
     worst = scoring.worst_series(scoring.replay_tables(scoring.period_rows(paths, "f")), 5).collect()
     assert {(r.grain, r.place, r.series) for r in worst} == {("daily", 1, "s"), ("weekly", 1, "s"), ("monthly", 1, "s")}
+
+
+def test_target_gates(spark):
+    kinds = "series string, origin date, date date, horizon int, actual double, f double"
+    rows = [("s", DAY, DAY + dt.timedelta(days=h), h, 20.0, 20.0 + (h % 3 - 1)) for h in range(1, 31)]
+    targets = {"within_10": ("min", 90.0), "mae": ("max", 5.0), "rmse": ("max", 5.0), "mape": ("max", 5.0)}
+    gate = lambda rows, targets=targets: tuple(scoring.target_gates(spark.createDataFrame(rows, kinds), "f", targets).first())
+    assert gate(rows) == (3, True, True, True)
+    assert gate([*rows, ("s", DAY, DAY + dt.timedelta(days=31), 31, None, 20.0)]) == (3, True, False, False)  # a day without its truth
+    assert gate(rows, targets | {"mae": ("max", 0.1)})[1:] == (False, True, False)
+    assert gate([(*r[:5], r[5] + 15) for r in rows])[0] == 0
+    assert gate([(*r[:4], None, r[5]) for r in rows])[1:] == (False, False, False)  # nothing to score
