@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .panel import by_series
+from .panel import FILL_DAYS, by_series, fill
 
 LAGS = (1, 2, 3, 7, 8, 14, 30)
 WINDOWS = (3, 7, 14, 30)
@@ -200,3 +200,41 @@ def multi_horizon(panel: DataFrame, horizon: int = 30, stride: int = 30, start:
         "y": F.col("observed_price") / F.col("anchor") - 1, "h_sqrt": F.sqrt("horizon"), "h_log": F.log1p("horizon"), "origin_sin": F.sin(turn("origin")), "origin_cos": F.cos(turn("origin")),
         "target_sin": F.sin(turn("target_date")), "target_cos": F.cos(turn("target_date")),
     }).drop("observed_price")
+
+
+#: Features of a day that the prices of the month before it decide.
+REPLAYED = [*[f"lag_{k}" for k in LAGS], *[f"{n}_{w}" for w in WINDOWS for n in ("mean", "std", "min", "max")], "volatility_14", "return_1", "return_7", "acceleration"]
+
+
+def replayed(versions: DataFrame, origins: DataFrame) -> DataFrame:
+    """FE18: ``series, origin`` and the ``REPLAYED`` features of the day after each origin, from what was known on the origin's day.
+
+    ``versions``: ``series, report_date, available_on, observed_price``, several versions of a day allowed; of
+    those available by the origin the newest counts (ties: the least price). Only the days within reach
+    of a feature are dealt to an origin, so an origin costs a month of rows and not the history. A series
+    that was not seen within that reach has no row.
+    """
+    reach = max(*LAGS, *WINDOWS) + FILL_DAYS
+    days = F.sequence(F.col("report_date"), F.date_add("report_date", reach))
+    own = origins.select("origin")
+    dealt = versions.select("series", "report_date", "available_on", "observed_price", F.explode(days).alias("origin")).join(F.broadcast(own), "origin")  # a row per origin day
+    seen = dealt.where(F.col("available_on") <= F.col("origin")).groupBy("series", "origin", "report_date")
+    newest = seen.agg(F.max_by("observed_price", F.struct("available_on", -F.col("observed_price"))).alias("observed_price"))
+    # each origin's view of a series is a series of its own, which ends with the day after the origin
+    after = newest.select("series", "origin").distinct().withColumns({"report_date": F.date_add("origin", 1), "observed_price": F.lit(None).cast("double")})
+    views = newest.unionByName(after.select(*newest.columns)).withColumn("name", F.col("series")).withColumn("series", F.concat_ws("@", "series", "origin"))
+    spans = views.groupBy("series").agg(F.min("report_date").alias("lo"), F.max("report_date").alias("hi"), F.first("name").alias("name"), F.first("origin").alias("origin"))
+    dense = spans.select("series", "name", "origin", F.explode(F.sequence("lo", "hi")).alias("report_date")).join(views.select("series", "report_date", "observed_price"), ["series", "report_date"], "left")
+    out = price_windows(dense.withColumn("price_index", fill()))
+    return out.where(F.col("report_date") > F.col("origin")).select(F.col("name").alias("series"), "origin", *REPLAYED)
+
+
+def leaks(replay: DataFrame, once: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """FE18: per origin the rows that both have, those of one alone, and those of which some feature differs: it saw what came later."""
+    both = replay.select("series", "origin", F.struct(*REPLAYED).alias("a")).join(once.select("series", "origin", F.struct(*REPLAYED).alias("b")), ["series", "origin"], "full")
+    apart = F.lit(False)
+    for c in REPLAYED:
+        a, b = F.col(f"a.{c}"), F.col(f"b.{c}")
+        apart = apart | (a.isNull() != b.isNull()) | F.coalesce(F.abs(a - b) > tolerance, F.lit(False))
+    there = F.col("a").isNotNull() & F.col("b").isNotNull()
+    return both.groupBy("origin").agg(F.count_if(there).alias("compared"), F.count_if(~there).alias("unmatched"), F.count_if(there & apart).alias("differing"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pricepanel.operators import backtest, calibrate, features, store
+from pricepanel.operators.panel import fill
 
 from .base import PANEL, daily_panel, many, many_prices, query, r6, raw_prices, with_sql, written
 from .feature_plans import RETURNS, ROLLED
@@ -422,3 +423,29 @@ def bt3_many(spark, sf):
 @query("ca9_many_series", with_sql(many(BLEND), "SELECT series, origin, horizon, round(ensemble + 3e-7, 5) AS ensemble FROM bl WHERE layer = 'all'"))
 def ca9_many(spark, sf):
     return layered(spark, sf, many_prices).select("series", "origin", "horizon", F.round(calibrate.blended("seasonal7", "moving_average7") + 3e-7, 5).alias("ensemble"))
+
+
+#: A day whose prices were corrected ten days later.
+CORRECTED = "1999-06-24"
+
+
+@query("fe18_replay", with_sql(PATHS, f""", a AS (SELECT p.series, o.origin, n.price_index IS NOT NULL OR n.report_date IS NOT NULL AS there, p.observed_price, p.report_date
+  FROM panel p JOIN o0 o ON p.report_date = o.origin JOIN panel n ON n.series = p.series AND n.report_date = o.origin + 1),
+k AS (SELECT a.series, a.origin, a.observed_price FROM a WHERE EXISTS (SELECT 1 FROM panel q WHERE q.series = a.series AND q.observed_price IS NOT NULL AND q.report_date BETWEEN a.origin - 37 AND a.origin))
+SELECT origin, count(*) AS compared, CAST(0 AS BIGINT) AS unmatched, count(*) FILTER (origin = DATE '{CORRECTED}' AND observed_price IS NOT NULL) AS differing FROM k GROUP BY origin"""))
+def fe18_replay(spark, sf):
+    """Features replayed at every origin against those of one pass over the corrected prices; at one origin these know what came later."""
+    panel = written(daily_panel(spark, sf), "panel")
+    seen = panel.where("observed_price IS NOT NULL").select("series", "report_date", "observed_price")
+    day = F.lit(CORRECTED).cast("date")
+    right = F.when(F.col("report_date") == day, F.col("observed_price") + 5).otherwise(F.col("observed_price"))
+    versions = seen.withColumn("available_on", F.col("report_date")).unionByName(seen.where(F.col("report_date") == day).withColumns({"observed_price": right, "available_on": F.date_add("report_date", 10)}))
+    days = backtest.origins(spark, START, END)
+    replay = features.replayed(versions, days)
+    corrected = panel.withColumn("observed_price", right).withColumn("price_index", fill())
+    once = features.price_windows(corrected).join(F.broadcast(days), F.col("report_date") == F.date_add("origin", 1))
+    # series that have a row after the origin and were seen within reach of it
+    once = once.join(replay.select("series", "origin"), ["series", "origin"], "left_semi")
+    ends = panel.groupBy("series").agg(F.max("report_date").alias("hi"))
+    replay = replay.join(ends, "series").where(F.col("origin") < F.col("hi"))
+    return features.leaks(replay, once)

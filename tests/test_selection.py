@@ -1,12 +1,14 @@
 """Quantiles by selection and nearest places in adaptive cells against brute force."""
 
+import datetime as dt
 import math
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from pricepanel.operators import quantiles, serve, store
+from pricepanel.operators import features, panel, quantiles, serve, store
 
 
 @pytest.fixture
@@ -68,3 +70,29 @@ def test_nearest_in_a_dense_city(spark):
     assert {(r.point_id, r.rank, r.place_id) for r in got.collect()} == brute_nearest(points, places, 3)
     levels, leaves = serve._split_cells(store.kept(place_df.where("lat IS NOT NULL").selectExpr("place_id", "lat", "lon", "cos(radians(lat)) * cos(radians(lon)) AS x", "cos(radians(lat)) * sin(radians(lon)) AS y", "sin(radians(lat)) AS z").where("place_id < 5000"), "spots"), 16)
     assert len(levels) > 3 and leaves.groupBy("level", "i", "j", "l").count().where("count > 16").isEmpty() and leaves.count() == 3000
+
+
+def test_replay_sees_what_was_known(spark):
+    """Features of each cutoff against a panel that is built from the versions known by then; a corrected day is found."""
+    rnd = random.Random(2)
+    first = dt.date(2024, 1, 1)
+    day = lambda k: first + dt.timedelta(days=k)
+    versions = [(s, day(k), day(k + rnd.choice([0, 0, 1, 3])), round(rnd.uniform(40, 60), 2)) for s in ("Rice||a", "Rice||b") for k in range(90) if rnd.random() < 0.8]
+    versions += [(s, d, d + dt.timedelta(days=9), p + 7) for s, d, _, p in versions if rnd.random() < 0.1]
+    cuts = [20, 45, 70, 88]
+    df = spark.createDataFrame(versions, "series string, report_date date, available_on date, observed_price double")
+    got = features.replayed(df, spark.createDataFrame([(day(c),) for c in cuts], "origin date")).cache()
+    assert got.count() == 2 * len(cuts)
+    plain = None
+    for c in cuts:
+        known = {}
+        for s, d, on, p in sorted((v for v in versions if v[2] <= day(c)), key=lambda v: v[2]):
+            known[s, d] = p
+        rows = [(s, d, p) for (s, d), p in known.items()] + [(s, day(c + 1), None) for s in ("Rice||a", "Rice||b")]
+        view = features.price_windows(panel.reindex_daily(spark.createDataFrame(rows, "series string, report_date date, observed_price double")))
+        view = view.where(F.col("report_date") == F.lit(day(c + 1))).withColumn("origin", F.lit(day(c)))
+        plain = view if plain is None else plain.unionByName(view)
+    assert {tuple(r)[1:] for r in features.leaks(got, plain).collect()} == {(2, 0, 0)}
+    last = features.price_windows(panel.reindex_daily(spark.createDataFrame([(s, d, p) for (s, d), p in {(v[0], v[1]): v[3] for v in sorted(versions, key=lambda v: v[2])}.items()], "series string, report_date date, observed_price double")))
+    leaking = features.leaks(got, last.withColumn("origin", F.date_sub("report_date", 1)).join(got.select("series", "origin"), ["series", "origin"], "left_semi")).collect()
+    assert sum(r.differing for r in leaking) > 0
