@@ -193,6 +193,17 @@ def test_tokens_and_groups_match_whole_encodings(aligner, whole):
             at += n
 
 
+def test_settled_characters_take_the_fast_way_to_the_same_ids(aligner):
+    a = aligner.a.tokenizer
+    assert a.fast is not None
+    rnd = random.Random(11)
+    settled = [chr(c) for c in range(0x250)]
+    texts = [f" {x}{y}" for x in settled for y in ("a", "1", ".", " ", "\n", "'s", "\xa0")] + [f"a{x}b 1{x}2 .{x}. {x} {x}" for x in settled]
+    texts += ["".join(rnd.choice(settled if rnd.random() < 0.5 else "aeinrst '\n0") for _ in range(rnd.randrange(1, 80))) for _ in range(3000)]
+    texts += ["<|endoftext|>", " x<|endoftext|>", "日本 a", "é" * 300]
+    assert a.encode(texts) == [e.ids for e in a.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 3), st.sampled_from("abc")), max_size=120))
 def test_run_skipping_finds_every_common_end(steps):
