@@ -13,7 +13,7 @@ PARTS = 64
 #: Accuracy of the sketch that says where to cut; counts are exact whatever it says.
 ACCURACY = 2000
 #: Values among which a rank is looked up in one task.
-SMALL = 20_000
+SMALL = 200_000
 
 
 def exact_quantiles(rows: DataFrame, column: str, probabilities: list[float], keys: list[str] | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pricepanel.operators import clean, panel
 
-from .base import CLEAN, PANEL, RAW, clean_prices, daily_panel, query, r6, raw_prices, with_sql
+from .base import CLEAN, PANEL, RAW, clean_prices, daily_panel, query, r6, raw_prices, with_sql, written
 
 KEY = "product_category, product_name, product_variant, origin, unit"
 
@@ -126,7 +126,7 @@ SELECT count(*) AS n, min(report_date) AS first_day, max(report_date) AS last_da
 count(DISTINCT unit) AS n_units, quantile_cont(price_index, 0.25) AS q25, quantile_cont(price_index, 0.5) AS q50, quantile_cont(price_index, 0.75) AS q75,
 (SELECT count(*) FROM g WHERE gap > 1) AS n_gaps, (SELECT max(gap) FROM g) AS longest_gap FROM clean"""))
 def cl14(spark, sf):
-    return clean.profile(clean_prices(spark, sf))
+    return clean.profile(written(clean_prices(spark, sf), "clean"))
 
 
 @query("cl15_catalog", with_sql(CLEAN, """SELECT product_name, product_variant, origin, unit, arg_min(product_category, (report_date, id)) AS product_category, md5(concat_ws('|',

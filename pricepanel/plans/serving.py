@@ -210,7 +210,7 @@ c AS (SELECT product_category, bin, count(*) FILTER (ref) AS r, count(*) FILTER
 p AS (SELECT product_category, greatest(r / sum(r) OVER w, 1e-6) AS p, greatest(c / sum(c) OVER w, 1e-6) AS q
   FROM c WINDOW w AS (PARTITION BY product_category)) SELECT product_category, round(sum((q - p) * ln(q / p)), 6) AS psi FROM p GROUP BY 1"""))
 def dr1(spark, sf):
-    rows = clean_prices(spark, sf)
+    rows = written(clean_prices(spark, sf), "clean")
     return serve.stability_index(rows.where("report_date < DATE '1999-01-01'"), rows.where("report_date >= DATE '1999-01-01'"), "price_index", ["product_category"]).select("product_category", r6("psi").alias("psi"))
 
 
