@@ -152,8 +152,8 @@ def specialists(rows: DataFrame, forecast: str, alternatives: list[str], least_r
 LAYERS = ("weight", "horizon", "category", "anomaly", "special")
 
 
-def fit_layers(rows: DataFrame, a: str, b: str, alternatives: list[str], write: Callable[[DataFrame, str], DataFrame]) -> dict[str, DataFrame]:
-    """CA2 to CA5 and CA8 in order, each fitted to the path that the earlier ones give; a table of parameters by layer.
+def fit_layers(rows: DataFrame, a: str, b: str, alternatives: list[str], write: Callable[[DataFrame, str], DataFrame], upto: str = "special") -> dict[str, DataFrame]:
+    """CA2 to CA5 and CA8 in order, each fitted to the path that the earlier ones give; a table of parameters by layer, up to ``upto``.
 
     ``write(table, name)`` gives a table back from storage: a later fit reads the parameters and does not
     fit the earlier layers again.
@@ -161,11 +161,14 @@ def fit_layers(rows: DataFrame, a: str, b: str, alternatives: list[str], write:
     none = {layer: None for layer in LAYERS}
     found: dict[str, DataFrame] = {}
     path = lambda: with_layers(rows, **(none | found)).withColumn("__path", blended(a, b))
-    found["weight"] = write(blend_weight(rows, a, b), "layer-weight")
-    found["horizon"] = write(horizon_trust(path(), "__path"), "layer-horizon")
-    found["category"] = write(group_trust(path(), "__path", ["product_category", "horizon"]), "layer-category")
-    found["anomaly"] = write(reversion(path(), "__path"), "layer-anomaly")
-    found["special"] = write(specialists(path(), "__path", alternatives), "layer-special")
+    fits = {
+        "weight": lambda: blend_weight(rows, a, b), "horizon": lambda: horizon_trust(path(), "__path"), "category": lambda: group_trust(path(), "__path", ["product_category", "horizon"]),
+        "anomaly": lambda: reversion(path(), "__path"), "special": lambda: specialists(path(), "__path", alternatives),
+    }
+    for layer in LAYERS:
+        found[layer] = write(fits[layer](), f"layer-{layer}")
+        if layer == upto:
+            break
     return found
 
 

@@ -235,24 +235,24 @@ BASELINES = ("seasonal7", "moving_average7")
 BASE_LAYERED = LAYERED.replace("{a}", BASELINES[0]).replace("{b}", BASELINES[1])
 
 
-def layers_of(spark, sf):
-    """The parameters of all layers, fitted in order on the tuning rows, which are written once."""
-    return calibrate.fit_layers(written(tuning(spark, sf), "tuning"), *BASELINES, [BASELINES[0], "persistence", "moving_average7"], written)
+def layer_of(spark, sf, layer):
+    """The parameters of a layer, fitted after those before it on the tuning rows, which are written once."""
+    return calibrate.fit_layers(written(tuning(spark, sf), "tuning"), *BASELINES, [BASELINES[0], "persistence", "moving_average7"], written, layer)[layer]
 
 
 @query("ca3_horizon_trust", with_sql(BASE_LAYERED, "SELECT horizon, n, trust FROM bh"))
 def ca3(spark, sf):
-    return layers_of(spark, sf)["horizon"]
+    return layer_of(spark, sf, "horizon")
 
 
 @query("ca4_category_trust", with_sql(BASE_LAYERED, "SELECT product_category, horizon, n, trust FROM bc"))
 def ca4(spark, sf):
-    return layers_of(spark, sf)["category"]
+    return layer_of(spark, sf, "category")
 
 
 @query("ca5_reversion", with_sql(BASE_LAYERED, "SELECT threshold, strength, decay, round(score, 6) AS score, round(base, 6) AS base FROM ba"))
 def ca5(spark, sf):
-    return layers_of(spark, sf)["anomaly"].withColumns({"score": r6("score"), "base": r6("base")})
+    return layer_of(spark, sf, "anomaly").withColumns({"score": r6("score"), "base": r6("base")})
 
 
 @query("ca6_references", with_sql(PANEL, """, k AS (SELECT * FROM panel WHERE price_index IS NOT NULL) SELECT series, report_date, round(avg(price_index) OVER (PARTITION BY series
@@ -268,7 +268,7 @@ def ca7(spark, sf):
 
 @query("ca8_specialists", with_sql(BASE_LAYERED, "SELECT product_category, product_name, bin, alternative, weight FROM bs"))
 def ca8(spark, sf):
-    return layers_of(spark, sf)["special"]
+    return layer_of(spark, sf, "special")
 
 
 SWITCHES = [("all", ""), *[(f"no_{layer}", layer) for layer in calibrate.LAYERS]]
