@@ -6,10 +6,10 @@ The end arrays of the two token sequences are then walked together: while they a
 index shift, probes of doubling length jump over whole one-to-one stretches; where they stop to agree
 the irregular group is closed at the next common end and the shift is updated.
 
-Documents are worked on in blocks of bounded size. A block leaves one row: the figures of its documents,
-the different linked id pairs of all of them, and for each document which of those it holds and how
-often. Counts by pair are sums over the blocks; each block gets the counts of its pairs back as one
-array, so links never leave a block one by one.
+Documents are worked on in blocks of bounded size. A block leaves a row per document, with its figures
+and which of the block's different linked id pairs it holds and how often, and a row per pair. Counts by
+pair are sums over the blocks; a block's documents meet the counts of its pairs in one group, so links
+never leave a block one by one, and no task holds more than a block, however many it is dealt.
 """
 
 from __future__ import annotations
@@ -322,21 +322,23 @@ def _aligner(a_path: str, b_path: str) -> Aligner:
 
 
 def _aligned(a_path: str, b_path: str):
-    """Texts -> a row per block; in ``held`` the places of a document's pairs among the block's."""
+    """Texts -> a row per document, in ``held`` the places of its pairs among its block's, and a row per pair of a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, ids, found, size, kind = TaskContext.get().partitionId() << 32, [], [], 0, None
 
-        def row() -> pa.RecordBatch:
+        def rows() -> Iterator[pa.RecordBatch]:
             joined = {c: np.concatenate([f[c] for f in found]) for c in (*_FIGURES, "n_pairs", "pairs", "times")}
             pairs, held = np.unique(joined["pairs"], return_inverse=True)
-            values = {
-                "block": (pa.int64(), block), "ids": (pa.list_(kind), pa.concat_arrays(ids)), "digests": (pa.list_(pa.string()), [d for f in found for d in f["digests"]]),
-                **{c: (pa.list_(pa.int64()), joined[c]) for c in (*_FIGURES, "n_pairs")},
-                "held": (pa.list_(pa.int32()), held.astype(np.int32)), "times": (pa.list_(pa.int32()), joined["times"].astype(np.int32)),
-                "pairs": (pa.list_(pa.int64()), pairs), "docs": (pa.list_(pa.int32()), np.bincount(held, minlength=len(pairs)).astype(np.int32)),
-            }
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for t, v in values.values()], names=list(values))
+            upto = pa.array(np.concatenate([[0], np.cumsum(joined["n_pairs"])]), pa.int32())
+            lists = {c: pa.ListArray.from_arrays(upto, pa.array(v, pa.int32())) for c, v in (("held", held), ("times", joined["times"]))}
+            docs = {"id": pa.concat_arrays(ids), "groups_sha256": pa.array([d for f in found for d in f["digests"]], pa.string()), **{c: pa.array(joined[c], pa.int64()) for c in _FIGURES}, **lists}
+            places = {"place": pa.array(np.arange(len(pairs)), pa.int32()), "pair": pa.array(pairs, pa.int64()), "docs": pa.array(np.bincount(held, minlength=len(pairs)), pa.int32())}
+            types = {c: v.type for c, v in (docs | places).items()}
+            for part in (docs, places):
+                n = len(next(iter(part.values())))
+                columns = {"block": pa.array(np.full(n, block), pa.int64())} | {c: part[c] if c in part else pa.nulls(n, t) for c, t in types.items()}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
         for batch in batches:
             kind = batch.column("id").type
@@ -347,32 +349,28 @@ def _aligned(a_path: str, b_path: str):
                     texts.append(batch.column("text")[at + len(texts)].as_py() or "")
                     length += len(texts[-1])
                 if found and size + length > BLOCK:
-                    yield row()
+                    yield from rows()
                     block, ids, found, size = block + 1, [], [], 0
                 ids.append(batch.column("id").slice(at, len(texts)))
                 found.append(_aligner(a_path, b_path).align(texts))
                 at, size = at + len(texts), size + length
         if found:
-            yield row()
+            yield from rows()
 
     return run
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks with the counts of their pairs -> a row per document."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            column = lambda name, k=k, batch=batch: batch.column(name)[k].values
-            best = counts = np.zeros(0, dtype=np.int64)
-            if len(column("held")):
-                held, times, answers = column("held").to_numpy(), column("times").to_numpy().astype(np.int64), column("answers")
-                place = answers.field("place").to_numpy()
-                n, is_best = np.empty(len(place), dtype=np.int64), np.empty(len(place), dtype=bool)
-                n[place], is_best[place] = answers.field("n").to_numpy(), answers.field("is_best").to_numpy(zero_copy_only=False)
-                best, counts = np.where(is_best[held], times, 0), times * n[held]
-            upto = np.concatenate([[0], np.cumsum(column("n_pairs").to_numpy())])
-            total = lambda x, upto=upto: np.diff(np.concatenate([[0], np.cumsum(x)])[upto])
-            yield pa.RecordBatch.from_arrays([column("ids"), *[column(c) for c in _FIGURES], pa.array(total(best)), pa.array(total(counts)), column("digests")], names=["id", *_FIGURES, "n_best", "count_sum", "groups_sha256"])
+def _summed(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    """The documents of a block and the counts of its pairs -> a row per document."""
+    place = answers.column("place").to_numpy()
+    counts, is_best = np.empty(len(place), dtype=np.int64), np.empty(len(place), dtype=bool)
+    counts[place], is_best[place] = answers.column("n").to_numpy(), answers.column("is_best").to_numpy()
+    lists = docs.column("held").combine_chunks()
+    held, times = lists.flatten().to_numpy(), docs.column("times").combine_chunks().flatten().to_numpy().astype(np.int64)
+    upto = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    total = lambda x: pa.array(np.diff(np.concatenate([[0], np.cumsum(x)])[upto]), pa.int64())
+    values = {"id": docs.column("id"), **{c: docs.column(c) for c in _FIGURES}, "n_best": total(np.where(is_best[held], times, 0)), "count_sum": total(times * counts[held])}
+    return pa.table(values | {"groups_sha256": docs.column("groups_sha256")})
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -385,15 +383,15 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     """
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    figures = ", ".join(f"{c} array<long>" for c in _FIGURES)
-    blocks = rows.mapInArrow(_aligned(a_path, b_path), f"block long, ids array<{kind}>, digests array<string>, {figures}, n_pairs array<long>, held array<int>, times array<int>, pairs array<long>, docs array<int>")
+    figures = ", ".join(f"{c} long" for c in _FIGURES)
+    blocks = rows.mapInArrow(_aligned(a_path, b_path), f"block long, id {kind}, groups_sha256 string, {figures}, held array<int>, times array<int>, place int, pair long, docs int")
     blocks = materialize(blocks, "aligned-blocks")
-    counts = blocks.select(F.explode(F.arrays_zip("pairs", "docs")).alias("x")).groupBy(F.col("x.pairs").alias("pair")).agg(F.sum("x.docs").alias("n"))
+    asked = blocks.where("place IS NOT NULL").select("block", "place", "pair", "docs")
+    counts = asked.groupBy("pair").agg(F.sum("docs").alias("n"))
     counts = counts.withColumn("is_best", F.col("n") == F.max("n").over(Window.partitionBy(F.shiftright("pair", 32))))
-    asked = blocks.select("block", F.posexplode("pairs").alias("place", "pair"))
-    answers = asked.join(counts, "pair").groupBy("block").agg(F.collect_list(F.struct("place", "n", "is_best")).alias("answers"))
-    met = blocks.select("block", "ids", "digests", *_FIGURES, "n_pairs", "held", "times").join(answers, "block", "left")
-    out = met.mapInArrow(_summed, f"id {kind}, {', '.join(f'{c} long' for c in (*_FIGURES, 'n_best', 'count_sum'))}, groups_sha256 string")
+    answers = asked.join(counts, "pair").select(F.col("block").alias("of"), "place", "n", "is_best")
+    met = blocks.where("place IS NULL").select("block", "id", *_FIGURES, "groups_sha256", "held", "times")
+    out = met.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(_summed, f"id {kind}, {', '.join(f'{c} long' for c in (*_FIGURES, 'n_best', 'count_sum'))}, groups_sha256 string")
     return out.withColumnRenamed("id", id_col)
 
 

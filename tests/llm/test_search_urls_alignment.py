@@ -248,3 +248,18 @@ def test_alignment_counts_match_brute_force(spark, whole, monkeypatch):
     got = alignment.align(df, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
     assert sorted((tuple(r)[:7] for r in got.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum").collect()), key=repr) == expected
     assert alignment.align(df.limit(0), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_no_row_holds_a_block(spark, tmp_path, monkeypatch):
+    """What a block leaves are rows of a document or a pair each, so that a task's batches don't grow with its blocks."""
+    written = []
+    keep = alignment.materialize
+    monkeypatch.setattr(alignment, "materialize", lambda df, name: written.append(keep(df, name)) or written[-1])
+    text = "the quick don't tokenization unbelievable 12345"
+    df = spark.range(300).selectExpr("id AS doc_id", f'concat("{text} ", id) AS text').coalesce(1)
+    got = alignment.align(df, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    assert got.where("n_links > 0 AND n_best <= n_links AND count_sum >= n_links").count() == 300
+    nested = [f.name for f in written[0].schema if f.dataType.typeName() == "array"]
+    assert nested
+    most = max(max(len(r[c] or []) for c in nested) for r in written[0].collect())
+    assert most <= got.agg({"n_links": "max"}).first()[0]
