@@ -18,24 +18,37 @@ def fill(observed: str = "observed_price", days: int = FILL_DAYS) -> Column:
     return F.last(observed, ignorenulls=True).over(by_series().rowsBetween(-days, 0))
 
 
-def _dense(rows: DataFrame, ends: DataFrame) -> DataFrame:
-    days = ends.select("series", F.explode(F.sequence("lo", "hi")).alias("report_date"))
-    full = days.join(rows.select("series", "report_date", "observed_price"), ["series", "report_date"], "left")
-    out = full.withColumn("price_index", fill()).withColumn("is_observed", F.col("observed_price").isNotNull())
+def _dense(rows: DataFrame, end: Column | None = None) -> DataFrame:
+    """Every day from a series' first row to its last one, or to ``end`` of that row.
+
+    Each row is dealt to the days before the next one, with the last truth up to it: only given rows are
+    shuffled and sorted, and no side of a join grows by days after its size was judged.
+    """
+    by = Window.partitionBy("series").orderBy("__day")
+    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    known = F.col("observed_price").isNotNull()
     parts = F.split("series", r"\|\|")
-    return out.withColumn("product_category", parts[0]).withColumn("product_name", parts[1])
+    given = rows.where("report_date IS NOT NULL").select("series", F.col("report_date").alias("__day"), "observed_price").withColumns({
+        "__next": F.lead("__day").over(by), "__last": F.last("observed_price", ignorenulls=True).over(upto),
+        "__seen": F.last(F.when(known, F.col("__day")), ignorenulls=True).over(upto),
+    })
+    until = F.greatest("__day", F.coalesce(F.date_sub("__next", 1), F.col("__day") if end is None else end))
+    later = F.explode(F.sequence(F.lit(0), F.datediff(until, "__day"))).alias("__later")  # numbers: a sequence of dates goes through time zones
+    days = given.select("*", parts[0].alias("product_category"), parts[1].alias("product_name"), later).withColumn("report_date", F.date_add("__day", F.col("__later")))
+    truth = F.when(F.col("__later") == 0, F.col("observed_price"))
+    carried = F.when(F.datediff("report_date", "__seen") <= FILL_DAYS, F.col("__last"))
+    return days.select("series", "report_date", truth.alias("observed_price"), carried.alias("price_index"), truth.isNotNull().alias("is_observed"), "product_category", "product_name")
 
 
 def reindex_daily(rows: DataFrame) -> DataFrame:
     """PN1: every day from a series' first to its last; the input price is the truth carried at most a week."""
-    return _dense(rows, rows.groupBy("series").agg(F.min("report_date").alias("lo"), F.max("report_date").alias("hi")))
+    return _dense(rows)
 
 
 def extend_to(rows: DataFrame, origin: str) -> DataFrame:
     """PN2: every series up to one issue day; a later row is an error."""
     day = F.lit(origin).cast("date")
-    hi = F.when(F.max("report_date") <= day, day).otherwise(F.raise_error(F.lit("rows after the origin")).cast("date"))
-    return _dense(rows, rows.groupBy("series").agg(F.min("report_date").alias("lo"), hi.alias("hi")))
+    return _dense(rows, F.when(F.col("__day") <= day, day).otherwise(F.raise_error(F.lit("rows after the origin")).cast("date")))
 
 
 def as_of(rows: DataFrame, cutoff: str) -> DataFrame:

@@ -239,3 +239,26 @@ def test_entry_and_names():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_dense_panel_joins_nothing(spark):
+    """Days that a sequence makes are in no side of a join, whose size would be judged before they are made."""
+    rnd = random.Random(4)
+    rows = [(f"Rice||{s}", DAY + dt.timedelta(days=d), None if rnd.random() < 0.3 else float(d)) for s in "ab" for d in sorted(rnd.sample(range(90), 25))]
+    df = spark.createDataFrame(rows, "series string, report_date date, observed_price double")
+    out = panel.reindex_daily(df)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.series, r.report_date): r for r in out.collect()}
+    expected = 0
+    for s in ("Rice||a", "Rice||b"):
+        own = {d: p for x, d, p in rows if x == s}
+        for k in range((max(own) - min(own)).days + 1):
+            day, expected = min(own) + dt.timedelta(days=k), expected + 1
+            carried = [own[d] for d in (day - dt.timedelta(days=b) for b in range(8)) if own.get(d) is not None]
+            r = got[s, day]
+            assert (r.observed_price, r.price_index, r.is_observed, r.product_name) == (own.get(day), carried[0] if carried else None, own.get(day) is not None, s[-1])
+    assert len(got) == expected
+    ends = panel.extend_to(df, "2024-05-01").groupBy("series").agg(F.max("report_date").alias("hi")).collect()
+    assert {r.hi for r in ends} == {dt.date(2024, 5, 1)}
+    with pytest.raises(Exception, match="rows after the origin"):
+        panel.extend_to(df, "2024-01-20").collect()
