@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -78,18 +80,31 @@ def conflicts(rows: DataFrame) -> DataFrame:
 
 
 def deduplicate(rows: DataFrame) -> DataFrame:
-    """CL9: one row per series and day, observed first, then the smallest id."""
-    columns = rows.columns
-    best = rows.groupBy(*SERIES_KEY, "report_date").agg(F.min_by(F.struct(*columns), F.struct(~F.col("is_observed"), F.col("id"))).alias("r"))
-    return best.select("r.*")
-
-
-def validate(raw: DataFrame) -> DataFrame:
-    """CL1-CL7 and CL9 in order, with the series id."""
+    """CL9: one row per series and day, observed first, then the smallest id.
+
+    Each column is the one of the first row, so what a query doesn't ask for is not carried along. Where
+    ids are whole numbers the order is packed into one: the aggregates then hash and need no sort.
+    """
+    key = [*SERIES_KEY, "report_date"]
+    order = F.struct(~F.col("is_observed"), F.col("id"))
+    if rows.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long"):
+        whole = lambda n: F.lit(str(n)).cast("decimal(38,0)")
+        place = F.when(F.col("is_observed").isNull(), whole(-(1 << 66))).when(F.col("is_observed"), whole(0)).otherwise(whole(1 << 66))
+        order = place + F.coalesce(F.col("id").cast("decimal(38,0)"), whole(-(1 << 64)))  # what is missing comes first
+    best = rows.withColumn("__order", order).groupBy(*key).agg(*[F.min_by(c, "__order").alias(c) for c in rows.columns if c not in key])
+    return best.select(*rows.columns)
+
+
+def validate(raw: DataFrame, write: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """CL1-CL7 and CL9 in order, with the series id.
+
+    ``write(rows)`` gives a table back from storage: units are inferred of the normalised rows, which take
+    them, so these are computed once there.
+    """
     rows = coerce(raw)
     rows = rows.withColumn("product_variant", default_variant(F.col("product_variant")))
     rows = rows.withColumn("unit", normalise_unit(F.nullif("unit", F.lit("Unknown")), F.col("product_category"), F.col("product_name"), F.col("product_variant")))
-    rows = observation_flag(valid_rows(infer_unit(rows)))
+    rows = observation_flag(valid_rows(infer_unit(write(rows))))
     return deduplicate(rows).withColumn("series", series_id())
 
 

@@ -42,6 +42,11 @@ def r6(column: Column | str) -> Column:
     return F.round(F.col(column) if isinstance(column, str) else column, 6)
 
 
+def near6(column: Column) -> Column:
+    """``r6`` without a decimal per value, for columns that are moved off ties."""
+    return F.rint(column * 1e6) / 1e6
+
+
 #: Category, product and variant of a line: six products, or one per supplier.
 FEW_SERIES = (
     "CASE WHEN p_type IN ('ECONOMY','PROMO') THEN 'Rice' WHEN p_type IN ('SMALL','MEDIUM') THEN 'Vegetables' ELSE 'Fish' END",
@@ -52,35 +57,38 @@ MANY_SERIES = ("CASE l_suppkey % 3 WHEN 0 THEN 'Rice' WHEN 1 THEN 'Vegetables' E
 
 def many_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw reports as one series per supplier."""
-    return raw_prices(spark, sf_dir, MANY_SERIES)
+    return raw_prices(spark, sf_dir, MANY_SERIES, ["l_suppkey"])
 
 
-def raw_prices(spark: SparkSession, sf_dir: str, names: tuple[str, str, str] = FEW_SERIES) -> DataFrame:
+def raw_prices(spark: SparkSession, sf_dir: str, names: tuple[str, str, str] = FEW_SERIES, of: list[str] | None = None) -> DataFrame:
     """``lineitem`` and ``part`` as raw price reports, one per series and day.
 
     Of the lines of a series and day the first by order, line, part and supplier, which tell lines apart.
+    ``of``: columns that tell the series apart as well as its names do; lines are then grouped by them and
+    named afterwards.
     """
+    series = [*[F.expr(e).alias(c) for c, e in zip(("product_category", "product_name", "product_variant"), names, strict=True)], F.expr("CASE WHEN l_suppkey % 2 = 0 THEN 'Local' ELSE 'Imported' END").alias("origin")]
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_retailprice")
     rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
-        *[F.expr(e).alias(c) for c, e in zip(("product_category", "product_name", "product_variant"), names, strict=True)],
-        F.expr("CASE WHEN l_suppkey % 2 = 0 THEN 'Local' ELSE 'Imported' END").alias("origin"),
+        *([] if of else series),
         F.to_date("l_shipdate").alias("report_date"),
         F.expr("CAST(CAST(p_retailprice AS DECIMAL(10,2)) * (1 - CAST(l_discount AS DECIMAL(10,2))) AS DOUBLE)").alias("price_index"),
         (F.col("l_linestatus") == "O").alias("is_observed"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
     )
-    key = ["product_category", "product_name", "product_variant", "origin", "report_date"]
+    named = ["product_category", "product_name", "product_variant", "origin"]
     # the first row of each key: its order packed into one number, so that the aggregates hash and need no sort
     place = F.expr(
         "CAST(l_orderkey * 10 + l_linenumber AS DECIMAL(20,0)) * CAST(1000000000000000000 AS DECIMAL(19,0))"
         " + CAST(CAST(l_partkey AS BIGINT) * 1000000000 + l_suppkey AS DECIMAL(18,0))"
     ).cast("decimal(38,0)")
     least = lambda c: F.min_by(c, "place").alias(c)
-    first = rows.withColumn("place", place).groupBy(*key).agg(least("l_orderkey"), least("l_linenumber"), least("price_index"), least("is_observed"))
+    first = rows.withColumn("place", place).groupBy(*(of or named), "report_date").agg(least("l_orderkey"), least("l_linenumber"), least("price_index"), least("is_observed"))
+    first = first.select("*", *series) if of else first
     unit = F.expr("CASE l_linenumber % 4 WHEN 0 THEN 'per kg' WHEN 1 THEN 'KG ' WHEN 2 THEN 'kilogram' ELSE NULL END")
     day = F.when(F.col("is_observed"), F.col("report_date")).otherwise(F.date_sub("report_date", 1))
     return first.select(
-        *key[:4], unit.alias("unit"), "report_date", "price_index", "is_observed", F.concat(F.lit("Price-Monitoring-"), F.date_format(day, "MMMM-d-yyyy"), F.lit(".pdf")).alias("source_pdf"),
+        *named, unit.alias("unit"), "report_date", "price_index", "is_observed", F.concat(F.lit("Price-Monitoring-"), F.date_format(day, "MMMM-d-yyyy"), F.lit(".pdf")).alias("source_pdf"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
     )
 
@@ -143,13 +151,14 @@ panel AS (SELECT d.series, split_part(d.series, '||', 1) AS product_category, sp
 
 
 def clean_prices(spark: SparkSession, sf_dir: str, raw: Callable[[SparkSession, str], DataFrame] = raw_prices) -> DataFrame:
-    """The clean prices; the raw rows, of which units are inferred and which take them, are written once."""
-    return clean.validate(written(raw(spark, sf_dir), "raw"))
+    """The clean prices; the normalised rows, of which units are inferred and which take them, are written once."""
+    return clean.validate(raw(spark, sf_dir), lambda rows: written(rows, "raw"))
 
 
 def daily_panel(spark: SparkSession, sf_dir: str, raw: Callable[[SparkSession, str], DataFrame] = raw_prices) -> DataFrame:
-    """The daily panel; the clean prices, which give both its days and its values, are written once."""
-    return panel.reindex_daily(written(clean_prices(spark, sf_dir, raw), "clean"))
+    """The daily panel; of the raw and the clean prices only what it takes is written."""
+    rows = clean_prices(spark, sf_dir, lambda s, d: raw(s, d).drop("source_pdf"))
+    return panel.reindex_daily(rows.select("series", "report_date", "observed_price"))
 
 
 def with_sql(prefix: str, select: str) -> str:

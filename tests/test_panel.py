@@ -262,3 +262,17 @@ def test_dense_panel_joins_nothing(spark):
     assert {r.hi for r in ends} == {dt.date(2024, 5, 1)}
     with pytest.raises(Exception, match="rows after the origin"):
         panel.extend_to(df, "2024-01-20").collect()
+
+
+def test_first_row_of_a_day_carries_only_what_is_asked(spark):
+    key = "product_category string, product_name string, product_variant string, origin string, unit string, report_date date"
+    one = ("Rice", "A", "Standard", "Local", "kg", DAY)
+    rows = [(*one, 5, False, 1.0, "x"), (*one, 9, True, 2.0, None), (*one, 7, True, None, "y"), (*one, -3, False, 4.0, "z"), (*one[:5], None, None, True, 6.0, "u"), (*one[:5], None, 2, True, 7.0, "v")]
+    for kind in ("long", "string"):
+        df = spark.createDataFrame(rows, f"{key}, id long, is_observed boolean, price double, source string").withColumn("id", F.col("id").cast(kind))
+        got = sorted(((r.id, r.is_observed, r.price, r.source) for r in clean.deduplicate(df).collect()), key=str)
+        assert got == sorted([(7 if kind == "long" else "7", True, None, "y"), (None, True, 6.0, "u")], key=str)
+        plan = clean.deduplicate(df).select("report_date", "price")._jdf.queryExecution().optimizedPlan().toString()
+        assert "source" not in plan.split("Aggregate", 1)[1].split("\n", 1)[0]
+        if kind == "long":
+            assert "SortAggregate" not in clean.deduplicate(df).select("report_date", "price")._jdf.queryExecution().sparkPlan().toString()
