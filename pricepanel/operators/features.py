@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -71,6 +73,41 @@ def price_windows(panel: DataFrame) -> DataFrame:
     return out.withColumn("acceleration", F.col("return_1") - F.col("return_1_before")).drop("n_14", "lag_9", "return_1_before")
 
 
+def rolled(prices: np.ndarray, windows: tuple[int, ...] = WINDOWS) -> dict[str, np.ndarray]:
+    """Mean, deviation, least and largest of the up to ``w`` prices before each of a series in order; NaN where there is none (of a deviation: one)."""
+    known = ~np.isnan(prices)
+    values, least, largest = (np.where(known, prices, x) for x in (0.0, np.inf, -np.inf))
+    total, n, low, high = np.zeros(len(prices)), np.zeros(len(prices), dtype=np.int64), np.full(len(prices), np.inf), np.full(len(prices), -np.inf)
+    out = {}
+    for lag in range(1, max(windows) + 1):
+        seen = slice(0, max(len(prices) - lag, 0))
+        total[lag:] += values[seen]
+        n[lag:] += known[seen]
+        low[lag:], high[lag:] = np.minimum(low[lag:], least[seen]), np.maximum(high[lag:], largest[seen])
+        if lag in windows:
+            mean, squares = total / np.maximum(n, 1), np.zeros(len(prices))
+            for back in range(1, lag + 1):
+                seen = slice(0, max(len(prices) - back, 0))
+                squares[back:] += known[seen] * (values[seen] - mean[back:]) ** 2
+            found = {"mean": (mean, 1), "std": (np.sqrt(squares / np.maximum(n - 1, 1)), 2), "min": (low, 1), "max": (high, 1)}
+            out |= {f"{name}_{lag}": np.where(n < least_n, np.nan, v) for name, (v, least_n) in found.items()}
+    return out
+
+
+def rolling(panel: DataFrame) -> DataFrame:
+    """FE4: ``series, report_date`` and the rolling statistics of ``price_windows`` alone; per series in numpy, since Spark's sliding frames visit every price of a frame again for each row."""
+    names = [f"{n}_{w}" for w in WINDOWS for n in ("mean", "std", "min", "max")]
+
+    def one(rows: pa.Table) -> pa.Table:
+        days = rows.column("report_date").cast(pa.int32()).to_numpy()
+        order = np.argsort(days, kind="stable")
+        found = rolled(rows.column("price_index").to_numpy().astype(float)[order])
+        kept = {"series": rows.column("series"), "report_date": pa.array(days[order], pa.int32()).cast(pa.date32())}
+        return pa.table(kept | {c: pa.array(found[c], pa.float64(), from_pandas=True) for c in names})
+
+    return panel.select("series", "report_date", "price_index").groupBy("series").applyInArrow(one, "series string, report_date date, " + ", ".join(f"{c} double" for c in names))
+
+
 def rsi(panel: DataFrame, days: int = 14) -> DataFrame:
     """FE9: simple means of gains and losses of the shifted price over up to ``days`` rows; a missing change counts as 0."""
     delta = F.lag("price_index", 1).over(by_series()) - F.lag("price_index", 2).over(by_series())

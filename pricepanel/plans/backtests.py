@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pricepanel.operators import backtest, calibrate, features, store
 from pricepanel.operators.panel import fill
 
-from .base import PANEL, daily_panel, many, many_prices, query, r6, raw_prices, with_sql, written
+from .base import PANEL, daily_panel, many, many_prices, near6, query, r6, raw_prices, with_sql, written
 from .feature_plans import RETURNS, ROLLED
 
 START, END = "1998-01-01", "2001-06-30"
@@ -411,8 +411,8 @@ def pn1_many(spark, sf):
 
 @query("fe4_many_series", with_sql(many(PANEL), ROLLED))
 def fe4_many(spark, sf):
-    out = features.price_windows(daily_panel(spark, sf, many_prices))
-    return out.select("series", "report_date", *[r6(F.col(f"{n}_{w}") + 3e-8).alias(f"{n}_{w}") for w in features.WINDOWS for n in ("mean", "std", "min", "max")])
+    out = features.rolling(daily_panel(spark, sf, many_prices))
+    return out.select("series", "report_date", *[near6(F.col(f"{n}_{w}") + 3e-8).alias(f"{n}_{w}") for w in features.WINDOWS for n in ("mean", "std", "min", "max")])
 
 
 @query("bt3_many_series", with_sql(many(PATHS), "SELECT series, origin, horizon, date, persistence, seasonal7, actual FROM paths"))

@@ -276,3 +276,15 @@ def test_first_row_of_a_day_carries_only_what_is_asked(spark):
         assert "source" not in plan.split("Aggregate", 1)[1].split("\n", 1)[0]
         if kind == "long":
             assert "SortAggregate" not in clean.deduplicate(df).select("report_date", "price")._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_rolling_alone_is_that_of_all_windows(spark):
+    rnd = random.Random(9)
+    rows = [(f"s{s}", DAY + dt.timedelta(days=d), None if rnd.random() < 0.4 else rnd.uniform(1, 900)) for s in range(3) for d in range((70, 5, 1)[s])]
+    dense = spark.createDataFrame(rows, "series string, report_date date, price_index double").withColumns({"is_observed": F.lit(True), "observed_price": F.col("price_index")}).repartition(5)
+    names = [f"{n}_{w}" for w in features.WINDOWS for n in ("mean", "std", "min", "max")]
+    key = ["series", "report_date"]
+    a, b = ([tuple(r) for r in x.select(*key, *names).orderBy(*key).collect()] for x in (features.rolling(dense), features.price_windows(dense)))
+    assert len(a) == 76
+    for x, y in zip(a, b, strict=True):
+        assert x[:2] == y[:2] and all((p is None) == (q is None) and (p is None or math.isclose(p, q, rel_tol=1e-9, abs_tol=1e-9)) for p, q in zip(x[2:], y[2:], strict=True))
