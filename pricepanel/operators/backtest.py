@@ -32,13 +32,17 @@ def anchors(panel: DataFrame, days: DataFrame) -> DataFrame:
     return rows.select("series", "product_category", "product_name", "origin", F.col("price_index").alias("anchor"), (total / F.size("last_prices")).alias("moving_average7"), "last_prices")
 
 
-def paths(anchored: DataFrame, panel: DataFrame, horizon: int = HORIZON) -> DataFrame:
-    """BT3: persistence, mean-7 and seasonal-7 paths with the truth (null where not observed)."""
+def paths(anchored: DataFrame, prices: DataFrame, horizon: int = HORIZON) -> DataFrame:
+    """BT3: persistence, mean-7 and seasonal-7 paths with the truth (null where not observed).
+
+    ``prices``: the panel, or the prices that it was made of. The truth grows with the series but packs
+    so well that it may be judged small enough to broadcast, so a merge join is asked for.
+    """
     rows = anchored.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("horizon"))
     seasonal = F.element_at("last_prices", ((F.col("horizon") - 1) % F.size("last_prices") + 1).cast("int"))
     rows = rows.withColumns({"date": F.date_add("origin", F.col("horizon")), "persistence": F.col("anchor"), "seasonal7": seasonal}).drop("last_prices")
-    truth = panel.where("observed_price IS NOT NULL").select("series", F.col("report_date").alias("date"), F.col("observed_price").alias("actual"))
-    return rows.join(truth, ["series", "date"], "left")
+    truth = prices.where("observed_price IS NOT NULL").select("series", F.col("report_date").alias("date"), F.col("observed_price").alias("actual"))
+    return rows.join(truth.hint("merge"), ["series", "date"], "left")
 
 
 def persistence_paths(panel: DataFrame, horizon: int = HORIZON) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pricepanel.operators import backtest, calibrate, features, store
-from pricepanel.operators.panel import fill
+from pricepanel.operators.panel import fill, reindex_daily
 
-from .base import PANEL, daily_panel, many, many_prices, near6, query, r6, raw_prices, with_sql, written
+from .base import PANEL, daily_panel, many, many_prices, near6, query, r6, raw_prices, series_prices, with_sql, written
 from .feature_plans import RETURNS, ROLLED
 
 START, END = "1998-01-01", "2001-06-30"
@@ -30,8 +30,10 @@ def anchored(spark, sf):
 
 
 def forecast_paths(spark, sf, raw=raw_prices):
-    panel = daily_panel(spark, sf, raw)
-    return backtest.paths(backtest.anchors(panel, backtest.origins(spark, START, END)), panel)
+    """The baseline paths; the prices and the anchors (a row per series and origin) are written once, so no later plan holds the panel."""
+    prices = written(series_prices(spark, sf, raw), "prices")
+    anchored = written(backtest.anchors(reindex_daily(prices), backtest.origins(spark, START, END)), "anchors")
+    return backtest.paths(anchored, prices)
 
 
 @query("bt1_origins", with_sql(PATHS, "SELECT origin FROM o0"))

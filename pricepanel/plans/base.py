@@ -155,10 +155,15 @@ def clean_prices(spark: SparkSession, sf_dir: str, raw: Callable[[SparkSession,
     return clean.validate(raw(spark, sf_dir), lambda rows: written(rows, "raw"))
 
 
+def series_prices(spark: SparkSession, sf_dir: str, raw: Callable[[SparkSession, str], DataFrame] = raw_prices) -> DataFrame:
+    """What the daily panel takes of the clean prices; of the raw ones only what it takes is written."""
+    rows = clean_prices(spark, sf_dir, lambda s, d: raw(s, d).drop("source_pdf"))
+    return rows.select("series", "report_date", "observed_price")
+
+
 def daily_panel(spark: SparkSession, sf_dir: str, raw: Callable[[SparkSession, str], DataFrame] = raw_prices) -> DataFrame:
     """The daily panel; of the raw and the clean prices only what it takes is written."""
-    rows = clean_prices(spark, sf_dir, lambda s, d: raw(s, d).drop("source_pdf"))
-    return panel.reindex_daily(rows.select("series", "report_date", "observed_price"))
+    return panel.reindex_daily(series_prices(spark, sf_dir, raw))
 
 
 def with_sql(prefix: str, select: str) -> str:

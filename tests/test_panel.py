@@ -264,6 +264,21 @@ def test_dense_panel_joins_nothing(spark):
         panel.extend_to(df, "2024-01-20").collect()
 
 
+def test_paths_broadcast_no_truth(spark):
+    """The truth is never sent to the driver, however small it is judged, and is that of the panel where the given prices stand in for it."""
+    day = dt.date(2024, 1, 1)
+    rows = [(f"Rice||{s}||Standard||Local||kg", day + dt.timedelta(days=3 * k), None if k % 5 == 4 else float(10 * s + k)) for s in range(3) for k in range(30)] + [("Rice||0||Standard||Local||kg", None, 5.0)]
+    prices = spark.createDataFrame(rows, "series string, report_date date, observed_price double")
+    dense = panel.reindex_daily(prices)
+    anchored = backtest.anchors(dense, backtest.origins(spark, "2024-01-20", "2024-04-30"))
+    of = lambda truth: backtest.paths(anchored, truth)
+    got = of(prices)
+    assert sorted(map(str, got.collect())) == sorted(map(str, of(dense).collect())) and got.where("actual IS NOT NULL").count() > 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "LeftOuter" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+
+
 def test_first_row_of_a_day_carries_only_what_is_asked(spark):
     key = "product_category string, product_name string, product_variant string, origin string, unit string, report_date date"
     one = ("Rice", "A", "Standard", "Local", "kg", DAY)
