@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .panel import by_series
+from .panel import by_series, known_runs, series_names
 
 HORIZON = 30
 
@@ -32,17 +32,48 @@ def anchors(panel: DataFrame, days: DataFrame) -> DataFrame:
     return rows.select("series", "product_category", "product_name", "origin", F.col("price_index").alias("anchor"), (total / F.size("last_prices")).alias("moving_average7"), "last_prices")
 
 
-def paths(anchored: DataFrame, prices: DataFrame, horizon: int = HORIZON) -> DataFrame:
-    """BT3: persistence, mean-7 and seasonal-7 paths with the truth (null where not observed).
+def anchors_of_prices(prices: DataFrame, days: DataFrame) -> DataFrame:
+    """BT2: ``anchors`` of the panel of ``prices``, whose days are not made.
+
+    A run of days with a price has at least one, so the last 7 known prices lie in the run that holds the
+    origin and the 6 before it.
+    """
+    back = F.collect_list(F.struct("price_index", (F.datediff("last_day", "first_day") + 1).alias("n"))).over(Window.partitionBy("series").orderBy("first_day").rowsBetween(-6, -1))
+    rows = known_runs(prices).withColumn("back", back).join(F.broadcast(days), F.col("origin").between(F.col("first_day"), F.col("last_day")))  # a row per origin day
+    earlier = F.flatten(F.transform("back", lambda x: F.array_repeat(x["price_index"], x["n"])))
+    rows = rows.withColumn("upto", F.concat(earlier, F.array_repeat("price_index", F.datediff("origin", "first_day") + 1)))
+    rows = rows.withColumn("last_prices", F.slice("upto", F.greatest(F.size("upto") - 6, F.lit(1)), 7)).withColumns(series_names())
+    total = F.aggregate("last_prices", F.lit(0.0), lambda a, x: a + x)
+    return rows.select("series", "product_category", "product_name", "origin", F.col("price_index").alias("anchor"), (total / F.size("last_prices")).alias("moving_average7"), "last_prices")
 
-    ``prices``: the panel, or the prices that it was made of. The truth grows with the series but packs
-    so well that it may be judged small enough to broadcast, so a merge join is asked for.
+
+def folded_paths(anchored: DataFrame, prices: DataFrame, horizon: int = HORIZON) -> DataFrame:
+    """BT3: the anchors with ``truth``, the days of the path as (horizon, actual), null where not observed: a row per series and origin.
+
+    ``prices``: the panel, or the prices that it was made of. Only what was observed is shuffled, and days
+    without truth are made after the join. The truth grows with the series but packs so well that it may be
+    judged small enough to broadcast, so a merge join is asked for.
     """
-    rows = anchored.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("horizon"))
+    each = F.sequence(F.lit(1), F.lit(horizon))
+    days = anchored.select("origin").distinct().select("origin", F.explode(each).alias("horizon")).withColumn("date", F.date_add("origin", F.col("horizon")))
+    seen = prices.where("observed_price IS NOT NULL").select("series", F.col("report_date").alias("date"), F.col("observed_price").alias("actual"))
+    dealt = seen.join(F.broadcast(days), "date").select("series", "origin", "horizon", "actual").repartition("series", "origin")  # a row per origin and horizon
+    truth = dealt.groupBy("series", "origin").agg(F.collect_list(F.struct("horizon", "actual")).alias("truth"))
+    known = F.coalesce("truth", F.array().cast("array<struct<horizon:int,actual:double>>"))
+    unseen = F.transform(F.array_except(each, known["horizon"]), lambda h: F.struct(h.alias("horizon"), F.lit(None).cast("double").alias("actual")))
+    return anchored.join(truth.hint("merge"), ["series", "origin"], "left").withColumn("truth", F.concat(known, unseen))
+
+
+def unfolded(folded: DataFrame) -> DataFrame:
+    """BT3: persistence, mean-7 and seasonal-7 paths with the truth, a row per day of ``folded_paths``."""
+    rows = folded.select("*", F.inline("truth")).drop("truth")
     seasonal = F.element_at("last_prices", ((F.col("horizon") - 1) % F.size("last_prices") + 1).cast("int"))
-    rows = rows.withColumns({"date": F.date_add("origin", F.col("horizon")), "persistence": F.col("anchor"), "seasonal7": seasonal}).drop("last_prices")
-    truth = prices.where("observed_price IS NOT NULL").select("series", F.col("report_date").alias("date"), F.col("observed_price").alias("actual"))
-    return rows.join(truth.hint("merge"), ["series", "date"], "left")
+    return rows.withColumns({"date": F.date_add("origin", F.col("horizon")), "persistence": F.col("anchor"), "seasonal7": seasonal}).drop("last_prices")
+
+
+def paths(anchored: DataFrame, prices: DataFrame, horizon: int = HORIZON) -> DataFrame:
+    """BT3: ``folded_paths`` unfolded at once."""
+    return unfolded(folded_paths(anchored, prices, horizon))
 
 
 def persistence_paths(panel: DataFrame, horizon: int = HORIZON) -> DataFrame:

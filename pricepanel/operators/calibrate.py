@@ -15,13 +15,20 @@ def grid(lo: float, hi: float, step: float) -> Column:
     return F.array(*[F.lit(round(lo + k * step, 10)) for k in range(n + 1)])
 
 
+def cutoff(days: DataFrame, share: float = 2 / 3) -> DataFrame:
+    """CA1: one row, the origin at ``share`` of the distinct ``origin`` days."""
+    ranked = days.select("origin").distinct().withColumn("i", F.row_number().over(Window.orderBy("origin")) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))  # a row per origin
+    return ranked.where(F.col("i") == F.least(F.floor(F.col("n") * share), F.col("n") - 1)).select(F.col("origin").alias("cutoff"))
+
+
+def parted(rows: DataFrame) -> DataFrame:
+    """CA1: rows with a ``cutoff``: tuning rows end by it, calibration origins start there; rows across it are purged."""
+    return rows.withColumn("part", F.when(F.col("date") <= F.col("cutoff"), "tuning").when(F.col("origin") >= F.col("cutoff"), "calibration")).where("part IS NOT NULL").drop("cutoff")
+
+
 def split_forecasts(rows: DataFrame, share: float = 2 / 3) -> DataFrame:
-    """CA1: tuning rows end by the cutoff origin, calibration origins start there; rows across it are purged."""
-    days = rows.select("origin").distinct()
-    ranked = days.withColumn("i", F.row_number().over(Window.orderBy("origin")) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))  # a row per origin
-    cutoff = ranked.where(F.col("i") == F.least(F.floor(F.col("n") * share), F.col("n") - 1)).select(F.col("origin").alias("cutoff"))
-    out = rows.join(F.broadcast(cutoff))  # one row
-    return out.withColumn("part", F.when(F.col("date") <= F.col("cutoff"), "tuning").when(F.col("origin") >= F.col("cutoff"), "calibration")).where("part IS NOT NULL").drop("cutoff")
+    """CA1: ``parted`` by the ``cutoff`` of the rows' own origins."""
+    return parted(rows.join(F.broadcast(cutoff(rows, share))))  # one row
 
 
 def blend_weight(rows: DataFrame, a: str, b: str, keys: list[str] | None = None, candidates: Column | None = None) -> DataFrame:
@@ -131,21 +138,31 @@ def specialists(rows: DataFrame, forecast: str, alternatives: list[str], least_r
     cutoff = days.where("k >= 4 AND i = floor(k / 2)").select(F.col("origin").alias("__cutoff"))
     known = known.join(F.broadcast(cutoff)).withColumn("half", F.when(F.col("origin") <= F.col("__cutoff"), "early").otherwise("late"))  # one row
     group = ["product_category", "product_name", "bin"]
-    picks = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(a).alias("alternative"), F.col(a).alias("v")) for k, a in enumerate(alternatives)])
-    tried = known.select(*group, "half", "actual", F.col(forecast).alias("f"), F.explode(picks).alias("x")).select(*group, "half", "actual", "f", "x.*").select("*", F.explode(grid(0.05, 0.5, 0.05)).alias("w"))
-    err, base = (1 - F.col("w")) * F.col("f") + F.col("w") * F.col("v") - F.col("actual"), F.col("f") - F.col("actual")
+    # rows move once, to their group, and not a sum for each of the candidates; these are made and compared where the rows are
+    own = dict.fromkeys((*group, "half", "actual", forecast, *alternatives))
+    picks = F.array(*[F.struct(F.lit(k).alias("place"), F.col(a).alias("v")) for k, a in enumerate(alternatives)])
+    moved = known.where("product_category IS NOT NULL AND product_name IS NOT NULL").select(*own).repartition(*group, "half")
+    tried = moved.select(*group, "half", "actual", F.col(forecast).alias("f"), F.explode(picks).alias("x")).select("*", "x.*")
+    weights = [round(0.05 * k, 10) for k in range(1, 11)]
+    base = F.col("f") - F.col("actual")
+    err = [(1 - F.lit(w)) * F.col("f") + F.lit(w) * F.col("v") - F.col("actual") for w in weights]
     scale = F.greatest(F.abs("actual"), F.lit(1e-8))
-    least = lambda c, r: F.when(r > 1e-12, c / r)  # noqa: E731  an error of zero can't be lowered
-    ratios = tried.groupBy(*group, "half", "place", "alternative", "w").agg(
-        F.count("*").alias("n"), least(F.avg(F.abs(err)), F.avg(F.abs(base))).alias("q1"), least(F.sqrt(F.avg(err * err)), F.sqrt(F.avg(base * base))).alias("q2"),
-        least(F.avg(F.abs(err) / scale), F.avg(F.abs(base) / scale)).alias("q3"),
-    ).withColumn("mean_ratio", F.round((F.col("q1") + F.col("q2") + F.col("q3")) / 3, 9))
-    own = ratios.where((F.col("n") >= least_rows) & (F.col("mean_ratio") < 1)).groupBy(*group, "half").agg(F.min(F.struct("mean_ratio", "place", "w")).alias("p")).select(*group, "half", "p.place", "p.w")
+    terms = lambda e: (F.avg(F.abs(e)), F.avg(e * e), F.avg(F.abs(e) / scale))
+    sums = tried.groupBy(*group, "half", "place").agg(F.count("*").alias("n"), *[a.alias(f"b{q}") for q, a in enumerate(terms(base))], *[a.alias(f"e{q}_{k}") for k, e in enumerate(err) for q, a in enumerate(terms(e))])
+    root = lambda c, q: F.sqrt(c) if q == 1 else F.col(c)
+    least = lambda q, k: F.when(root(f"b{q}", q) > 1e-12, root(f"e{q}_{k}", q) / root(f"b{q}", q)).alias(f"q{q + 1}")  # noqa: E731  an error of zero can't be lowered
+    each = F.array(*[F.struct(F.lit(w).alias("w"), *[least(q, k) for q in range(3)]) for k, w in enumerate(weights)])
+    ratios = sums.where(F.col("n") >= least_rows).select(*group, "half", "place", F.inline(each)).withColumn("mean_ratio", F.round((F.col("q1") + F.col("q2") + F.col("q3")) / 3, 9))
     ok = (F.col("q1") < 1) & (F.col("q2") < 1) & (F.col("q3") < 1) & (F.col("mean_ratio") <= gain)
-    other = ratios.where(ok & (F.col("n") >= least_rows)).select(*group, F.when(F.col("half") == "early", "late").otherwise("early").alias("half"), "place", "alternative", "w")
-    checked = own.join(other, [*group, "half", "place", "w"])
-    both = checked.groupBy(*group, "alternative").agg(F.count("*").alias("halves"), F.min("w").alias("weight"))
-    return both.where("halves = 2").drop("halves")
+    halves = ratios.where((F.col("mean_ratio") < 1) | ok).groupBy(*group, "half").agg(
+        F.min(F.when(F.col("mean_ratio") < 1, F.struct("mean_ratio", "place", "w"))).alias("p"), F.collect_list(F.when(ok, F.struct("place", "w"))).alias("good"),
+    )
+    of = lambda half, c: F.max(F.when(F.col("half") == half, F.col(c)))
+    both = halves.groupBy(*group).agg(*[of(half, c).alias(f"{half}_{c}") for half in ("early", "late") for c in ("p", "good")])
+    helps = lambda half, other: F.array_contains(F.col(f"{other}_good"), F.struct(F.col(f"{half}_p.place"), F.col(f"{half}_p.w")))
+    name = lambda half: F.element_at(F.array(*[F.lit(a) for a in alternatives]), F.col(f"{half}_p.place") + 1)
+    both = both.where("early_p IS NOT NULL AND late_p IS NOT NULL").where(helps("early", "late") & helps("late", "early") & (name("early") == name("late")))
+    return both.select(*group, name("early").alias("alternative"), F.least("early_p.w", "late_p.w").alias("weight"))
 
 
 #: The layers of the blend, in the order in which they apply.

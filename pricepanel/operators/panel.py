@@ -18,28 +18,47 @@ def fill(observed: str = "observed_price", days: int = FILL_DAYS) -> Column:
     return F.last(observed, ignorenulls=True).over(by_series().rowsBetween(-days, 0))
 
 
-def _dense(rows: DataFrame, end: Column | None = None) -> DataFrame:
-    """Every day from a series' first row to its last one, or to ``end`` of that row.
-
-    Each row is dealt to the days before the next one, with the last truth up to it: only given rows are
-    shuffled and sorted, and no side of a join grows by days after its size was judged.
-    """
+def _given(rows: DataFrame) -> DataFrame:
+    """Each series' given rows in order: ``__day``, the ``__next`` one, and of the truth up to it the ``__last`` price and the day ``__seen``."""
     by = Window.partitionBy("series").orderBy("__day")
     upto = by.rowsBetween(Window.unboundedPreceding, 0)
     known = F.col("observed_price").isNotNull()
-    parts = F.split("series", r"\|\|")
-    given = rows.where("report_date IS NOT NULL").select("series", F.col("report_date").alias("__day"), "observed_price").withColumns({
+    return rows.where("report_date IS NOT NULL").select("series", F.col("report_date").alias("__day"), "observed_price").withColumns({
         "__next": F.lead("__day").over(by), "__last": F.last("observed_price", ignorenulls=True).over(upto),
         "__seen": F.last(F.when(known, F.col("__day")), ignorenulls=True).over(upto),
     })
+
+
+def series_names() -> dict[str, Column]:
+    """The category and the product that a series' id begins with."""
+    parts = F.split("series", r"\|\|")
+    return {"product_category": parts[0], "product_name": parts[1]}
+
+
+def _dense(rows: DataFrame, end: Column | None = None) -> DataFrame:
+    """Every day from a series' first row to its last one, or to ``end`` of that row.
+
+    Each row is dealt to the days before the next one, with the last truth up to it: only given rows are
+    shuffled and sorted, and no side of a join grows by days after its size was judged.
+    """
     until = F.greatest("__day", F.coalesce(F.date_sub("__next", 1), F.col("__day") if end is None else end))
     later = F.explode(F.sequence(F.lit(0), F.datediff(until, "__day"))).alias("__later")  # numbers: a sequence of dates goes through time zones
-    days = given.select("*", parts[0].alias("product_category"), parts[1].alias("product_name"), later).withColumn("report_date", F.date_add("__day", F.col("__later")))
+    days = _given(rows).select("*", *[c.alias(n) for n, c in series_names().items()], later).withColumn("report_date", F.date_add("__day", F.col("__later")))
     truth = F.when(F.col("__later") == 0, F.col("observed_price"))
     carried = F.when(F.datediff("report_date", "__seen") <= FILL_DAYS, F.col("__last"))
     return days.select("series", "report_date", truth.alias("observed_price"), carried.alias("price_index"), truth.isNotNull().alias("is_observed"), "product_category", "product_name")
 
 
+def known_runs(rows: DataFrame) -> DataFrame:
+    """The days of ``reindex_daily`` that have a price, as runs of one price: ``series, first_day, last_day, price_index``, at most a row per given row.
+
+    They stand in the order of series and day, so a window over them sorts nothing and no day is made.
+    """
+    until = F.greatest("__day", F.coalesce(F.date_sub("__next", 1), F.col("__day")))
+    runs = _given(rows).select("series", F.col("__day").alias("first_day"), F.least(until, F.date_add("__seen", FILL_DAYS)).alias("last_day"), F.col("__last").alias("price_index"))
+    return runs.where("price_index IS NOT NULL AND first_day <= last_day")
+
+
 def reindex_daily(rows: DataFrame) -> DataFrame:
     """PN1: every day from a series' first to its last; the input price is the truth carried at most a week."""
     return _dense(rows)

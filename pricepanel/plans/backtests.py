@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pricepanel.operators import backtest, calibrate, features, store
-from pricepanel.operators.panel import fill, reindex_daily
+from pricepanel.operators.panel import fill
 
 from .base import PANEL, daily_panel, many, many_prices, near6, query, r6, raw_prices, series_prices, with_sql, written
 from .feature_plans import RETURNS, ROLLED
@@ -29,11 +29,15 @@ def anchored(spark, sf):
     return backtest.anchors(daily_panel(spark, sf), backtest.origins(spark, START, END))
 
 
-def forecast_paths(spark, sf, raw=raw_prices):
-    """The baseline paths; the prices and the anchors (a row per series and origin) are written once, so no later plan holds the panel."""
+def folded_forecasts(spark, sf, raw=raw_prices):
+    """The baseline paths, a row per series and origin; the prices and the anchors are written once, and no plan holds the panel."""
     prices = written(series_prices(spark, sf, raw), "prices")
-    anchored = written(backtest.anchors(reindex_daily(prices), backtest.origins(spark, START, END)), "anchors")
-    return backtest.paths(anchored, prices)
+    anchored = written(backtest.anchors_of_prices(prices, backtest.origins(spark, START, END)), "anchors")
+    return backtest.folded_paths(anchored, prices)
+
+
+def forecast_paths(spark, sf, raw=raw_prices):
+    return backtest.unfolded(folded_forecasts(spark, sf, raw))
 
 
 @query("bt1_origins", with_sql(PATHS, "SELECT origin FROM o0"))
@@ -294,8 +298,10 @@ bl AS (SELECT *, CASE WHEN picked IS NOT NULL THEN e2 + x * (picked - e2) ELSE e
 
 
 def layered(spark, sf, raw=raw_prices):
-    """Calibration rows with the parameters of all layers, fitted on the tuning rows; the forecasts are computed once."""
-    rows = written(calibrate.split_forecasts(forecast_paths(spark, sf, raw)), "paths")
+    """Calibration rows with the parameters of all layers, fitted on the tuning rows; the forecasts are computed once, and kept as a row per series and origin."""
+    folded = written(folded_forecasts(spark, sf, raw), "paths")
+    cut = written(calibrate.cutoff(folded), "cutoff")
+    rows = calibrate.parted(backtest.unfolded(folded).join(F.broadcast(cut)))  # one row
     found = calibrate.fit_layers(rows.where("part = 'tuning'"), *BASELINES, [BASELINES[0], "persistence", "moving_average7"], written)
     return calibrate.with_layers(rows.where("part = 'calibration'"), **found)
 

@@ -12,6 +12,9 @@ from pricepanel.operators import clean, panel, store
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: Spark's setting: shuffle files go when the query that made them ends.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def query(name: str, sql: str | None = None):
     """Register a query and, where given, its SQL."""
@@ -30,11 +33,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` from a table in the shared folder, so that what several parts of a plan need is computed once; ``df`` itself where there is none."""
+    """``df`` from a table in the shared folder, so that what several parts of a plan need is computed once; ``df`` itself where there is none.
+
+    Shuffle files of the write are dropped when it is done: no later plan reads them, and without that they
+    take disk until the driver happens to collect its garbage.
+    """
     if not store.can_share(df.sparkSession):
         return df
-    path = store.shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    path, conf = store.shared_folder(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(DROP_SHUFFLES, "false")
+    conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(DROP_SHUFFLES, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -68,14 +80,17 @@ def raw_prices(spark: SparkSession, sf_dir: str, names: tuple[str, str, str] = F
     named afterwards.
     """
     series = [*[F.expr(e).alias(c) for c, e in zip(("product_category", "product_name", "product_variant"), names, strict=True)], F.expr("CASE WHEN l_suppkey % 2 = 0 THEN 'Local' ELSE 'Imported' END").alias("origin")]
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate")
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_retailprice")
+    # narrow before the join: where parts are too many to broadcast, all lines are shuffled for it
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", F.col("l_discount").cast("decimal(10,2)").alias("discount"),
+        (F.col("l_linestatus") == "O").alias("is_observed"), F.to_date("l_shipdate").alias("report_date"),
+    )
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", F.col("p_retailprice").cast("decimal(10,2)").alias("price"))
     rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
-        *([] if of else series),
-        F.to_date("l_shipdate").alias("report_date"),
-        F.expr("CAST(CAST(p_retailprice AS DECIMAL(10,2)) * (1 - CAST(l_discount AS DECIMAL(10,2))) AS DOUBLE)").alias("price_index"),
-        (F.col("l_linestatus") == "O").alias("is_observed"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        *([] if of else series), "report_date", F.expr("CAST(price * (1 - discount) AS DOUBLE)").alias("price_index"), "is_observed", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
     )
+    if of:  # next to no two lines share a supplier and day: their places and sums would take more than they do
+        rows = rows.repartition(*of, "report_date")
     named = ["product_category", "product_name", "product_variant", "origin"]
     # the first row of each key: its order packed into one number, so that the aggregates hash and need no sort
     place = F.expr(
